@@ -6,10 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import langid, packing, pieces
 from .common import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *byte_bpe_files())
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,7 +29,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def byte_bpe_files() -> tuple[str, str, str]:
+    """Vocabulary, ranks and word pattern of the public byte-level tokenizer."""
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 QUERIES = {
+    "op1_langid": op1_langid,
+    "op3_packing": op3_packing,
     "op10_pieces": op10_pieces,
 }
 
