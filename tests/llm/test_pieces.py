@@ -1,5 +1,6 @@
 """SentencePiece operator against an undivided search, the library's own best-path mode, and its round trip."""
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
@@ -47,6 +48,7 @@ def test_chunk_functions_equal_one_search(text, size):
         out.insert(0, pieces._part(words, body, ahead, entry, state))
         state = pieces._entered(words, body, ahead, entry)[state]
     assert [i for ids in out for i in ids] == whole
+    assert words.encode(text) == np.array(whole, "<i4").tobytes()
 
 
 def test_equals_library_best_path():

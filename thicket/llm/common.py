@@ -80,7 +80,8 @@ def code_points(texts: pa.Array, most: int = 1 << 20, overlap: int = 0):
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed."""
+    """Let Python workers import this package when it isn't installed, and give them texts in modest batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):

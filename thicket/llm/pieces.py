@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from .common import UID, checkpointed, with_uid, workers_find_package
 
 SPACE = "▁"
 #: Stands for a literal U+2581 of a text while it is segmented; no vocabulary has it.
-LITERAL = "￿"
+LITERAL = "\uffff"
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 300_000
 LOW = float("-inf")
@@ -110,8 +111,23 @@ class Vocabulary:
         return first.start(), max(last, body.rfind("\n", 0, len(body) - 1) + 1, first.start())
 
     def encode_word(self, word: str) -> bytes:
-        ids, _ = self.trace(word, self.forward(word, [0.0], len(word))[1], len(word))
-        return np.array(ids, dtype="<i4").tobytes()
+        """The ids that forward() and trace() give for a word on its own, in one loop."""
+        get, longest, best, back = self.piece.get, self.longest, [0.0], [0]
+        for end in range(1, len(word) + 1):
+            top, cut = best[end - 1] + self.unknown if word[end - 1] not in self.piece else LOW, end - 1
+            for start in range(max(0, end - longest), end):
+                if (found := get(word[start:end])) is not None and (total := best[start] + found[0]) >= top and (total > top or start < cut):
+                    top, cut = total, start
+            best.append(top)
+            back.append(cut)
+        out, end = [], len(word)
+        while end:
+            start = back[end]
+            unit = word[start:end]
+            found = get(unit)
+            out.append((found[1],) if found else self.ids(unit, None))
+            end = start
+        return b"".join(i.to_bytes(4, "little") for ids in reversed(out) for i in ids)
 
     def word_ids(self, word: str) -> bytes:
         got = self.known.get(word)
@@ -157,9 +173,9 @@ def encode_documents(docs: DataFrame, model: str, chunk_chars: int = 1 << 16) ->
         words = vocabulary(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                found = [None if x is None else words.encode(x) for x in texts.slice(at, 512).to_pylist()]
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                found = [None if x is None else words.encode(x) for x in texts.slice(at, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, *_id_columns(found)], names=schema.names)
 
     return small.mapInArrow(encode, schema).unionByName(_encode_giants(docs.filter(F.length("text") > chunk_chars), model, chunk_chars, schema))
@@ -280,9 +296,17 @@ def decode_documents(encoded: DataFrame, model: str, column: str = "decoded") ->
 
     def decode(batches):
         words = vocabulary(model)
+        spelled = pa.array(words.bytes_of, pa.binary())
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [None if x is None else b"".join([words.bytes_of[i] for i in x]).decode(errors="replace")[1:] for x in ids.to_pylist()]
+            texts = []
+            for at in range(0, len(batch), 256):
+                ids = batch.column(batch.schema.get_field_index("ids")).slice(at, 256)
+                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                units = spelled.take(ids.flatten())
+                ends = np.frombuffer(units.buffers()[1], dtype=np.int32, count=len(units) + 1) if len(units) else np.zeros(1, np.int32)
+                joined, bounds = (units.buffers()[2] or b"", ends[np.concatenate([[0], np.cumsum(counts)])].tolist())
+                valid = ids.is_valid().to_pylist()
+                texts += [bytes(joined[i:j]).decode(errors="replace")[1:] if ok else None for i, j, ok in zip(bounds, bounds[1:], valid)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(decode, schema)
