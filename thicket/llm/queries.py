@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pieces
+from . import langid, packing, pieces, quality, suffix_model
 from .common import table
 
 
@@ -21,6 +21,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *byte_bpe_files())
 
 
+def op7_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability, learned from six sevenths of them."""
+    return suffix_model.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality counts and verdict of every document."""
+    docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +48,8 @@ def byte_bpe_files() -> tuple[str, str, str]:
 QUERIES = {
     "op1_langid": op1_langid,
     "op3_packing": op3_packing,
+    "op7_suffix_model": op7_suffix_model,
+    "op8_quality": op8_quality,
     "op10_pieces": op10_pieces,
 }
 
