@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,20 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 UID = "_uid"
 
 
+class Remembered(dict):
+    """What make gives for each word; a Python worker keeps up to `most` short words."""
+
+    def __init__(self, make, most: int = 400_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word):
+        got = self.make(word)
+        if len(self) < self.most and len(word) <= 64:
+            self[word] = got
+        return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +51,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder; smaller than a checkpoint where rows hold texts."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thicket-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_uid(df: DataFrame) -> DataFrame:
     """df with a unique row number; checkpoint the result before using it twice."""
     return df.withColumn(UID, F.monotonically_increasing_id())
