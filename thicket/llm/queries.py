@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pieces, quality, suffix_model
+from . import chat, htmltext, jaccard, langid, linedup, packing, pieces, quality, suffix_model, topk
 from .common import table
 
 
@@ -16,11 +16,32 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1,024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *byte_bpe_files())
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation that is no prefix of a longer one, rendered."""
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that an earlier line repeats or nearly repeats."""
+    docs = linedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log probability, learned from six sevenths of them."""
     return suffix_model.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -32,6 +53,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of nine tenths similarity of three-word sets."""
+    return jaccard.link(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -47,10 +73,15 @@ def byte_bpe_files() -> tuple[str, str, str]:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_htmltext": op2_htmltext,
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
+    "op5_topk": op5_topk,
+    "op6_linedup": op6_linedup,
     "op7_suffix_model": op7_suffix_model,
     "op8_quality": op8_quality,
+    "op9_jaccard": op9_jaccard,
     "op10_pieces": op10_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE, "op5_topk": topk.ORACLE}
