@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,13 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UID, checkpointed, with_uid, workers_find_package
+from .common import UID, Remembered, checkpointed, with_uid, workers_find_package
 
 SPACE = "▁"
 #: Stands for a literal U+2581 of a text while it is segmented; no vocabulary has it.
 LITERAL = "\uffff"
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
 LOW = float("-inf")
 
 
@@ -57,12 +56,18 @@ class Vocabulary:
                 self.piece[piece] = (model.get_score(i), i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.piece))
+        self.prefixes: dict = {}
+        for piece, (score, _) in self.piece.items():
+            at = self.prefixes
+            for c in piece[:-1]:
+                at = at.setdefault(c, (None, {}))[1]
+            at[piece[-1]] = (score, at[piece[-1]][1] if piece[-1] in at else {})
         self.unknown = min(score for score, _ in self.piece.values()) - 10
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", piece) for piece in self.piece):
             raise ValueError("a piece goes on past the end of a word")
         # No piece goes from another character to a space mark or holds a line end: words are independent.
         self.word = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self.encode_word)
 
     def ids(self, unit: str, piece: tuple | None) -> list[int]:
         if piece:
@@ -111,35 +116,32 @@ class Vocabulary:
         return first.start(), max(last, body.rfind("\n", 0, len(body) - 1) + 1, first.start())
 
     def encode_word(self, word: str) -> bytes:
-        """The ids that forward() and trace() give for a word on its own, in one loop."""
-        get, longest, best, back = self.piece.get, self.longest, [0.0], [0]
-        for end in range(1, len(word) + 1):
-            top, cut = best[end - 1] + self.unknown if word[end - 1] not in self.piece else LOW, end - 1
-            for start in range(max(0, end - longest), end):
-                if (found := get(word[start:end])) is not None and (total := best[start] + found[0]) >= top and (total > top or start < cut):
-                    top, cut = total, start
-            best.append(top)
-            back.append(cut)
-        out, end = [], len(word)
+        """The ids that forward() and trace() give for a word on its own, following pieces along a prefix tree."""
+        n, root, piece, unknown = len(word), self.prefixes, self.piece, self.unknown
+        best, back = [LOW] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            so_far, end, at = best[start], start, root
+            for c in word[start : start + self.longest]:
+                step = at.get(c)
+                if step is None:
+                    break
+                end += 1
+                score, at = step
+                if score is not None and so_far + score > best[end]:
+                    best[end], back[end] = so_far + score, start
+            if word[start] not in piece and so_far + unknown > best[start + 1]:
+                best[start + 1], back[start + 1] = so_far + unknown, start
+        out, end = [], n
         while end:
-            start = back[end]
-            unit = word[start:end]
-            found = get(unit)
-            out.append((found[1],) if found else self.ids(unit, None))
-            end = start
-        return b"".join(i.to_bytes(4, "little") for ids in reversed(out) for i in ids)
-
-    def word_ids(self, word: str) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            got = self.encode_word(word)
-            if len(self.known) < REMEMBERED and len(word) <= 64:
-                self.known[word] = got
-        return got
+            unit = word[back[end] : end]
+            out.append(self.ids(unit, piece.get(unit)))
+            end = back[end]
+        return array("i", [i for ids in reversed(out) for i in ids]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
-        return b"".join(map(self.word_ids, self.word.findall(marked(text))))
+        return b"".join(map(self.known.__getitem__, self.word.findall(marked(text))))
 
 
 def marked(text: str) -> str:
@@ -283,7 +285,7 @@ def _part(words: Vocabulary, body: str, ahead: str, entry: list[float], leave: i
     out = []
     if head:
         out = words.trace(head, words.forward(head, start[: len(head) + 1], len(head))[1], len(head))[0]
-        out += [i for word in words.word.findall(middle) for i in np.frombuffer(words.word_ids(word), dtype="<i4").tolist()]
+        out += [i for word in words.word.findall(middle) for i in np.frombuffer(words.known[word], dtype="<i4").tolist()]
         start = [0.0]
     return out + words.trace(tail, words.forward(tail, start[: len(tail) + 1], own)[1], own + leave)[0]
 
