@@ -37,9 +37,9 @@ class Settings:
     bits: int = 16
     #: Labelled documents from which the weights are fitted at most, and as many again at most a quarter for calibration.
     sample_docs: int = 6000
-    shards: int = 6
-    epochs: int = 3
-    alpha: float = 0.5
+    shards: int = 2
+    epochs: int = 10
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 0.002
     l2: float = 0.0005
@@ -202,7 +202,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
         learned = sample.filter(F.col("part") < 4 * s.shards).withColumn("shard", shard).groupBy("shard").applyInPandas(learn, "bucket int, class int, weight double")
         used = max(1, sample.filter(F.col("part") < 4 * s.shards).select(shard).distinct().count())
         table, bias = np.zeros((len(languages), 1 << s.bits)), np.zeros(len(languages))
-        for r in learned.groupBy("bucket", "class").agg(F.sum("weight").alias("weight")).toPandas().itertuples(index=False):
+        for r in learned.groupBy("bucket", "class").agg(F.sum("weight").alias("weight")).toArrow().to_pandas().itertuples(index=False):
             if r[0] < 0:
                 bias[r[1]] = r[2] / used
             else:
