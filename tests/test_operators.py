@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from thicket.functions import names, trees
-from thicket.operators import candidates, compare, grouping, select
+from thicket.operators import candidates, compare, grouping, network, select
 from thicket.plans import search
 from thicket.sources import files, newick
 from thicket.streaming import scores
@@ -90,3 +90,13 @@ def test_quota_and_classes(spark):
     leaves = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 5), (2, 1, 6), (2, 2, 5), (2, 3, 5), (3, 1, 5), (3, 2, 5), (3, 3, 6)], "gt_id long, place int, nation int").withColumn("regions", F.lit(5))
     assert sorted((r.rep_gt_id, r.weight) for r in grouping.classes(leaves).collect()) == [(1, 2), (3, 1)]
     assert all(r.o == 1.0 and r.q == 1.0 for r in grouping.quotas(leaves).collect())
+
+
+def test_networks(spark):
+    table = newick.parse(spark.createDataFrame([(0, "((A,B),((B,A),C));"), (1, "(A,(B,C));"), (2, "(((a,b),(c,c)),((b,a),(c,c)));")], "tree_id long, newick string"))
+    canon = {(r.tree_id, r.node_id): r.canon for r in network.canonical(table).collect()}
+    assert canon[0, 1] == canon[0, 5] and canon[0, 0] != canon[0, 1]
+    got = sorted((r.tree_id, r.n_copies, r.n_leaves) for r in network.reticulations(table).collect())
+    assert got == [(0, 2, 2), (2, 2, 4)]
+    edges = spark.createDataFrame([(0, s, d) for s, d in ("ra", "rb", "ax", "bx", "xy", "xz", "bw")], "net_id long, src string, dst string")
+    assert {r.node: r.n_paths for r in network.unfolded_size(edges).collect()} == {"r": 1, "a": 1, "b": 1, "w": 1, "x": 2, "y": 2, "z": 2}

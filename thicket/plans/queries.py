@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import compare, grouping, maps, reconcile, select
+from ..operators import compare, grouping, maps, network, reconcile, select
 from ..sources import corpus, newick
 from . import search
 
@@ -126,6 +126,12 @@ def newick_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newick.scored(genes, species).withColumnRenamed("tree_id", "gt_id")
 
 
+def network_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineages that fold in every order's tree: reticulations, the copies they merge and the leaves below them."""
+    found = network.reticulations(newick.parse(newick.write(corpus.gene_leaves(spark, sf_dir)).select("tree_id", F.regexp_replace("newick", r"g[0-9]+\.[0-9]+_", "").alias("newick"))))
+    return found.groupBy("tree_id").agg(F.count("*").alias("n_reticulations"), F.sum("n_copies").alias("n_copies"), F.sum("n_leaves").cast("long").alias("n_leaves"))
+
+
 def user_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second corpus: event types as species, a user's events in runs of 16 as gene trees; classes of equal trees."""
     events = corpus.table(spark, sf_dir, "events")
@@ -136,7 +142,7 @@ def user_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.groupBy("n_leaves", "n_species").agg(F.count("*").alias("n_trees"), F.sum("weight").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, user_trees, search.candidate_scores, search.candidate_ranking)}
+QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees, search.candidate_scores, search.candidate_ranking)}
 
 SCORES = N + ",\nsc AS (SELECT gt_id, count(*) AS n_leaves, CAST(sum(dup) AS BIGINT) AS n_dups, CAST(sum(loss) AS BIGINT) AS n_losses, CAST(sum(dup) + sum(loss) AS BIGINT) AS score FROM nc GROUP BY gt_id)\n"
 COPIES = Q + """,
@@ -181,6 +187,7 @@ ORACLE_SQL = {
     "newick_nodes": Q + """, n AS (SELECT gt_id AS tree_id, count(*) AS n, count(DISTINCT nation) AS n_species FROM gl GROUP BY gt_id)
       SELECT tree_id, 2 * n - 1 AS n_nodes, n AS n_leaves, n - 1 AS height, CAST((n - 1) + n * (n - 1) / 2 AS BIGINT) AS leaf_depths, n_species FROM n""",
     "newick_scores": SCORES + "SELECT * FROM sc",
+    "network_folds": Q + ", c AS (SELECT gt_id AS tree_id, nation, count(*) AS n FROM gl GROUP BY ALL HAVING count(*) > 1) SELECT tree_id, count(*) AS n_reticulations, CAST(sum(n) AS BIGINT) AS n_copies, count(*) AS n_leaves FROM c GROUP BY tree_id",
     "user_trees": """WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
       t AS (SELECT user_id, k // 16 AS run, count(*) AS n_leaves, count(DISTINCT event_type) AS n_species, CAST(sum((k % 16) * length(event_type)) AS BIGINT) AS weight FROM p GROUP BY user_id, run)
       SELECT n_leaves, n_species, count(*) AS n_trees, CAST(sum(weight) AS BIGINT) AS weight FROM t GROUP BY ALL""",
