@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, workers_find_package
+from .common import stored, workers_find_package
 
 #: Odd multipliers that mix word hashes, and that make one token order from another.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Tokens that came up so often in tasks that saw them twice or more go last in all orders; of these the most frequent at most.
-OFTEN, MOST_OFTEN = 16, 1_000_000
+#: Tokens that came up so often, in batches of texts that each had them OFTEN_HERE times, go last in all orders; of these the most frequent at most.
+OFTEN_HERE, OFTEN, MOST_OFTEN = 8, 32, 500_000
 ROUNDS = 3
 #: Ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -85,13 +85,13 @@ def _often_seen(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(held):
         token, times = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token[times > 1].view(np.int64)), pa.array(times[times > 1].astype(np.int64))], names=["token", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(token[times >= OFTEN_HERE].view(np.int64)), pa.array(times[times >= OFTEN_HERE].astype(np.int64))], names=["token", "times"])
 
-    seen = texts.mapInArrow(repeated, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= OFTEN)
-    found = seen.orderBy(F.desc("times"), "token").limit(MOST_OFTEN).toPandas() if seen.count() > MOST_OFTEN else seen.toPandas()
-    token = found.token.to_numpy(dtype=np.int64).view(np.uint64)
+    seen = stored(texts.mapInArrow(repeated, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= OFTEN))
+    found = (seen.orderBy(F.desc("times"), "token").limit(MOST_OFTEN) if seen.count() > MOST_OFTEN else seen).toArrow()
+    token = found["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
-    return token[order], np.minimum(found.times.to_numpy(dtype=np.int64)[order], 65535)
+    return token[order], np.minimum(found["times"].to_numpy()[order], 65535)
 
 
 def _described(texts: DataFrame, n: int, percent: int, often) -> DataFrame:
@@ -118,10 +118,14 @@ def _described(texts: DataFrame, n: int, percent: int, often) -> DataFrame:
     return texts.mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long, first array<long>, second array<int>, third array<int>")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, tokens binary) of wanted classes (id, doc_id, s1, s2), from the texts of their members."""
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    """(id, tokens binary) of wanted classes (id, doc_id, s1, s2), from the texts of their members; some twice."""
+    wanted = _small(wanted)
 
     def tokens(batches):
         for batch in batches:
@@ -132,12 +136,12 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             )
 
     # A doc_id may repeat with another text; the signature tells.
-    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(tokens, "s1 long, s2 long, tokens binary")
-    return found.join(wanted.select("id", "s1", "s2"), ["s1", "s2"]).groupBy("id").agg(F.first("tokens").alias("tokens"))
+    found = texts.join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(tokens, "s1 long, s2 long, tokens binary")
+    return found.join(wanted, ["s1", "s2"]).select("id", "tokens")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (x, y) whose sets are similar enough."""
+    """Those of stored pairs (x, y) whose sets are similar enough."""
 
     def compare(batches):
         for batch in batches:
@@ -152,19 +156,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["x", "y"])
 
-    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("b")), "y")
-    return both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long")
+    small = _small(pairs)
+    right = sets.join(small.select(F.col("y").alias("id")), "id", "left_semi").select(F.col("id").alias("y"), F.col("tokens").alias("b"))
+    left = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")).join(small, "x")
+    return left.join(right, "y").select("x", "y", "a", "b").mapInArrow(compare, "x long, y long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) of the ends of edges (x, y): the smallest id that links reach. Labels jump to their label's label each round."""
-    both = checkpointed(edges.union(edges.select("y", "x")).distinct())
+    both = stored(edges.union(edges.select("y", "x")).distinct())
     labels = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("component")).withColumnRenamed("x", "id")
-    labels = checkpointed(labels)
+    labels = stored(labels)
     while True:
         near = both.join(labels, both.y == labels.id).select(F.col("x").alias("id"), "component")
         jump = labels.join(labels.select(F.col("id").alias("component"), F.col("component").alias("to")), "component").select("id", F.col("to").alias("component"))
-        new = checkpointed(labels.unionByName(near).unionByName(jump).groupBy("id").agg(F.min("component").alias("component")))
+        new = stored(labels.unionByName(near).unionByName(jump).groupBy("id").agg(F.min("component").alias("component")))
         settled = new.join(labels.withColumnRenamed("component", "old"), "id").filter("component != old").isEmpty()
         labels = new
         if settled:
@@ -182,39 +188,46 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, component_id) for rows of texts (doc_id, text)."""
-    members = checkpointed(_described(texts, n, percent, _often_seen(texts.select("text"), n)))
-    classes = members.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("third").alias("third"))
-    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
-    postings = classes.select("id", "n", F.explode("first").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    postings = checkpointed(postings.join(shared, "token"))
+    members = stored(_described(texts, n, percent, _often_seen(texts.select("text"), n)).withColumn("id", F.monotonically_increasing_id()))
+    filled = members.filter("n_shingles > 0")
+    first_of = stored(filled.groupBy("s1", "s2").agg(F.min("id").alias("id")))
+    # Mostly the smaller part of the rows: members of a class that another one stands for.
+    others = stored(filled.select("id").join(first_of.select("id"), "id", "left_anti"))
+    classes = filled.join(_small(others), "id", "left_anti").select("id", F.col("n_shingles").alias("n"), "doc_id", "s1", "s2", "first", "second", "third")
+    entries = classes.select("id", F.explode("first").alias("token")).repartition("token")
+    shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    postings = stored(entries.join(shared, "token"))
     # What pairs are filtered by and fetched with, for classes that share a token at all.
-    details = checkpointed(classes.join(postings.select("id").distinct(), "id").select("id", "n", "doc_id", "s1", "s2", "second", "third"))
+    met = stored(postings.select("id").distinct())
+    details = stored(classes.drop("first").join(_small(met), "id"))
+    sizes_of = details.select("id", "n")
     edges, labels, sets = None, None, None
 
     def labelled(p):
         if labels is None:
             return p.withColumn("component", F.col("id"))
-        return p.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return p.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def verified(pairs):
-        """Links among pairs (x, y) that pass the other orders' filters."""
-        side = lambda end: details.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "second", "third")])
+        """Links among stored pairs (x, y) that pass the other orders' filters."""
+        ends = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+        some = details.join(_small(ends), "id", "left_semi")
+        side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "second", "third")])
         fits = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
         return pairs.join(side("x"), "x").join(side("y"), "y").filter(fits).select("x", "y")
 
     def settle(pairs):
         """Adds the links among pairs to the edges; false if there were none."""
         nonlocal edges, labels, sets
-        pairs = checkpointed(verified(pairs))
+        pairs = stored(verified(stored(pairs)))
         if pairs.isEmpty():
             return False
         wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("id"), "id", "left_anti")
-        more = _sets(texts, checkpointed(details.join(wanted, "id").select("id", "doc_id", "s1", "s2")), n)
-        sets = checkpointed(more if sets is None else sets.unionByName(more))
-        new = checkpointed(_linked(pairs, sets, percent))
+        more = stored(_sets(texts, stored(details.join(_small(stored(wanted)), "id").select("id", "doc_id", "s1", "s2")), n))
+        sets = more if sets is None else sets.unionByName(more)
+        new = stored(_linked(pairs, sets, percent))
         if new.isEmpty():
             return False
         edges = new if edges is None else edges.unionByName(new)
@@ -222,12 +235,12 @@ def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
         return True
 
     for k in range(ROUNDS):
-        now = labelled(postings)
+        now = labelled(postings).repartition("token")
         groups = now.groupBy("token").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token", "lead")
         star = now.join(groups, "token").filter((F.col("component") != F.col("lead.component"))).select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
         if not settle(star):
             break
-    now = checkpointed(labelled(postings))
+    now = stored(labelled(postings.join(sizes_of, "id")))
     sizes = now.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("token", "largest")
     left = now.join(largest, "token").filter("component != largest").select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
@@ -237,10 +250,10 @@ def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
     fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     across = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settle(across)
-    least = labelled(classes.select("id", "s1", "s2", "doc_id"))
-    component = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(component, "component").select("s1", "s2", "component_id")
-    linked = members.select("doc_id", "n_shingles", "s1", "s2").filter("n_shingles > 0").join(named, ["s1", "s2"])
+    class_of = members.select("doc_id", "n_shingles", "s1", "s2").filter("n_shingles > 0").join(first_of, ["s1", "s2"])
+    row = stored(labelled(class_of))
+    component = row.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = row.join(component, "component")
     alone = members.filter("n_shingles = 0").select("doc_id", "n_shingles", "s1", "s2", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "s1", "s2", "component_id").unionByName(alone)
 
