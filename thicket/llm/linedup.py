@@ -24,50 +24,34 @@ BROADCAST_IDS = 2_000_000
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
-def segment_bounds(length, parts: int) -> list[tuple]:
-    """(start from 0, size) of the even segments of a line, the later ones longer by one where need be; columns."""
-    size = F.floor(length / parts)
-    longer = length % parts
-    out = []
-    for i in range(parts):
-        own = size + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-        start = i * size + F.greatest(F.lit(0), F.lit(i) - (parts - longer))
-        out.append((start.cast("int"), own.cast("int")))
-    return out
+def places(edits: int) -> list[tuple]:
+    """(less, segment, move, offer) of each key of a line: those it offers, and those it asks for.
 
-
-def _key(length, number: int, text, start, size):
-    return F.xxhash64(length, F.lit(number), F.substr(text, start + 1, size))
-
-
-def offered(text, edits: int) -> list:
-    """Keys of a line's own segments."""
-    n = F.length(text)
-    return [_key(n, i, text, start, size) for i, (start, size) in enumerate(segment_bounds(n, edits + 1))]
+    It offers its own segments, and asks for segments of lines shorter by `less` where they can lie in it: one with i segments
+    before it moves by at most i edits from the left and by at most edits - i from the right.
+    """
+    own = [(0, i, 0, True) for i in range(edits + 1)]
+    moves = [(less, i, move) for less in range(edits + 1) for i in range(edits + 1) for move in range(-edits, edits + 1)]
+    return own + [(less, i, move, False) for less, i, move in moves if abs(move) <= i and abs(move - less) <= edits - i]
 
 
-def asked(text, edits: int) -> list:
-    """Keys of the substrings where a segment of an equally long or shorter line can lie if it is within `edits` edits; some null.
+def keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(id, key, offer) of lines (id, line). Segments are even, the later ones longer by one where need be.
 
-    A segment with i segments before it moves by at most i edits from the left and by at most edits - i from the right.
+    Characters are four bytes each here, so that a segment is a slice of bytes.
     """
-    n = F.length(text)
-    keys = []
-    for less in range(edits + 1):
-        shorter = n - less
-        for i, (start, size) in enumerate(segment_bounds(shorter, edits + 1)):
-            for move in range(-edits, edits + 1):
-                if abs(move) <= i and abs(move - less) <= edits - i:
-                    at = start + move
-                    keys.append(F.when((at >= 0) & (at + size <= n) & (shorter > 0), _key(shorter, i, text, at, size)))
-    return keys
+    parts = edits + 1
+    listed = ", ".join(f"struct({less} AS less, {i} AS i, {move} AS move, {str(offer).lower()} AS offer)" for less, i, move, offer in places(edits))
+    found = lines.select("id", F.encode("line", "UTF-32").alias("wide"), F.length("line").alias("n"), F.expr(f"inline(array({listed}))"))
+    found = found.withColumn("shorter", F.expr("n - less")).filter("shorter > 0")
+    found = found.select("id", "wide", "n", "i", "move", "offer", "shorter", F.expr(f"int(shorter div {parts})").alias("size"), F.expr(f"{parts} - shorter % {parts}").alias("even"))
+    found = found.select("id", "wide", "n", "i", "offer", "shorter", F.expr("i * size + greatest(0, i - even) + move").alias("start"), F.expr("size + CASE WHEN i >= even THEN 1 ELSE 0 END").alias("size"))
+    return found.filter("start >= 0 AND start + size <= n").select("id", F.expr("xxhash64(shorter, i, substring(wide, 4 * start + 1, 4 * size))").alias("key"), "offer")
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """Ids of lines (id, line, first) that are within `edits` edits of one with a smaller first; lines are all different."""
-    line = F.col("line")
-    keys = [F.struct(k.alias("key"), F.lit(True).alias("offer")) for k in offered(line, edits)] + [F.struct(k.alias("key"), F.lit(False).alias("offer")) for k in asked(line, edits)]
-    entries = lines.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.key", "k.offer").filter("key IS NOT NULL").repartition("key")
+    entries = keys(lines, edits).repartition("key")
     # Keys on which different lines meet; most keys are of one line alone.
     met = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     shared = checkpointed(entries.join(met, "key").distinct())
@@ -97,9 +81,12 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 24)
     # Only lines that repeat or are near an earlier one matter to the texts.
     gone = lines.select("id", "h1", "h2", "first", "n").join(near, "id", "left").filter("near OR n > 1")
     gone = gone.select("h1", "h2", F.when(F.col("near"), None).otherwise(F.col("first")).alias("keep"))
-    hit = each.select("_doc", "_row", "place", first.alias("first"), *name).join(gone, ["h1", "h2"]).filter("keep IS NULL OR first != keep")
-    places = hit.groupBy("_doc", "_row").agg(F.collect_set("place").alias("_gone"))
-    joined = docs.withColumns({"_doc": row[0], "_row": row[1]}).alias("d").join(places.alias("p"), F.col("d._doc").eqNullSafe(F.col("p._doc")) & (F.col("d._row") == F.col("p._row")), "left")
+    hit = each.select("_doc", "_row", "place", *name).join(gone, ["h1", "h2"]).filter(F.col("keep").isNull() | (first != F.col("keep")))
+    removed = stored(hit.groupBy("_doc", "_row").agg(F.collect_set("place").alias("_gone")))
+    size = removed.agg(F.count("*").alias("rows"), F.sum(F.size("_gone")).alias("places")).first()
+    if (size["rows"] or 0) + (size["places"] or 0) <= BROADCAST_IDS:
+        removed = F.broadcast(removed)  # so that texts stay where they are
+    joined = docs.withColumns({"_doc": row[0], "_row": row[1]}).alias("d").join(removed.alias("p"), F.col("d._doc").eqNullSafe(F.col("p._doc")) & (F.col("d._row") == F.col("p._row")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     counts = [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
