@@ -195,7 +195,7 @@ def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
     others = stored(filled.select("id").join(first_of.select("id"), "id", "left_anti"))
     classes = filled.join(_small(others), "id", "left_anti").select("id", F.col("n_shingles").alias("n"), "doc_id", "s1", "s2", "first", "second", "third")
     entries = classes.select("id", F.explode("first").alias("token")).repartition("token")
-    shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    shared = entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
     postings = stored(entries.join(shared, "token"))
     # What pairs are filtered by and fetched with, for classes that share a token at all.
     met = stored(postings.select("id").distinct())

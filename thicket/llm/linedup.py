@@ -53,7 +53,7 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """Ids of lines (id, line, first) that are within `edits` edits of one with a smaller first; lines are all different."""
     entries = keys(lines, edits).repartition("key")
     # Keys on which different lines meet; most keys are of one line alone.
-    met = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    met = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("offer").alias("offered"), F.bool_and("offer").alias("unasked")).filter("low < high AND offered AND NOT unasked").select("key")
     shared = checkpointed(entries.join(met, "key").distinct())
     ids = checkpointed(shared.select("id").distinct())
     texts = checkpointed(lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id"))

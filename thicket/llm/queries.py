@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, jaccard, langid, linedup, packing, pieces, quality, suffix_model, topk
+from . import chat, htmltext, jaccard, langid, linedup, oracles, packing, pieces, quality, suffix_model, topk
 from .common import table
 
 
@@ -50,7 +50,7 @@ def op7_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality counts and verdict of every document."""
     docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")])
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ QUERIES = {
     "op10_pieces": op10_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE, "op5_topk": topk.ORACLE}
+ORACLE_SQL = oracles.ORACLE_SQL
