@@ -209,12 +209,16 @@ def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
         return p.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def verified(pairs):
-        """Links among stored pairs (x, y) that pass the other orders' filters."""
+        """Those of stored pairs (x, y) that fit by size and pass the other orders' filters."""
+        size = lambda end: sizes_of.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+        near = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+        # Sizes first: they are a few bytes, prefixes some hundred.
+        pairs = stored(pairs.join(size("x"), "x").join(size("y"), "y").filter(near).select("x", "y"))
         ends = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
         some = details.join(_small(ends), "id", "left_semi")
-        side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "second", "third")])
-        fits = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
-        return pairs.join(side("x"), "x").join(side("y"), "y").filter(fits).select("x", "y")
+        side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("second", "third")])
+        meet = F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
+        return pairs.join(side("x"), "x").join(side("y"), "y").filter(meet).select("x", "y")
 
     def settle(pairs):
         """Adds the links among pairs to the edges; false if there were none."""
