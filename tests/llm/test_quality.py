@@ -74,3 +74,23 @@ def test_against_plain_python(spark):
 
 def test_no_rows(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_limits_from_the_corpus(spark):
+    """Production rules: words without any common one and symbols stuck to words go, clean texts stay."""
+    rng = random.Random(9)
+    common = ["the", "of", "and", "to", "in", "a", "is", "that", *["c%d" % k for k in range(24)]]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(4, 9)))
+    clean = lambda: [rng.choice(common) if rng.random() < 0.25 else rare() for _ in range(rng.randrange(250, 300))]
+    rows = [(i, " ".join(clean()), "en") for i in range(150)]
+    rows += [(1000 + i, " ".join(rare() for _ in range(150)), "en") for i in range(5)]
+    rows += [(2000 + i, " ".join(w + rng.choice(["###", "$$$", "&&&"]) for w in clean()), "en") for i in range(5)]
+    rows += [(3000 + i, " | ".join(clean()), "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.judge(docs, quality.CORPUS).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept and r.doc_id >= 1000} == {i for i, *_ in rows if i >= 1000}
+    assert sum(r.kept for r in got if r.doc_id < 1000) >= 145
+    again = quality.judge(docs, carry=["doc_id"])
+    assert again.columns == ["doc_id", *quality.ADDED] and {r.doc_id for r in again.filter("kept").collect()} == {r.doc_id for r in got if r.kept}

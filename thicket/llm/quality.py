@@ -4,7 +4,9 @@ Two histograms are compared with the language's reference by Jensen-Shannon dist
 the characters in words, and the language's most common words with all others as one more bin. References count every word of
 every document of a language; languages with under `least_docs` documents, and documents without one, share a reference over
 all documents. A document is rejected if a distance exceeds its limit and the document is long enough for that distance to
-mean something.
+mean something. Limits come from the corpus: for each reference the median of the distances of its long enough documents that
+pass the base rules, plus a multiple of their median deviation from it. Distances are counted by BINS equal bins first, so a
+limit is made from a small table whatever the corpus. Rules without multiples use fixed limits.
 
 Defined results: a null or blank text has no words, so it fails the base rules. Ties among common words go to the word that
 sorts first. Repeated rows are judged each. Columns named like the added ones are replaced; the others stay.
@@ -17,11 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 
 #: Character classes, by the pattern of their members; what is left is a class of its own.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "letter": r"\p{L}", "digit": r"\p{N}", "mark": r"\p{M}", "punctuation": r"\p{P}"}
 GAPS = " \t\n\x0b\x0c\r"
+#: Bins of a distance from 0 to 1, and the least median deviation in bins, for documents that are all alike.
+BINS, LEAST_SPREAD = 10_000, 10
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 
 
@@ -34,11 +38,18 @@ class Rules:
     least_docs: int = 100
     class_limit: float = 0.35
     word_limit: float = 0.75
+    #: Median deviations from the median that take the place of the fixed limits.
+    class_spread: float | None = None
+    word_spread: float | None = None
     #: Lengths under which a distance says too little to reject.
     class_guard: int = 200
     word_guard: int = 80
 
 
+#: What the query and the pipeline judge by. Class distances are narrow with a long tail of short texts, word distances wide.
+CORPUS = Rules(class_spread=12.0, word_spread=3.5)
+
+
 def words(text):
     """Array of a text's words; empty for null."""
     for gap in GAPS[1:]:
@@ -128,8 +139,25 @@ def distance(p, q):
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a)), F.lit(0.0), lambda t, x: t + x) / 2))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """docs with the base counts, base_failed, the two distances and kept."""
+def limits(judged: DataFrame, rules: Rules) -> DataFrame:
+    """(ref, class_bound, word_bound) from documents (_lang, base_failed, n_words, word_chars and the distances)."""
+    long_enough = [F.when(F.col("word_chars") >= rules.class_guard, F.col("class_distance")), F.when(F.col("n_words") >= rules.word_guard, F.col("word_distance"))]
+    each = judged.filter(~F.col("base_failed")).select(F.col("_lang").alias("ref"), F.posexplode(F.array(*long_enough)).alias("kind", "distance")).filter("distance IS NOT NULL")
+    counts = checkpointed(each.groupBy("ref", "kind", F.round(F.col("distance") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")))
+    middle = counts.groupBy("ref", "kind").agg(F.expr("percentile(bin, 0.5D, n)").alias("median"))
+    same = F.col("c.ref").eqNullSafe(F.col("m.ref")) & (F.col("c.kind") == F.col("m.kind"))
+    off = counts.alias("c").join(F.broadcast(middle).alias("m"), same).select("c.ref", "c.kind", "median", F.abs(F.col("bin") - F.col("median")).alias("off"), "n")
+    spread = off.groupBy("ref", "kind").agg(F.first("median").alias("median"), F.greatest(F.lit(LEAST_SPREAD), F.expr("percentile(off, 0.5D, n)")).alias("spread"))
+    bound = lambda kind, times: F.max(F.when(F.col("kind") == kind, (F.col("median") + times * F.col("spread")) / BINS))
+    fixed = lambda x: F.lit(x).cast("double")
+    return spread.groupBy("ref").agg(
+        (fixed(rules.class_limit) if rules.class_spread is None else bound(0, rules.class_spread)).alias("class_bound"),
+        (fixed(rules.word_limit) if rules.word_spread is None else bound(1, rules.word_spread)).alias("word_bound"),
+    )
+
+
+def judge(docs: DataFrame, rules: Rules = CORPUS, carry: list[str] | None = None) -> DataFrame:
+    """docs with the base counts, base_failed, the two distances and kept; carry names the columns of docs to keep, else all."""
     docs = docs.drop(*ADDED)
     found = references(docs, rules)
     reference = checkpointed(found)
@@ -137,7 +165,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     overall = reference.filter("lang IS NULL").select(*[F.col(c).alias(f"_all_{c}") for c in ("class_share", "common", "common_share")])
     # One row for each language; a table that large enough to matter here would not be one of languages.
     known, overall = (F.broadcast(known) if known.count() <= 10_000 else known), F.broadcast(overall)
-    columns = docs.columns
+    columns = docs.columns if carry is None else carry
     docs = measured(docs).join(known, F.col("lang").cast("string") == F.col("_lang"), "left").join(overall, F.lit(True), "left")
     pick = lambda c: F.coalesce(f"_{c}", f"_all_{c}")
     docs = docs.withColumn("_spaced", F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))
@@ -148,5 +176,12 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     class_share = F.transform("_classes", lambda x: x / F.greatest(F.lit(1), F.col("word_chars")))
     docs = docs.withColumns({"class_distance": distance(class_share, pick("class_share")), "word_distance": distance(word_share, pick("common_share"))})
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
-    far = (F.col("word_chars") >= rules.class_guard) & (F.col("class_distance") > rules.class_limit) | (F.col("n_words") >= rules.word_guard) & (F.col("word_distance") > rules.word_limit)
-    return docs.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(far, F.lit(False))).select(*columns, *ADDED)
+    docs = docs.withColumn("base_failed", failed)
+    if rules.class_spread is None and rules.word_spread is None:
+        docs = docs.withColumns({"class_bound": F.lit(rules.class_limit), "word_bound": F.lit(rules.word_limit)})
+    else:
+        # Limits need every document's distances first; they are measured once and written.
+        docs = stored(docs.select(*columns, "_lang", *[c for c in ADDED if c != "kept"]))
+        docs = docs.join(F.broadcast(checkpointed(limits(docs, rules))), F.col("_lang").eqNullSafe(F.col("ref")), "left")
+    far = (F.col("word_chars") >= rules.class_guard) & (F.col("class_distance") > F.col("class_bound")) | (F.col("n_words") >= rules.word_guard) & (F.col("word_distance") > F.col("word_bound"))
+    return docs.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(*columns, *ADDED)

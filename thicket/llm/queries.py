@@ -49,7 +49,7 @@ def op7_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality counts and verdict of every document."""
-    docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=["doc_id"])
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")])
 
 
