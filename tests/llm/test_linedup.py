@@ -54,3 +54,9 @@ def test_against_all_pairs(spark):
 
 def test_no_rows(spark):
     assert linedup.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_lines_go_by_equality(spark):
+    rows = [(1, "Menu\nab\n\n"), (2, "Menu\nac\n\n \nnew"), (3, " Menu\nMenu\nab"), (None, "ac\nend\nend"), (4, "a line that is long enough to count\nMenu"), (5, "a line that is long enough to count!")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("Menu\nab\n\n", 0), 2: ("ac\n\n \nnew", 1), 3: (" Menu", 2), None: ("end", 2), 4: ("a line that is long enough to count", 1), 5: ("", 1)}

@@ -5,9 +5,9 @@ t + 1 even segments; it offers each as a key of its length, the segment's number
 of equal or up to t shorter lines at the few places that t edits allow. Lines that meet on a key are compared by banded edit
 distance and only tell whether an earlier line is near: joins stop at the first, so no pairs of a group come out.
 
-Defined results: a line goes if it has at least `least_chars` characters besides white space at its ends and an earlier line
-(by doc_id, null last, then place) is equal to it or within `edits` edits of it, whether that line itself stays or goes.
-Shorter lines stay. Rows of equal doc_id and text count as one and keep the same lines; lines at one place of rows that share
+Defined results: a line with a word goes if an earlier line (by doc_id, null last, then place) is equal to it, whatever its
+length, or if both have at least `least_chars` characters besides white space at their ends and are within `edits` edits of
+one another; whether that earlier line itself stays or goes doesn't matter. Lines without a word stay. Rows of equal doc_id and text count as one and keep the same lines; lines at one place of rows that share
 a doc_id alone are not before one another. A text keeps its other lines as they are, and is empty if none is left. A null text
 stays null. All columns stay; text is replaced, n_lines and n_removed are added or replaced.
 """
@@ -71,13 +71,15 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 24)
     columns = docs.columns
     split = F.split(F.col("text"), "\n", -1)
     row = [F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_row")]
-    each = docs.select(*row, F.posexplode(split).alias("place", "line")).filter(F.length(F.btrim("line", F.lit(TRIMMED))) >= least_chars)
+    each = docs.select(*row, F.posexplode(split).alias("place", "line")).filter(F.length(F.btrim("line", F.lit(TRIMMED))) > 0)
     # doc_id and place as one number that orders lines; one fixed-width value keeps the aggregation in memory.
     first = (F.coalesce(F.col("_doc").cast("decimal(20,0)"), F.lit(str(10**19)).cast("decimal(20,0)")) * F.lit(10**10).cast("decimal(11,0)") + F.col("place")).cast("decimal(38,0)")
     name = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("second")).alias("h2")]
     lines = each.groupBy("line").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     lines = stored(lines.select("line", "first", "n", *name, F.monotonically_increasing_id().alias("id")))
-    near = checkpointed(near_lines(lines.select("id", "line", "first"), edits)).withColumn("near", F.lit(True))
+    # Edits weigh too much in short lines; those go by equality alone.
+    long = lines.filter(F.length(F.btrim("line", F.lit(TRIMMED))) >= least_chars)
+    near = checkpointed(near_lines(long.select("id", "line", "first"), edits)).withColumn("near", F.lit(True))
     # Only lines that repeat or are near an earlier one matter to the texts.
     gone = lines.select("id", "h1", "h2", "first", "n").join(near, "id", "left").filter("near OR n > 1")
     gone = gone.select("h1", "h2", F.when(F.col("near"), None).otherwise(F.col("first")).alias("keep"))
