@@ -68,19 +68,19 @@ def class_counts(joined):
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with its words, the base counts and the class counts."""
-    n = F.size("_words")
+    """docs with its words, their hashes, the base counts and the class counts.
+
+    Arrays are columns of their own, each used more than once by what follows, so that none is made again for every element.
+    """
     docs = docs.withColumn("_words", words(F.col("text")))
-    docs = docs.withColumn("_joined", F.array_join("_words", ""))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(GAPS)) != "")
-    docs = docs.withColumn("_lines", lines)
-    # Places and hashes of windows, sorted: the place is in the low bits.
-    docs = docs.withColumn("_bits", F.expr("greatest(1, int(ceil(log2(size(_words) + 1.0))))"))
+    docs = docs.withColumns({"_joined": F.array_join("_words", ""), "_lines": lines, "_hashes": F.transform("_words", lambda x: F.xxhash64(x)), "_bits": F.expr("greatest(1, int(ceil(log2(size(_words) + 1.0))))")})
+    # Hashes and places of windows, sorted: the place is in the low bits.
     docs = docs.withColumn(
         "_keys",
         F.expr(
-            "CASE WHEN size(_words) >= 4 THEN sort_array(transform(arrays_zip(slice(_words, 1, size(_words) - 2), slice(_words, 2, size(_words) - 2), slice(_words, 3, size(_words) - 2)), "
-            "(x, i) -> shiftleft(xxhash64(x), _bits) | i)) ELSE cast(array() AS array<bigint>) END"
+            "CASE WHEN size(_hashes) >= 4 THEN sort_array(transform(zip_with(zip_with(slice(_hashes, 1, size(_hashes) - 2), slice(_hashes, 2, size(_hashes) - 2), (a, b) -> xxhash64(a, b)), slice(_hashes, 3, size(_hashes) - 2), (a, b) -> xxhash64(a, b)), "
+            "(x, i) -> shiftleft(x, _bits) | i)) ELSE cast(array() AS array<bigint>) END"
         ),
     )
     # Places of windows whose neighbour in the order has the same hash; only these are compared word by word.
@@ -97,8 +97,8 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     symbols = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^#*$%&|<>]+", ""))
     return docs.select(
-        *[c for c in docs.columns if c not in ("_lines", "_bits", "_keys", "_pairs")],
-        n.cast("long").alias("n_words"),
+        *[c for c in docs.columns if c not in ("_lines", "_bits", "_keys", "_pairs", "_joined")],
+        F.size("_words").cast("long").alias("n_words"),
         F.length("_joined").cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -107,6 +107,19 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def common_hits(docs: DataFrame, common, most: int) -> DataFrame:
+    """docs with _hits, how often each of its language's common words occurs among _words.
+
+    One letter stands for each word, the first for all that aren't common; letters are counted by what a text loses with them.
+    """
+    letters = [chr(0x100 + i) for i in range(most + 1)]
+    docs = docs.withColumn("_common", F.transform(common, lambda x: F.xxhash64(x)))
+    place = F.transform("_hashes", lambda x: F.get(F.array(*map(F.lit, letters)), F.array_position("_common", x).cast("int")))
+    docs = docs.withColumn("_letters", F.array_join(place, ""))
+    counts = F.array(*[(F.length("_letters") - F.length(F.replace("_letters", F.lit(x), F.lit("")))).cast("double") for x in letters[1:]])
+    return docs.withColumn("_hits", F.slice(counts, F.lit(1), F.size("_common")))
+
+
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(lang, class_share, common, common_share): what documents of a language look like; lang null is all documents."""
     each = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(words(F.col("text"))).alias("word"))
@@ -168,20 +181,18 @@ def judge(docs: DataFrame, rules: Rules = CORPUS, carry: list[str] | None = None
     columns = docs.columns if carry is None else carry
     docs = measured(docs).join(known, F.col("lang").cast("string") == F.col("_lang"), "left").join(overall, F.lit(True), "left")
     pick = lambda c: F.coalesce(f"_{c}", f"_all_{c}")
-    docs = docs.withColumn("_spaced", F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))
-    hits = F.transform(pick("common"), lambda c: (F.length("_spaced") - F.length(F.replace("_spaced", F.concat(F.lit(" "), c, F.lit(" "))))) / (F.length(c) + 2))
-    docs = docs.withColumn("_hits", hits)
+    docs = common_hits(docs, pick("common"), rules.common_words)
     n = F.greatest(F.lit(1), F.col("n_words"))
     word_share = F.concat(F.transform("_hits", lambda x: x / n), F.array(1 - F.aggregate("_hits", F.lit(0.0), lambda a, x: a + x) / n))
     class_share = F.transform("_classes", lambda x: x / F.greatest(F.lit(1), F.col("word_chars")))
     docs = docs.withColumns({"class_distance": distance(class_share, pick("class_share")), "word_distance": distance(word_share, pick("common_share"))})
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
     docs = docs.withColumn("base_failed", failed)
+    # Documents are measured once and written: limits need all distances first, and a consumer's filter can't reach into the arrays.
+    docs = stored(docs.select(*columns, "_lang", *[c for c in ADDED if c != "kept"]))
     if rules.class_spread is None and rules.word_spread is None:
         docs = docs.withColumns({"class_bound": F.lit(rules.class_limit), "word_bound": F.lit(rules.word_limit)})
     else:
-        # Limits need every document's distances first; they are measured once and written.
-        docs = stored(docs.select(*columns, "_lang", *[c for c in ADDED if c != "kept"]))
         docs = docs.join(F.broadcast(checkpointed(limits(docs, rules))), F.col("_lang").eqNullSafe(F.col("ref")), "left")
     far = (F.col("word_chars") >= rules.class_guard) & (F.col("class_distance") > F.col("class_bound")) | (F.col("n_words") >= rules.word_guard) & (F.col("word_distance") > F.col("word_bound"))
     return docs.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(*columns, *ADDED)
