@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from thicket.llm import linedup
 
 
@@ -60,3 +62,30 @@ def test_short_lines_go_by_equality(spark):
     rows = [(1, "Menu\nab\n\n"), (2, "Menu\nac\n\n \nnew"), (3, " Menu\nMenu\nab"), (None, "ac\nend\nend"), (4, "a line that is long enough to count\nMenu"), (5, "a line that is long enough to count!")]
     got = {r.doc_id: (r.text, r.n_removed) for r in linedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("Menu\nab\n\n", 0), 2: ("ac\n\n \nnew", 1), 3: (" Menu", 2), None: ("end", 2), 4: ("a line that is long enough to count", 1), 5: ("", 1)}
+
+
+def test_automaton_tells_distances(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("ab𝄞") for _ in range(rng.randrange(1, 14)))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "c", "𝄞"])
+        rows.append((a, "".join(b) or "a"))
+    letters = [f"transform(split({c}, ''), x -> ascii(x)) AS {c}" for c in "ab"]
+    df = spark.createDataFrame(rows, "a string, b string").selectExpr("a AS x", "b AS y", *letters)
+    for edits in range(5):
+        got = df.selectExpr("x", "y", f"{linedup.within('a', 'b', edits)} AS near").collect()
+        assert [r.near for r in got] == [edit(r.x, r.y) <= edits for r in got]
+
+
+def test_long_text_takes_time_in_proportion(spark):
+    """Twenty thousand lines in one text, half of them repeated; a filter on the result changes nothing."""
+    rng = random.Random(2)
+    lines = [f"line {i} {'x' * rng.randrange(30)}" if i % 2 else f"again {i % 50}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    want = list(dict.fromkeys(lines))
+    near = linedup.drop_repeated_lines(docs, edits=0)
+    assert near.filter(F.length("text") > 0).collect()[0].text == "\n".join(want)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -94,3 +95,18 @@ def test_limits_from_the_corpus(spark):
     assert sum(r.kept for r in got if r.doc_id < 1000) >= 145
     again = quality.judge(docs, carry=["doc_id"])
     assert again.columns == ["doc_id", *quality.ADDED] and {r.doc_id for r in again.filter("kept").collect()} == {r.doc_id for r in got if r.kept}
+
+
+def test_long_text_takes_time_in_proportion(spark):
+    """A text of 40,000 words takes about the time of twenty of 2,000, filtered or not."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else f"w{rng.randrange(900)}" for _ in range(n))
+    took = []
+    for texts_of in ([say(2000) for _ in range(20)], [say(40_000)]):
+        docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts_of)], "doc_id long, text string, lang string").repartition(1)
+        for filtered in (False, True):
+            began = time.time()
+            got = quality.judge(docs).filter("kept" if filtered else "true").collect()
+            took.append(time.time() - began)
+            assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(r.text) for r in got)
+    assert took[3] < 5 * took[1] + 5 and took[2] < 5 * took[0] + 5
