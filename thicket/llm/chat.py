@@ -20,7 +20,8 @@ from .common import checkpointed
 
 def _hashes() -> list:
     parts = [F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    return [F.xxhash64("place", *parts, F.lit(seed)) for seed in ("first", "second")]
+    # A hash takes what went before as its seed: two hashes only differ throughout if their first values do.
+    return [F.xxhash64(F.lit(seed), "place", *parts) for seed in ("first", "second")]
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
