@@ -66,7 +66,7 @@ def test_against_all_pairs(spark, seed, n, percent):
 
 def test_frequent_tokens_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "OFTEN", 2)
-    monkeypatch.setattr(jaccard, "OFTEN_HERE", 2)
+    monkeypatch.setattr(jaccard, "MULTIPLE", 0)
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
     rows = [(i, x) for i, x in enumerate(texts(4))]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
@@ -77,4 +77,7 @@ def test_no_rows_and_one_of_each(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.link(none).collect() == []
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, ""), (4, ""), (None, "a b c")], "doc_id long, text string")
-    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(docs).collect()) == [0, 1, 3, 4]
+    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(docs).collect()) == [1, 3, 4]
+    again = spark.createDataFrame([(7, "x y z", "clash"), (7, "other words", "clash"), (8, "x y z", None), (None, "p q", None), (None, "p q", None)], "doc_id long, text string, n_shingles string")
+    left = jaccard.one_of_each(again)
+    assert left.columns == again.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "p q"), (7, "other words"), (7, "x y z")]

@@ -37,28 +37,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder, with its lineage cut.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a laptop) is a temporary one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="thicket-checkpoint-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="thicket-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Removes an execution's shuffle files at its end; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder; smaller than a checkpoint where rows hold texts."""
+    """df as a Parquet table in the checkpoint folder; smaller than a checkpoint where rows hold texts.
+
+    Its shuffle files go with the write, for nothing reads them afterwards.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes a stored table that nothing will read again."""
     context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thicket-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for file in df.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("table-"):
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def with_uid(df: DataFrame) -> DataFrame:

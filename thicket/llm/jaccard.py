@@ -1,7 +1,8 @@
 """Join of documents by Jaccard similarity of their word n-grams, with prefix filters under several global token orders.
 
 Two sets can only be similar enough if they share a token among the first few of each, in whatever order all tokens are put.
-Three orders are used, all of which put tokens that tasks saw often last and break ties by different hashes. Documents with
+Three orders are used, all of which put tokens last that came up often and break ties by different hashes. How often is counted
+by 2^BUCKET_BITS buckets of tokens, over all sets, so that what tasks hold stays small; any order is right. Documents with
 equal sets form a class, of which one member stands for all. Classes meet on the tokens of their first prefix; a pair goes on
 only if its sizes fit and its prefixes under the second and the third order meet as well; then the sets are compared.
 
@@ -9,9 +10,11 @@ Nothing emits all pairs of a group. In each of a few rounds the members of a tok
 and the links found join components; at the end the pairs left are those across components, taken as the members outside a
 group's largest component against its others. Links inside a component would change nothing.
 
+A token's pairs across components are further split by bands of set sizes, since sets too far apart in size can't be similar.
+
 Defined results: a text without words, or null, has an empty set and is linked with nothing. Fewer words than n are one token.
-component_id is the smallest doc_id of the component, null ids aside. Repeated rows are members each. Columns named like the
-added ones are replaced; the others stay.
+component_id is the smallest doc_id of the component, null ids aside. Repeated rows are members each. `link` returns the three
+columns doc_id, n_shingles and component_id alone; `one_of_each` keeps all columns.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, workers_find_package
+from .common import UID, forgotten, stored, with_uid, workers_find_package
 
 #: Odd multipliers that mix word hashes, and that make one token order from another.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Tokens that came up so often, in batches of texts that each had them OFTEN_HERE times, go last in all orders; of these the most frequent at most.
-OFTEN_HERE, OFTEN, MOST_OFTEN = 8, 32, 500_000
+#: Buckets of tokens that are counted, and the occurrences from which a bucket of an average one's multiple is ranked by its count.
+BUCKET_BITS, OFTEN, MULTIPLE = 21, 32, 4
 ROUNDS = 3
 #: Ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -54,68 +57,71 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(mixed(token, 1))
 
 
-def prefixes(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int) -> list[np.ndarray]:
-    """The tokens that come first under each order, as many as a similar set must meet."""
+def buckets(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def prefixes(tokens: np.ndarray, rank: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The tokens that come first under each order, as many as a similar set must meet; rank by bucket grows with how often."""
     p = len(tokens) - -(-len(tokens) * percent // 100) + 1
-    rank = np.zeros(len(tokens), dtype=np.uint64)
-    if len(often[0]):
-        place = np.minimum(np.searchsorted(often[0], tokens), len(often[0]) - 1)
-        rank = np.where(often[0][place] == tokens, often[1][place], 0).astype(np.uint64)
-    out = []
-    for k in range(3):
-        key = rank << np.uint64(48) | mixed(tokens, k) >> np.uint64(16)
-        out.append(tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens)
-    return out
-
-
-def _often_seen(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens that tasks saw often, and a rank from 1 that grows with how often."""
-
-    def repeated(batches):
-        held, size = [], 0
+    if p >= len(tokens):
+        return [tokens] * 3
+    high = rank[buckets(tokens)].astype(np.uint64) << np.uint64(48)
+    return [tokens[np.argpartition(high | mixed(tokens, k) >> np.uint64(16), p - 1)[:p]] for k in range(3)]
+
+
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """For each row of texts (uid, doc_id, text) its set: sorted tokens as binary, their number, and a signature of the set."""
+
+    def made(batches):
+        for batch in batches:
+            found = [shingles(text, n) for text in batch.column(2).cast(pa.binary()).to_pylist()]
+            signs = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in found]
+            high, low = pa.array([(s >> 64) - (1 << 63) for s in signs], pa.int64()), pa.array([(s & (1 << 64) - 1) - (1 << 63) for s in signs], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, found)), pa.int64()), high, low, pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "doc_id", "n", "s1", "s2", "tokens"])
+
+    return texts.select(UID, "doc_id", "text").mapInArrow(made, "id long, doc_id long, n long, s1 long, s2 long, tokens binary")
+
+
+def _ranks(sets: DataFrame) -> np.ndarray:
+    """How often the tokens of each bucket come up, where that is far more than on average, else 0."""
+
+    def counted(batches):
+        seen, held, size = np.zeros(1 << BUCKET_BITS, dtype=np.int64), [], 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(shingles(text, n))
-                size += len(held[-1])
-                if size > 6_000_000:
-                    yield counted(held)
+            for tokens in batch.column(0).to_pylist():
+                held.append(tokens)
+                size += len(tokens)
+                if size > 1 << 25:
+                    seen += counts(held)
                     held, size = [], 0
-        if held:
-            yield counted(held)
+        yield told(seen + counts(held))
 
-    def counted(held):
-        token, times = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token[times >= OFTEN_HERE].view(np.int64)), pa.array(times[times >= OFTEN_HERE].astype(np.int64))], names=["token", "times"])
+    def counts(held):
+        return np.bincount(buckets(np.frombuffer(b"".join(held), np.uint64)), minlength=1 << BUCKET_BITS)
 
-    seen = stored(texts.mapInArrow(repeated, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= OFTEN))
-    found = (seen.orderBy(F.desc("times"), "token").limit(MOST_OFTEN) if seen.count() > MOST_OFTEN else seen).toArrow()
-    token = found["token"].to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    return token[order], np.minimum(found["times"].to_numpy()[order], 65535)
+    def told(seen):
+        at = np.flatnonzero(seen >= max(4, MULTIPLE * seen.mean()))
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "times"])
 
+    found = sets.select("tokens").mapInArrow(counted, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times")).filter(F.col("times") >= OFTEN).toArrow()
+    rank = np.zeros(1 << BUCKET_BITS, dtype=np.uint16)
+    rank[found["bucket"].to_numpy()] = np.minimum(found["times"].to_numpy(), 65535)
+    return rank
 
-def _described(texts: DataFrame, n: int, percent: int, often) -> DataFrame:
-    """For each row doc_id, set size, signature of the set, and its prefixes under the three orders."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(often)  # MOST_OFTEN tokens at most
-    names = ["doc_id", "n_shingles", "s1", "s2", "first", "second", "third"]
+
+def _described(sets: DataFrame, percent: int, rank: np.ndarray) -> DataFrame:
+    """(id, n, first, second, third): each set's prefixes under the three orders."""
+    held = sets.sparkSession.sparkContext.broadcast(rank)  # two bytes a bucket
 
     def describe(batches):
-        seen = held.value
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                tokens = shingles(text, n)
-                if not len(tokens):
-                    rows.append((doc_id, 0, 0, 0, None, None, None))
-                    continue
-                sign = xxhash.xxh3_128_intdigest(tokens.tobytes())
-                first, second, third = prefixes(tokens, seen, percent)
-                rows.append((doc_id, len(tokens), (sign >> 64) - (1 << 63), (sign & (1 << 64) - 1) - (1 << 63), first.view(np.int64), second.astype(np.uint32).view(np.int32), third.astype(np.uint32).view(np.int32)))
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(7)], names=names)
+            rows = [prefixes(np.frombuffer(x, np.uint64), held.value, percent) for x in batch.column(2).to_pylist()]
+            first = pa.array([r[0].view(np.int64) for r in rows], pa.list_(pa.int64()))
+            others = [pa.array([r[k].astype(np.uint32).view(np.int32) for r in rows], pa.list_(pa.int32())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, *others], names=["id", "n", "first", "second", "third"])
 
-    return texts.mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long, first array<long>, second array<int>, third array<int>")
+    return sets.select("id", "n", "tokens").mapInArrow(describe, "id long, n long, first array<long>, second array<int>, third array<int>")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -123,23 +129,6 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, tokens binary) of wanted classes (id, doc_id, s1, s2), from the texts of their members; some twice."""
-    wanted = _small(wanted)
-
-    def tokens(batches):
-        for batch in batches:
-            found = [shingles(text, n) for text in batch.column(1).cast(pa.binary()).to_pylist()]
-            signs = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(s >> 64) - (1 << 63) for s in signs], pa.int64()), pa.array([(s & (1 << 64) - 1) - (1 << 63) for s in signs], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["s1", "s2", "tokens"]
-            )
-
-    # A doc_id may repeat with another text; the signature tells.
-    found = texts.join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(tokens, "s1 long, s2 long, tokens binary")
-    return found.join(wanted, ["s1", "s2"]).select("id", "tokens")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of stored pairs (x, y) whose sets are similar enough."""
 
@@ -156,10 +145,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["x", "y"])
 
-    small = _small(pairs)
-    right = sets.join(small.select(F.col("y").alias("id")), "id", "left_semi").select(F.col("id").alias("y"), F.col("tokens").alias("b"))
-    left = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")).join(small, "x")
-    return left.join(right, "y").select("x", "y", "a", "b").mapInArrow(compare, "x long, y long")
+    ends = _small(stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()))
+    some = stored(sets.join(ends, "id", "left_semi").select("id", "tokens"))
+    left = some.select(F.col("id").alias("x"), F.col("tokens").alias("a")).join(_small(pairs), "x")
+    found = stored(left.join(some.select(F.col("id").alias("y"), F.col("tokens").alias("b")), "y").select("x", "y", "a", "b").mapInArrow(compare, "x long, y long"))
+    forgotten(some)
+    return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -178,30 +169,26 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with n_shingles and component_id."""
-    workers_find_package(docs.sparkSession)
-    docs = docs.drop("n_shingles", "component_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = classes_of(texts, n, percent)
-    return found.select("doc_id", "n_shingles", "component_id")
-
-
-def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, component_id) for rows of texts (doc_id, text)."""
-    members = stored(_described(texts, n, percent, _often_seen(texts.select("text"), n)).withColumn("id", F.monotonically_increasing_id()))
-    filled = members.filter("n_shingles > 0")
+    """(doc_id, n_shingles, component_id) of every row of docs."""
+    texts = docs.select(F.lit(None).cast("long").alias(UID), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return components(texts, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(uid, doc_id, n_shingles, component, component_id) for rows of texts (uid, doc_id, text); component is null for an empty set."""
+    workers_find_package(texts.sparkSession)
+    made = stored(_sets(texts, n).withColumnRenamed("id", UID).withColumn("id", F.monotonically_increasing_id()))
+    members = made.select(UID, "id", "doc_id", "n", "s1", "s2")
+    filled = members.filter("n > 0")
     first_of = stored(filled.groupBy("s1", "s2").agg(F.min("id").alias("id")))
     # Mostly the smaller part of the rows: members of a class that another one stands for.
     others = stored(filled.select("id").join(first_of.select("id"), "id", "left_anti"))
-    classes = filled.join(_small(others), "id", "left_anti").select("id", F.col("n_shingles").alias("n"), "doc_id", "s1", "s2", "first", "second", "third")
-    entries = classes.select("id", F.explode("first").alias("token")).repartition("token")
+    sets = made.filter("n > 0").join(_small(others), "id", "left_anti").select("id", "n", "tokens")
+    details = stored(_described(sets, percent, _ranks(sets)))
+    entries = details.select("id", "n", F.explode("first").alias("token")).repartition("token")
     shared = entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
     postings = stored(entries.join(shared, "token"))
-    # What pairs are filtered by and fetched with, for classes that share a token at all.
-    met = stored(postings.select("id").distinct())
-    details = stored(classes.drop("first").join(_small(met), "id"))
-    sizes_of = details.select("id", "n")
-    edges, labels, sets = None, None, None
+    edges, labels = None, None
 
     def labelled(p):
         if labels is None:
@@ -209,29 +196,25 @@ def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
         return p.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def verified(pairs):
-        """Those of stored pairs (x, y) that fit by size and pass the other orders' filters."""
-        size = lambda end: sizes_of.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
-        near = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-        # Sizes first: they are a few bytes, prefixes some hundred.
-        pairs = stored(pairs.join(size("x"), "x").join(size("y"), "y").filter(near).select("x", "y"))
+        """Those of stored pairs (x, y) that pass the other orders' filters."""
         ends = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
         some = details.join(_small(ends), "id", "left_semi")
         side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("second", "third")])
         meet = F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
-        return pairs.join(side("x"), "x").join(side("y"), "y").filter(meet).select("x", "y")
+        found = stored(pairs.join(side("x"), "x").join(side("y"), "y").filter(meet).select("x", "y"))
+        forgotten(ends)
+        return found
 
     def settle(pairs):
         """Adds the links among pairs to the edges; false if there were none."""
-        nonlocal edges, labels, sets
-        pairs = stored(verified(stored(pairs)))
-        if pairs.isEmpty():
+        nonlocal edges, labels
+        met = stored(pairs)
+        passed = verified(met)
+        forgotten(met)
+        if passed.isEmpty():
             return False
-        wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("id"), "id", "left_anti")
-        more = stored(_sets(texts, stored(details.join(_small(stored(wanted)), "id").select("id", "doc_id", "s1", "s2")), n))
-        sets = more if sets is None else sets.unionByName(more)
-        new = stored(_linked(pairs, sets, percent))
+        new = _linked(passed, sets, percent)
+        forgotten(passed)
         if new.isEmpty():
             return False
         edges = new if edges is None else edges.unionByName(new)
@@ -240,32 +223,42 @@ def classes_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
     for k in range(ROUNDS):
         now = labelled(postings).repartition("token")
-        groups = now.groupBy("token").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token", "lead")
-        star = now.join(groups, "token").filter((F.col("component") != F.col("lead.component"))).select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
+        groups = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(k))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token", "lead")
+        # Tokens whose members are all of one component have no more to tell.
+        alive = stored(now.join(groups, "token"))
+        forgotten(postings)
+        postings = alive.select("token", "id", "n")
+        near = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+        star = alive.filter((F.col("component") != F.col("lead.component")) & near).select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
         if not settle(star):
             break
-    now = stored(labelled(postings.join(sizes_of, "id")))
+    now = stored(labelled(postings))
     sizes = now.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("token", "largest")
-    left = now.join(largest, "token").filter("component != largest").select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = now.join(largest, "token").select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest")
+    # Sets may differ in size by one band at most; bands are a trifle wide for rounding.
+    band = F.floor(F.log("n") / (F.log(F.lit(100.0 / percent)) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    left = now.join(largest, "token").filter("component != largest").select("token", band.alias("band"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    right = now.join(largest, "token").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest")
     # A pair of two small components would come up from both sides.
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
     fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    across = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    across = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band")) & fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settle(across)
-    class_of = members.select("doc_id", "n_shingles", "s1", "s2").filter("n_shingles > 0").join(first_of, ["s1", "s2"])
-    row = stored(labelled(class_of))
-    component = row.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = row.join(component, "component")
-    alone = members.filter("n_shingles = 0").select("doc_id", "n_shingles", "s1", "s2", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", "s1", "s2", "component_id").unionByName(alone)
+    for table in (now, details, postings):
+        forgotten(table)
+    class_of = filled.select(UID, "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select(UID, "doc_id", F.col("n").alias("n_shingles"), "id")
+    row = stored(labelled(class_of).drop("id"))
+    smallest = row.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    alone = members.filter("n = 0").select(UID, "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return row.join(smallest, "component").select(UID, "doc_id", "n_shingles", "component", "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that have a smaller doc_id in their component; of rows of one doc_id, all stay or go."""
-    found = link(docs, n, percent)
-    drop = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
-
-
+    """One row of docs for each component: that of the smallest doc_id, nulls last; of rows that share it any one. Rows with an empty set all stay."""
+    docs = stored(with_uid(docs))
+    texts = docs.select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = stored(components(texts, n, percent).filter("component IS NOT NULL").select(UID, "doc_id", "component"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", UID)
+    stays = found.groupBy("component").agg(F.min(first)[UID].alias(UID))
+    goes = stored(found.select(UID).join(stays, UID, "left_anti"))
+    return docs.join(_small(goes), UID, "left_anti").drop(UID)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import stored
 
 #: Line ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -77,10 +77,10 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     entries = keys(lines, edits).repartition("key")
     # Keys on which different lines meet and that one of them owns; most keys are of one line alone.
     met = entries.groupBy("key").agg(F.min("entry").alias("low"), F.max("entry").alias("high"), F.max(F.expr("entry & 1")).alias("owned")).filter("low div 2 < high div 2 AND owned = 1").select("key")
-    shared = checkpointed(entries.join(met, "key").distinct().select(F.expr("entry div 2").alias("id"), "key", F.expr("entry & 1 = 1").alias("own")))
-    ids = checkpointed(shared.select("id").distinct())
+    shared = stored(entries.join(met, "key").distinct().select(F.expr("entry div 2").alias("id"), "key", F.expr("entry & 1 = 1").alias("own")))
+    ids = stored(shared.select("id").distinct())
     texts = lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
-    texts = checkpointed(texts.select("id", "first", F.expr("transform(split(line, ''), x -> ascii(x))").alias("letters")))
+    texts = stored(texts.select("id", "first", F.expr("transform(split(line, ''), x -> ascii(x))").alias("letters")))
     full = shared.join(texts, "id")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (F.col("b.first") < F.col("a.first")) & F.expr(within("a.letters", "b.letters", edits))
     later_asks = full.alias("a").join(full.filter("own").alias("b"), near, "left_semi").select("id")
@@ -103,7 +103,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 24)
     lines = stored(lines.select("line", "first", "n", *name, F.monotonically_increasing_id().alias("id")))
     # Edits weigh too much in short lines; those go by equality alone.
     long = lines.filter(F.length(F.btrim("line", F.lit(TRIMMED))) >= least_chars)
-    near = checkpointed(near_lines(long.select("id", "line", "first"), edits)).withColumn("near", F.lit(True))
+    near = stored(near_lines(long.select("id", "line", "first"), edits)).withColumn("near", F.lit(True))
     # Only lines that repeat or are near an earlier one matter to the texts.
     gone = lines.select("id", "h1", "h2", "first", "n").join(near, "id", "left").filter("near OR n > 1")
     gone = gone.select("h1", "h2", F.when(F.col("near"), None).otherwise(F.col("first")).alias("keep"))
