@@ -4,7 +4,9 @@ Two sets can only be similar enough if they share a token among the first few of
 Three orders are used, all of which put tokens last that came up often and break ties by different hashes. How often is counted
 by 2^BUCKET_BITS buckets of tokens, over all sets, so that what tasks hold stays small; any order is right. Documents with
 equal sets form a class, of which one member stands for all. Classes meet on the tokens of their first prefix; a pair goes on
-only if its sizes fit and its prefixes under the second and the third order meet as well; then the sets are compared.
+only if its sizes fit and its prefixes under the second and the third order meet as well; then the sets are compared. Before
+prefixes are fetched, bitmaps of the parities of hashed tokens meet: they differ in no more bits than the sets in tokens, so
+pairs whose bitmaps differ in too many can't be similar.
 
 Nothing emits all pairs of a group. In each of a few rounds the members of a token's group are only paired with one leader,
 and the links found join components; at the end the pairs left are those across components, taken as the members outside a
@@ -32,6 +34,8 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Buckets of tokens that are counted, and the occurrences from which a bucket of an average one's multiple is ranked by its count.
 BUCKET_BITS, OFTEN, MULTIPLE = 21, 32, 4
 ROUNDS = 3
+#: Bits of a set's bitmap.
+BITMAP = 1024
 #: Ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -111,17 +115,19 @@ def _ranks(sets: DataFrame) -> np.ndarray:
 
 
 def _described(sets: DataFrame, percent: int, rank: np.ndarray) -> DataFrame:
-    """(id, n, first, second, third): each set's prefixes under the three orders."""
+    """(id, n, first, second, third, bits): each set's prefixes under the three orders, and its bitmap."""
     held = sets.sparkSession.sparkContext.broadcast(rank)  # two bytes a bucket
 
     def describe(batches):
         for batch in batches:
-            rows = [prefixes(np.frombuffer(x, np.uint64), held.value, percent) for x in batch.column(2).to_pylist()]
+            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            rows = [prefixes(x, held.value, percent) for x in tokens]
+            bits = pa.array([np.packbits(np.bincount((x % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).view(np.int64) for x in tokens], pa.list_(pa.int64()))
             first = pa.array([r[0].view(np.int64) for r in rows], pa.list_(pa.int64()))
             others = [pa.array([r[k].astype(np.uint32).view(np.int32) for r in rows], pa.list_(pa.int32())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, *others], names=["id", "n", "first", "second", "third"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, *others, bits], names=["id", "n", "first", "second", "third", "bits"])
 
-    return sets.select("id", "n", "tokens").mapInArrow(describe, "id long, n long, first array<long>, second array<int>, third array<int>")
+    return sets.select("id", "n", "tokens").mapInArrow(describe, "id long, n long, first array<long>, second array<int>, third array<int>, bits array<long>")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -195,14 +201,21 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
             return p.withColumn("component", F.col("id"))
         return p.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
+    def both_ends(pairs, *columns):
+        """Stored pairs (x, y) with columns of both ends' details."""
+        ends = _small(stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()))
+        some = details.join(ends, "id", "left_semi")
+        side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        return pairs.join(side("x"), "x").join(side("y"), "y")
+
     def verified(pairs):
-        """Those of stored pairs (x, y) that pass the other orders' filters."""
-        ends = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
-        some = details.join(_small(ends), "id", "left_semi")
-        side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("second", "third")])
+        """Those of stored pairs (x, y) that pass the bitmaps' and the other orders' filters."""
+        # Of similar sets, (100 - percent) / (100 + percent) of both sizes' sum are in one of them alone at most.
+        apart = F.expr(" + ".join(f"bit_count(bits_x[{i}] ^ bits_y[{i}])" for i in range(BITMAP // 64)))
+        near = stored(both_ends(pairs, "n", "bits").filter((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y"))).select("x", "y"))
         meet = F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
-        found = stored(pairs.join(side("x"), "x").join(side("y"), "y").filter(meet).select("x", "y"))
-        forgotten(ends)
+        found = stored(both_ends(near, "second", "third").filter(meet).select("x", "y"))
+        forgotten(near)
         return found
 
     def settle(pairs):
