@@ -257,13 +257,14 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     across = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band")) & fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settle(across)
-    for table in (now, details, postings):
-        forgotten(table)
     class_of = filled.select(UID, "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select(UID, "doc_id", F.col("n").alias("n_shingles"), "id")
-    row = stored(labelled(class_of).drop("id"))
-    smallest = row.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    alone = members.filter("n = 0").select(UID, "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
-    return row.join(smallest, "component").select(UID, "doc_id", "n_shingles", "component", "component_id").unionByName(alone)
+    alone = members.filter("n = 0").select(UID, "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
+    row = stored(labelled(class_of).drop("id").unionByName(alone))
+    for table in (now, details, postings, made):
+        forgotten(table)
+    smallest = row.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = row.filter("component IS NOT NULL").join(smallest, "component").select(UID, "doc_id", "n_shingles", "component", "component_id")
+    return linked.unionByName(row.filter("component IS NULL").withColumn("component_id", F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

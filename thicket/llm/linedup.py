@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forgotten, stored
 
 #: Line ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -73,7 +73,7 @@ def within(a: str, b: str, edits: int) -> str:
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """Ids of lines (id, line, first) that are within `edits` edits of one with a smaller first; lines are all different."""
+    """Stored ids of lines (id, line, first) that are within `edits` edits of one with a smaller first; lines are all different."""
     entries = keys(lines, edits).repartition("key")
     # Keys on which different lines meet and that one of them owns; most keys are of one line alone.
     met = entries.groupBy("key").agg(F.min("entry").alias("low"), F.max("entry").alias("high"), F.max(F.expr("entry & 1")).alias("owned")).filter("low div 2 < high div 2 AND owned = 1").select("key")
@@ -85,7 +85,10 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (F.col("b.first") < F.col("a.first")) & F.expr(within("a.letters", "b.letters", edits))
     later_asks = full.alias("a").join(full.filter("own").alias("b"), near, "left_semi").select("id")
     later_owns = full.filter("own").alias("a").join(full.filter("NOT own").alias("b"), near, "left_semi").select("id")
-    return later_asks.union(later_owns).distinct()
+    found = stored(later_asks.union(later_owns).distinct())
+    for table in (shared, ids, texts):
+        forgotten(table)
+    return found
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 24) -> DataFrame:
@@ -103,7 +106,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 24)
     lines = stored(lines.select("line", "first", "n", *name, F.monotonically_increasing_id().alias("id")))
     # Edits weigh too much in short lines; those go by equality alone.
     long = lines.filter(F.length(F.btrim("line", F.lit(TRIMMED))) >= least_chars)
-    near = stored(near_lines(long.select("id", "line", "first"), edits)).withColumn("near", F.lit(True))
+    near = near_lines(long.select("id", "line", "first"), edits).withColumn("near", F.lit(True))
     # Only lines that repeat or are near an earlier one matter to the texts.
     gone = lines.select("id", "h1", "h2", "first", "n").join(near, "id", "left").filter("near OR n > 1")
     gone = gone.select("h1", "h2", F.when(F.col("near"), None).otherwise(F.col("first")).alias("keep"))
@@ -112,6 +115,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, least_chars: int = 24)
     # True at each place that goes, up to the last; stored, so that a text is split once and each line looked up at once.
     marks = F.expr("flatten(zip_with(places, concat(array(-1), slice(places, 1, size(places) - 1)), (p, q) -> concat(array_repeat(false, p - q - 1), array(true))))")
     removed = stored(places_of.select("_doc", "_row", marks.alias("_gone"), F.size("places").alias("_n_gone")))
+    forgotten(lines)
     size = removed.agg(F.count("*").alias("rows"), F.sum(F.size("_gone")).alias("places")).first()
     if (size["rows"] or 0) + (size["places"] or 0) <= BROADCAST_IDS:
         removed = F.broadcast(removed)  # so that texts stay where they are

@@ -26,6 +26,8 @@ CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "letter": r"\p{L}", "digit":
 GAPS = " \t\n\x0b\x0c\r"
 #: Bins of a distance from 0 to 1, and the least median deviation in bins, for documents that are all alike.
 BINS, LEAST_SPREAD = 10_000, 10
+#: Names of rejected texts up to this many are broadcast, some 30 bytes each; more are joined by a shuffle.
+BROADCAST_NAMES = 1_000_000
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 
 
@@ -196,3 +198,13 @@ def judge(docs: DataFrame, rules: Rules = CORPUS, carry: list[str] | None = None
         docs = docs.join(F.broadcast(checkpointed(limits(docs, rules))), F.col("_lang").eqNullSafe(F.col("ref")), "left")
     far = (F.col("word_chars") >= rules.class_guard) & (F.col("class_distance") > F.col("class_bound")) | (F.col("n_words") >= rules.word_guard) & (F.col("word_distance") > F.col("word_bound"))
     return docs.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(*columns, *ADDED)
+
+
+def passing(docs: DataFrame, rules: Rules = CORPUS) -> DataFrame:
+    """The rows of docs that are kept. A verdict hangs on text and lang alone: rejected ones are named by lang and 128 bits of the text, and texts stay where they are."""
+    name = {"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit("second"), "text"), "_of": F.col("lang").cast("string")}
+    judged = judge(docs.select("text", "lang").withColumns(name), rules, carry=list(name))
+    rejected = stored(judged.filter("NOT kept").select(*name).distinct())
+    rejected = (F.broadcast(rejected) if rejected.count() <= BROADCAST_NAMES else rejected).alias("r")
+    same = (F.col("d._t1") == F.col("r._t1")) & (F.col("d._t2") == F.col("r._t2")) & F.col("d._of").eqNullSafe(F.col("r._of"))
+    return docs.withColumns(name).alias("d").join(rejected, same, "left_anti").drop(*name)
