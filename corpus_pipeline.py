@@ -15,7 +15,7 @@ LEAST_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near their language's histograms."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return quality.passing(docs).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
