@@ -1,15 +1,18 @@
 """Operators over small trees and files, with values worked out by hand."""
 
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from thicket.functions import names, trees
-from thicket.operators import candidates, compare, grouping, network, select
-from thicket.plans import search
+from thicket.operators import candidates, compare, grouping, network, select, sweep
 from thicket.sources import files, newick
 from thicket.streaming import scores
 
+import brute_trees
+
 S = "(((A,B),C),D);"
 GENES = ["(((a1_A,b1_B),c1_C),d1_D);", "((a1_A,b1_B),(c1_C,(b2_B,d1_D)));", "((a1_A,b1_B),((b2_B,c1_C),d1_D));", "(((a1_A,b1_B),c1_C),(b2_B,d1_D));", "((a1_A,(b1_B,b2_B)),(c1_C,d1_D));"]
 
@@ -27,7 +30,7 @@ def test_candidate_joins_equal_the_task_side(spark):
     for text in (S, "(A,(B,C));", "((A,B),(C,D));"):
         table = newick.parse(spark.createDataFrame([(0, text)], "tree_id long, newick string"))
         got = [(r.h, r.t) for r in candidates.pairs(table).orderBy("mt_id").collect()]
-        assert got == trees.candidates(trees.parse_newick(text))
+        assert got == brute_trees.candidates(trees.parse_newick(text))
 
 
 def test_allowance(spark):
@@ -43,16 +46,16 @@ def test_allowance(spark):
 def test_search_and_stream(spark, tmp_path):
     weighted = spark.createDataFrame([(0, g, 2 if k == 0 else 1) for k, g in enumerate(GENES)], "family long, newick string, weight long")
     species = spark.createDataFrame([(0, S)], "family long, newick string")
-    found = {r.mt_id: r for r in search.score_candidates(weighted, species).collect()}
+    found = {r.mt_id: r for r in sweep.score_newicks(weighted, species).collect()}
     assert len(found) == 32 and found[0].score == 21 and found[28].score == 15 and found[30].score == 15 and found[28].n_trees == 6
-    tight = search.score_candidates(weighted, species, most_free=0)
+    tight = sweep.score_newicks(weighted, species, most_units=0)
     assert all(r.n_skipped > 0 for r in tight.collect())
     folder = str(tmp_path / "trees")
     for k in range(2):
         weighted.filter(F.col("weight") == k + 1).write.mode("append").parquet(folder)
     scores.follow(spark, folder, species, str(tmp_path / "sums"), str(tmp_path / "check")).awaitTermination()
     assert {r.mt_id: r.score for r in scores.totals(spark, str(tmp_path / "sums")).collect()} == {k: r.score for k, r in found.items()}
-    files.save_scores(search.score_candidates(weighted, species), str(tmp_path / "out"))
+    files.save_scores(sweep.score_newicks(weighted, species), str(tmp_path / "out"))
     out = [f for f in os.listdir(tmp_path / "out") if f.endswith(".csv")]
     assert open(tmp_path / "out" / out[0]).read().splitlines()[1].split("\t")[-1] == "15.000"
 
@@ -100,3 +103,25 @@ def test_networks(spark):
     assert got == [(0, 2, 2), (2, 2, 4)]
     edges = spark.createDataFrame([(0, s, d) for s, d in ("ra", "rb", "ax", "bx", "xy", "xz", "bw")], "net_id long, src string, dst string")
     assert {r.node: r.n_paths for r in network.unfolded_size(edges).collect()} == {"r": 1, "a": 1, "b": 1, "w": 1, "x": 2, "y": 2, "z": 2}
+
+
+def test_sweep_equals_built_candidates(spark):
+    """All candidates of five species over trees of every shape, and the fixed totals of the small case."""
+    rng = random.Random(4)
+
+    def grown(names):
+        while len(names) > 1:
+            a, b = rng.sample(range(len(names)), 2)
+            names = [x for i, x in enumerate(names) if i not in (a, b)] + [f"({names[a]},{names[b]})"]
+        return names[0] + ";"
+
+    texts = [grown([f"g{i}_{rng.choice('ABCDE')}" for i in range(rng.randrange(1, 8))]) for _ in range(25)]
+    species = ["((((A,B),C),D),E);", "((A,B),((C,D),E));"]
+    weighted = spark.createDataFrame([(f, x, 1 + i % 3) for f in range(2) for i, x in enumerate(texts)], "family long, newick string, weight long")
+    got = {(r.family, r.mt_id): (r.score, r.n_skipped) for r in sweep.score_newicks(weighted, spark.createDataFrame(list(enumerate(species)), "family long, newick string")).collect()}
+    for f, text in enumerate(species):
+        s = trees.parse_newick(text)
+        for k, pair in enumerate([None, *brute_trees.candidates(s)]):
+            assert got[f, k] == (sum((1 + i % 3) * brute_trees.score(trees.parse_newick(x), s, pair) for i, x in enumerate(texts)), 0)
+    with pytest.raises(Exception, match="no such species: Z"):
+        sweep.score_newicks(spark.createDataFrame([(0, "(a_A,z_Z);", 1)], "family long, newick string, weight long"), spark.createDataFrame([(0, S)], "family long, newick string")).collect()

@@ -3,7 +3,9 @@
 import pytest
 
 from thicket.functions import trees
-from thicket.functions.trees import candidates, parse_newick, pinned, score, units, with_copy
+from thicket.functions.trees import parse_newick
+
+from brute_trees import candidates, pinned, score, units, with_copy
 
 S = parse_newick("(((A,B),C),D);")
 GENES = ["(((a1_A,b1_B),c1_C),d1_D);", "((a1_A,b1_B),(c1_C,(b2_B,d1_D)));", "((a1_A,b1_B),((b2_B,c1_C),d1_D));", "(((a1_A,b1_B),c1_C),(b2_B,d1_D));", "((a1_A,(b1_B,b2_B)),(c1_C,d1_D));"]

@@ -142,7 +142,7 @@ def user_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.groupBy("n_leaves", "n_species").agg(F.count("*").alias("n_trees"), F.sum("weight").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees, search.candidate_scores, search.candidate_ranking)}
+QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees)} | search.QUERIES
 
 SCORES = N + ",\nsc AS (SELECT gt_id, count(*) AS n_leaves, CAST(sum(dup) AS BIGINT) AS n_dups, CAST(sum(loss) AS BIGINT) AS n_losses, CAST(sum(dup) + sum(loss) AS BIGINT) AS score FROM nc GROUP BY gt_id)\n"
 COPIES = Q + """,
@@ -191,4 +191,4 @@ ORACLE_SQL = {
     "user_trees": """WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
       t AS (SELECT user_id, k // 16 AS run, count(*) AS n_leaves, count(DISTINCT event_type) AS n_species, CAST(sum((k % 16) * length(event_type)) AS BIGINT) AS weight FROM p GROUP BY user_id, run)
       SELECT n_leaves, n_species, count(*) AS n_trees, CAST(sum(weight) AS BIGINT) AS weight FROM t GROUP BY ALL""",
-}
+} | search.ORACLE_SQL

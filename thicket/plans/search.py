@@ -1,78 +1,130 @@
-"""Search for the copied clade that explains gene trees best: every candidate scored over all trees of a species tree."""
+"""Search for the copied clade that explains gene trees best: every candidate of each region's tree over all orders."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import trees
-from ..sources import corpus, newick
-
-
-def score_candidates(weighted: DataFrame, species: DataFrame, most_free: int = 15, w_dup: float = 1, w_loss: float = 1) -> DataFrame:
-    """(family, mt_id, h, t, score, n_trees, n_skipped) summed over weighted gene trees (family, newick, weight).
-
-    species has (family, newick) of each family's species tree, few and small. mt_id 0 is the species tree itself, candidates
-    follow from 1 in order of donor and target. A tree with over most_free free units under any candidate is left out of all.
-    Each task sums over the trees it sees before the shuffle.
-    """
-    families = {r["family"]: r["newick"] for r in species.limit(10_001).collect()}
-    if len(families) > 10_000:
-        raise ValueError("too many species trees to hold at once")
-
-    def score(batches):
-        known, sums = {}, {}
-        for batch in batches:
-            for family, text, weight in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if family not in known:
-                    s = trees.parse_newick(families[family])
-                    known[family] = s, [None, *trees.candidates(s)]
-                s, pairs = known[family]
-                g = trees.parse_newick(text)
-                found = [trees.score(g, s, pair, w_dup, w_loss, most_free) for pair in pairs]
-                over = any(x is None for x in found)
-                for k, x in enumerate(found):
-                    row = sums.setdefault((family, k), [0.0, 0, 0])
-                    row[2 if over else 1] += weight
-                    row[0] += 0.0 if over else weight * x
-        columns = [[f for f, _ in sums], [k for _, k in sums], *zip(*sums.values())] if sums else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()))], names=["family", "mt_id", "score", "n_trees", "n_skipped"])
-
-    names = []
-    for family, text in families.items():
-        s = trees.parse_newick(text)
-        label = lambda u: s.name[u] if not s.children[u] else f"<{s.order.index(u) - len(s.leaves(0)) + 1}>"  # noqa: B023, E731
-        names += [(family, 0, None, None)] + [(family, k, label(h), label(t)) for k, (h, t) in enumerate(trees.candidates(s), 1)]
-    spark = weighted.sparkSession
-    summed = weighted.select(F.col("family").cast("long"), "newick", F.col("weight").cast("long")).mapInArrow(score, "family long, mt_id int, score double, n_trees long, n_skipped long")
-    summed = summed.groupBy("family", "mt_id").agg(F.sum("score").alias("score"), F.sum("n_trees").alias("n_trees"), F.sum("n_skipped").alias("n_skipped"))
-    return summed.join(F.broadcast(spark.createDataFrame(names, "family long, mt_id int, h string, t string")), ["family", "mt_id"]).select("family", "mt_id", "h", "t", "score", "n_trees", "n_skipped")
-
-
-def region_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each region as a species tree, and its part of every order's tree, equal ones counted once with their number."""
-    short = F.replace("species", F.lit("_"), F.lit("-"))
-    species = corpus.species_leaves(spark, sf_dir)
-    own = newick._comb(species, "region", "rank", short).select(F.col("region").alias("family"), F.concat("newick", F.lit(";")).alias("newick"))
-    leaves = corpus.gene_leaves(spark, sf_dir).withColumn("species", short)
-    listed = leaves.groupBy("gt_id", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "species"))), lambda x: x["species"]).alias("s")).filter("size(s) > 1")
-    sorted_first = F.concat(F.array_sort(F.slice("s", 1, 2)), F.slice("s", 3, F.size("s")))
-    counted = listed.groupBy("region", sorted_first.alias("s")).agg(F.count("*").alias("weight"))
-    # A gene's name is its place, so that equal trees have equal strings.
-    text = F.concat(F.expr("repeat('(', size(s) - 1)"), F.array_join(F.transform("s", lambda x, i: F.concat(F.when(i > 0, F.lit(",")).otherwise(F.lit("")), i.cast("string"), F.lit("_"), x, F.when(i > 0, F.lit(")")).otherwise(F.lit("")))), ""), F.lit(";"))
-    return own, counted.select(F.col("region").alias("family"), text.alias("newick"), "weight").repartition("newick")
+from ..functions.storage import stored
+from ..operators import sweep
+from ..sources import corpus
+
+#: Units of a donor clade above which a tree is left out.
+MOST_UNITS = 6
+
+
+def region_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node tables of the regions' trees, a caterpillar each; a node's number is 1000 times its first leaf plus its last."""
+    tips = corpus.species_leaves(spark, sf_dir).select(F.col("region").alias("family"), F.col("rank").alias("hi"), F.col("size").alias("m"))
+    code = lambda lo, hi: (1000 * lo + hi).cast("int")
+    up = F.when(F.col("m") > 1, code(F.lit(0), F.greatest(F.lit(1), "hi")))
+    leaf = tips.select("family", code(F.col("hi"), F.col("hi")).alias("node"), up.alias("parent"), F.col("hi").alias("lo"), "hi", (F.col("m") - F.greatest(F.lit(1), "hi")).alias("depth"))
+    leaf = leaf.withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(F.col("depth")))
+    inner = tips.filter("hi > 0").select("family", code(F.lit(0), F.col("hi")).alias("node"), F.when(F.col("hi") < F.col("m") - 1, code(F.lit(0), F.col("hi") + 1)).alias("parent"), F.lit(0).alias("lo"), "hi", (F.col("m") - 1 - F.col("hi")).alias("depth"))
+    return leaf.unionByName(inner).select("family", "node", "parent", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), F.col("depth").cast("int").alias("depth"))
+
+
+def region_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(genes, leaves, weights) of each order's part in each region, a caterpillar of its leaves; equal trees count once with their number."""
+    parts = corpus.gene_leaves(spark, sf_dir).groupBy("gt_id", F.col("region").alias("family")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rank"))), lambda x: x["rank"]).alias("s"))
+    alike = F.concat(F.array_sort(F.slice("s", 1, 2)), F.slice("s", 3, F.size("s")))
+    classes = stored(parts.groupBy("family", alike.alias("s")).agg(F.count("*").alias("weight")).withColumn("gt", F.monotonically_increasing_id()))
+    leaves = classes.select("family", "gt", F.posexplode("s").alias("leaf", "pos"))
+    n = F.size("s")
+    tips = classes.select("family", "gt", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("hi")).withColumn("lo", F.col("hi"))
+    inner = classes.filter(n > 1).select("family", "gt", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 1)).alias("hi")).withColumn("lo", F.lit(0))
+    code = lambda lo, hi: (100_000 * lo + hi).cast("long")
+    # A tip hangs on the node that ends with it, the first two on the same; a node on the next one.
+    up = F.when(F.col("lo") == F.col("hi"), F.greatest(F.lit(1), "hi")).otherwise(F.col("hi") + 1)
+    genes = tips.unionByName(inner).select("family", "gt", code(F.col("lo"), F.col("hi")).alias("u"), F.when(up < F.col("n"), code(F.lit(0), up)).alias("parent"), "lo", "hi")
+    return genes, leaves, classes.select("family", "gt", "weight")
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of every region's tree over all orders."""
-    species, genes = region_trees(spark, sf_dir)
-    return score_candidates(genes, species)
+    """Every candidate of every region's tree over all orders, without building one."""
+    species = stored(region_species(spark, sf_dir))
+    genes, leaves, weights = region_trees(spark, sf_dir)
+    return sweep.score_candidates(genes, leaves, weights, species, MOST_UNITS)
 
 
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best candidates of each region and by how much each beats the species tree."""
+    """The five best candidates of each region and by how much each beats the species tree, which is always among the rows."""
     found = candidate_scores(spark, sf_dir)
     by = Window.partitionBy("family")
-    ranked = found.withColumn("rank", F.row_number().over(by.orderBy("score", "mt_id"))).withColumn("gain", F.max(F.when(F.col("mt_id") == 0, F.col("score"))).over(by) - F.col("score"))
-    return ranked.filter((F.col("rank") <= 5) | (F.col("mt_id") == 0))
+    ranked = found.withColumn("rank", F.row_number().over(by.orderBy("score", "mt_id")).cast("long")).withColumn("gain", F.max(F.when(F.col("mt_id") == 0, F.col("score"))).over(by) - F.col("score"))
+    return ranked.filter((F.col("rank") <= 5) | (F.col("mt_id") == 0)).select("family", "mt_id", "h", "t", "score", "rank", "gain")
+
+
+def region_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Donor and target of each candidate of each region's tree."""
+    return sweep.candidates(region_species(spark, sf_dir))
+
+
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many targets each donor has, with and without those beside it."""
+    species = region_species(spark, sf_dir)
+    count = lambda redundant, name: sweep.candidates(species, redundant).groupBy("family", "h").agg(F.count("*").alias(name))
+    return count(True, "n_all").join(count(False, "n"), ["family", "h"])
+
+
+#: Trees, candidates and their node tables in SQL, after the corpus's leaves.
+SPACE_SQL = """
+sn AS (SELECT region AS family, CAST(1001 * rank AS INTEGER) AS node, CASE WHEN size > 1 THEN CAST(greatest(1, rank) AS INTEGER) END AS parent, rank AS lo, rank AS hi, CASE WHEN size > 1 THEN size - greatest(1, rank) ELSE 0 END AS depth FROM sl
+       UNION ALL SELECT region, CAST(rank AS INTEGER), CASE WHEN rank < size - 1 THEN CAST(rank + 1 AS INTEGER) END, 0, rank, size - 1 - rank FROM sl WHERE rank > 0),
+so AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY lo <> hi, hi) AS ord FROM sn),
+al AS (SELECT a.family, a.node AS h, b.node AS t, a.ord AS ho, b.ord AS tb, a.node <> b.node AND a.parent IS NOT DISTINCT FROM b.parent AND a.parent IS NOT NULL AS beside
+       FROM so a JOIN so b USING (family) WHERE a.node = b.node OR NOT (a.lo <= b.lo AND b.hi <= a.hi)),
+ca AS (SELECT family, row_number() OVER (PARTITION BY family ORDER BY ho, tb) AS mt_id, h, t FROM al WHERE NOT beside)"""
+
+#: Every candidate tree built, every choice for its units tried, every gene node's image found among its leaves' ancestors.
+SCORED_SQL = (
+    SPACE_SQL
+    + f""",
+ls AS (SELECT gt_id, region AS family, list(rank ORDER BY place) AS s FROM gl GROUP BY ALL),
+cl AS (SELECT family, s, weight, row_number() OVER (ORDER BY family, s) AS gt FROM (SELECT family, list_concat(list_sort(s[1:2]), s[3:]) AS s, count(*) AS weight FROM ls GROUP BY ALL)),
+lf AS (SELECT family, gt, unnest(s) AS pos, unnest(range(len(s))) AS leaf, len(s) AS n FROM cl),
+gn AS (SELECT family, gt, leaf AS lo, leaf AS hi, CASE WHEN n > 1 THEN greatest(1, leaf) END AS up, 1 AS w FROM lf
+       UNION ALL SELECT family, gt, 0, leaf, CASE WHEN leaf < n - 1 THEN leaf + 1 END, leaf + 1 FROM lf WHERE leaf > 0),
+bl AS (SELECT g.family, g.gt, g.lo, g.hi, g.w, l.leaf, l.pos FROM gn g JOIN lf l ON g.gt = l.gt AND l.leaf BETWEEN g.lo AND g.hi),
+sp2 AS (SELECT family, gt, lo, hi, w, min(pos) AS f, max(pos) AS l, count(DISTINCT pos) AS kinds FROM bl GROUP BY ALL),
+ft AS (SELECT x.*, coalesce((SELECT sum(k.kinds) FROM sp2 k JOIN gn g ON k.gt = g.gt AND k.lo = g.lo AND k.hi = g.hi WHERE k.gt = x.gt AND g.up = x.hi), 0) AS apart FROM sp2 x),
+fi AS (SELECT * FROM ft WHERE w = 1 OR kinds = apart),
+mv AS (SELECT fi.family, fi.gt, s.node AS h, fi.lo, fi.hi, fi.w FROM fi JOIN sn s ON fi.family = s.family AND fi.f >= s.lo AND fi.l <= s.hi),
+ul AS (SELECT b.gt, m.h, b.leaf, max((m.w, m.lo)) AS unit FROM bl b JOIN mv m ON b.gt = m.gt AND b.lo = m.lo AND b.hi = m.hi GROUP BY ALL),
+ub AS (SELECT *, dense_rank() OVER (PARTITION BY gt, h ORDER BY unit) - 1 AS bit FROM ul),
+uk AS (SELECT gt, h, max(bit) + 1 AS k FROM ub GROUP BY gt, h),
+ov AS (SELECT DISTINCT gt FROM uk WHERE k > {MOST_UNITS}),
+ch AS (SELECT cl.family, cl.gt, s.node AS h, unnest(range(CAST(2 ** coalesce(k, 0) AS BIGINT))) AS choice FROM cl JOIN sn s ON cl.family = s.family LEFT JOIN uk ON uk.gt = cl.gt AND uk.h = s.node WHERE cl.gt NOT IN (SELECT gt FROM ov)),
+an AS (SELECT p.family, c.h, c.t, 0 AS copy, p.lo AS pos, a.node AS img, a.depth + CASE WHEN t.lo <= a.lo AND a.hi <= t.hi THEN 1 ELSE 0 END AS d
+         FROM ca c JOIN sn p ON c.family = p.family AND p.lo = p.hi JOIN sn a ON a.family = p.family AND a.lo <= p.lo AND p.lo <= a.hi JOIN sn t ON t.family = c.family AND t.node = c.t
+       UNION ALL SELECT p.family, c.h, c.t, 0, p.lo, -1, t.depth FROM ca c JOIN sn t ON t.family = c.family AND t.node = c.t JOIN sn p ON p.family = c.family AND p.lo = p.hi AND p.lo BETWEEN t.lo AND t.hi
+       UNION ALL SELECT p.family, c.h, c.t, 1, p.lo, 100000 + a.node, t.depth + 1 + a.depth - h.depth
+         FROM ca c JOIN sn h ON h.family = c.family AND h.node = c.h JOIN sn t ON t.family = c.family AND t.node = c.t JOIN sn a ON a.family = c.family AND h.lo <= a.lo AND a.hi <= h.hi JOIN sn p ON p.family = c.family AND p.lo = p.hi AND p.lo BETWEEN a.lo AND a.hi
+       UNION ALL SELECT p.family, c.h, c.t, 1, p.lo, -1, t.depth FROM ca c JOIN sn h ON h.family = c.family AND h.node = c.h JOIN sn t ON t.family = c.family AND t.node = c.t JOIN sn p ON p.family = c.family AND p.lo = p.hi AND p.lo BETWEEN h.lo AND h.hi
+       UNION ALL SELECT p.family, c.h, c.t, 1, p.lo, a.node, a.depth FROM ca c JOIN sn h ON h.family = c.family AND h.node = c.h JOIN sn t ON t.family = c.family AND t.node = c.t JOIN sn a ON a.family = c.family AND a.lo <= t.lo AND t.hi <= a.hi AND a.node <> t.node JOIN sn p ON p.family = c.family AND p.lo = p.hi AND p.lo BETWEEN h.lo AND h.hi),
+ax AS (SELECT * FROM an UNION ALL SELECT p.family, -1, -1, 0, p.lo, a.node, a.depth FROM sn p JOIN sn a ON p.lo = p.hi AND a.family = p.family AND p.lo BETWEEN a.lo AND a.hi),
+gc AS (SELECT bl.*, ch.h, ch.choice, CASE WHEN ub.bit IS NULL THEN 0 ELSE (ch.choice >> ub.bit) & 1 END AS copy FROM ch JOIN bl ON bl.gt = ch.gt LEFT JOIN ub ON ub.gt = ch.gt AND ub.h = ch.h AND ub.leaf = bl.leaf
+       UNION ALL SELECT bl.*, -1, 0, 0 FROM bl WHERE gt NOT IN (SELECT gt FROM ov)),
+cv AS (SELECT gc.family, gc.gt, gc.h, ax.t, gc.choice, gc.lo, gc.hi, gc.w, ax.img, ax.d FROM gc JOIN ax ON gc.family = ax.family AND gc.h = ax.h AND gc.copy = ax.copy AND gc.pos = ax.pos
+       GROUP BY ALL HAVING count(*) = gc.w),
+ig2 AS (SELECT family, gt, h, t, choice, lo, hi, w, arg_max(img, d) AS img, max(d) AS d FROM cv GROUP BY ALL),
+up2 AS (SELECT i.*, g.up FROM ig2 i JOIN gn g ON g.gt = i.gt AND g.lo = i.lo AND g.hi = i.hi),
+nd AS (SELECT p.family, p.gt, p.h, p.t, p.choice, p.d, max(CASE WHEN k.img = p.img THEN 1 ELSE 0 END) AS dup, list(k.d) AS ds FROM up2 p JOIN up2 k ON k.gt = p.gt AND k.h = p.h AND k.t = p.t AND k.choice = p.choice AND p.w > 1 AND k.up = p.hi GROUP BY p.family, p.gt, p.h, p.t, p.choice, p.lo, p.hi, p.d),
+ns AS (SELECT family, gt, h, t, choice, sum(dup + list_sum(list_transform(ds, lambda x: greatest(0, x - d - 1 + dup)))) AS c FROM nd GROUP BY ALL),
+ro AS (SELECT family, gt, h, t, choice, d FROM up2 WHERE up IS NULL),
+co AS (SELECT ro.family, ro.gt, ro.h, ro.t, min(ro.d + coalesce(c, 0)) AS cost FROM ro LEFT JOIN ns USING (family, gt, h, t, choice) GROUP BY ALL),
+su AS (SELECT co.family, co.h, co.t, CAST(sum(cost * weight) AS DOUBLE) AS score FROM co JOIN cl ON cl.gt = co.gt GROUP BY ALL),
+ct AS (SELECT family, CAST(sum(CASE WHEN gt IN (SELECT gt FROM ov) THEN 0 ELSE weight END) AS BIGINT) AS n_trees, CAST(sum(CASE WHEN gt IN (SELECT gt FROM ov) THEN weight ELSE 0 END) AS BIGINT) AS n_skipped FROM cl GROUP BY family),
+fs AS (SELECT su.family, coalesce(ca.mt_id, 0) AS mt_id, ca.h, ca.t, score, n_trees, n_skipped FROM su LEFT JOIN ca ON ca.family = su.family AND ca.h = su.h AND ca.t = su.t JOIN ct ON ct.family = su.family)
+"""
+)
+
+QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts)}
+
+_Q = "WITH " + corpus.LEAVES_SQL + ","
+ORACLE_SQL = {
+    "candidate_scores": _Q + SCORED_SQL + "SELECT family, mt_id, h, t, score, n_trees, n_skipped FROM fs",
+    "candidate_ranking": _Q + SCORED_SQL + "SELECT family, mt_id, h, t, score, rank, gain FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score, mt_id) AS rank, max(CASE WHEN mt_id = 0 THEN score END) OVER (PARTITION BY family) - score AS gain FROM fs) WHERE rank <= 5 OR mt_id = 0",
+    "region_candidates": _Q + SPACE_SQL + " SELECT * FROM ca",
+    "candidate_counts": _Q + SPACE_SQL + " SELECT family, h, count(*) AS n_all, count(*) FILTER (NOT beside) AS n FROM al GROUP BY family, h",
+}

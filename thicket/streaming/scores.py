@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.search import score_candidates
+from ..operators.sweep import score_newicks
 
 
 def follow(spark: SparkSession, trees_folder: str, species: DataFrame, sums_folder: str, checkpoint: str):
     """A started query that scores new trees (family, newick, weight) of a Parquet folder into sums_folder."""
 
     def add(batch: DataFrame, number: int) -> None:
-        found = score_candidates(batch, species).select("family", "mt_id", "score", "n_trees")
+        found = score_newicks(batch, species).select("family", "mt_id", "score", "n_trees")
         found.write.mode("overwrite").parquet(f"{sums_folder}/batch={number}")
 
     stream = spark.readStream.schema("family long, newick string, weight long").parquet(trees_folder)
