@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, forgotten, stored, with_uid, workers_find_package
+from .common import forgotten, stored, workers_find_package
 
 #: Odd multipliers that mix word hashes, and that make one token order from another.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -65,26 +65,26 @@ def buckets(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def prefixes(tokens: np.ndarray, rank: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The tokens that come first under each order, as many as a similar set must meet; rank by bucket grows with how often."""
+def prefixes(tokens: np.ndarray, rank: np.ndarray, percent: int, orders=(0, 1, 2)) -> list[np.ndarray]:
+    """The tokens that come first under given orders, as many as a similar set must meet; rank by bucket grows with how often."""
     p = len(tokens) - -(-len(tokens) * percent // 100) + 1
     if p >= len(tokens):
-        return [tokens] * 3
+        return [tokens] * len(orders)
     high = rank[buckets(tokens)].astype(np.uint64) << np.uint64(48)
-    return [tokens[np.argpartition(high | mixed(tokens, k) >> np.uint64(16), p - 1)[:p]] for k in range(3)]
+    return [tokens[np.argpartition(high | mixed(tokens, k) >> np.uint64(16), p - 1)[:p]] for k in orders]
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """For each row of texts (uid, doc_id, text) its set: sorted tokens as binary, their number, and a signature of the set."""
+    """For each row of texts (a, b, doc_id, text) its set: sorted tokens as binary, their number, and a signature of the set."""
 
     def made(batches):
         for batch in batches:
-            found = [shingles(text, n) for text in batch.column(2).cast(pa.binary()).to_pylist()]
+            found = [shingles(text, n) for text in batch.column(3).cast(pa.binary()).to_pylist()]
             signs = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in found]
             high, low = pa.array([(s >> 64) - (1 << 63) for s in signs], pa.int64()), pa.array([(s & (1 << 64) - 1) - (1 << 63) for s in signs], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, found)), pa.int64()), high, low, pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "doc_id", "n", "s1", "s2", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(map(len, found)), pa.int64()), high, low, pa.array([x.tobytes() for x in found], pa.binary())], names=["a", "b", "doc_id", "n", "s1", "s2", "tokens"])
 
-    return texts.select(UID, "doc_id", "text").mapInArrow(made, "id long, doc_id long, n long, s1 long, s2 long, tokens binary")
+    return texts.select("a", "b", "doc_id", "text").mapInArrow(made, "a long, b long, doc_id long, n long, s1 long, s2 long, tokens binary")
 
 
 def _ranks(sets: DataFrame) -> np.ndarray:
@@ -114,20 +114,28 @@ def _ranks(sets: DataFrame) -> np.ndarray:
     return rank
 
 
-def _described(sets: DataFrame, percent: int, rank: np.ndarray) -> DataFrame:
-    """(id, n, first, second, third, bits): each set's prefixes under the three orders, and its bitmap."""
-    held = sets.sparkSession.sparkContext.broadcast(rank)  # two bytes a bucket
+def _described(sets: DataFrame, percent: int, held) -> DataFrame:
+    """(id, n, first, bits): each set's prefix under the first order, and its bitmap. held is the broadcast ranks."""
 
     def describe(batches):
         for batch in batches:
             tokens = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            rows = [prefixes(x, held.value, percent) for x in tokens]
+            first = pa.array([prefixes(x, held.value, percent, (0,))[0].view(np.int64) for x in tokens], pa.list_(pa.int64()))
             bits = pa.array([np.packbits(np.bincount((x % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).view(np.int64) for x in tokens], pa.list_(pa.int64()))
-            first = pa.array([r[0].view(np.int64) for r in rows], pa.list_(pa.int64()))
-            others = [pa.array([r[k].astype(np.uint32).view(np.int32) for r in rows], pa.list_(pa.int32())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, *others, bits], names=["id", "n", "first", "second", "third", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, bits], names=["id", "n", "first", "bits"])
 
-    return sets.select("id", "n", "tokens").mapInArrow(describe, "id long, n long, first array<long>, second array<int>, third array<int>, bits array<long>")
+    return sets.select("id", "n", "tokens").mapInArrow(describe, "id long, n long, first array<long>, bits array<long>")
+
+
+def _other_prefixes(sets: DataFrame, percent: int, held) -> DataFrame:
+    """(id, second, third): each set's prefixes under the other orders, their tokens cut to 32 bits."""
+
+    def describe(batches):
+        for batch in batches:
+            rows = [prefixes(np.frombuffer(x, np.uint64), held.value, percent, (1, 2)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k].astype(np.uint32).view(np.int32) for r in rows], pa.list_(pa.int32())) for k in (0, 1)]], names=["id", "second", "third"])
+
+    return sets.select("id", "tokens").mapInArrow(describe, "id long, second array<int>, third array<int>")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -176,21 +184,22 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    texts = docs.select(F.lit(None).cast("long").alias(UID), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return components(texts, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(uid, doc_id, n_shingles, component, component_id) for rows of texts (uid, doc_id, text); component is null for an empty set."""
+    """(a, b, doc_id, n_shingles, component, component_id) for rows of texts (a, b, doc_id, text); component is null for an empty set."""
     workers_find_package(texts.sparkSession)
-    made = stored(_sets(texts, n).withColumnRenamed("id", UID).withColumn("id", F.monotonically_increasing_id()))
-    members = made.select(UID, "id", "doc_id", "n", "s1", "s2")
+    made = stored(_sets(texts, n).withColumn("id", F.monotonically_increasing_id()))
+    members = made.select("a", "b", "id", "doc_id", "n", "s1", "s2")
     filled = members.filter("n > 0")
     first_of = stored(filled.groupBy("s1", "s2").agg(F.min("id").alias("id")))
     # Mostly the smaller part of the rows: members of a class that another one stands for.
     others = stored(filled.select("id").join(first_of.select("id"), "id", "left_anti"))
     sets = made.filter("n > 0").join(_small(others), "id", "left_anti").select("id", "n", "tokens")
-    details = stored(_described(sets, percent, _ranks(sets)))
+    ranks = made.sparkSession.sparkContext.broadcast(_ranks(sets))  # two bytes a bucket
+    details = stored(_described(sets, percent, ranks))
     entries = details.select("id", "n", F.explode("first").alias("token")).repartition("token")
     shared = entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
     postings = stored(entries.join(shared, "token"))
@@ -201,21 +210,24 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
             return p.withColumn("component", F.col("id"))
         return p.join(_small(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    def both_ends(pairs, *columns):
-        """Stored pairs (x, y) with columns of both ends' details."""
+    def both_ends(pairs, made_of):
+        """Stored pairs (x, y) with columns that made_of gives for ids of both ends."""
         ends = _small(stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()))
-        some = details.join(ends, "id", "left_semi")
-        side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-        return pairs.join(side("x"), "x").join(side("y"), "y")
+        some = stored(made_of(ends))
+        side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in some.columns if c != "id"])
+        return pairs.join(side("x"), "x").join(side("y"), "y"), some
 
     def verified(pairs):
         """Those of stored pairs (x, y) that pass the bitmaps' and the other orders' filters."""
         # Of similar sets, (100 - percent) / (100 + percent) of both sizes' sum are in one of them alone at most.
         apart = F.expr(" + ".join(f"bit_count(bits_x[{i}] ^ bits_y[{i}])" for i in range(BITMAP // 64)))
-        near = stored(both_ends(pairs, "n", "bits").filter((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y"))).select("x", "y"))
+        both, maps = both_ends(pairs, lambda ends: details.select("id", "n", "bits").join(ends, "id", "left_semi"))
+        near = stored(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y"))).select("x", "y"))
         meet = F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
-        found = stored(both_ends(near, "second", "third").filter(meet).select("x", "y"))
-        forgotten(near)
+        both, others = both_ends(near, lambda ends: _other_prefixes(sets.join(ends, "id", "left_semi"), percent, ranks))
+        found = stored(both.filter(meet).select("x", "y"))
+        for table in (maps, others, near):
+            forgotten(table)
         return found
 
     def settle(pairs):
@@ -257,22 +269,31 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     across = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band")) & fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settle(across)
-    class_of = filled.select(UID, "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select(UID, "doc_id", F.col("n").alias("n_shingles"), "id")
-    alone = members.filter("n = 0").select(UID, "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
+    class_of = filled.select("a", "b", "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select("a", "b", "doc_id", F.col("n").alias("n_shingles"), "id")
+    alone = members.filter("n = 0").select("a", "b", "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
     row = stored(labelled(class_of).drop("id").unionByName(alone))
     for table in (now, details, postings, made):
         forgotten(table)
     smallest = row.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = row.filter("component IS NOT NULL").join(smallest, "component").select(UID, "doc_id", "n_shingles", "component", "component_id")
+    linked = row.filter("component IS NOT NULL").join(smallest, "component").select("a", "b", "doc_id", "n_shingles", "component", "component_id")
     return linked.unionByName(row.filter("component IS NULL").withColumn("component_id", F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id, nulls last; of rows that share it any one. Rows with an empty set all stay."""
-    docs = stored(with_uid(docs))
-    texts = docs.select(UID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(components(texts, n, percent).filter("component IS NOT NULL").select(UID, "doc_id", "component"))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", UID)
-    stays = found.groupBy("component").agg(F.min(first)[UID].alias(UID))
-    goes = stored(found.select(UID).join(stays, UID, "left_anti"))
-    return docs.join(_small(goes), UID, "left_anti").drop(UID)
+    """One row of docs for each component: that of the smallest doc_id, nulls last. Rows with an empty set all stay.
+
+    Rows are named by 128 bits of doc_id and text, so that texts stay where they are; of equal rows of a component one stays.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    name = [F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("second"), doc_id, text).alias("b")]
+    found = stored(components(docs.select(*name, doc_id.alias("doc_id"), text.alias("text")), n, percent).filter("component IS NOT NULL").select("a", "b", "doc_id", "component"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    stays = found.groupBy("component").agg(F.min(first).alias("first")).select("first.a", "first.b")
+    goes = stored(found.select("a", "b").distinct().join(stays, ["a", "b"], "left_anti").withColumn("more", F.lit(False)).unionByName(found.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").join(stays, ["a", "b"], "left_semi").select("a", "b", F.lit(True).alias("more"))))
+    inner = docs.withColumns({"_a": name[0], "_b": name[1]})
+    same = (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))
+    left = inner.join(_small(goes), same, "left_anti")
+    again = goes.filter("more")
+    if not again.isEmpty():
+        left = left.unionByName(inner.join(_small(again), same, "left_semi").dropDuplicates(["_a", "_b"]))
+    return left.drop("_a", "_b")
