@@ -22,6 +22,8 @@ def test_general_scores(spark):
     species = newick.parse(spark.createDataFrame([(0, S)], "tree_id long, newick string"))
     got = sorted((r.tree_id, r.score, r.n_dups, r.n_losses) for r in newick.scored(genes, species).collect())
     assert got == [(0, 0, 0, 0), (1, 8, 2, 6), (2, 4, 1, 3), (3, 4, 1, 3), (4, 5, 2, 3)]
+    with pytest.raises(Exception, match="no such species: Z"):
+        newick.scored(newick.parse(spark.createDataFrame([(0, "(a_A,z_Z);")], "tree_id long, newick string")), species).collect()
     lost = newick.rejects(spark.createDataFrame([(1, "(a"), (2, "(a,b);")], "tree_id long, newick string"))
     assert [r.tree_id for r in lost.collect()] == [1]
 

@@ -138,8 +138,10 @@ def user_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     along = Window.partitionBy("user_id").orderBy("ts", "event_id")
     placed = events.withColumn("k", F.row_number().over(along) - 1)
     tree = placed.select("user_id", F.floor(F.col("k") / 16).alias("run"), (F.col("k") % 16).alias("place"), "event_type")
-    trees = tree.groupBy("user_id", "run").agg(F.count("*").alias("n_leaves"), F.count_distinct("event_type").alias("n_species"), F.sum(F.col("place") * F.length("event_type")).cast("long").alias("weight"))
-    return trees.groupBy("n_leaves", "n_species").agg(F.count("*").alias("n_trees"), F.sum("weight").alias("weight"))
+    listed = tree.groupBy("user_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "event_type"))), lambda x: x["event_type"]).alias("s"))
+    alike = F.concat(F.array_sort(F.slice("s", 1, 2)), F.slice("s", 3, F.size("s")))
+    classes = listed.groupBy(alike.alias("s")).agg(F.count("*").alias("n_trees"))
+    return classes.select(F.array_join("s", ",").alias("signature"), F.size("s").cast("long").alias("n_leaves"), F.size(F.array_distinct("s")).cast("long").alias("n_species"), "n_trees")
 
 
 QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees)} | search.QUERIES
@@ -189,6 +191,7 @@ ORACLE_SQL = {
     "newick_scores": SCORES + "SELECT * FROM sc",
     "network_folds": Q + ", c AS (SELECT gt_id AS tree_id, nation, count(*) AS n FROM gl GROUP BY ALL HAVING count(*) > 1) SELECT tree_id, count(*) AS n_reticulations, CAST(sum(n) AS BIGINT) AS n_copies, count(*) AS n_leaves FROM c GROUP BY tree_id",
     "user_trees": """WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
-      t AS (SELECT user_id, k // 16 AS run, count(*) AS n_leaves, count(DISTINCT event_type) AS n_species, CAST(sum((k % 16) * length(event_type)) AS BIGINT) AS weight FROM p GROUP BY user_id, run)
-      SELECT n_leaves, n_species, count(*) AS n_trees, CAST(sum(weight) AS BIGINT) AS weight FROM t GROUP BY ALL""",
+      t AS (SELECT user_id, k // 16 AS run, list(event_type ORDER BY k) AS s FROM p GROUP BY ALL),
+      c AS (SELECT list_concat(list_sort(s[1:2]), s[3:]) AS s FROM t)
+      SELECT array_to_string(s, ',') AS signature, len(s) AS n_leaves, len(list_distinct(s)) AS n_species, count(*) AS n_trees FROM c GROUP BY s""",
 } | search.ORACLE_SQL

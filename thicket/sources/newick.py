@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trees
+from ..functions.storage import stored
 
+#: Pairs of species leaves up to this many are broadcast, some 20 bytes each; more are joined by a shuffle.
+BROADCAST_PAIRS = 1_000_000
 NODES = "tree_id long, node_id int, parent_id int, child_ord int, name string, species string, is_leaf boolean, dist double, depth int, tin int, tout int, post int"
 TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
@@ -80,12 +83,15 @@ def lowest_common(species: DataFrame) -> DataFrame:
 
 
 def scored(genes: DataFrame, species: DataFrame) -> DataFrame:
-    """(tree_id, n_leaves, n_dups, n_losses, score) of parsed gene trees against one parsed species tree."""
+    """(tree_id, n_leaves, n_dups, n_losses, score) of parsed gene trees against one parsed species tree; a gene of a species that it lacks is an error."""
     tips = species.filter("is_leaf").select("species", F.col("tin").alias("at"))
-    leaves = genes.filter("is_leaf").join(F.broadcast(tips), "species").select("tree_id", F.col("tin").alias("leaf"), "at")
+    lost = F.raise_error(F.concat(F.lit("no such species: "), F.coalesce("species", F.lit("null")))).cast("int")
+    leaves = genes.filter("is_leaf").join(tips, "species", "left").select("tree_id", F.col("tin").alias("leaf"), F.coalesce("at", lost).alias("at"))
     inside = (F.col("g.tree_id") == F.col("l.tree_id")) & F.col("l.leaf").between(F.col("g.tin"), F.col("g.tout"))
     spans = genes.alias("g").join(leaves.alias("l"), inside).groupBy("g.tree_id", "g.node_id", "g.parent_id", "g.is_leaf").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    mapped = spans.join(F.broadcast(lowest_common(species)), ["lo", "hi"]).select("tree_id", "node_id", "parent_id", "is_leaf", "image", "image_depth")
+    lowest = stored(lowest_common(species))
+    lowest = F.broadcast(lowest) if lowest.count() <= BROADCAST_PAIRS else lowest
+    mapped = spans.join(lowest, ["lo", "hi"]).select("tree_id", "node_id", "parent_id", "is_leaf", "image", "image_depth")
     child = mapped.select("tree_id", F.col("parent_id").alias("node_id"), F.col("image").alias("ci"), F.col("image_depth").alias("cd"))
     joined = mapped.join(child, ["tree_id", "node_id"], "left").groupBy("tree_id", "node_id", "parent_id", "is_leaf", "image", "image_depth").agg(F.max(F.when(F.col("ci") == F.col("image"), 1).otherwise(0)).alias("dup"), F.collect_list("cd").alias("cd"))
     edge = F.aggregate("cd", F.lit(0), lambda t, d: t + F.greatest(F.lit(0), d - F.col("image_depth") - 1 + F.col("dup")))
