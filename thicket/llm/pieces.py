@@ -4,7 +4,8 @@ A text's best segmentation maximises the sum of its pieces' scores: a shortest-p
 the (max, +) semiring. Its state at a chunk's edge is how far the piece that crosses the edge reaches into the next chunk,
 so a chunk acts on states as a small matrix. Giant documents are cut into chunks; every chunk's matrix is computed on its
 own, the matrices of a document are folded from left to right into the score vector at each edge, and each chunk is then
-backtraced on its own from those vectors.
+backtraced on its own from those vectors. The vocabulary is read as a unigram model: of a BPE file the scores are merge ranks,
+so ids can differ from those of that model's own encoder.
 
 Defined results: a null text has null ids, an empty text no ids. Every text decodes to itself. Scores are the vocabulary's;
 among equal sums the segmentation whose last cut lies furthest left wins, then the last but one, and so on, whatever the

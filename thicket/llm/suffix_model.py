@@ -12,8 +12,8 @@ where s' is the next shorter state and left(s) makes the sum one. The empty cont
 one place for all unseen words, so the model is a proper distribution over the training vocabulary and that place.
 
 Shares bound the work whatever the corpus: at most 1 / share words, contexts or successors can reach one, so these heads
-are broadcast. All other words, each too rare to weigh on any one key, meet their counts in a shuffled join. No count is
-sampled or cut.
+are broadcast. All other words, each too rare to weigh on any one key, meet their counts in a shuffled join. Word counts cover
+all training texts; contexts and successors under their shares are left out of the tree, so the tree doesn't grow with the corpus.
 
 Defined results: a null text is an empty one, whose only token is the end. Rows with a null doc_id are scored, are not held
 out and are not learned from. Repeated rows count and are scored each. With no training text N and V are 0 and a token's
