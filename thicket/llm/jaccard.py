@@ -13,6 +13,7 @@ and the links found join components; at the end the pairs left are those across
 group's largest component against its others. Links inside a component would change nothing.
 
 A token's pairs across components are further split by bands of set sizes, since sets too far apart in size can't be similar.
+They carry the bitmaps folded to SKETCH bits, which bound the same number, so that most pairs end inside the join that makes them.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing. Fewer words than n are one token.
 component_id is the smallest doc_id of the component, null ids aside. Repeated rows are members each. `link` returns the three
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forgotten, stored, workers_find_package
@@ -34,8 +35,8 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Buckets of tokens that are counted, and the occurrences from which a bucket of an average one's multiple is ranked by its count.
 BUCKET_BITS, OFTEN, MULTIPLE = 21, 32, 4
 ROUNDS = 3
-#: Bits of a set's bitmap.
-BITMAP = 1024
+#: Bits of a set's bitmap, and of its fold; the first is a multiple of the second.
+BITMAP, SKETCH = 1024, 256
 #: Ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -138,6 +139,17 @@ def _other_prefixes(sets: DataFrame, percent: int, held) -> DataFrame:
     return sets.select("id", "tokens").mapInArrow(describe, "id long, second array<int>, third array<int>")
 
 
+def _apart(x: str, y: str, bits: int) -> Column:
+    """In how many places bitmaps differ; columns or array items are named by a pattern of the word's number."""
+    return F.expr(" + ".join(f"bit_count({x.format(i)} ^ {y.format(i)})" for i in range(bits // 64)))
+
+
+def _sketches(details: DataFrame) -> DataFrame:
+    """(id, s0, s1, ...): the bitmaps of details folded to SKETCH bits."""
+    words = SKETCH // 64
+    return details.select("id", *[F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, BITMAP // 64, words))).alias(f"s{i}") for i in range(words)])
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """A stored table of ids, to be broadcast if it is small."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -217,12 +229,15 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
         side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in some.columns if c != "id"])
         return pairs.join(side("x"), "x").join(side("y"), "y"), some
 
+    def in_reach(apart, nx, ny):
+        """Of similar sets, (100 - percent) / (100 + percent) of both sizes' sum are in one of them alone at most."""
+        return (100 + percent) * apart <= (100 - percent) * (F.col(nx) + F.col(ny))
+
     def verified(pairs):
         """Those of stored pairs (x, y) that pass the bitmaps' and the other orders' filters."""
-        # Of similar sets, (100 - percent) / (100 + percent) of both sizes' sum are in one of them alone at most.
-        apart = F.expr(" + ".join(f"bit_count(bits_x[{i}] ^ bits_y[{i}])" for i in range(BITMAP // 64)))
+        apart = _apart("bits_x[{}]", "bits_y[{}]", BITMAP)
         both, maps = both_ends(pairs, lambda ends: details.select("id", "n", "bits").join(ends, "id", "left_semi"))
-        near = stored(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y"))).select("x", "y"))
+        near = stored(both.filter(in_reach(apart, "n_x", "n_y")).select("x", "y"))
         meet = F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
         both, others = both_ends(near, lambda ends: _other_prefixes(sets.join(ends, "id", "left_semi"), percent, ranks))
         found = stored(both.filter(meet).select("x", "y"))
@@ -257,16 +272,17 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
         star = alive.filter((F.col("component") != F.col("lead.component")) & near).select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
         if not settle(star):
             break
-    now = stored(labelled(postings))
+    now = stored(labelled(postings).join(_sketches(details), "id"))
+    marks = [f"s{i}" for i in range(SKETCH // 64)]
     sizes = now.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("token", "largest")
     # Sets may differ in size by one band at most; bands are a trifle wide for rounding.
     band = F.floor(F.log("n") / (F.log(F.lit(100.0 / percent)) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
-    left = now.join(largest, "token").filter("component != largest").select("token", band.alias("band"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = now.join(largest, "token").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest")
+    left = now.join(largest, "token").filter("component != largest").select("token", band.alias("band"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *[F.col(c).alias(f"{c}x") for c in marks])
+    right = now.join(largest, "token").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest", *[F.col(c).alias(f"{c}y") for c in marks])
     # A pair of two small components would come up from both sides.
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
-    fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & in_reach(_apart("s{}x", "s{}y", SKETCH), "nx", "ny")
     across = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band")) & fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settle(across)
     class_of = filled.select("a", "b", "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select("a", "b", "doc_id", F.col("n").alias("n_shingles"), "id")
