@@ -68,6 +68,7 @@ def test_frequent_tokens_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "OFTEN", 2)
     monkeypatch.setattr(jaccard, "MULTIPLE", 0)
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "UNBANDED", 0)
     rows = [(i, x) for i, x in enumerate(texts(4))]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
     assert got == brute(rows, 3, 90)

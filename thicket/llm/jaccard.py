@@ -12,7 +12,7 @@ Nothing emits all pairs of a group. In each of a few rounds the members of a tok
 and the links found join components; at the end the pairs left are those across components, taken as the members outside a
 group's largest component against its others. Links inside a component would change nothing.
 
-A token's pairs across components are further split by bands of set sizes, since sets too far apart in size can't be similar.
+Pairs across components of a token with many members are further split by bands of set sizes, since sets too far apart in size can't be similar.
 They carry the bitmaps folded to SKETCH bits, which bound the same number, so that most pairs end inside the join that makes them.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing. Fewer words than n are one token.
@@ -35,6 +35,8 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Buckets of tokens that are counted, and the occurrences from which a bucket of an average one's multiple is ranked by its count.
 BUCKET_BITS, OFTEN, MULTIPLE = 21, 32, 4
 ROUNDS = 3
+#: Members of a token up to which its last pairs aren't split by bands, which would copy each member three times.
+UNBANDED = 64
 #: Bits of a set's bitmap, and of its fold; the first is a multiple of the second.
 BITMAP, SKETCH = 1024, 256
 #: Ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
@@ -275,11 +277,11 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     now = stored(labelled(postings).join(_sketches(details), "id"))
     marks = [f"s{i}" for i in range(SKETCH // 64)]
     sizes = now.groupBy("token", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("token", "largest")
+    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), (F.sum("size") > UNBANDED).alias("banded")).filter("parts > 1").select("token", "largest", "banded")
     # Sets may differ in size by one band at most; bands are a trifle wide for rounding.
     band = F.floor(F.log("n") / (F.log(F.lit(100.0 / percent)) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
-    left = now.join(largest, "token").filter("component != largest").select("token", band.alias("band"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *[F.col(c).alias(f"{c}x") for c in marks])
-    right = now.join(largest, "token").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest", *[F.col(c).alias(f"{c}y") for c in marks])
+    left = now.join(largest, "token").filter("component != largest").select("token", F.when(F.col("banded"), band).otherwise(0).alias("band"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *[F.col(c).alias(f"{c}x") for c in marks])
+    right = now.join(largest, "token").select("token", F.explode(F.when(F.col("banded"), F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest", *[F.col(c).alias(f"{c}y") for c in marks])
     # A pair of two small components would come up from both sides.
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
     fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & in_reach(_apart("s{}x", "s{}y", SKETCH), "nx", "ny")
