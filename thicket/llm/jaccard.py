@@ -8,12 +8,13 @@ only if its sizes fit and its prefixes under the second and the third order meet
 prefixes are fetched, bitmaps of the parities of hashed tokens meet: they differ in no more bits than the sets in tokens, so
 pairs whose bitmaps differ in too many can't be similar.
 
-Nothing emits all pairs of a group. In each of a few rounds the members of a token's group are only paired with one leader,
+In each of a few rounds the members of a token's group are only paired with one leader,
 and the links found join components; at the end the pairs left are those across components, taken as the members outside a
 group's largest component against its others. Links inside a component would change nothing.
 
 Pairs across components of a token with many members are further split by bands of set sizes, since sets too far apart in size can't be similar.
 They carry the bitmaps folded to SKETCH bits, which bound the same number, so that most pairs end inside the join that makes them.
+Members of a group that are of no common component are still compared there with each other, which grows with the group's square.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing. Fewer words than n are one token.
 component_id is the smallest doc_id of the component, null ids aside. Repeated rows are members each. `link` returns the three
