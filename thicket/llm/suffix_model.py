@@ -1,9 +1,9 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A state is a context of up to `depth` words before the next token. A context becomes a state if it makes up at least
-`context_share` of all training tokens and its next-token distribution diverges from that of its longest proper suffix
-that is a state: twice the count-weighted relative entropy must exceed `divergence` for every successor it names. At a state s
-with n(s) occurrences the successors that make up at least `successor_share` of all training tokens are named, and
+A state is a context of up to `depth` words before the next token. A context seen `least_context` times or more in the training
+texts becomes a state if its next-token distribution diverges from that of its longest proper suffix that is a state: twice the
+count-weighted relative entropy must exceed `divergence` for every successor it names. At a state s with n(s) occurrences the
+successors seen there `least_successor` times or more are named, and
 
     P(w | s) = (n(s, w) + strength * P(w | s')) / (n(s) + strength)                       w named
     P(w | s) = P(w | s') * left(s)                                                        w not named
@@ -11,9 +11,14 @@ with n(s) occurrences the successors that make up at least `successor_share` of
 where s' is the next shorter state and left(s) makes the sum one. The empty context is the add-one unigram distribution with
 one place for all unseen words, so the model is a proper distribution over the training vocabulary and that place.
 
-Shares bound the work whatever the corpus: at most 1 / share words, contexts or successors can reach one, so these heads
-are broadcast. All other words, each too rare to weigh on any one key, meet their counts in a shuffled join. Word counts cover
-all training texts; contexts and successors under their shares are left out of the tree, so the tree doesn't grow with the corpus.
+The least counts are the same for every corpus, so the tree grows with the input; counts, states and successors are tables. A
+text's score is a sum over its word n-grams: log10 left(s) for an n-gram that is a state, and for one that is a named successor
+its log10 P less what its shorter n-grams give already. So scoring is one join of n-grams with their weights. Words and
+weights that make up `head_share` of all training tokens or more, at most 1 / head_share for each length, are looked up inside
+tasks; hence no other key of the join has more of the training n-grams than that. Filters of a fixed size
+keep n-grams without a weight, or without a hope of one, out of the shuffles; when they fill up, more is shuffled and the result stays.
+
+N-grams are named by 64 bits, so a few in 10^12 could share a weight; n_tokens, n_known and the base use the words themselves.
 
 Defined results: a null text is an empty one, whose only token is the end. Rows with a null doc_id are scored, are not held
 out and are not learned from. Repeated rows count and are scored each. With no training text N and V are 0 and a token's
@@ -23,30 +28,37 @@ probability is one. Other columns are dropped.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import UID, checkpointed, fold, with_uid, workers_find_package
+from .common import UID, fold, forgotten, stored, with_uid, workers_find_package
+from .jaccard import mixed
 
 #: Stands for the end of a text among words; no word holds a space.
 END = b" "
-#: Distinct words that a task counts before it sends what it has.
-BUFFER = 1 << 18
+#: Distinct words that a task counts before it sends what it has, and n-grams likewise.
+BUFFER, GRAM_BUFFER = 1 << 18, 4_000_000
+#: A filter of keys has 2^FILTER_BITS bits, 16 MB.
+FILTER_BITS = 27
+#: Texts that are taken together in a task.
+SLICE = 200
 
 
 @dataclass(frozen=True)
 class Settings:
     depth: int = 2
-    word_share: float = 1e-6
-    context_share: float = 1e-4
-    successor_share: float = 1e-6
+    least_context: int = 128
+    least_successor: int = 4
     divergence: float = 4.0
     strength: float = 50.0
+    head_share: float = 1e-6
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -54,63 +66,51 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def rolled(ids: np.ndarray, length: int, size: int) -> np.ndarray:
-    """A number for the `length` ids from each place on; ids are at most size."""
-    code = ids[: max(0, len(ids) - length + 1)].copy()
-    for k in range(1, length):
-        code = code * (size + 1) + ids[k : k + len(code)]
-    return code
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray, default) -> np.ndarray:
-    """values at the places of keys in a sorted table."""
-    if not len(table):
-        return np.full(len(keys), default, dtype=values.dtype)
-    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[place] == keys, values[place], default)
+def longer_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a context and one more word; the empty context's is 0 and a word's is its hash."""
+    return mixed(context) + word
 
 
-@dataclass
-class Tree:
-    """What scoring needs: counts of frequent words by id, and states with their successors.
+def gram_keys(words: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each length up to most the key of the n-gram that ends at each place; places too near the start are meaningless."""
+    keys = [words]
+    for _ in range(1, most):
+        longer = words.copy()
+        longer[1:] = longer_key(keys[-1][:-1], words[1:])
+        keys.append(longer)
+    return keys
 
-    word gives an id from 0 and count its count. state gives the number of a context, a tuple of word ids; parent, left and
-    named are by number, 0 being the empty context. named has log10 of P(w | s) by word id.
-    """
 
-    total: int
-    distinct: int
-    word: dict[bytes, int] = field(default_factory=dict)
-    count: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    state: dict[tuple, int] = field(default_factory=dict)
-    left: list[float] = field(default_factory=list)
-    named: list[dict[int, float]] = field(default_factory=list)
-    parent: list[int] = field(default_factory=list)
-
-    def base(self, count):
-        return np.log10((count + 1) / (self.total + self.distinct + 1))
-
-    def arrays(self):
-        """For vectorised use: by context length a sorted (code, state) pair of arrays, and sorted (state, word) codes with their log10 P."""
-        size = len(self.word)
-        lengths = {len(c) for c in self.state}
-        states = {}
-        for n in lengths:
-            rows = sorted((int(rolled(np.array(c, dtype=np.int64), n, size)[0]), k) for c, k in self.state.items() if len(c) == n)
-            states[n] = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
-        named = sorted((k * (size + 1) + w, p) for k, table in enumerate(self.named) for w, p in table.items())
-        return states, np.array([x[0] for x in named], dtype=np.int64), np.array([x[1] for x in named])
-
-    def probability(self, s: int, w: int) -> float:
-        """log10 P(w | s) for a frequent word."""
-        add = 0.0
-        while s:
-            found = self.named[s].get(w)
-            if found is not None:
-                return add + found
-            add += self.left[s]
-            s = self.parent[s]
-        return add + self.base(self.count[w])
+def places(lengths: np.ndarray) -> np.ndarray:
+    """The place of each token in its text, for texts in a row."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _signed(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.int64)
+
+
+@F.pandas_udf(LongType())
+def _longer(context: pd.Series, word: pd.Series) -> pd.Series:
+    return pd.Series(_signed(longer_key(context.to_numpy(np.int64).view(np.uint64), word.to_numpy(np.int64).view(np.uint64))))
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the leading bits of a key column; what comes to the driver has at most 2^(FILTER_BITS - 6) rows."""
+    at = keys.select(F.shiftrightunsigned(F.col("key"), 64 - FILTER_BITS).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, dtype="<i8")
+    bits[found["place"].to_numpy()] = found["bits"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -133,138 +133,182 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-def _pair_counts(train: DataFrame, word: dict[bytes, int], contexts: dict[tuple, int], length: int) -> DataFrame:
-    """(context int, word int, n) of the frequent words after given contexts of `length` words."""
-    spark = train.sparkSession
-    held = spark.sparkContext.broadcast((word, contexts))  # at most 1 / share entries each
-    size = len(word)
+def _successors(train: DataFrame, length: int, contexts: DataFrame, below: DataFrame) -> DataFrame:
+    """(ctx, word, n): how often words follow contexts of `length` words, for a superset of given contexts.
+
+    An n-gram can't come up more often than the one without its first word, so those not in the level below are left out.
+    """
+    filters = train.sparkSession.sparkContext.broadcast((key_filter(contexts.select(F.col("ctx").alias("key"))), key_filter(below.select("key"))))
 
     def count(batches):
-        ids, wanted = held.value
-        codes = np.array(sorted((int(rolled(np.array(c, dtype=np.int64), length, size)[0]), k) for c, k in wanted.items()), dtype=np.int64)
-        found, held_back = [], 0
+        known, shorter = filters.value
+        found, size = [], 0
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                line: list[int] = []
-                for text in batch.column(0).slice(at, 200).cast(pa.binary()).to_pylist():
-                    line += [ids.get(t, size) for t in tokens_of(text)]
-                    line += [size] * length  # nothing goes from one text into the next
-                seq = np.array(line, dtype=np.int64)
-                context = looked_up(rolled(seq, length, size)[:-1], codes[:, 0], codes[:, 1], -1)
-                after = seq[length:]
-                good = (context >= 0) & (after < size)
-                found.append(context[good] * (size + 1) + after[good])
-                held_back += len(found[-1])
-                if held_back > 4_000_000:
-                    yield packed(found)
-                    found, held_back = [], 0
+            for at in range(0, len(batch), SLICE):
+                texts = [tokens_of(text) for text in batch.column(0).slice(at, SLICE).cast(pa.binary()).to_pylist()]
+                words = hashed([t for text in texts for t in text])
+                keys = gram_keys(words, length)[-1]
+                good = places(np.array(list(map(len, texts))))[1:] >= length
+                good &= may_hold(known, keys[:-1])
+                good &= may_hold(shorter, keys[1:])
+                found.append((keys[:-1][good], words[1:][good]))
+                size += len(found[-1][0])
+                if size > GRAM_BUFFER:
+                    yield added_up(found)
+                    found, size = [], 0
         if found:
-            yield packed(found)
+            yield added_up(found)
 
-    def packed(found):
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys // (size + 1), pa.int32()), pa.array(keys % (size + 1), pa.int32()), pa.array(n.astype(np.int64))], names=["context", "word", "n"])
+    def added_up(found):
+        context, word = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        _, at, n = np.unique(longer_key(context, word), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(_signed(context[at])), pa.array(_signed(word[at])), pa.array(n.astype(np.int64))], names=["ctx", "word", "n"])
 
-    return train.select("text").mapInArrow(count, "context int, word int, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(count, "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+
+
+def _met(rows: DataFrame, table: DataFrame, on: str, often: str, hot: float) -> DataFrame:
+    """Stored rows joined with a stored table; its keys that are seen `hot` times, few by their share of all tokens, are broadcast."""
+    return rows.join(F.broadcast(table.filter(F.col(often) >= hot)), on).unionByName(rows.join(table.filter(F.col(often) < hot), on))
+
+
+@dataclass
+class Tree:
+    """total and distinct training tokens; weights (key, n, weight) of n-grams; states (ctx, length, n_ctx, named, left) to look at."""
+
+    total: int
+    distinct: int
+    weights: DataFrame | None = None
+    states: DataFrame | None = None
 
 
 def grow(train: DataFrame, counts: DataFrame, s: Settings = Settings()) -> Tree:
-    """The suffix tree of training texts, whose word counts are given."""
+    """The suffix tree of training texts, whose word counts are given as a stored table."""
     sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     tree = Tree(int(sums["total"] or 0), int(sums["distinct"]))
-    tree.left, tree.named, tree.parent = [0.0], [{}], [0]
     if not tree.total:
         return tree
-    head = counts.filter(F.col("n") >= s.word_share * tree.total).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True])
-    tree.word = {bytes(w): i for i, w in enumerate(head.word)}
-    tree.count = head.n.to_numpy(dtype=np.float64)
-    end = tree.word.get(END, -1)
-    contexts = {(i,): i for i, n in enumerate(tree.count) if n >= s.context_share * tree.total and i != end}
-    context_counts = {c: tree.count[c[0]] for c in contexts}
+    hot = max(s.least_context, 10 * s.head_share * tree.total)
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(hashed(batch.column(0).to_pylist()))), batch.column(1)], names=["key", "n"])
+
+    words = counts.filter(F.col("n") >= s.least_successor).select("word", "n").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    base = F.log10(F.col("n") + 1) - F.log10(F.lit(float(tree.total + tree.distinct + 1)))
+    below = stored(words.select("key", F.lit(0).cast("long").alias("skey"), F.col("key").alias("word"), "n", base.alias("chain")))
+    end = int(_signed(hashed([END]))[0])
     for length in range(1, s.depth + 1):
-        if not contexts:
+        contexts = stored(below.filter((F.col("n") >= s.least_context) & (F.col("word") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx"), F.col("skey").alias("sctx")))
+        if contexts.isEmpty():
             break
-        least = s.successor_share * tree.total
-        pairs = _pair_counts(train, tree.word, contexts, length).filter(F.col("n") >= least).toArrow().to_pandas()  # at most 1 / share rows
-        longer = {}
-        by_number = {k: c for c, k in contexts.items()}
-        for number, group in sorted(pairs.groupby("context")):
-            context = by_number[number]
-            n = context_counts[context]
-            keep = group.sort_values("word")
-            for w, m in zip(keep.word, keep.n):
-                if m >= s.context_share * tree.total and w != end and length < s.depth:
-                    longer[(*context, int(w))] = float(m)
-            _add_state(tree, context, n, keep.word.to_numpy(), keep.n.to_numpy(dtype=np.float64), s)
-        contexts, context_counts = {c: i for i, c in enumerate(sorted(longer))}, longer
+        counted = stored(_successors(train, length, contexts, below).filter(F.col("n") >= s.least_successor))
+        rows = stored(_met(counted, contexts, "ctx", "n_ctx", hot).select("ctx", "n_ctx", "word", "n", _longer("ctx", "word").alias("key"), _longer("sctx", "word").alias("skey")))
+        shorter = below.select(F.col("key").alias("skey"), F.col("chain").alias("above"), F.col("n").alias("often"))
+        rows = stored(_met(rows, shorter, "skey", "often", hot).drop("often"))
+        states = stored(_states(rows, s))
+        smoothed = (F.col("n") + s.strength * F.pow(F.lit(10.0), "above")) / (F.col("n_ctx") + s.strength)
+        chain = F.when(F.col("left").isNull(), F.col("above")).otherwise(F.log10(smoothed))
+        level = stored(_met(rows.drop("n_ctx"), states, "ctx", "n_ctx", hot).select("key", "skey", "word", "n", "above", "left", chain.alias("chain")))
+        kept = states.filter("left IS NOT NULL").select("ctx", F.lit(length).alias("length"), "n_ctx", "named", "left")
+        more = level.filter("left IS NOT NULL").select("key", "n", (F.col("chain") - F.col("left") - F.col("above")).alias("weight")).unionByName(
+            kept.select(F.col("ctx").alias("key"), F.col("n_ctx").alias("n"), F.col("left").alias("weight"))
+        )
+        tree.states = kept if tree.states is None else tree.states.unionByName(kept)
+        tree.weights = more if tree.weights is None else tree.weights.unionByName(more)
+        for table in (counted, contexts):
+            forgotten(table)
+        below = level
+    if tree.weights is not None:
+        tree.weights = stored(tree.weights.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
     return tree
 
 
-def _add_state(tree: Tree, context: tuple, n: float, words: np.ndarray, counts: np.ndarray, s: Settings) -> None:
-    parent = next((tree.state[context[k:]] for k in range(1, len(context)) if context[k:] in tree.state), 0)
-    above = np.array([10 ** tree.probability(parent, int(w)) for w in words])
-    share = counts / n
+def _states(rows: DataFrame, s: Settings) -> DataFrame:
+    """(ctx, n_ctx, named, left) of each context of rows; left is log10 and null for a context that is no state."""
+    share, above = F.col("n") / F.col("n_ctx"), F.pow(F.lit(10.0), "above")
+    sums = rows.groupBy("ctx", "n_ctx").agg(F.count("*").alias("named"), F.sum(share).alias("share"), F.sum(above).alias("above"), F.sum(share * F.log(share / above)).alias("entropy"))
     # The rest, all words not named, is one more outcome.
-    rest, rest_above = max(0.0, 1 - share.sum()), max(1e-12, 1 - above.sum())
-    entropy = (share * np.log(share / above)).sum() + (rest * np.log(rest / rest_above) if rest > 0 else 0.0)
-    if 2 * n * entropy <= s.divergence * len(words):
-        return
-    p = (counts + s.strength * above) / (n + s.strength)
-    left = (1 - p.sum()) / rest_above
-    if left <= 0:
-        return
-    tree.state[context] = len(tree.named)
-    tree.named.append(dict(zip(words.tolist(), np.log10(p).tolist())))
-    tree.left.append(float(np.log10(left)))
-    tree.parent.append(parent)
-
-
-def _partly_scored(docs: DataFrame, tree: Tree, s: Settings) -> DataFrame:
-    """docs with the sums over frequent words, and the words that are not frequent with how often each occurs."""
-    held = docs.sparkSession.sparkContext.broadcast(tree)
-    names = ["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "rare", "times"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+    rest, rest_above = F.greatest(F.lit(0.0), 1 - F.col("share")), F.greatest(F.lit(1e-12), 1 - F.col("above"))
+    entropy = F.col("entropy") + F.when(rest > 0, rest * F.log(rest / rest_above)).otherwise(0.0)
+    left = (1 - (F.col("share") * F.col("n_ctx") + s.strength * F.col("above")) / (F.col("n_ctx") + s.strength)) / rest_above
+    diverges = 2 * F.col("n_ctx") * entropy > s.divergence * F.col("named")
+    return sums.select("ctx", "n_ctx", "named", F.when(diverges & (left > 0), F.log10(left)).alias("left"))
+
+
+def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings) -> DataFrame:
+    """docs with the sums over frequent words and n-grams, the other words with how often each occurs, and the other n-grams' keys."""
+    least = s.head_share * tree.total
+    head = counts.filter(F.col("n") >= least).toArrow() if tree.total else None  # at most 1 / head_share rows
+    words = [bytes(w) for w in head["word"].to_pylist()] if head else []
+    base = np.append(np.log10((head["n"].to_numpy() + 1) / (tree.total + tree.distinct + 1)) if head else [], 0.0)
+    if tree.weights is not None:
+        heavy = tree.weights.filter(F.col("n") >= least).select("key", "weight").toArrow()  # at most (depth + 1) / head_share rows
+        keys = heavy["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        grams = (key_filter(tree.weights), keys[order], heavy["weight"].to_numpy()[order])
+    else:
+        grams = None
+    held = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, np.append(hashed(words), np.uint64(0)), base, grams))
+    depth = s.depth
+    names = ["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_gain", "rare", "times", "grams"]
 
     def score(batches):
-        t = held.value
-        size = len(t.word)
-        base = np.append(t.base(t.count) if size else np.zeros(0), 0.0)
-        states, named, chance = t.arrays()
-        left, parent = np.array(t.left), np.array(t.parent)
+        number, hashes, base, grams = held.value
+        size = len(number)
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                rare, line, ends = [], [], []
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                rare, line, unknown, lengths = [], [], [], []
                 for text in part.column(2).cast(pa.binary()).to_pylist():
                     tokens = tokens_of(text)
-                    ids = [t.word.get(x, size) for x in tokens]
-                    rare.append(Counter(x for x, i in zip(tokens, ids) if i == size))
+                    ids = [number.get(x, size) for x in tokens]
+                    others = [x for x, i in zip(tokens, ids) if i == size]
+                    rare.append(Counter(others))
+                    unknown += others
                     line += ids
-                    ends.append(len(line))
-                seq, ends = np.array(line, dtype=np.int64), np.array(ends)
-                starts = np.concatenate([[0], ends[:-1]])
-                place = np.arange(len(seq)) - np.repeat(starts, ends - starts)
-                state = np.zeros(len(seq), dtype=np.int64)
-                for n in sorted(states):  # the longest context that is a state wins
-                    found = looked_up(rolled(seq, n, size)[:-1], *states[n], 0)
-                    found[place[n:] < n] = 0
-                    state[n:] = np.where(found > 0, found, state[n:])
-                gain = np.zeros(len(seq))
-                live = np.flatnonzero(state)
-                while len(live):
-                    p = looked_up(state[live] * (size + 1) + seq[live], named, chance, 1.0)
-                    hit = p <= 0
-                    gain[live] += np.where(hit, p - base[seq[live]], left[state[live]])
-                    live = live[~hit]
-                    state[live] = parent[state[live]]
-                    live = live[state[live] > 0]
-                own = base[seq]
+                    lengths.append(len(ids))
+                seq, lengths = np.array(line, dtype=np.int64), np.array(lengths)
+                starts = np.cumsum(lengths) - lengths
+                gain, offsets, left = np.zeros(len(seq)), np.zeros(len(lengths) + 1, dtype=np.int32), np.zeros(0, dtype=np.uint64)
+                if grams is not None:
+                    words = hashes[seq]
+                    words[seq == size] = hashed(unknown)
+                    gain, ends, left = weighed(words, places(lengths), *grams)
+                    offsets[1:] = np.cumsum(np.bincount(np.searchsorted(starts, ends, side="right") - 1, minlength=len(lengths)))
                 total = lambda x: np.add.reduceat(x, starts)
-                rows = [part.column(0), part.column(1), ends - starts, total((seq < size).astype(np.int64)), total(own), total(own + gain), [list(r) for r in rare], [list(r.values()) for r in rare]]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(rows, types)], names=names)
+                columns = [
+                    part.column(0),
+                    part.column(1),
+                    pa.array(lengths, pa.int64()),
+                    pa.array(total((seq < size).astype(np.int64)), pa.int64()),
+                    pa.array(total(base[seq])),
+                    pa.array(total(gain)),
+                    pa.array([list(r) for r in rare], pa.list_(pa.binary())),
+                    pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(left))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def weighed(words, place, bits, keys, weights):
+        """By place the weights of n-grams that end there and are among the keys; place and key of the others, in order of places."""
+        gain, ends, left = np.zeros(len(words)), [], []
+        for n, gram in enumerate(gram_keys(words, depth + 1)):
+            at = np.flatnonzero((place >= n) & may_hold(bits, gram))
+            own = gram[at]
+            hit = np.zeros(len(at), dtype=bool)
+            if len(keys):
+                found = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = keys[found] == own
+                gain[at[hit]] += weights[found[hit]]
+            ends.append(at[~hit])
+            left.append(own[~hit])
+        ends, left = np.concatenate(ends), np.concatenate(left)
+        order = np.argsort(ends, kind="stable")
+        return gain, ends[order], left[order]
 
     return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double, rare array<binary>, times array<int>"
+        score, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_gain double, rare array<binary>, times array<int>, grams array<long>"
     )
 
 
@@ -274,30 +318,34 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     held = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
     docs = docs.select("doc_id", "text").withColumn("held_out", held)
     train = docs.filter(F.col("doc_id").isNotNull() & ~F.col("held_out"))
-    counts = checkpointed(count_words(train))
-    tree = grow(train, counts, settings)
-    partly = checkpointed(with_uid(_partly_scored(docs, tree, settings)))
+    counts = stored(count_words(train))
+    return scored(docs, counts, grow(train, counts, settings), settings)
+
+
+def scored(docs: DataFrame, counts: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
+    """The rows of score_documents for docs (doc_id, text, held_out) under a tree and its word counts."""
+    partly = stored(with_uid(_partly_scored(docs, counts, tree, settings)))
     rare = partly.select(UID, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(UID, F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    # A rare word is one that no key's share of the rows exceeds word_share, so this join has no hot key.
-    known = counts.filter(F.col("n") < settings.word_share * tree.total)
-    n = F.coalesce("n", F.lit(0))
-    sums = rare.join(known, "word", "left").groupBy(UID).agg(
+    # Words and n-grams that no task knows: of the training texts' tokens, each has less than head_share.
+    light = F.col("n") < settings.head_share * tree.total
+    unseen = np.log10(tree.total + tree.distinct + 1).item()
+    sums = rare.join(counts.filter(light), "word", "left").groupBy(UID).agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).cast("long").alias("n_rare"),
-        F.sum(F.col("times") * (F.log10(n + 1) - np.log10(tree.total + tree.distinct + 1).item())).alias("rare_base"),
+        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - unseen)).alias("rare_base"),
     )
-    more = F.coalesce("rare_base", F.lit(0.0))
-    return partly.join(sums, UID, "left").select(
+    row = partly.drop("rare", "times", "grams").join(sums, UID, "left")
+    gain = F.col("head_gain")
+    if tree.weights is not None:
+        grams = partly.select(UID, F.explode("grams").alias("key")).join(tree.weights.filter(light), "key")
+        row = row.join(grams.groupBy(UID).agg(F.sum("weight").alias("more")), UID, "left")
+        gain = gain + F.coalesce("more", F.lit(0.0))
+    base = F.col("head_base") + F.coalesce("rare_base", F.lit(0.0))
+    return row.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + more).alias("base_score"),
-        (F.col("head_score") + more).alias("score"),
+        base.alias("base_score"),
+        (base + gain).alias("score"),
     )
-
-
-def tree_frame(tree: Tree) -> pd.DataFrame:
-    """The states as rows (context, left, named), to look at."""
-    words = {i: w.decode(errors="replace") for w, i in tree.word.items()}
-    return pd.DataFrame([(" ".join(words[i] for i in c), tree.left[k], len(tree.named[k])) for c, k in tree.state.items()], columns=["context", "left", "named"])
