@@ -90,7 +90,11 @@ def plain(s):
 @pytest.fixture(scope="module", params=SETTINGS, ids=["depth2", "depth3"])
 def scored(spark, request):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, score int").repartition(3)
-    return request.param, suffix_model.score_documents(docs, request.param).collect()
+    with pytest.MonkeyPatch.context() as changed:
+        if request.param.depth == 3:  # contexts in several parts, parts from several chunks
+            changed.setattr(suffix_model, "GRAM_BUFFER", 100)
+            changed.setattr(suffix_model, "SLICE", 7)
+        return request.param, suffix_model.score_documents(docs, request.param).collect()
 
 
 def test_counts_base_and_score(scored):

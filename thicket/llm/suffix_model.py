@@ -133,15 +133,21 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-def _successors(train: DataFrame, length: int, contexts: DataFrame, below: DataFrame) -> DataFrame:
-    """(ctx, word, n): how often words follow contexts of `length` words, for a superset of given contexts.
+def _successors(train: DataFrame, length: int, contexts: DataFrame, below: DataFrame, least: int) -> DataFrame:
+    """(ctx, word, n): how often words follow contexts of `length` words, if at least so often, for a superset of given contexts.
 
     An n-gram can't come up more often than the one without its first word, so those not in the level below are left out.
+    Tasks send a context's successors together; those of a context seen more than GRAM_BUFFER times in several parts.
     """
-    filters = train.sparkSession.sparkContext.broadcast((key_filter(contexts.select(F.col("ctx").alias("key"))), key_filter(below.select("key"))))
+    heavy = contexts.filter(F.col("n_ctx") > GRAM_BUFFER).select("ctx", "n_ctx").toArrow()  # at most total / GRAM_BUFFER rows
+    keys = heavy["ctx"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    parts = -(-heavy["n_ctx"].to_numpy()[order] // GRAM_BUFFER)
+    filters = (key_filter(contexts.select(F.col("ctx").alias("key"))), key_filter(below.select("key")))
+    held = train.sparkSession.sparkContext.broadcast((filters, keys[order], parts.astype(np.uint64)))
 
     def count(batches):
-        known, shorter = filters.value
+        (known, shorter), heavy, parts = held.value
         found, size = [], 0
         for batch in batches:
             for at in range(0, len(batch), SLICE):
@@ -154,17 +160,55 @@ def _successors(train: DataFrame, length: int, contexts: DataFrame, below: DataF
                 found.append((keys[:-1][good], words[1:][good]))
                 size += len(found[-1][0])
                 if size > GRAM_BUFFER:
-                    yield added_up(found)
+                    yield together(found, heavy, parts)
                     found, size = [], 0
-        if found:
-            yield added_up(found)
+        if size:
+            yield together(found, heavy, parts)
 
-    def added_up(found):
+    def together(found, heavy, parts):
         context, word = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        _, at, n = np.unique(longer_key(context, word), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(_signed(context[at])), pa.array(_signed(word[at])), pa.array(n.astype(np.int64))], names=["ctx", "word", "n"])
-
-    return train.select("text").mapInArrow(count, "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+        part = np.zeros(len(word), dtype=np.uint64)
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
+            part = np.where(heavy[at] == context, word % parts[at], part)
+        context, part, word, n = _added_up(context, part, word, np.ones(len(word), dtype=np.int32))
+        starts = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])]))
+        bounds = np.append(starts, len(word)).astype(np.int32)
+        packed = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds * np.int32(x.itemsize)), pa.py_buffer(x)])
+        return pa.RecordBatch.from_arrays([pa.array(_signed(context[starts])), pa.array(_signed(part[starts])), packed(word), packed(n)], names=["ctx", "part", "words", "times"])
+
+    def merged(batches):
+        rest = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        for batch in batches:
+            words = batch.column(2).to_pylist()
+            lengths = np.array(list(map(len, words))) // 8
+            now = [np.repeat(batch.column(i).to_numpy().view(np.uint64), lengths) for i in (0, 1)]
+            now += [np.frombuffer(b"".join(words), np.uint64), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32)]
+            rows = _added_up(*[np.concatenate(x) for x in zip(rest, now)])
+            if not len(rows[0]):
+                continue
+            # The last part in this batch may go on in the next one.
+            last = (rows[0] == now[0][-1]) & (rows[1] == now[1][-1])
+            rest = tuple(x[last] for x in rows)
+            yield often(*[x[~last] for x in rows])
+        yield often(*rest)
+
+    def often(context, part, word, n):
+        keep = n >= least
+        return pa.RecordBatch.from_arrays([pa.array(_signed(context[keep])), pa.array(_signed(word[keep])), pa.array(n[keep].astype(np.int64))], names=["ctx", "word", "n"])
+
+    sent = train.select("text").mapInArrow(count, "ctx long, part long, words binary, times binary")
+    return sent.repartition("ctx", "part").sortWithinPartitions("ctx", "part").mapInArrow(merged, "ctx long, word long, n long")
+
+
+def _added_up(context: np.ndarray, part: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple:
+    """Sorted and distinct (context, part, word), with n summed; a sum stays under 2^31, for a part has few more than GRAM_BUFFER."""
+    if not len(word):
+        return context, part, word, n
+    order = np.lexsort((word, part, context) if part.any() else (word, context))
+    context, part, word, n = context[order], part[order], word[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+    return context[starts], part[starts], word[starts], np.add.reduceat(n, starts, dtype=np.int32)
 
 
 def _met(rows: DataFrame, table: DataFrame, on: str, often: str, hot: float) -> DataFrame:
@@ -197,15 +241,15 @@ def grow(train: DataFrame, counts: DataFrame, s: Settings = Settings()) -> Tree:
     words = counts.filter(F.col("n") >= s.least_successor).select("word", "n").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     base = F.log10(F.col("n") + 1) - F.log10(F.lit(float(tree.total + tree.distinct + 1)))
     below = stored(words.select("key", F.lit(0).cast("long").alias("skey"), F.col("key").alias("word"), "n", base.alias("chain")))
-    end = int(_signed(hashed([END]))[0])
+    end, levels = int(_signed(hashed([END]))[0]), [below]
     for length in range(1, s.depth + 1):
         contexts = stored(below.filter((F.col("n") >= s.least_context) & (F.col("word") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx"), F.col("skey").alias("sctx")))
         if contexts.isEmpty():
             break
-        counted = stored(_successors(train, length, contexts, below).filter(F.col("n") >= s.least_successor))
-        rows = stored(_met(counted, contexts, "ctx", "n_ctx", hot).select("ctx", "n_ctx", "word", "n", _longer("ctx", "word").alias("key"), _longer("sctx", "word").alias("skey")))
+        counted = stored(_successors(train, length, contexts, below, s.least_successor))
+        met = stored(_met(counted, contexts, "ctx", "n_ctx", hot).select("ctx", "n_ctx", "word", "n", _longer("ctx", "word").alias("key"), _longer("sctx", "word").alias("skey")))
         shorter = below.select(F.col("key").alias("skey"), F.col("chain").alias("above"), F.col("n").alias("often"))
-        rows = stored(_met(rows, shorter, "skey", "often", hot).drop("often"))
+        rows = stored(_met(met, shorter, "skey", "often", hot).drop("often"))
         states = stored(_states(rows, s))
         smoothed = (F.col("n") + s.strength * F.pow(F.lit(10.0), "above")) / (F.col("n_ctx") + s.strength)
         chain = F.when(F.col("left").isNull(), F.col("above")).otherwise(F.log10(smoothed))
@@ -216,11 +260,13 @@ def grow(train: DataFrame, counts: DataFrame, s: Settings = Settings()) -> Tree:
         )
         tree.states = kept if tree.states is None else tree.states.unionByName(kept)
         tree.weights = more if tree.weights is None else tree.weights.unionByName(more)
-        for table in (counted, contexts):
+        for table in (counted, contexts, met, rows):
             forgotten(table)
-        below = level
+        below, levels = level, [*levels, level]
     if tree.weights is not None:
         tree.weights = stored(tree.weights.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")))
+    for table in levels:
+        forgotten(table)
     return tree
 
 
@@ -333,11 +379,12 @@ def scored(docs: DataFrame, counts: DataFrame, tree: Tree, settings: Settings) -
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).cast("long").alias("n_rare"),
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - unseen)).alias("rare_base"),
     )
+    sums = stored(sums)
     row = partly.drop("rare", "times", "grams").join(sums, UID, "left")
     gain = F.col("head_gain")
     if tree.weights is not None:
         grams = partly.select(UID, F.explode("grams").alias("key")).join(tree.weights.filter(light), "key")
-        row = row.join(grams.groupBy(UID).agg(F.sum("weight").alias("more")), UID, "left")
+        row = row.join(stored(grams.groupBy(UID).agg(F.sum("weight").alias("more"))), UID, "left")
         gain = gain + F.coalesce("more", F.lit(0.0))
     base = F.col("head_base") + F.coalesce("rare_base", F.lit(0.0))
     return row.select(
