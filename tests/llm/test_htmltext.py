@@ -55,3 +55,8 @@ def test_extracts_known_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert sum(got[i].text == t for i, (_, t) in enumerate(known)) >= 57
     assert htmltext.extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+def test_text_of_embedded_elements_stays():
+    page = "<article><p>Let <math><mi>x</mi></math> be <object>an object</object> in <noscript>plain</noscript> <svg><text>a b</text></svg> <canvas>c</canvas>.<script>no</script><style>no</style><template>no</template></p></article>"
+    assert [b[0] for b in htmltext.leaf_blocks(page)] == ["Let x be an object in plain a b c."]

@@ -38,7 +38,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noframes ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD_TAGS = "script style noscript template svg math object canvas audio video"
+UNREAD_TAGS = "script style template"
 SIDE_TAGS = frozenset("nav footer aside form button select option textarea label fieldset menu dialog head title iframe".split())
 MAIN_TAGS = frozenset("article main".split())
 SIDE_WORDS = frozenset(
