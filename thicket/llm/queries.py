@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, jaccard, langid, linedup, oracles, packing, pieces, quality, suffix_model, topk
+from . import chat, htmltext, jaccard, langid, linedup, oracles, packing, pieces, quality, secrets, suffix_model, topk
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of secrets in every document, by pattern and by randomness tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.find(docs, ["doc_id"]))
+
+
 def byte_bpe_files() -> tuple[str, str, str]:
     """Vocabulary, ranks and word pattern of the public byte-level tokenizer."""
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_pieces": op10_pieces,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
