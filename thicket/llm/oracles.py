@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, phrases, secrets, topk
+from . import chat, phrases, secrets, topk, treap
 
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -62,4 +62,4 @@ k AS (SELECT b.doc_id, b.place, b.line, NOT counts OR (g.line IS NULL AND o.firs
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '') AS text FROM k GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op4_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op6_linedup": LINES, "op8_quality": QUALITY, "op9_jaccard": JACCARD, "op12_phrases": phrases.ORACLE, "op13_secrets": secrets.ORACLE}
+ORACLE_SQL = {"op4_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op6_linedup": LINES, "op8_quality": QUALITY, "op9_jaccard": JACCARD, "op11_treap": treap.ORACLE, "op12_phrases": phrases.ORACLE, "op13_secrets": secrets.ORACLE}

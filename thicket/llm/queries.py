@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, jaccard, langid, linedup, oracles, packing, phrases, pieces, quality, secrets, suffix_model, topk
+from . import chat, htmltext, jaccard, langid, linedup, oracles, packing, phrases, pieces, quality, secrets, suffix_model, topk, treap
 from .common import table
 
 
@@ -66,6 +66,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op11_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return treap.search(treap.build(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2,000 best phrases of two to four words found thirty times or more."""
     return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_pieces": op10_pieces,
+    "op11_treap": op11_treap,
     "op12_phrases": op12_phrases,
     "op13_secrets": op13_secrets,
 }
