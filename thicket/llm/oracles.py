@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, phrases, secrets, topk, treap
+from . import chat, phrases, quality, secrets, topk, treap
 
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -22,6 +22,8 @@ _CLASSES = [r"\p{Ll}", r"\p{Lu}", r"[\p{Lt}\p{Lm}\p{Lo}]", r"\p{N}", r"\p{M}", r
 _COUNTS = ", ".join(f"length(j) - length(regexp_replace(j, '{c}', '', 'g'))" for c in _CLASSES)
 _JSD = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
 
+_RULES = quality.CORPUS
+
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '{_GAP}'), lambda x: x <> '') AS w FROM d),
@@ -45,19 +47,24 @@ dw AS (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM
 wp AS (SELECT fam.rid, coalesce(dw.n, 0) / greatest(1, fam.n_words) AS p, tp.q FROM fam JOIN tp ON fam.fam IS NOT DISTINCT FROM tp.fam LEFT JOIN dw ON dw.rid = fam.rid AND dw.word = tp.word),
 wr AS (SELECT rid, p, q FROM wp UNION ALL SELECT rid, 1 - sum(p), 1 - sum(q) FROM wp GROUP BY rid),
 wd AS (SELECT rid, sqrt(greatest(0, sum({_JSD}) / 2)) AS word_distance FROM (SELECT rid, CASE WHEN p < 1e-12 THEN 0 ELSE p END AS p, q FROM wr) GROUP BY rid),
-f AS (SELECT fam.doc_id, n_words, word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, class_distance, word_distance,
+f AS (SELECT fam.doc_id, fam.fam, n_words, word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, class_distance, word_distance,
              n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
-      FROM fam LEFT JOIN rp USING (rid) LEFT JOIN ln USING (rid) JOIN cd USING (rid) JOIN wd USING (rid))
+      FROM fam LEFT JOIN rp USING (rid) LEFT JOIN ln USING (rid) JOIN cd USING (rid) JOIN wd USING (rid)),
+kd AS (SELECT fam, 0 AS kind, round(class_distance * {quality.BINS}) AS bin FROM f WHERE NOT base_failed AND word_chars >= {_RULES.class_guard}
+       UNION ALL SELECT fam, 1, round(word_distance * {quality.BINS}) FROM f WHERE NOT base_failed AND n_words >= {_RULES.word_guard}),
+md AS (SELECT fam, kind, quantile_cont(bin, 0.5) AS median FROM kd GROUP BY fam, kind),
+sp AS (SELECT kd.fam, kd.kind, any_value(median) AS median, greatest({quality.LEAST_SPREAD}, quantile_cont(abs(bin - median), 0.5)) AS spread FROM kd JOIN md ON kd.fam IS NOT DISTINCT FROM md.fam AND kd.kind = md.kind GROUP BY kd.fam, kd.kind),
+bo AS (SELECT fam, max(CASE WHEN kind = 0 THEN (median + {_RULES.class_spread} * spread) / {quality.BINS} END) AS class_bound, max(CASE WHEN kind = 1 THEN (median + {_RULES.word_spread} * spread) / {quality.BINS} END) AS word_bound FROM sp GROUP BY fam)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (word_chars >= 200 AND class_distance > 0.35 OR n_words >= 80 AND word_distance > 0.75) AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
-FROM f
+       NOT base_failed AND NOT coalesce(word_chars >= {_RULES.class_guard} AND class_distance > class_bound OR n_words >= {_RULES.word_guard} AND word_distance > word_bound, false) AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM f LEFT JOIN bo ON f.fam IS NOT DISTINCT FROM bo.fam
 """
 
 LINES = r"""
 WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
-b AS (SELECT *, length(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) >= 24 AS counts FROM e),
-o AS (SELECT line, min(doc_id * 10000000000::HUGEINT + place) AS first FROM b WHERE counts GROUP BY line),
-g AS (SELECT DISTINCT a.line FROM o a JOIN o b ON b.first < a.first AND abs(length(a.line) - length(b.line)) <= 2 AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
+b AS (SELECT *, length(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS size, size > 0 AS counts FROM e),
+o AS (SELECT line, size, min(doc_id * 10000000000::HUGEINT + place) AS first FROM b WHERE counts GROUP BY line, size),
+g AS (SELECT DISTINCT a.line FROM o a JOIN o b ON b.first < a.first AND a.size >= 24 AND b.size >= 24 AND abs(length(a.line) - length(b.line)) <= 2 AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
 k AS (SELECT b.doc_id, b.place, b.line, NOT counts OR (g.line IS NULL AND o.first = b.doc_id * 10000000000::HUGEINT + b.place) AS stays FROM b LEFT JOIN o ON b.line = o.line LEFT JOIN g ON b.line = g.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '') AS text FROM k GROUP BY doc_id
 """
