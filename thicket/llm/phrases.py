@@ -33,8 +33,8 @@ LONGEST = 4
 TABLE_BITS, BITMAP = 27, 32_768
 #: Bits of a hash that are sent.
 NAME_BITS = 44
-#: Words that a task keeps at most before it sends what it has.
-HELD = 2_000_000
+#: Hashes and phrases that a task keeps at most before it sends what it has, and hashes in a row: batches of rows stay small.
+HELD, PHRASES_HELD, IN_A_ROW = 1_000_000, 100_000, 2048
 #: Counters of a partition's summary that its task should not exceed, as far as partitions can be added.
 COUNTERS = 1_000_000
 #: Groups of a language's phrases whose best are taken first.
@@ -57,7 +57,7 @@ def _mixed(a, b):
         return x ^ (x >> np.uint64(32))
 
 
-def _blocks(batches, most: int = 4 << 20):
+def _blocks(batches, most: int = 1 << 20):
     """(language, words): the words of some texts of one language, END between pieces; texts may be cut between pieces or words, never lost."""
     waiting: dict[str, list] = {}
     size: dict[str, int] = {}
@@ -84,7 +84,7 @@ class Reader:
     """N-grams of blocks of words, with hashes; a bit table may say which shorter n-grams are worth extending."""
 
     def __init__(self):
-        self.hash = Remembered(_hash)
+        self.hash = Remembered(_hash, 150_000)
         self.hash[_END] = 0
 
     def hashes(self, lang: str, words: list[bytes], n: int, known: bytes | None, bits: int):
@@ -141,9 +141,10 @@ def _send(n: int, parts: int, known: bytes | None, bits: int):
         ends = np.searchsorted(part, np.arange(parts + 1))
         rows = []
         for p in np.unique(part):
-            a, b = ends[p], ends[p + 1]
-            rows.append((int(p), 0, int(counts[a:b].sum()), None, None))
-            rows.append((int(p), 1, None, np.diff(names[a:b], prepend=np.uint64(0)).tobytes(), counts[a:b].astype(np.uint32).tobytes()))
+            rows.append((int(p), 0, int(counts[ends[p] : ends[p + 1]].sum()), None, None))
+            for a in range(ends[p], ends[p + 1], IN_A_ROW):
+                b = min(a + IN_A_ROW, ends[p + 1])
+                rows.append((int(p), 1, None, np.diff(names[a:b], prepend=np.uint64(0)).tobytes(), counts[a:b].astype(np.uint32).tobytes()))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["part", "kind", "mass", "names", "counts"])
 
@@ -184,7 +185,7 @@ def _merge(least: int):
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64))], names=["name"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.to_pylist():  # some 25 KB each
                 if row["part"] != part:
                     if part is not None:
                         yield survivors()
@@ -249,7 +250,7 @@ def _count(n: int, survived: bytes, known: bytes | None, bits: int):
             for at, c in zip(places[first].tolist(), counts.tolist()):
                 key = lang, b" ".join(words[at : at + n]).decode("utf-8")
                 found[key] = found.get(key, 0) + c
-            if len(found) > HELD // 4:
+            if len(found) > PHRASES_HELD:
                 yield batch(found)
                 found = {}
         if found:
