@@ -32,6 +32,8 @@ BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 BATCH_BYTES = 4 << 20
 #: States that an item opens at once, and groups of tasks whose hits are merged first.
 OPENED, SALTS = 8, 64
+#: Entries of a search's states before the dead ones are dropped.
+HELD = 500_000
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _POSTINGS = "doc_ids array<long>, n_docs long, n_terms long, lengths binary, terms binary, df binary, cols binary, tf binary"
 _GRID = "doc_ids array<long>, terms binary, df binary, levels int, sizes binary, quarters binary, drops binary"
@@ -116,7 +118,7 @@ def opened(levels: int, sizes: np.ndarray, quarters: np.ndarray, drops: np.ndarr
         n = int(sizes[level])
         marks = np.unpackbits(quarters[at : at + (4 * n + 7) // 8])[: 4 * n].astype(bool)
         at += (4 * n + 7) // 8
-        number = np.full(4 * n, -1, np.int64)
+        number = np.full(4 * n, -1, np.int32)
         number[marks] = np.arange(ends[level], ends[level + 1])
         child.append(number)
         best.append(best[-1][np.flatnonzero(marks) // 4] - drops[ends[level] : ends[level + 1]])
@@ -174,13 +176,13 @@ def descend(block: dict, items: list[np.ndarray], weights: list[np.ndarray], hit
     levels, child, best = block["levels"], block["child"], block["best"]
     sizes = np.array([len(x) for x in items])
     some = np.flatnonzero(sizes)
-    # What states hold of terms: row, weight and cell, appended to and never moved.
-    row, weight = np.concatenate([items[i] for i in some]), np.concatenate([weights[i] for i in some])
-    cell = np.zeros(len(row), np.int64)
+    # What states hold of terms: row, weight and cell, appended to, and packed when the dead outgrow HELD.
+    row, weight = np.concatenate([items[i] for i in some]).astype(np.int32), np.concatenate([weights[i] for i in some]).astype(np.int32)
+    cell = np.zeros(len(row), np.int32)
     used = len(row)
     state = {"item": some, "level": np.zeros(len(some), np.int64), "col": np.zeros(len(some), np.int64), "count": sizes[some]}
     state["start"] = np.cumsum(state["count"]) - state["count"]
-    state["bound"] = np.add.reduceat(weight * best[0], state["start"])
+    state["bound"] = np.add.reduceat(weight.astype(np.int64) * best[0], state["start"])
     while len(state["item"]):
         # The best few of each item; what may not reach an item's least score goes.
         order = np.lexsort((-state["bound"], state["item"]))
@@ -207,13 +209,17 @@ def descend(block: dict, items: list[np.ndarray], weights: list[np.ndarray], hit
                 continue
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             kept = own[first]
-            made = {"item": now["item"][kept], "level": now["level"][kept] + 1, "col": 2 * now["col"][kept] + side, "count": np.diff(np.append(first, len(own))), "start": used + first, "bound": np.add.reduceat(w * best[c], first)}
-            while used + len(r) > len(row):
-                row, weight, cell = (np.concatenate([x, np.zeros_like(x)]) for x in (row, weight, cell))
+            made = {"item": now["item"][kept], "level": now["level"][kept] + 1, "col": 2 * now["col"][kept] + side, "count": np.diff(np.append(first, len(own))), "start": used + first, "bound": np.add.reduceat(w.astype(np.int64) * best[c], first)}
+            if used + len(r) > len(row):
+                row, weight, cell = (np.concatenate([x, np.zeros(max(len(x), len(r)), x.dtype)]) for x in (row, weight, cell))
             row[used : used + len(r)], weight[used : used + len(r)], cell[used : used + len(r)] = r, w, c
             used += len(r)
             new.append(made)
         state = {k: np.concatenate([state[k], *[x[k] for x in new]]) for k in state}
+        if used > HELD and used > 2 * state["count"].sum():
+            begin = np.cumsum(state["count"]) - state["count"]
+            at = np.repeat(state["start"] - begin, state["count"]) + np.arange(int(state["count"].sum()))
+            row, weight, cell, state["start"], used = row[at], weight[at], cell[at], begin, len(at)
 
 
 def _frequencies(terms: set[bytes]):
