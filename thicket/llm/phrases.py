@@ -19,6 +19,8 @@ the more frequent phrase, then to the one that sorts first by bytes. Columns oth
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -87,7 +89,7 @@ class Reader:
         self.hash = Remembered(_hash, 150_000)
         self.hash[_END] = 0
 
-    def hashes(self, lang: str, words: list[bytes], n: int, known: bytes | None, bits: int):
+    def hashes(self, lang: str, words: list[bytes], n: int, known: np.ndarray | None, bits: int):
         """(places, hashes) of the n-grams that lie within a piece and whose two (n-1)-grams are in known, if given."""
         single = np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words))
         if len(single) < n:
@@ -107,9 +109,13 @@ class Reader:
         return places, names[places]
 
 
-def _marked(table: bytes, names: np.ndarray, bits: int) -> np.ndarray:
+def _opened(table: bytes | None) -> np.ndarray | None:
+    return None if table is None else np.frombuffer(zlib.decompress(table), np.uint8)
+
+
+def _marked(table: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
     at = (names >> np.uint64(64 - bits)).astype(np.int64)
-    return (np.frombuffer(table, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def _summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +155,9 @@ def _send(n: int, parts: int, known: bytes | None, bits: int):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["part", "kind", "mass", "names", "counts"])
 
     def run(batches):
-        reader, kept, size = Reader(), [], 0
+        reader, kept, size, before = Reader(), [], 0, _opened(known)
         for lang, words in _blocks(batches):
-            _, names = reader.hashes(lang, words, n, known, bits)
+            _, names = reader.hashes(lang, words, n, before, bits)
             # The upper bits name an n-gram; more are not needed to tell most apart.
             names, counts = np.unique(names >> np.uint64(64 - NAME_BITS), return_counts=True)
             kept.append((names, counts.astype(np.int64)))
@@ -205,14 +211,14 @@ def _merge(least: int):
 
 
 def bit_table(names: DataFrame, bits: int) -> bytes:
-    """2 ** bits bits, set where a name (its NAME_BITS bits) falls; built by bitmaps, so only the table comes to the driver."""
+    """2 ** bits bits, packed, set where a name (its NAME_BITS bits) falls; built by bitmaps, so only the table comes to the driver."""
     at = F.shiftrightunsigned("name", NAME_BITS - bits) + 1  # Spark numbers buckets and bits from 1
     maps = names.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
     table = bytearray((1 << bits) // 8)
     for row in maps.collect():  # as many bits as the table has
         begin = (row["bucket"] - 1) * BITMAP // 8
         table[begin : begin + BITMAP // 8] = row["map"]
-    return bytes(table)
+    return zlib.compress(bytes(table), 1)  # tasks get it with their code, and it is mostly zeros
 
 
 def survivors(docs: DataFrame, n: int, least: int, known: bytes | None, mass: int, bits: int = TABLE_BITS) -> bytes:
@@ -234,12 +240,12 @@ def _count(n: int, survived: bytes, known: bytes | None, bits: int):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "f"])
 
     def run(batches):
-        reader, found = Reader(), {}
+        reader, found, before, kept = Reader(), {}, _opened(known), _opened(survived)
         for lang, words in _blocks(batches):
-            places, names = reader.hashes(lang, words, n, known, bits)
+            places, names = reader.hashes(lang, words, n, before, bits)
             if n == 1:
                 found[lang, None] = found.get((lang, None), 0) + len(places)
-            places = places[_marked(survived, names, bits)]
+            places = places[_marked(kept, names, bits)]
             # Numbers stand for words and then for longer and longer n-grams, so that counting compares words, not hashes.
             number: dict[bytes, int] = {}
             ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
