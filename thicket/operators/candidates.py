@@ -1,29 +1,11 @@
-"""The candidate space of copied clades as joins over a species tree's node table."""
+"""How often a clade may be copied."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def numbered(species: DataFrame) -> DataFrame:
-    """Node table of one tree with ord: leaves in preorder, then inner nodes in postorder. Candidate ids follow it."""
-    order = Window.orderBy(F.desc("is_leaf"), F.when(F.col("is_leaf"), F.col("tin")).otherwise(F.col("post")))
-    return species.withColumn("ord", F.row_number().over(order))
-
-
-def pairs(species: DataFrame, redundant: bool = False) -> DataFrame:
-    """(mt_id, h, t) of donor and target nodes: no target strictly below its donor and, unless asked for, none beside it."""
-    nodes = numbered(species)
-    h = nodes.select(F.col("node_id").alias("h"), F.col("ord").alias("h_ord"), F.col("tin").alias("h_in"), F.col("tout").alias("h_out"), F.col("parent_id").alias("h_up"))
-    t = nodes.select(F.col("node_id").alias("t"), F.col("ord").alias("t_ord"), F.col("tin").alias("t_in"), F.col("parent_id").alias("t_up"))
-    legal = (F.col("h") == F.col("t")) | (F.col("t_in") < F.col("h_in")) | (F.col("t_in") > F.col("h_out"))
-    if not redundant:
-        beside = F.coalesce(F.col("h_up") == F.col("t_up"), F.lit(False)) & (F.col("h") != F.col("t"))
-        legal = legal & ~beside
-    return h.join(t, legal).select(F.row_number().over(Window.orderBy("h_ord", "t_ord")).alias("mt_id"), "h", "t")
-
-
 def allowance(species: DataFrame, limits: DataFrame, copies: DataFrame) -> DataFrame:
     """(h, allowed): how often each clade may be copied, the least over its species of (limit - copies) / copies in the clade.
 

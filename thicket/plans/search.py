@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 from ..operators import sweep
-from ..sources import corpus
+from ..sources import corpus, newick
 
-#: Units of a donor clade above which a tree is left out.
-MOST_UNITS = 6
+#: Free units above which a tree is left out.
+MOST_UNITS = 15
 
 
 def region_species(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,8 @@ def region_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaf.unionByName(inner).select("family", "node", "parent", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), F.col("depth").cast("int").alias("depth"))
 
 
-def region_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(genes, leaves, weights) of each order's part in each region, a caterpillar of its leaves; equal trees count once with their number."""
-    parts = corpus.gene_leaves(spark, sf_dir).groupBy("gt_id", F.col("region").alias("family")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rank"))), lambda x: x["rank"]).alias("s"))
+def combs(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(genes, leaves, weights) of caterpillars (family, s), s being their leaves' species leaves; equal trees count once with their number."""
     alike = F.concat(F.array_sort(F.slice("s", 1, 2)), F.slice("s", 3, F.size("s")))
     classes = stored(parts.groupBy("family", alike.alias("s")).agg(F.count("*").alias("weight")).withColumn("gt", F.monotonically_increasing_id()))
     leaves = classes.select("family", "gt", F.posexplode("s").alias("leaf", "pos"))
@@ -40,6 +39,41 @@ def region_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return genes, leaves, classes.select("family", "gt", "weight")
 
 
+def region_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """combs() of each order's part in each region."""
+    return combs(corpus.gene_leaves(spark, sf_dir).groupBy("gt_id", F.col("region").alias("family")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rank"))), lambda x: x["rank"]).alias("s")))
+
+
+def sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of the whole species tree over all orders' whole trees; nodes are preorder numbers."""
+    newicks = newick.species_newick(corpus.species_leaves(spark, sf_dir)).withColumnRenamed("tree_id", "family")
+    species = sweep.species_nodes(newicks).drop("species")
+    leaves = corpus.placed_leaves(spark, sf_dir)
+    parts = leaves.groupBy("gt_id").agg(F.lit(0).cast("long").alias("family"), F.transform(F.array_sort(F.collect_list(F.struct("place", "pos"))), lambda x: x["pos"]).alias("s"))
+    return sweep.score_candidates(*combs(parts), species, MOST_UNITS).drop("family")
+
+
+def pin_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every different tree of a region, donor, unit and target, whether the unit is tied to the original (0), to the copy (1) or free; trees go by their leaves."""
+    species = stored(region_species(spark, sf_dir))
+    genes, leaves, _ = region_trees(spark, sf_dir)
+    trees = stored(newick.listed(genes, leaves, sweep.KEY))
+    found = stored(sweep.units(trees, species))
+    named = trees.select(*sweep.KEY, F.array_join("pos", ",").alias("tree"))
+    runs = found.select(*sweep.KEY, "h", "unit", "lo", "hi")
+    tied = sweep.pins(trees, species, found).join(runs, [*sweep.KEY, "h", "unit"]).join(named, sweep.KEY)
+    return tied.select("family", "tree", "h", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "t", "state")
+
+
+def free_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every candidate of a region the number of different trees by how many units are free, and the choices that leaves."""
+    species = stored(region_species(spark, sf_dir))
+    genes, leaves, weights = region_trees(spark, sf_dir)
+    trees = stored(newick.listed(genes, leaves, sweep.KEY))
+    load = sweep.work(sweep.pins(trees, species, stored(sweep.units(trees, species))))
+    return load.groupBy("family", "h", "t", "n_free").agg(F.count("*").alias("n_trees"), F.sum(F.pow(F.lit(2.0), "n_free")).alias("choices"))
+
+
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every region's tree over all orders, without building one."""
     species = stored(region_species(spark, sf_dir))
@@ -76,6 +110,23 @@ al AS (SELECT a.family, a.node AS h, b.node AS t, a.ord AS ho, b.ord AS tb, a.no
        FROM so a JOIN so b USING (family) WHERE a.node = b.node OR NOT (a.lo <= b.lo AND b.hi <= a.hi)),
 ca AS (SELECT family, row_number() OVER (PARTITION BY family ORDER BY ho, tb) AS mt_id, h, t FROM al WHERE NOT beside)"""
 
+#: Units of each donor clade under each target, and what their sister clade ties them to.
+PINS_SQL = """
+ls AS (SELECT gt_id, region AS family, list(rank ORDER BY place) AS s FROM gl GROUP BY ALL),
+cl AS (SELECT DISTINCT family, list_concat(list_sort(s[1:2]), s[3:]) AS s FROM ls),
+lf AS (SELECT family, s, unnest(s) AS pos, unnest(range(len(s))) AS leaf, len(s) AS n FROM cl),
+gn AS (SELECT family, s, leaf AS lo, leaf AS hi, n FROM lf UNION ALL SELECT family, s, 0, leaf, n FROM lf WHERE leaf > 0),
+sp2 AS (SELECT g.family, g.s, g.lo, g.hi, g.n, min(l.pos) AS f, max(l.pos) AS z, count(DISTINCT l.pos) AS kinds FROM gn g JOIN lf l ON g.family = l.family AND g.s = l.s AND l.leaf BETWEEN g.lo AND g.hi GROUP BY ALL),
+fi AS (SELECT * FROM sp2 x WHERE lo = hi OR kinds = (SELECT sum(k.kinds) FROM sp2 k WHERE k.family = x.family AND k.s = x.s AND (k.lo = 0 AND k.hi = x.hi - 1 OR k.lo = x.hi AND k.hi = x.hi))),
+mv AS (SELECT fi.*, sn.node AS h FROM fi JOIN sn ON fi.family = sn.family AND fi.f >= sn.lo AND fi.z <= sn.hi),
+un AS (SELECT * FROM mv a WHERE NOT EXISTS (SELECT 1 FROM mv b WHERE b.family = a.family AND b.s = a.s AND b.h = a.h AND b.lo <= a.lo AND b.hi >= a.hi AND (b.lo <> a.lo OR b.hi <> a.hi))),
+si AS (SELECT un.family, un.s, un.h, un.lo, un.hi, x.f, x.z FROM un LEFT JOIN sp2 x ON x.family = un.family AND x.s = un.s AND un.hi - un.lo + 1 < un.n
+         AND (CASE WHEN un.lo = 0 THEN x.lo = un.hi + 1 AND x.hi = un.hi + 1 ELSE x.lo = 0 AND x.hi = un.lo - 1 END)),
+ss AS (SELECT a.family, a.node AS h, a.lo AS hlo, a.hi AS hhi, b.lo AS slo, b.hi AS shi FROM sn a LEFT JOIN sn b ON a.family = b.family AND a.parent = b.parent AND a.node <> b.node),
+st AS (SELECT si.*, ss.hlo, ss.hhi, ss.slo, ss.shi, t.node AS t, t.lo AS tlo, t.hi AS thi FROM si JOIN ss USING (family, h) JOIN al ON al.family = si.family AND al.h = si.h JOIN sn t ON t.family = si.family AND t.node = al.t),
+pi AS (SELECT family, array_to_string(s, ',') AS tree, h, lo, hi, t, CAST(CASE WHEN slo <= f AND z <= shi AND t <> h AND NOT (slo <= tlo AND thi <= shi) THEN 0 WHEN tlo <= f AND z <= thi AND NOT (tlo <= hlo AND hhi <= thi) THEN 1 END AS INTEGER) AS state FROM st)
+"""
+
 #: Every candidate tree built, every choice for its units tried, every gene node's image found among its leaves' ancestors.
 SCORED_SQL = (
     SPACE_SQL
@@ -119,12 +170,14 @@ fs AS (SELECT su.family, coalesce(ca.mt_id, 0) AS mt_id, ca.h, ca.t, score, n_tr
 """
 )
 
-QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts)}
+QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts, sweep_scores, pin_states, free_units)}
 
 _Q = "WITH " + corpus.LEAVES_SQL + ","
 ORACLE_SQL = {
     "candidate_scores": _Q + SCORED_SQL + "SELECT family, mt_id, h, t, score, n_trees, n_skipped FROM fs",
     "candidate_ranking": _Q + SCORED_SQL + "SELECT family, mt_id, h, t, score, rank, gain FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score, mt_id) AS rank, max(CASE WHEN mt_id = 0 THEN score END) OVER (PARTITION BY family) - score AS gain FROM fs) WHERE rank <= 5 OR mt_id = 0",
+    "pin_states": _Q + SPACE_SQL + "," + PINS_SQL + "SELECT * FROM pi",
+    "free_units": _Q + SPACE_SQL + "," + PINS_SQL + ", w AS (SELECT family, tree, h, t, count(*) FILTER (state IS NULL) AS n_free FROM pi GROUP BY ALL) SELECT family, h, t, n_free, count(*) AS n_trees, sum(2.0::DOUBLE ** n_free) AS choices FROM w GROUP BY family, h, t, n_free",
     "region_candidates": _Q + SPACE_SQL + " SELECT * FROM ca",
     "candidate_counts": _Q + SPACE_SQL + " SELECT family, h, count(*) AS n_all, count(*) FILTER (NOT beside) AS n FROM al GROUP BY family, h",
 }

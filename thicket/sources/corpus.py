@@ -45,6 +45,28 @@ def gene_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes.withColumn("place", F.row_number().over(order)).select("gt_id", "place", "nation", "species", "region", "rank", "size", "regions", "leaf_depth")
 
 
+def placed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene_leaves with leaf, a leaf's number in its tree from 0, and pos, its species leaf's in the species tree, both from left to right."""
+    order = Window.orderBy("region", "rank")  # one row a nation
+    places = species_leaves(spark, sf_dir).select("nation", (F.row_number().over(order) - 1).alias("pos"))
+    return gene_leaves(spark, sf_dir).join(F.broadcast(places), "nation").withColumn("leaf", F.col("place") - 1)
+
+
+def balanced_nodes(leaves: DataFrame) -> DataFrame:
+    """(tree_id, u, parent, lo, hi): each order's leaves as a balanced tree instead of a caterpillar.
+
+    A node of level l covers 2 ** l leaves from a multiple of that on, as far as there are any; one that covers what its only
+    child does is left out. u is 100,000 lo + hi.
+    """
+    sizes = leaves.groupBy(F.col("gt_id").alias("tree_id")).agg(F.count("*").alias("n"))
+    top = F.ceil(F.log2("n")).cast("int")
+    spread = sizes.withColumn("top", top).withColumn("l", F.explode(F.sequence(F.lit(0), "top")))
+    spread = spread.withColumn("j", F.explode(F.expr("sequence(0L, (n - 1) >> l)"))).filter("l = 0 OR (j << l) + (1L << (l - 1)) < n")
+    up = F.expr("get(filter(sequence(1, top - l), m -> ((j >> m) << (l + m)) + (1L << (l + m - 1)) < n), 0)")
+    spread = spread.withColumn("m", F.when(F.col("l") < F.col("top"), up)).selectExpr("tree_id", "j << l AS lo", "least((j + 1) << l, n) - 1 AS hi", "(j >> m) << (l + m) AS plo", "least(((j >> m) + 1) << (l + m), n) - 1 AS phi")
+    return spread.selectExpr("tree_id", "100000 * lo + hi AS u", "100000 * plo + phi AS parent", "int(lo) AS lo", "int(hi) AS hi")
+
+
 #: The same leaves in SQL, as common table expressions that other queries begin with.
 LEAVES_SQL = """
 rg AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) - 1 AS region, count(*) OVER () AS regions FROM region),
@@ -56,3 +78,20 @@ sl AS (SELECT *, regions - greatest(1, region) + size - 1 - greatest(1, rank) +
 gl AS (SELECT l_orderkey AS gt_id,
               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, sl.*
        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN sl ON s_nationkey = sl.nation)"""
+
+#: The whole species tree's nodes, leaves with their places, and the balanced trees' nodes in SQL, after LEAVES_SQL.
+BALANCED_SQL = """
+sq AS (SELECT *, row_number() OVER (ORDER BY region, rank) - 1 AS pos FROM sl),
+sr AS (SELECT region, min(pos) AS a, max(pos) AS z FROM sq GROUP BY region),
+si AS (SELECT pos AS lo, pos AS hi, species AS name FROM sq UNION ALL SELECT a, pos, NULL FROM sq JOIN sr USING (region) WHERE rank > 0 UNION ALL SELECT 0, z, NULL FROM sr WHERE region > 0),
+sd AS (SELECT CAST(row_number() OVER (ORDER BY lo, hi DESC) - 1 AS INTEGER) AS node, lo, hi, name, (SELECT count(*) - 1 FROM si a WHERE a.lo <= s.lo AND s.hi <= a.hi) AS depth FROM si s),
+bl AS (SELECT gt_id, place - 1 AS leaf, pos, gl.nation, gl.species FROM gl JOIN sq USING (nation)),
+bz AS (SELECT gt_id, count(*) AS n FROM gl GROUP BY gt_id),
+bn AS (SELECT gt_id, n, (j << l) AS lo, least((j + 1) << l, n) - 1 AS hi FROM (SELECT *, unnest(range(((n - 1) >> l) + 1)) AS j FROM (SELECT *, unnest(range(CAST(ceil(log2(n)) AS BIGINT) + 1)) AS l FROM bz)) WHERE l = 0 OR (j << l) + (1 << (l - 1)) < n),
+bp AS (SELECT b.gt_id, b.lo, b.hi, arg_min(p.lo, p.hi - p.lo) AS plo, arg_min(p.hi, p.hi - p.lo) AS phi FROM bn b LEFT JOIN bn p ON p.gt_id = b.gt_id AND p.lo <= b.lo AND b.hi <= p.hi AND (p.lo <> b.lo OR p.hi <> b.hi) GROUP BY ALL),
+bs AS (SELECT b.gt_id, b.lo, b.hi, plo, phi, min(pos) AS f, max(pos) AS z, count(DISTINCT pos) AS kinds FROM bp b JOIN bl ON bl.gt_id = b.gt_id AND leaf BETWEEN b.lo AND b.hi GROUP BY ALL),
+bt AS (SELECT f, z, arg_max(node, depth) AS image, max(depth) AS d FROM (SELECT DISTINCT f, z FROM bs) JOIN sd ON sd.lo <= f AND z <= sd.hi GROUP BY f, z),
+bi AS (SELECT bs.*, image, d FROM bs JOIN bt USING (f, z)),
+bm AS (SELECT p.gt_id, p.lo, p.hi, p.plo, p.image, p.d, CAST(coalesce(max(CASE WHEN k.image = p.image THEN 1 ELSE 0 END), 0) AS INTEGER) AS dup, list(k.d) FILTER (k.d IS NOT NULL) AS ds
+       FROM bi p LEFT JOIN bi k ON k.gt_id = p.gt_id AND k.plo = p.lo AND k.phi = p.hi GROUP BY ALL),
+bc AS (SELECT gt_id, lo, hi, image, dup, CAST(coalesce(list_sum(list_transform(ds, lambda x: greatest(0, x - d - 1 + dup))), 0) + CASE WHEN plo IS NULL THEN d ELSE 0 END AS INTEGER) AS loss FROM bm)"""

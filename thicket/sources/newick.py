@@ -15,8 +15,8 @@ from ..functions.storage import stored
 
 #: Pairs of species leaves up to this many are broadcast, some 20 bytes each; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
-NODES = "tree_id long, node_id int, parent_id int, child_ord int, name string, species string, is_leaf boolean, dist double, depth int, tin int, tout int, post int"
-TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+NODES = "tree_id long, node_id int, parent_id int, child_ord int, name string, species string, is_leaf boolean, dist double, depth int, tin int, tout int, post int, lo int, hi int"
+TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def read(spark, path: str) -> DataFrame:
@@ -26,11 +26,14 @@ def read(spark, path: str) -> DataFrame:
 
 
 def _nodes(tree_id, tree: trees.Tree):
+    leaves_before = [0]
+    for u in sorted(range(len(tree.parent)), key=tree.tin.__getitem__):
+        leaves_before.append(leaves_before[-1] + (not tree.children[u]))
     for u in range(len(tree.parent)):
         leaf = not tree.children[u]
         name = tree.name[u] if leaf or not tree.name[u].replace(".", "", 1).isdigit() else None
         parent = tree.parent[u]
-        yield tree_id, u, parent if u else None, tree.children[parent].index(u) if u else 0, name, trees.species_of(name) if leaf else None, leaf, tree.dist[u], tree.depth[u], tree.tin[u], tree.tout[u], tree.post[u]
+        yield tree_id, u, parent if u else None, tree.children[parent].index(u) if u else 0, name, trees.species_of(name) if leaf else None, leaf, tree.dist[u], tree.depth[u], tree.tin[u], tree.tout[u], tree.post[u], leaves_before[tree.tin[u]], leaves_before[tree.tout[u] + 1] - 1
 
 
 def parse(newicks: DataFrame) -> DataFrame:
@@ -49,9 +52,10 @@ def parse(newicks: DataFrame) -> DataFrame:
     return newicks.select(F.col("tree_id").cast("long"), "newick").mapInArrow(nodes, NODES)
 
 
-def rejects(newicks: DataFrame) -> DataFrame:
-    """The rows of newicks that parse() has nothing for."""
-    return newicks.join(parse(newicks).select("tree_id").distinct(), "tree_id", "left_anti")
+def rejects(newicks: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """The rows of newicks that parse() has nothing for; parsed is what it has, if that is at hand."""
+    parsed = parse(newicks) if parsed is None else parsed
+    return newicks.join(parsed.filter("parent_id IS NULL").select("tree_id"), "tree_id", "left_anti")
 
 
 def write(leaves: DataFrame) -> DataFrame:
@@ -74,27 +78,81 @@ def species_newick(species: DataFrame) -> DataFrame:
     return whole.select(F.lit(0).cast("long").alias("tree_id"), F.concat("newick", F.lit(";")).alias("newick"))
 
 
+def pairs_below(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, lo, hi, node, depth): every two leaves of a tree, by number, and the lowest node above both; a leaf is above itself.
+
+    Two leaves meet where they lie below different children, so each pair is made once and nothing is searched.
+    """
+    kid = nodes.filter("parent_id IS NOT NULL").select(key, F.col("parent_id").alias("node_id"), "lo", "hi")
+    left, right = kid.select(key, "node_id", F.col("lo").alias("a"), F.col("hi").alias("b")), kid.select(key, "node_id", F.col("lo").alias("c"), F.col("hi").alias("d"))
+    two = left.join(right, [key, "node_id"]).filter("b < c").join(nodes.select(key, "node_id", "depth"), [key, "node_id"])
+    met = two.withColumn("lo", F.explode(F.sequence("a", "b"))).withColumn("hi", F.explode(F.sequence("c", "d"))).select(key, "lo", "hi", F.col("node_id").alias("node"), "depth")
+    return met.unionByName(nodes.filter("lo = hi").select(key, "lo", "hi", F.col("node_id").alias("node"), "depth"))
+
+
+def listed(nodes: DataFrame, leaves: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, pos, nodes): a row a tree; pos is each leaf's species leaf in order, nodes (lo, hi, u, parent) are in preorder.
+
+    nodes has (*key, u, parent, lo, hi) and leaves (*key, leaf, pos). All later steps of a tree go on from this row.
+    """
+    none = F.lit(None)
+    inner = nodes.select(*key, F.struct("lo", (-F.col("hi")).alias("z"), F.col("u").cast("long").alias("u"), F.col("parent").cast("long").alias("parent")).alias("node"), none.cast("struct<leaf:int,pos:int>").alias("tip"))
+    tips = leaves.select(*key, none.cast("struct<lo:int,z:int,u:bigint,parent:bigint>").alias("node"), F.struct(F.col("leaf").cast("int").alias("leaf"), F.col("pos").cast("int").alias("pos")).alias("tip"))
+    rows = inner.unionByName(tips).groupBy(*key).agg(F.sort_array(F.collect_list("tip")).alias("tips"), F.sort_array(F.collect_list("node")).alias("nodes"))
+    return rows.select(*key, F.transform("tips", lambda x: x["pos"]).alias("pos"), F.transform("nodes", lambda x: F.struct(x["lo"].alias("lo"), (-x["z"]).alias("hi"), x["u"].alias("u"), x["parent"].alias("parent"))).alias("nodes"))
+
+
+def spans(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, u, parent, lo, hi, first, last, kinds) of every node of listed(): least and greatest species leaf below it, and how many different ones."""
+    each = rows.select(*key, "pos", F.inline("nodes")).withColumn("held", F.slice("pos", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
+    return each.select(*key, "u", "parent", "lo", "hi", F.array_min("held").alias("first"), F.array_max("held").alias("last"), F.size(F.array_distinct("held")).alias("kinds"))
+
+
+def unresolved(parsed: DataFrame) -> DataFrame:
+    """(tree_id, reason) of parsed trees that are not binary: unrooted if the root has over two children, polytomy for another such node, unary for one child."""
+    kids = parsed.filter("parent_id IS NOT NULL").groupBy("tree_id", "parent_id").agg(F.count("*").alias("n")).filter("n <> 2")
+    reason = F.when(F.col("n") == 1, "unary").when(F.col("parent_id") == 0, "unrooted").otherwise("polytomy")
+    return kids.select("tree_id", reason.alias("reason")).groupBy("tree_id").agg(F.max("reason").alias("reason"))  # unrooted before unary before polytomy
+
+
+def placed(genes: DataFrame, species: DataFrame) -> DataFrame:
+    """(tree_id, leaf, pos) of parsed gene trees: each leaf's number and that of its species' leaf; a gene of a species that the tree lacks is an error."""
+    tips = species.filter("is_leaf").select("species", F.col("lo").alias("pos"))
+    lost = F.raise_error(F.concat(F.lit("no such species: "), F.coalesce("species", F.lit("null")))).cast("int")
+    return genes.filter("is_leaf").join(tips, "species", "left").select("tree_id", F.col("lo").alias("leaf"), F.coalesce("pos", lost).alias("pos"))
+
+
 def lowest_common(species: DataFrame) -> DataFrame:
-    """(lo, hi, image, image_depth): the lowest node above the leaves with these preorder numbers, for every two of them."""
-    tips = species.filter("is_leaf").select("tin")
-    pairs = tips.select(F.col("tin").alias("lo")).join(tips.select(F.col("tin").alias("hi")), F.col("lo") <= F.col("hi"))
-    above = species.select(F.col("tin").alias("image"), F.col("tout").alias("last"), F.col("depth").alias("d"))
-    return pairs.join(above, (F.col("image") <= F.col("lo")) & (F.col("hi") <= F.col("last"))).groupBy("lo", "hi").agg(F.max_by("image", "d").alias("image"), F.max("d").cast("int").alias("image_depth"))
+    """(first, last, image, image_depth) of every two leaves of one tree (node_id, parent_id, lo, hi, depth), broadcast if few."""
+    lowest = stored(pairs_below(species.withColumn("one", F.lit(0)), "one"))
+    lowest = lowest.select(F.col("lo").alias("first"), F.col("hi").alias("last"), F.col("node").alias("image"), F.col("depth").alias("image_depth"))
+    return F.broadcast(lowest) if lowest.count() <= BROADCAST_PAIRS else lowest
+
+
+def mapped(nodes: DataFrame, leaves: DataFrame, species: DataFrame) -> DataFrame:
+    """(tree_id, node_id, parent_id, is_leaf, lo, hi, image, image_depth, dup, loss) of every node of gene trees against one species tree.
+
+    nodes has (tree_id, u, parent, lo, hi), leaves (tree_id, leaf, pos), species (node_id, parent_id, lo, hi, depth).
+    """
+    each = spans(listed(nodes, leaves, ["tree_id"]), ["tree_id"])
+    images = each.join(lowest_common(species), ["first", "last"])
+    # A node's row, and the same as a child of its parent: one grouping brings both together, without a join.
+    own = F.struct(F.col("u").alias("node_id"), F.struct("parent", "lo", "hi", "image", "image_depth").alias("own"), F.lit(None).cast("struct<image:int,image_depth:int>").alias("kid"))
+    kid = F.struct(F.col("parent").alias("node_id"), F.lit(None).cast("struct<parent:bigint,lo:int,hi:int,image:int,image_depth:int>").alias("own"), F.struct("image", "image_depth").alias("kid"))
+    met = images.select("tree_id", F.inline(F.array(own, kid))).filter("node_id IS NOT NULL").groupBy("tree_id", "node_id").agg(F.max("own").alias("own"), F.collect_list("kid").alias("kids"))
+    flat = met.select("tree_id", "node_id", F.col("own.parent").alias("parent_id"), (F.size("kids") == 0).alias("is_leaf"), "own.lo", "own.hi", "own.image", "own.image_depth", "kids")
+    flat = flat.withColumn("dup", F.exists("kids", lambda x: x["image"] == F.col("image")).cast("int"))
+    edge = F.aggregate("kids", F.lit(0), lambda t, x: t + F.greatest(F.lit(0), x["image_depth"] - F.col("image_depth") - 1 + F.col("dup")))
+    return flat.withColumn("loss", edge + F.when(F.col("parent_id").isNull(), F.col("image_depth")).otherwise(0)).drop("kids")
+
+
+def totals(nodes: DataFrame) -> DataFrame:
+    """(tree_id, n_leaves, n_dups, n_losses, score) of mapped nodes."""
+    found = nodes.groupBy("tree_id").agg(F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"), F.sum("dup").cast("long").alias("n_dups"), F.sum("loss").cast("long").alias("n_losses"))
+    return found.withColumn("score", F.col("n_dups") + F.col("n_losses"))
 
 
 def scored(genes: DataFrame, species: DataFrame) -> DataFrame:
     """(tree_id, n_leaves, n_dups, n_losses, score) of parsed gene trees against one parsed species tree; a gene of a species that it lacks is an error."""
-    tips = species.filter("is_leaf").select("species", F.col("tin").alias("at"))
-    lost = F.raise_error(F.concat(F.lit("no such species: "), F.coalesce("species", F.lit("null")))).cast("int")
-    leaves = genes.filter("is_leaf").join(tips, "species", "left").select("tree_id", F.col("tin").alias("leaf"), F.coalesce("at", lost).alias("at"))
-    inside = (F.col("g.tree_id") == F.col("l.tree_id")) & F.col("l.leaf").between(F.col("g.tin"), F.col("g.tout"))
-    spans = genes.alias("g").join(leaves.alias("l"), inside).groupBy("g.tree_id", "g.node_id", "g.parent_id", "g.is_leaf").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    lowest = stored(lowest_common(species))
-    lowest = F.broadcast(lowest) if lowest.count() <= BROADCAST_PAIRS else lowest
-    mapped = spans.join(lowest, ["lo", "hi"]).select("tree_id", "node_id", "parent_id", "is_leaf", "image", "image_depth")
-    child = mapped.select("tree_id", F.col("parent_id").alias("node_id"), F.col("image").alias("ci"), F.col("image_depth").alias("cd"))
-    joined = mapped.join(child, ["tree_id", "node_id"], "left").groupBy("tree_id", "node_id", "parent_id", "is_leaf", "image", "image_depth").agg(F.max(F.when(F.col("ci") == F.col("image"), 1).otherwise(0)).alias("dup"), F.collect_list("cd").alias("cd"))
-    edge = F.aggregate("cd", F.lit(0), lambda t, d: t + F.greatest(F.lit(0), d - F.col("image_depth") - 1 + F.col("dup")))
-    costs = joined.withColumn("loss", edge + F.when(F.col("parent_id").isNull(), F.col("image_depth")).otherwise(0))
-    found = costs.groupBy("tree_id").agg(F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"), F.sum("dup").cast("long").alias("n_dups"), F.sum("loss").cast("long").alias("n_losses"))
-    return found.withColumn("score", F.col("n_dups") + F.col("n_losses"))
+    nodes = genes.select("tree_id", F.col("node_id").alias("u"), F.col("parent_id").alias("parent"), "lo", "hi")
+    return totals(mapped(nodes, placed(genes, species), species))
