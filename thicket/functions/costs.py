@@ -200,3 +200,19 @@ def sweep(s: Species, trees: Trees, weight, u_tree, u_donor, u_lo, u_hi, w_dup:
         np.add.at(differs, u_donor[rows], weight[u_tree[rows]][:, None] * (least - base))
         at = upto
     return plain, by_target, differs
+
+
+def best_choice(s: Species, tree: Trees, at: int, donor: int, target: int, lo, hi, w_dup: float, w_loss: float, most: int = 4_000_000) -> tuple[float, list[int]]:
+    """(cost, copy of each unit) of tree number `at` for one donor and target, units being its runs (lo, hi): of the cheapest choices the first in order of units."""
+    k, lo, hi = len(lo), np.asarray(lo, np.int64), np.asarray(hi, np.int64)
+    best = None
+    for begin in range(0, 1 << k, max(1, most // len(s.lo))):
+        order = np.arange(begin, min(1 << k, begin + max(1, most // len(s.lo))))
+        # The first unit is the highest digit, so that the first cheapest choice is the one wanted.
+        taken = (order[:, None] >> np.arange(k)[::-1]) & 1 == 1
+        case, unit = np.nonzero(taken)
+        costs, _ = vectors(s, tree, np.full(len(order), at), np.full(len(order), s.depth[donor]), case, lo[unit], hi[unit], w_dup, w_loss)
+        i = int(np.argmin(costs[:, target]))
+        if best is None or costs[i, target] < best[0]:
+            best = float(costs[i, target]), taken[i].astype(int).tolist()
+    return best
