@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
-from ..operators import canon, maps, sweep
+from ..operators import canon, maps, surgery, sweep
 from ..sources import corpus, newick
 
 
@@ -66,6 +66,30 @@ def balanced_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("digest").agg(F.max("n_leaves").cast("long").alias("n_leaves"), F.count("*").alias("places"), F.count_distinct("tree_id").alias("n_trees")).filter("n_trees > 1")
 
 
+def region_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every balanced tree cut at its largest clades of one region other than the first: how many clades and leaves go, what stays, and the spans of what stays added up."""
+    nodes, leaves = tables(spark, sf_dir)
+    listed = newick.listed(nodes, leaves.select("tree_id", "leaf", "pos"), ["tree_id"])
+    regions = corpus.placed_leaves(spark, sf_dir).groupBy(F.col("gt_id").alias("tree_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("leaf", "region"))), lambda x: F.when(x["region"] > 0, x["region"].cast("int"))).alias("labels"))
+    trees = stored(listed.join(regions, "tree_id"))
+    inner, outer = surgery.partition(trees, ["tree_id"])
+    cut = inner.groupBy("tree_id").agg(F.count("*").alias("n_inner"), F.sum(F.size("pos")).alias("inner_leaves"))
+    left = outer.select("tree_id", F.size("pos").cast("long").alias("outer_leaves"), F.aggregate("nodes", F.lit(0).cast("long"), lambda t, x: t + x["hi"] - x["lo"]).alias("outer_spans"))
+    zero = lambda *names: [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names]
+    return trees.select("tree_id").join(cut, "tree_id", "left").join(left, "tree_id", "left").select(F.col("tree_id").alias("gt_id"), *zero("n_inner", "inner_leaves", "outer_leaves", "outer_spans"))
+
+
+def tree_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each balanced tree of different nations is the species tree, cut down to them, and how many clades differ."""
+    nodes, leaves = tables(spark, sf_dir)
+    listed = newick.listed(nodes, leaves.select("tree_id", "leaf", "pos"), ["tree_id"]).select("tree_id", F.col("pos").alias("names"), "nodes")
+    tree = species(spark, sf_dir)
+    spans = F.sort_array(F.collect_list(F.struct("lo", (-F.col("hi")).alias("z"))))
+    target = tree.agg(spans.alias("s"), F.sort_array(F.collect_list(F.when(F.col("is_leaf"), F.col("lo")))).alias("names"))
+    target = target.select("names", F.transform("s", lambda x: F.struct(x["lo"].alias("lo"), (-x["z"]).alias("hi"))).alias("nodes"))
+    return surgery.contained(listed, target, ["tree_id"]).withColumnRenamed("tree_id", "gt_id")
+
+
 def unit_counts(rule: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes, leaves = tables(spark, sf_dir)
@@ -80,7 +104,7 @@ def unit_counts(rule: str):
     return query
 
 
-QUERIES = {f.__name__: f for f in (balanced_scores, balanced_map, balanced_dup_loss, balanced_orthology, balanced_classes, balanced_clades, *[unit_counts(r) for r in ("strict", "engine", "maximal")])}
+QUERIES = {f.__name__: f for f in (balanced_scores, balanced_map, balanced_dup_loss, balanced_orthology, balanced_classes, balanced_clades, region_partition, tree_containment, *[unit_counts(r) for r in ("strict", "engine", "maximal")])}
 
 _Q = "WITH " + corpus.LEAVES_SQL + "," + corpus.BALANCED_SQL
 _FITS = {
@@ -114,4 +138,18 @@ ORACLE_SQL = {
     "balanced_classes": _R + "SELECT signature, min(gt_id) AS rep_gt_id, count(*) AS n_trees FROM (SELECT gt_id, x[1] AS signature FROM lv WHERE len(x) = 1) GROUP BY signature",
     "balanced_clades": _R + """, nd AS (SELECT gt_id, x[i] AS digest, w[i] AS n_leaves FROM (SELECT a.*, b.w AS below, unnest(range(1, len(a.x) + 1)) AS i FROM lv a JOIN lv b ON a.gt_id = b.gt_id AND b.l = a.l - 1) WHERE 2 * i <= len(below))
       SELECT digest, max(n_leaves) AS n_leaves, count(*) AS places, count(DISTINCT gt_id) AS n_trees FROM nd WHERE n_leaves > 2 GROUP BY digest HAVING count(DISTINCT gt_id) > 1""",
+    "region_partition": _Q + """, rl AS (SELECT gt_id, place - 1 AS leaf, CASE WHEN gl.region > 0 THEN gl.region END AS label FROM gl),
+      nl AS (SELECT b.gt_id, b.lo, b.hi, count(label) AS c, min(label) AS a, max(label) AS z FROM bn b JOIN rl ON rl.gt_id = b.gt_id AND leaf BETWEEN b.lo AND b.hi GROUP BY ALL),
+      pu AS (SELECT * FROM nl WHERE c = hi - lo + 1 AND a = z),
+      mx AS (SELECT * FROM pu p WHERE NOT EXISTS (SELECT 1 FROM pu q WHERE q.gt_id = p.gt_id AND q.lo <= p.lo AND p.hi <= q.hi AND (q.lo <> p.lo OR q.hi <> p.hi))),
+      kp AS (SELECT gt_id, leaf FROM rl WHERE NOT EXISTS (SELECT 1 FROM mx WHERE mx.gt_id = rl.gt_id AND rl.leaf BETWEEN mx.lo AND mx.hi)),
+      r AS (SELECT b.gt_id, b.lo, b.hi, plo, phi, count(kp.leaf) AS r FROM bp b LEFT JOIN kp ON kp.gt_id = b.gt_id AND kp.leaf BETWEEN b.lo AND b.hi GROUP BY ALL),
+      sv AS (SELECT p.gt_id, p.r FROM r p LEFT JOIN r k ON k.gt_id = p.gt_id AND k.plo = p.lo AND k.phi = p.hi GROUP BY p.gt_id, p.lo, p.hi, p.r HAVING p.r > 0 AND coalesce(max(k.r), 0) < p.r),
+      i AS (SELECT gt_id, count(*) AS n_inner, sum(hi - lo + 1) AS inner_leaves FROM mx GROUP BY gt_id), o AS (SELECT gt_id, max(r) AS outer_leaves, sum(r - 1) AS outer_spans FROM sv GROUP BY gt_id)
+      SELECT gt_id, coalesce(n_inner, 0) AS n_inner, CAST(coalesce(inner_leaves, 0) AS BIGINT) AS inner_leaves, coalesce(outer_leaves, 0) AS outer_leaves, CAST(coalesce(outer_spans, 0) AS BIGINT) AS outer_spans FROM bz LEFT JOIN i USING (gt_id) LEFT JOIN o USING (gt_id)""",
+    "tree_containment": _Q + """, ks AS (SELECT gt_id, n, n = (SELECT count(DISTINCT pos) FROM bl WHERE bl.gt_id = bz.gt_id) AS fits FROM bz),
+      own AS (SELECT DISTINCT b.gt_id, list_sort(list(pos)) AS c FROM bn b JOIN ks ON ks.gt_id = b.gt_id AND fits JOIN bl ON bl.gt_id = b.gt_id AND leaf BETWEEN b.lo AND b.hi WHERE b.lo < b.hi GROUP BY b.gt_id, b.lo, b.hi),
+      oth AS (SELECT DISTINCT gt_id, c FROM (SELECT bl.gt_id, node, list_sort(list(pos)) AS c FROM bl JOIN ks ON ks.gt_id = bl.gt_id AND fits JOIN sd ON pos BETWEEN sd.lo AND sd.hi GROUP BY bl.gt_id, node) WHERE len(c) > 1),
+      df AS (SELECT gt_id, count(*) AS d FROM ((SELECT * FROM own EXCEPT SELECT * FROM oth) UNION ALL (SELECT * FROM oth EXCEPT SELECT * FROM own)) GROUP BY gt_id)
+      SELECT gt_id, n AS n_taxa, CASE WHEN fits THEN coalesce(d, 0) END AS distance, fits AND coalesce(d, 0) = 0 AS contained FROM ks LEFT JOIN df USING (gt_id)""",
 } | {f"balanced_units_{r}": _units_sql(r) for r in _FITS}

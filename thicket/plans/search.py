@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
-from ..operators import sweep
+from ..operators import events, surgery, sweep
 from ..sources import corpus, newick
 
 #: Free units above which a tree is left out.
@@ -89,6 +89,25 @@ def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.filter((F.col("rank") <= 5) | (F.col("mt_id") == 0)).select("family", "mt_id", "h", "t", "score", "rank", "gain")
 
 
+def full_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three events of each region, one after the other, each on the tree that the one before left."""
+    species = region_species(spark, sf_dir).withColumn("species", F.when(F.col("lo") == F.col("hi"), F.concat(F.lit("s"), F.col("lo").cast("string"))))
+    found, _ = events.full_search(*region_trees(spark, sf_dir), species, 3, MOST_UNITS)
+    return found
+
+
+def event_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's trees taken apart by the map of its best candidate: clades on the original and on the copy, and what is left, by their leaves."""
+    species = stored(region_species(spark, sf_dir))
+    genes, leaves, weights = region_trees(spark, sf_dir)
+    trees = stored(newick.listed(genes, leaves, sweep.KEY))
+    won = stored(events.winners(sweep.score_candidates(genes, leaves, weights, species, MOST_UNITS)))
+    copies = events.winning_copies(trees, stored(sweep.units(trees, species)), won, species)
+    inner, outer = surgery.partition(stored(events.labelled(trees, copies)), sweep.KEY)
+    both = inner.select(*sweep.KEY, F.when(F.col("label") == 0, "original").otherwise("copy").alias("side"), F.size("pos").alias("n")).unionByName(outer.select(*sweep.KEY, F.lit("rest").alias("side"), F.size("pos").alias("n")))
+    return both.join(weights, sweep.KEY).groupBy("family", "side", F.col("n").cast("long").alias("n_leaves")).agg(F.sum("weight").alias("n_trees"))
+
+
 def region_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donor and target of each candidate of each region's tree."""
     return sweep.candidates(region_species(spark, sf_dir))
@@ -170,7 +189,7 @@ fs AS (SELECT su.family, coalesce(ca.mt_id, 0) AS mt_id, ca.h, ca.t, score, n_tr
 """
 )
 
-QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts, sweep_scores, pin_states, free_units)}
+QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts, sweep_scores, pin_states, free_units, full_events, event_partition)}
 
 _Q = "WITH " + corpus.LEAVES_SQL + ","
 ORACLE_SQL = {
