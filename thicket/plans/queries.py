@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import compare, grouping, maps, network, reconcile, select
 from ..sources import corpus, newick
-from . import balanced, search
+from . import balanced, networks, search
 
 Q = "WITH " + corpus.LEAVES_SQL
 N = Q + "," + reconcile.NODES_SQL
@@ -144,7 +144,7 @@ def user_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.array_join("s", ",").alias("signature"), F.size("s").cast("long").alias("n_leaves"), F.size(F.array_distinct("s")).cast("long").alias("n_species"), "n_trees")
 
 
-QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees)} | search.QUERIES | balanced.QUERIES
+QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees)} | search.QUERIES | balanced.QUERIES | networks.QUERIES
 
 SCORES = N + ",\nsc AS (SELECT gt_id, count(*) AS n_leaves, CAST(sum(dup) AS BIGINT) AS n_dups, CAST(sum(loss) AS BIGINT) AS n_losses, CAST(sum(dup) + sum(loss) AS BIGINT) AS score FROM nc GROUP BY gt_id)\n"
 COPIES = Q + """,
@@ -194,4 +194,4 @@ ORACLE_SQL = {
       t AS (SELECT user_id, k // 16 AS run, list(event_type ORDER BY k) AS s FROM p GROUP BY ALL),
       c AS (SELECT list_concat(list_sort(s[1:2]), s[3:]) AS s FROM t)
       SELECT array_to_string(s, ',') AS signature, len(s) AS n_leaves, len(list_distinct(s)) AS n_species, count(*) AS n_trees FROM c GROUP BY s""",
-} | search.ORACLE_SQL | balanced.ORACLE_SQL
+} | search.ORACLE_SQL | balanced.ORACLE_SQL | networks.ORACLE_SQL
