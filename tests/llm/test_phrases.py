@@ -79,10 +79,12 @@ def test_counts_past_64_bits(spark):
 def test_every_frequent_name_survives(stream, least, tasks):
     """Summaries of parts of a stream, merged in turn: what comes up `least` times is still there."""
     capacity = len(stream) // least + 1
-    names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    names, counts, taken = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
     for k in range(tasks):
         part, n = np.unique(np.array(stream[k::tasks], np.uint64), return_counts=True)
         names, counts = phrases._summed(np.concatenate([names, part]), np.concatenate([counts, n.astype(np.int64)]))
-        names, counts = phrases.lowered(names, counts, capacity)
+        names, counts, by = phrases.lowered(names, counts, capacity)
+        taken += by
         assert len(names) <= capacity
+    assert taken < least and all(collections.Counter(stream)[x] <= n + taken for x, n in zip(names.tolist(), counts.tolist()))
     assert {x for x, n in collections.Counter(stream).items() if n >= least} <= set(names.tolist())

@@ -5,8 +5,9 @@ For each number of words, 1 to 4, texts are read twice. The first reading names
 words and deals hashes to partitions; a task sends a partition what it has of its hashes with their counts, and how many
 occurrences that were. A partition then knows its mass before it sees a hash and keeps a summary of more than mass / least
 counters: whenever more are in use, all are lowered by so much that enough fall to zero. All that is ever taken from one counter
-is therefore less than `least`, so every phrase found `least` times survives, with others. Summaries merge by adding their
-counters and lowering them again. Hashes that meet only raise one another's counters.
+is therefore less than `least`, so every phrase found `least` times keeps a counter; one whose counter and all that was ever
+taken do not reach `least` goes. Summaries merge by adding their counters and lowering them again. Hashes that meet only raise
+one another's counters.
 
 The survivors mark a bit table of fixed size, built by Spark as bitmaps. The second reading counts the phrases whose bit is set,
 by their words, and sums are exact; only those of at least `least` stay. Longer phrases are only looked for where both parts
@@ -20,13 +21,15 @@ the more frequent phrase, then to the one that sorts first by bytes. Columns oth
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, forgotten, stored, workers_find_package
+from .common import forgotten, stored, workers_find_package
 
 #: What ends a piece, and the blanks between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -35,8 +38,8 @@ LONGEST = 4
 TABLE_BITS, BITMAP = 27, 32_768
 #: Bits of a hash that are sent.
 NAME_BITS = 44
-#: Hashes and phrases that a task keeps at most before it sends what it has, and hashes in a row: batches of rows stay small.
-HELD, PHRASES_HELD, IN_A_ROW = 1_000_000, 100_000, 2048
+#: Hashes, phrases and numbered words that a task keeps at most before it sends what it has or begins anew, and hashes in a row: batches of rows stay small.
+HELD, PHRASES_HELD, WORDS_HELD, IN_A_ROW = 1_000_000, 200_000, 200_000, 2048
 #: Counters of a partition's summary that its task should not exceed, as far as partitions can be added.
 COUNTERS = 1_000_000
 #: Groups of a language's phrases whose best are taken first.
@@ -83,19 +86,36 @@ def _words(texts: list[bytes]) -> list[bytes]:
 
 
 class Reader:
-    """N-grams of blocks of words, with hashes; a bit table may say which shorter n-grams are worth extending."""
+    """N-grams of blocks of words, with hashes; a bit table may say which shorter n-grams are worth extending.
 
-    def __init__(self):
-        self.hash = Remembered(_hash, 150_000)
-        self.hash[_END] = 0
+    Words are numbered as they come up, so that numbers stand for words exactly; new numbers begin once there are many.
+    """
 
-    def hashes(self, lang: str, words: list[bytes], n: int, known: np.ndarray | None, bits: int):
-        """(places, hashes) of the n-grams that lie within a piece and whose two (n-1)-grams are in known, if given."""
-        single = np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words))
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[_END]  # 0
+        self.hash = np.zeros(1, np.uint64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.number) > WORDS_HELD:
+            self.clear()
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > len(self.hash):
+            new = islice(self.number, len(self.hash), None)
+            self.hash = np.append(self.hash, np.fromiter(map(_hash, new), np.uint64, len(self.number) - len(self.hash)))
+        return found
+
+    def hashes(self, lang: str, found: np.ndarray, n: int, known: np.ndarray | None, bits: int):
+        """(places, hashes) of the n-grams of numbered words that lie within a piece and whose two (n-1)-grams are in known, if given."""
+        single = self.hash[found]
         if len(single) < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         seed = np.uint64(_hash(lang.encode("utf-8", "surrogatepass")))
-        full = single != 0
+        full = found != 0
         names = _mixed(np.full(len(single), seed), single)
         good = full
         for k in range(2, n + 1):
@@ -119,18 +139,19 @@ def _marked(table: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     names, counts = names[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
     return names[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def lowered(names: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A summary cut to capacity counters: all are lowered by the largest of those that have no place."""
+def lowered(names: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A summary cut to capacity counters, and by how much all were lowered: by the largest of those that have no place."""
+    by = 0
     if len(names) > capacity:
-        counts = counts - np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
-        names, counts = names[counts > 0], counts[counts > 0]
-    return names, counts
+        by = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+        names, counts = names[counts > by], counts[counts > by] - by
+    return names, counts, by
 
 
 #: kind 0: a task's mass for a partition; kind 1: sorted hashes, as differences, and their counts.
@@ -141,9 +162,8 @@ def _send(n: int, parts: int, known: bytes | None, bits: int):
     """What a task knows about the n-grams of its texts, by partition."""
 
     def packed(names, counts):
-        part = ((names & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((names, part))
-        names, counts, part = names[order], counts[order], part[order]
+        # Partitions are ranges of hashes, so what is sorted by hash is so by partition.
+        part = (names * np.uint64(parts)) >> np.uint64(NAME_BITS)
         ends = np.searchsorted(part, np.arange(parts + 1))
         rows = []
         for p in np.unique(part):
@@ -155,21 +175,25 @@ def _send(n: int, parts: int, known: bytes | None, bits: int):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["part", "kind", "mass", "names", "counts"])
 
     def run(batches):
-        reader, kept, size, before = Reader(), [], 0, _opened(known)
+        reader, kept, raw, size, before = Reader(), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0, _opened(known)
+
+        def added():
+            names, counts = np.unique(np.concatenate(raw), return_counts=True)
+            return _summed(np.concatenate([kept[0], names]), np.concatenate([kept[1], counts])) if len(kept[0]) else (names, counts)
+
         for lang, words in _blocks(batches):
-            _, names = reader.hashes(lang, words, n, before, bits)
             # The upper bits name an n-gram; more are not needed to tell most apart.
-            names, counts = np.unique(names >> np.uint64(64 - NAME_BITS), return_counts=True)
-            kept.append((names, counts.astype(np.int64)))
+            names = reader.hashes(lang, reader.numbers(words), n, before, bits)[1] >> np.uint64(64 - NAME_BITS)
+            raw.append(names)
             size += len(names)
             if size > HELD:
-                kept = [_summed(np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept]))]
-                size = len(kept[0][0])
-                if size > HELD // 2:
-                    yield packed(*kept[0])
-                    kept, size = [], 0
-        if kept:
-            yield packed(*_summed(np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])))
+                kept, raw, size = added(), [], 0
+                if len(kept[0]) > HELD:
+                    yield packed(*kept)
+                    kept = kept[0][:0], kept[1][:0]
+        if raw or len(kept[0]):
+            raw.append(np.zeros(0, np.uint64))
+            yield packed(*added())
 
     return run
 
@@ -178,24 +202,25 @@ def _merge(least: int):
     """Survivors of each partition's summary; rows come by partition, masses before hashes."""
 
     def run(batches):
-        part, mass, names, counts, buffer, held = None, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        part, mass, names, counts, taken, buffer, held = None, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
 
         def settled():
-            nonlocal names, counts, buffer, held
+            nonlocal names, counts, taken, buffer, held
             names, counts = _summed(np.concatenate([names, *[a for a, _ in buffer]]), np.concatenate([counts, *[b for _, b in buffer]]))
-            names, counts = lowered(names, counts, mass // least + 1)
-            buffer, held = [], 0
+            names, counts, by = lowered(names, counts, mass // least + 1)
+            taken, buffer, held = taken + by, [], 0
 
         def survivors():
             settled()
-            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64))], names=["name"])
+            # No count is above its counter and all that was taken, so less than `least` is none to keep.
+            return pa.RecordBatch.from_arrays([pa.array(names[counts + taken >= least].astype(np.int64))], names=["name"])
 
         for batch in batches:
             for row in batch.to_pylist():  # some 25 KB each
                 if row["part"] != part:
                     if part is not None:
                         yield survivors()
-                    part, mass, names, counts = row["part"], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    part, mass, taken, names, counts = row["part"], 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if row["kind"] == 0:
                     mass += row["mass"]
                     continue
@@ -213,7 +238,9 @@ def _merge(least: int):
 def bit_table(names: DataFrame, bits: int) -> bytes:
     """2 ** bits bits, packed, set where a name (its NAME_BITS bits) falls; built by bitmaps, so only the table comes to the driver."""
     at = F.shiftrightunsigned("name", NAME_BITS - bits) + 1  # Spark numbers buckets and bits from 1
-    maps = names.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    bits_of = names.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).distinct()
+    # Dealt before the bitmaps are made: else each task would send a bitmap of 4 KB for each bucket.
+    maps = bits_of.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
     table = bytearray((1 << bits) // 8)
     for row in maps.collect():  # as many bits as the table has
         begin = (row["bucket"] - 1) * BITMAP // 8
@@ -237,26 +264,27 @@ def _count(n: int, survived: bytes, known: bytes | None, bits: int):
     """(lang, phrase, f) of each task's n-grams whose bit is set, and for single words (lang, null, all words)."""
 
     def batch(found):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "f"])
+        rows = [(lang, phrase, f) for lang, held in found.items() for phrase, f in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
 
     def run(batches):
         reader, found, before, kept = Reader(), {}, _opened(known), _opened(survived)
         for lang, words in _blocks(batches):
-            places, names = reader.hashes(lang, words, n, before, bits)
+            held = found.setdefault(lang, {})
+            ids = reader.numbers(words)
+            places, names = reader.hashes(lang, ids, n, before, bits)
             if n == 1:
-                found[lang, None] = found.get((lang, None), 0) + len(places)
+                held[None] = held.get(None, 0) + len(places)
             places = places[_marked(kept, names, bits)]
             # Numbers stand for words and then for longer and longer n-grams, so that counting compares words, not hashes.
-            number: dict[bytes, int] = {}
-            ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
             now = ids[places]
             for k in range(1, n):
                 now = np.unique((now << np.int64(32)) | ids[places + k], return_inverse=True)[1]
             _, first, counts = np.unique(now, return_index=True, return_counts=True)
             for at, c in zip(places[first].tolist(), counts.tolist()):
-                key = lang, b" ".join(words[at : at + n]).decode("utf-8")
-                found[key] = found.get(key, 0) + c
-            if len(found) > PHRASES_HELD:
+                phrase = b" ".join(words[at : at + n]).decode()
+                held[phrase] = held.get(phrase, 0) + c
+            if sum(map(len, found.values())) > PHRASES_HELD:
                 yield batch(found)
                 found = {}
         if found:
@@ -280,7 +308,7 @@ def _named(phrases: DataFrame) -> DataFrame:
             names = []
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = phrase.encode().split(b" ")
-                names.append(int(reader.hashes(lang, words, len(words), None, 0)[1][0] >> np.uint64(64 - NAME_BITS)))
+                names.append(int(reader.hashes(lang, reader.numbers(words), len(words), None, 0)[1][0] >> np.uint64(64 - NAME_BITS)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64())], names=["name"])
 
     return phrases.select("lang", "phrase").mapInArrow(run, "name long")
