@@ -79,7 +79,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = select.density(score_single(spark, sf_dir).select("score"))
-    return found.select("point", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+    return found.select("point", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"), "valley")
 
 
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +176,9 @@ ORACLE_SQL = {
     "score_histogram": SCORES + ", e AS (SELECT min(score) AS low, max(score) AS high FROM sc) SELECT CAST(CASE WHEN high = low THEN 1 ELSE least(30, floor((score - low) / ((high - low) / 30)) + 1) END AS INTEGER) AS bin, count(*) AS n FROM sc, e GROUP BY 1",
     "score_density": SCORES + """, t AS (SELECT count(*) AS n, min(score) AS low, max(score) AS high, stddev_samp(score) * count(*) ** -0.2 AS h FROM sc),
       g AS (SELECT CAST(range AS INTEGER) AS point, low + (high - low) * range / 99 AS x, n, h FROM t, range(100)),
-      c AS (SELECT score, count(*) AS m FROM sc GROUP BY score)
-      SELECT point, round(x, 6) AS x, round(sum(m * exp(-power((x - score) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM g, c GROUP BY point, x""",
+      c AS (SELECT score, count(*) AS m FROM sc GROUP BY score),
+      d AS (SELECT point, x, sum(m * exp(-power((x - score) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())) AS d FROM g, c GROUP BY point, x)
+      SELECT point, round(x, 6) AS x, round(d, 6) AS density, coalesce(d < lag(d) OVER w AND d < lead(d) OVER w, false) AS valley FROM d WINDOW w AS (ORDER BY point)""",
     "ploidy_distance": COPIES + """, l AS (SELECT a, b, taxon, n - 1 AS x FROM pr JOIN cp ON a = tree), r AS (SELECT a, b, taxon, n - 1 AS y FROM pr JOIN cp ON b = tree),
       e AS (SELECT a, b, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM l FULL JOIN r USING (a, b, taxon)),
       s AS (SELECT a, b, sum(least(x, y)) AS tp, sum(y) AS sy, sum(x) AS sx, sum(greatest(x, y)) AS u FROM e GROUP BY a, b)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
-from ..operators import events, surgery, sweep
+from ..operators import events, select, surgery, sweep
 from ..sources import corpus, newick
 
 #: Free units above which a tree is left out.
@@ -108,6 +108,28 @@ def event_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(weights, sweep.KEY).groupBy("family", "side", F.col("n").cast("long").alias("n_leaves")).agg(F.sum("weight").alias("n_trees"))
 
 
+def score_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valleys of each region's candidate scores; a side without one is null."""
+    found = select.valleys(candidate_scores(spark, sf_dir))
+    near = lambda c: F.when(F.abs(c) < float("inf"), F.round(c, 6)).alias(c)
+    return found.select("family", near("input"), near("first"), near("left"), near("right"))
+
+
+#: (n_best, cutoff) of candidate_selection.
+CHOICES = [(3, ("input", False, 0.0)), (0, ("input", True, 0.1)), (-1, ("first", False, 500.0)), (-2, ("left", False, 0.0)), (-3, ("right", True, 0.05)), (-4, ("none", False, 0.0))]
+
+
+def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of each region that a search goes on with, for each way to say how many, and which of them pass."""
+    scores = stored(candidate_scores(spark, sf_dir))
+    bounds = stored(select.valleys(scores))
+    found = None
+    for n, cutoff in CHOICES:
+        part = select.selected(scores, bounds, n, cutoff=cutoff).withColumn("n_best", F.lit(n))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def region_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Donor and target of each candidate of each region's tree."""
     return sweep.candidates(region_species(spark, sf_dir))
@@ -189,12 +211,34 @@ fs AS (SELECT su.family, coalesce(ca.mt_id, 0) AS mt_id, ca.h, ca.t, score, n_tr
 """
 )
 
-QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts, sweep_scores, pin_states, free_units, full_events, event_partition)}
+QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts, sweep_scores, pin_states, free_units, full_events, event_partition, score_valleys, candidate_selection)}
 
 _Q = "WITH " + corpus.LEAVES_SQL + ","
+_VALLEYS = """,
+vc AS (SELECT family, score, count(*) AS m FROM fs WHERE score IS NOT NULL GROUP BY ALL),
+vt AS (SELECT family, count(*) AS n, min(score) AS low, max(score) AS high, stddev_samp(score) * count(*) ** -0.2 AS h, max(CASE WHEN mt_id = 0 THEN score END) AS input FROM fs WHERE score IS NOT NULL GROUP BY family),
+vg AS (SELECT family, p, low + (high - low) * p / 99 AS x, n, h FROM vt, (SELECT unnest(range(100)) AS p) WHERE n >= 3 AND high > low),
+vd AS (SELECT family, p, x, sum(m * exp(-power((x - score) / h, 2) / 2)) AS d FROM vg JOIN vc USING (family) GROUP BY family, p, x),
+vl AS (SELECT family, x FROM (SELECT *, lag(d) OVER w AS b, lead(d) OVER w AS a FROM vd WINDOW w AS (PARTITION BY family ORDER BY p)) WHERE d < a AND d < b),
+va AS (SELECT vt.family, input, coalesce(min(x), any_value(high)) AS "first", coalesce(max(x) FILTER (x < input), '-infinity'::DOUBLE) AS "left", coalesce(min(x) FILTER (x > input), 'infinity'::DOUBLE) AS "right" FROM vt LEFT JOIN vl USING (family) GROUP BY vt.family, input)
+"""
+
+
+def _selection_sql() -> str:
+    rank = "rk AS (SELECT family, mt_id, score, row_number() OVER (PARTITION BY family ORDER BY score, mt_id) AS rank FROM fs WHERE mt_id > 0)"
+    parts = ["SELECT family, 0 AS mt_id, input AS score, NULL::BIGINT AS rank, true AS passed, unnest([" + ", ".join(str(n) for n, _ in CHOICES) + "]) AS n_best FROM va"]
+    for n, (reference, relative, offset) in CHOICES:
+        keep = f'rank <= {n}' if n > 0 else f'(score <= "{select.BREAKS[n]}" OR rank = 1)' if n in select.BREAKS else "true"
+        passed = "true" if reference == "none" else f'{offset}::DOUBLE * {chr(34) + reference + chr(34) if relative else "1"} < "{reference}" - score'
+        parts.append(f"SELECT family, mt_id, score, rank, {passed}, {n} FROM rk JOIN va USING (family) WHERE {keep}")
+    return _VALLEYS + ", " + rank + " ".join([" ", " UNION ALL ".join(parts)])
+
+
 ORACLE_SQL = {
     "candidate_scores": _Q + SCORED_SQL + "SELECT family, mt_id, h, t, score, n_trees, n_skipped FROM fs",
     "candidate_ranking": _Q + SCORED_SQL + "SELECT family, mt_id, h, t, score, rank, gain FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score, mt_id) AS rank, max(CASE WHEN mt_id = 0 THEN score END) OVER (PARTITION BY family) - score AS gain FROM fs) WHERE rank <= 5 OR mt_id = 0",
+    "score_valleys": _Q + SCORED_SQL + _VALLEYS + 'SELECT family, round(input, 6) AS input, round("first", 6) AS "first", CASE WHEN isfinite("left") THEN round("left", 6) END AS "left", CASE WHEN isfinite("right") THEN round("right", 6) END AS "right" FROM va',
+    "candidate_selection": _Q + SCORED_SQL + _selection_sql(),
     "pin_states": _Q + SPACE_SQL + "," + PINS_SQL + "SELECT * FROM pi",
     "free_units": _Q + SPACE_SQL + "," + PINS_SQL + ", w AS (SELECT family, tree, h, t, count(*) FILTER (state IS NULL) AS n_free FROM pi GROUP BY ALL) SELECT family, h, t, n_free, count(*) AS n_trees, sum(2.0::DOUBLE ** n_free) AS choices FROM w GROUP BY family, h, t, n_free",
     "region_candidates": _Q + SPACE_SQL + " SELECT * FROM ca",
