@@ -120,3 +120,26 @@ def test_sweep_equals_built_candidates(spark):
             assert got[f, k] == (sum((1 + i % 3) * brute_trees.score(trees.parse_newick(x), s, pair) for i, x in enumerate(texts)), 0)
     with pytest.raises(Exception, match="no such species: Z"):
         sweep.score_newicks(spark.createDataFrame([(0, "(a_A,z_Z);", 1)], "family long, newick string, weight long"), spark.createDataFrame([(0, S)], "family long, newick string")).collect()
+
+
+def test_inputs_by_kind(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("(a,b);\r\n\n  (c,d);\n")
+    (tmp_path / "two.txt").write_text("\n(e,\nf);\n")
+    (tmp_path / "empty.txt").write_text(" \n")
+    kinds = [newick.kind_of(spark, x) for x in ("(a,b)", str(tmp_path / "one.txt"), str(tmp_path), str(tmp_path / "t*.txt"), str(tmp_path / "no"), str(tmp_path / "no*"))]
+    assert kinds == ["raw", "file", "dir", "glob", "missing", "missing"]
+    got = [(os.path.basename(r.origin), r.newick) for r in newick.read(spark, str(tmp_path / "one.txt")).collect()]
+    assert sorted(got) == [("one.txt:1", "(a,b);"), ("one.txt:3", "(c,d);")]
+    assert [r.newick for r in newick.read(spark, str(tmp_path / "t*.txt")).collect()] == ["(e,\nf);"]
+    assert newick.read(spark, str(tmp_path)).count() == 2 and newick.read(spark, " (a,b); ").first().newick == "(a,b);"
+    with pytest.raises(FileNotFoundError):
+        newick.read(spark, str(tmp_path / "no"))
+
+
+def test_support_quotas(spark):
+    texts = ["((a_A,b_B)50,(c_C,d_A)90);", "((a_A,b_B)0.5,c_C);", "(a_A,b_B);", "((a_A,b_B),(c_C,(d_D,e_A)80)100);", "a_A;", "((a_A,b_A)0,c_A);"]
+    parsed = newick.parse(spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string"))
+    got = {r.tree_id: (r.o, r.r, round(r.q, 6)) for r in grouping.support_quotas(parsed).collect()}
+    # A missing support is 1 and is divided by 100 as the others are.
+    assert got == {0: (0.75, 0.7, 0.724138), 1: (0.75, 0.5, 0.6), 2: (0.5, 1.0, 0.666667), 3: (1.0, (1 + 100 + 80) / 100 / 3, round(2 * 0.603333333 / 1.603333333, 6)), 4: (0.25, 1.0, 0.4), 5: (0.25, 0.0, 0.0)}
+    assert grouping.support_quotas(parsed, 8).filter("tree_id = 2").first().o == 0.25

@@ -47,6 +47,34 @@ def quotas(leaves: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(total)).select("gt_id", o.alias("o"), (2 * o / (o + 1)).alias("q"))
 
 
+def support_quotas(parsed: DataFrame, n_species: int | None = None) -> DataFrame:
+    """(tree_id, o, r, q) of parsed trees: the share of all species that a tree has, the mean support of its inner nodes but the root, and their harmonic mean.
+
+    Supports are of 100 in trees where one is over 1, and 1 where one is missing. A tree of up to two leaves has r 1. Without
+    n_species the species of all trees count.
+    """
+    inner = ~F.col("is_leaf") & F.col("parent_id").isNotNull()
+    support = F.when(inner, F.coalesce("support", F.lit(1.0)))
+    each = parsed.groupBy("tree_id").agg(F.count_distinct(F.when(F.col("is_leaf"), F.col("species"))).alias("present"), F.count_if("is_leaf").alias("n"), F.coalesce(F.sum(support), F.lit(0.0)).alias("sum"), F.max(support).alias("most"))
+    if n_species is None:
+        total = parsed.filter("is_leaf").agg(F.count_distinct("species").alias("all"))
+        each = each.crossJoin(F.broadcast(total))  # one row
+    else:
+        each = each.withColumn("all", F.lit(n_species))
+    o = F.when(F.col("all") > 0, F.col("present") / F.col("all")).otherwise(0.0)
+    r = F.when(F.col("n") <= 2, 1.0).otherwise(F.col("sum") / F.when(F.col("most") > 1, 100.0).otherwise(1.0) / (F.col("n") - 2))
+    found = each.select("tree_id", o.alias("o"), r.alias("r"))
+    return found.withColumn("q", F.when(F.col("o") + F.col("r") > 0, 2 * F.col("o") * F.col("r") / (F.col("o") + F.col("r"))).otherwise(0.0))
+
+
+def lineages(trees: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, label, n_groups, largest) of trees (*key, labels, nodes): the largest clades of one label, and how many leaves the largest of them has."""
+    from .surgery import maximal_clades
+
+    size = F.col("hi") - F.col("lo") + 1
+    return maximal_clades(trees, key).groupBy(*key, "label").agg(F.count("*").alias("n_groups"), F.max(size).cast("long").alias("largest"))
+
+
 UNITS_SQL = """
 fr AS (SELECT *, min(region) OVER w = max(region) OVER w AS pure, row_number() OVER (PARTITION BY gt_id, nation ORDER BY place) = 1 AS fresh
        FROM gl WINDOW w AS (PARTITION BY gt_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
-from ..operators import canon, maps, surgery, sweep
+from ..operators import candidates, canon, grouping, maps, rooting, surgery, sweep
 from ..sources import corpus, newick
 
 
@@ -90,6 +90,35 @@ def tree_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surgery.contained(listed, target, ["tree_id"]).withColumnRenamed("tree_id", "gt_id")
 
 
+def best_rootings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest of all rootings of every balanced tree, how many there are, and the dearest."""
+    found = rooting.best(rooting.rootings(*tables(spark, sf_dir), species(spark, sf_dir)))
+    return found.select(F.col("tree_id").alias("gt_id"), "score", "n_rootings", "worst")
+
+
+def support_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of species and of support of every order's caterpillar, twice a lineitem's quantity being the support of its node."""
+    leaves = corpus.gene_leaves(spark, sf_dir, "l_quantity").withColumn("support", (2 * F.col("l_quantity")).cast("int"))
+    found = grouping.support_quotas(newick.parse(newick.write(leaves, "support")))
+    return found.select(F.col("tree_id").alias("gt_id"), *[F.round(c, 6).alias(c) for c in ("o", "r", "q")])
+
+
+def effective_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many clades of one nation alone each balanced tree has, and the largest."""
+    nodes, leaves = tables(spark, sf_dir)
+    listed = newick.listed(nodes, leaves.select("tree_id", "leaf", F.col("nation").alias("pos")), ["tree_id"])
+    return grouping.lineages(listed.select("tree_id", F.col("pos").alias("labels"), "nodes"), ["tree_id"]).select(F.col("tree_id").alias("gt_id"), F.col("label").alias("nation"), "n_groups", "largest")
+
+
+def copy_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each clade of the species tree may be copied, if a nation may come up as often as it has suppliers, by the remainder of 4, and twice more."""
+    tree = species(spark, sf_dir)
+    nations = corpus.table(spark, sf_dir, "nation").join(corpus.table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    limits = nations.groupBy(F.replace("n_name", F.lit("_"), F.lit("-")).alias("species")).agg((F.count("s_suppkey") % 4 + 1).cast("int").alias("max_copies"))
+    found = candidates.allowance(tree, limits, tree.filter("is_leaf").select("species", F.lit(1).alias("copies")))
+    return found.select("h", F.col("allowed").cast("long").alias("allowed"))
+
+
 def unit_counts(rule: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes, leaves = tables(spark, sf_dir)
@@ -104,7 +133,7 @@ def unit_counts(rule: str):
     return query
 
 
-QUERIES = {f.__name__: f for f in (balanced_scores, balanced_map, balanced_dup_loss, balanced_orthology, balanced_classes, balanced_clades, region_partition, tree_containment, *[unit_counts(r) for r in ("strict", "engine", "maximal")])}
+QUERIES = {f.__name__: f for f in (balanced_scores, balanced_map, balanced_dup_loss, balanced_orthology, balanced_classes, balanced_clades, region_partition, tree_containment, best_rootings, support_quotas, effective_lineages, copy_allowance, *[unit_counts(r) for r in ("strict", "engine", "maximal")])}
 
 _Q = "WITH " + corpus.LEAVES_SQL + "," + corpus.BALANCED_SQL
 _FITS = {
@@ -147,6 +176,17 @@ ORACLE_SQL = {
       sv AS (SELECT p.gt_id, p.r FROM r p LEFT JOIN r k ON k.gt_id = p.gt_id AND k.plo = p.lo AND k.phi = p.hi GROUP BY p.gt_id, p.lo, p.hi, p.r HAVING p.r > 0 AND coalesce(max(k.r), 0) < p.r),
       i AS (SELECT gt_id, count(*) AS n_inner, sum(hi - lo + 1) AS inner_leaves FROM mx GROUP BY gt_id), o AS (SELECT gt_id, max(r) AS outer_leaves, sum(r - 1) AS outer_spans FROM sv GROUP BY gt_id)
       SELECT gt_id, coalesce(n_inner, 0) AS n_inner, CAST(coalesce(inner_leaves, 0) AS BIGINT) AS inner_leaves, coalesce(outer_leaves, 0) AS outer_leaves, CAST(coalesce(outer_spans, 0) AS BIGINT) AS outer_spans FROM bz LEFT JOIN i USING (gt_id) LEFT JOIN o USING (gt_id)""",
+    "support_quotas": "WITH " + corpus.LEAVES_SQL + """, q AS (SELECT l_orderkey AS gt_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, 2 * l_quantity AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+      n AS (SELECT gt_id, count(DISTINCT nation) AS k, count(*) AS n FROM gl GROUP BY gt_id),
+      s AS (SELECT gt_id, sum(s) FILTER (place > 1 AND place < n) AS t, max(s) FILTER (place > 1 AND place < n) AS m FROM q JOIN n USING (gt_id) GROUP BY gt_id),
+      r AS (SELECT gt_id, k / (SELECT count(DISTINCT nation) FROM gl) AS o, CASE WHEN n <= 2 THEN 1 ELSE t / CASE WHEN m > 1 THEN 100 ELSE 1 END / (n - 2) END AS r FROM n JOIN s USING (gt_id))
+      SELECT gt_id, round(o, 6) AS o, round(r, 6) AS r, round(CASE WHEN o + r > 0 THEN 2 * o * r / (o + r) ELSE 0 END, 6) AS q FROM r""",
+    "effective_lineages": _Q + """, cs AS (SELECT gt_id, lo, hi, any_value(f) AS f FROM bs WHERE kinds = 1 GROUP BY gt_id, lo, hi),
+      mx AS (SELECT * FROM cs p WHERE NOT EXISTS (SELECT 1 FROM cs q WHERE q.gt_id = p.gt_id AND q.lo <= p.lo AND p.hi <= q.hi AND (q.lo <> p.lo OR q.hi <> p.hi)))
+      SELECT gt_id, nation, count(*) AS n_groups, max(hi - lo + 1) AS largest FROM mx JOIN sq ON pos = f GROUP BY gt_id, nation""",
+    "copy_allowance": _Q + """, lm AS (SELECT n_nationkey AS nation, count(s_suppkey) % 4 + 1 AS c FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey),
+      al AS (SELECT sd.node, sd.lo, sd.hi, min(c - 1) AS a FROM sd JOIN sq ON pos BETWEEN sd.lo AND sd.hi JOIN lm USING (nation) GROUP BY ALL)
+      SELECT node AS h, CAST(CASE WHEN EXISTS (SELECT 1 FROM al b WHERE b.a < 1 AND a.lo <= b.lo AND b.hi <= a.hi) THEN 0 ELSE a.a END AS BIGINT) AS allowed FROM al a""",
     "tree_containment": _Q + """, ks AS (SELECT gt_id, n, n = (SELECT count(DISTINCT pos) FROM bl WHERE bl.gt_id = bz.gt_id) AS fits FROM bz),
       own AS (SELECT DISTINCT b.gt_id, list_sort(list(pos)) AS c FROM bn b JOIN ks ON ks.gt_id = b.gt_id AND fits JOIN bl ON bl.gt_id = b.gt_id AND leaf BETWEEN b.lo AND b.hi WHERE b.lo < b.hi GROUP BY b.gt_id, b.lo, b.hi),
       oth AS (SELECT DISTINCT gt_id, c FROM (SELECT bl.gt_id, node, list_sort(list(pos)) AS c FROM bl JOIN ks ON ks.gt_id = bl.gt_id AND fits JOIN sd ON pos BETWEEN sd.lo AND sd.hi GROUP BY bl.gt_id, node) WHERE len(c) > 1),

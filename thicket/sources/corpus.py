@@ -35,14 +35,14 @@ def species_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gene_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gt_id, place, and the species leaf's columns) of each lineitem, places from 1 in each order's tree."""
+def gene_leaves(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(gt_id, place, and the species leaf's columns) of each lineitem, places from 1 in each order's tree; more names further columns of lineitem."""
     species = F.broadcast(species_leaves(spark, sf_dir))  # one row a nation
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", *more)
     order = Window.partitionBy("gt_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     genes = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).join(species, "nation").withColumnRenamed("l_orderkey", "gt_id")
-    return genes.withColumn("place", F.row_number().over(order)).select("gt_id", "place", "nation", "species", "region", "rank", "size", "regions", "leaf_depth")
+    return genes.withColumn("place", F.row_number().over(order)).select("gt_id", "place", "nation", "species", "region", "rank", "size", "regions", "leaf_depth", *more)
 
 
 def placed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,45 @@ from ..functions.storage import stored
 
 #: Pairs of species leaves up to this many are broadcast, some 20 bytes each; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
-NODES = "tree_id long, node_id int, parent_id int, child_ord int, name string, species string, is_leaf boolean, dist double, depth int, tin int, tout int, post int, lo int, hi int"
-TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+NODES = "tree_id long, node_id int, parent_id int, child_ord int, name string, species string, is_leaf boolean, dist double, depth int, tin int, tout int, post int, lo int, hi int, support double"
+TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
 
 
-def read(spark, path: str) -> DataFrame:
-    """(tree_id, origin, newick) of text files: a tree on each line, numbered in file order; blank lines are left out."""
+def kind_of(spark, text: str) -> str:
+    """What an input is: raw (it has a bracket or semicolon), file, dir, glob, or missing. Paths are asked of the file system that Spark reads from."""
+    if any(c in text for c in "();"):
+        return "raw"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path):
+        return "dir" if files.getFileStatus(path).isDirectory() else "file"
+    found = files.globStatus(path) if any(c in text for c in "*?[{") else None
+    return "glob" if found else "missing"
+
+
+def read(spark, text: str) -> DataFrame:
+    """(tree_id, origin, newick) of an input by its kind: raw text is one tree, a file one on each line, a folder or pattern one in each file.
+
+    origin is input, a line's file and number, or a file. Blank lines and files are left out, so that numbers are of lines in
+    the file. tree_id only tells trees apart.
+    """
+    kind = kind_of(spark, text)
+    if kind == "missing":
+        raise FileNotFoundError(f"no such input: {text}")
+    if kind == "raw":
+        rows = spark.createDataFrame([("input", text)], "origin string, newick string")
+    elif kind == "file":
+        # A file is read whole, for the number of a line is known to no one else.
+        whole = spark.read.text(text, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("k", "newick"))
+        rows = whole.select(F.concat("file", F.lit(":"), (F.col("k") + 1).cast("string")).alias("origin"), "newick")
+    else:
+        rows = spark.read.text(text, wholetext=True).select(F.col("_metadata.file_path").alias("origin"), F.col("value").alias("newick"))
+    rows = rows.withColumn("newick", F.btrim("newick", F.lit(" \t\r\n"))).filter("newick <> ''")
+    return rows.select(F.monotonically_increasing_id().alias("tree_id"), "origin", "newick")
+
+
+def read_lines(spark, path: str) -> DataFrame:
+    """(tree_id, origin, newick) of files of any size with a tree on each line; blank lines are left out."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("origin"), F.trim("value").alias("newick")).filter("newick <> ''")
     return lines.select(F.monotonically_increasing_id().alias("tree_id"), "origin", "newick")
 
@@ -31,9 +64,10 @@ def _nodes(tree_id, tree: trees.Tree):
         leaves_before.append(leaves_before[-1] + (not tree.children[u]))
     for u in range(len(tree.parent)):
         leaf = not tree.children[u]
-        name = tree.name[u] if leaf or not tree.name[u].replace(".", "", 1).isdigit() else None
+        number = not leaf and tree.name[u].replace(".", "", 1).isdigit()
+        name = None if number else tree.name[u]
         parent = tree.parent[u]
-        yield tree_id, u, parent if u else None, tree.children[parent].index(u) if u else 0, name, trees.species_of(name) if leaf else None, leaf, tree.dist[u], tree.depth[u], tree.tin[u], tree.tout[u], tree.post[u], leaves_before[tree.tin[u]], leaves_before[tree.tout[u] + 1] - 1
+        yield tree_id, u, parent if u else None, tree.children[parent].index(u) if u else 0, name, trees.species_of(name) if leaf else None, leaf, tree.dist[u], tree.depth[u], tree.tin[u], tree.tout[u], tree.post[u], leaves_before[tree.tin[u]], leaves_before[tree.tout[u] + 1] - 1, float(tree.name[u]) if number else None
 
 
 def parse(newicks: DataFrame) -> DataFrame:
@@ -58,17 +92,18 @@ def rejects(newicks: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     return newicks.join(parsed.filter("parent_id IS NULL").select("tree_id"), "tree_id", "left_anti")
 
 
-def write(leaves: DataFrame) -> DataFrame:
-    """(tree_id, newick) of caterpillars given by (gt_id, place, species); leaves are gene_species."""
+def write(leaves: DataFrame, support: str | None = None) -> DataFrame:
+    """(tree_id, newick) of caterpillars given by (gt_id, place, species); leaves are gene_species. A column support labels the node that ends with its leaf."""
     name = F.concat(F.lit("g"), "gt_id", F.lit("."), "place", F.lit("_"), F.replace("species", F.lit("_"), F.lit("-")))
-    return _comb(leaves, "gt_id", "place", name).select(F.col("gt_id").alias("tree_id"), F.concat("newick", F.lit(";")).alias("newick"))
+    return _comb(leaves, "gt_id", "place", name, support).select(F.col("gt_id").alias("tree_id"), F.concat("newick", F.lit(";")).alias("newick"))
 
 
-def _comb(parts: DataFrame, key: str, order: str, name) -> DataFrame:
+def _comb(parts: DataFrame, key: str, order: str, name, support: str | None = None) -> DataFrame:
     """(key, newick) of the caterpillar of each key's parts."""
-    listed = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), name.alias("x")))), lambda s: s["x"]).alias("x"))
-    rest = F.transform(F.slice("x", 2, F.greatest(F.lit(1), F.size("x"))), lambda x: F.concat(F.lit(","), x, F.lit(")")))
-    return listed.select(key, F.concat(F.expr("repeat('(', size(x) - 1)"), F.get("x", F.lit(0)), F.array_join(rest, "")).alias("newick"))
+    label = F.lit("") if support is None else F.coalesce(F.col(support).cast("string"), F.lit(""))
+    listed = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), name.alias("x"), label.alias("l")))).alias("x"))
+    rest = F.transform(F.slice("x", 2, F.greatest(F.lit(1), F.size("x"))), lambda s: F.concat(F.lit(","), s["x"], F.lit(")"), s["l"]))
+    return listed.select(key, F.concat(F.expr("repeat('(', size(x) - 1)"), F.get("x", F.lit(0))["x"], F.array_join(rest, "")).alias("newick"))
 
 
 def species_newick(species: DataFrame) -> DataFrame:
