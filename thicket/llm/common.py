@@ -126,10 +126,14 @@ def code_points(texts: pa.Array, most: int = 1 << 20, overlap: int = 0):
         row = last
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Gives Python workers batches of 8 MB at most, for rows that hold much."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Let Python workers import this package when it isn't installed, and give them texts in modest batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):

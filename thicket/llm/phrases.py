@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forgotten, stored, workers_find_package
+from .common import forgotten, stored, small_batches, workers_find_package
 
 #: What ends a piece, and the blanks between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -321,6 +321,7 @@ def mine(docs: DataFrame, least: int = 30, best: int = 2000, bits: int = TABLE_B
     of phrase, first part and rest. A phrase that mostly comes up inside a longer one, 80 of 100 times, is left out.
     """
     workers_find_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
     tables, known, mass = [], None, 0
     for n in range(1, LONGEST + 1):

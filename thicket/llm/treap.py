@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, workers_find_package
+from .common import stored, small_batches, workers_find_package
 
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 #: Bytes of item texts that are searched at once.
@@ -128,6 +128,7 @@ def opened(levels: int, sizes: np.ndarray, quarters: np.ndarray, drops: np.ndarr
 def build(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """(index, documents with a term, all terms) of docs (doc_id, text)."""
     workers_find_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     listed = stored(postings(docs))
     n_docs, n_terms = (x or 0 for x in listed.agg(F.sum("n_docs"), F.sum("n_terms")).first())
 
