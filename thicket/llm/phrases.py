@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forgotten, stored, small_batches, workers_find_package
+from .common import forgotten, small_batches, stored, workers_find_package
 
 #: What ends a piece, and the blanks between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"

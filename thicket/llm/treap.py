@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, small_batches, workers_find_package
+from .common import small_batches, stored, workers_find_package
 
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 #: Bytes of item texts that are searched at once.
