@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from thicket.functions.storage import stored
 from thicket.functions.trees import parse_newick, species_of
 from thicket.operators import events, surgery, sweep
-from thicket.sources import newick
+from thicket.sources import files, newick
 
 import brute_trees
 from test_sweep import SPECIES, as_rows, grown
@@ -204,3 +204,22 @@ def test_encode_and_containment(spark):
     for k, text in enumerate(texts):
         t = parse_newick(text)
         assert all(parents[k, code(t, u)] == (code(t, t.parent[u]) if u else None) for u in t.by_post)
+
+
+def test_reports(spark, tmp_path):
+    trees = spark.createDataFrame([(1, "(a_A,b_B);"), (2, "(("), (3, "((a_A,b_A),c_B);")], "tree_id long, newick string")
+    rejected, over = spark.createDataFrame([(2, "no tree")], "tree_id long, reason string"), spark.createDataFrame([(3, 17)], "tree_id long, n_units int")
+    assert [r.line for r in files.tree_lines(trees, rejected, over).orderBy("tree_id").collect()] == ["(a_A,b_B);", "# left out: no tree", "# over the limit: 17 units"]
+    text, texts = random_case(6, 8)
+    rows, nodes = as_rows(spark, texts, text)
+    found = stored(sweep.units(rows, nodes))
+    s = parse_newick(text)
+    got = {(r.gt, r.h, r.t): (r.groups, r.fixed, r.combinations) for r in files.check_numbers(found, sweep.pins(rows, nodes, found)).collect()}
+    for k, g in enumerate(map(parse_newick, texts)):
+        for h, t in brute_trees.candidates(s, True):
+            units = brute_trees.units(g, {s.name[v] for v in s.leaves(h)})
+            tied = sum(brute_trees.pinned(g, s, h, t, u) is not None for u in units)
+            assert got.get((k, h, t)) == ((len(units), tied, 2.0 ** (len(units) - tied)) if units else None)
+    files.save_scores(spark.createDataFrame([(0, 1, None, None), (0, 2, 3, 1.5)], "family long, mt_id long, h int, score double").withColumn("t", F.lit(1)), str(tmp_path / "s"))
+    (part,) = [x for x in (tmp_path / "s").iterdir() if x.suffix == ".csv"]
+    assert part.read_text().splitlines()[1:] == ["2\t3\t1\t1.500", "1\t\t1\tNOT_SCORED"]

@@ -142,3 +142,23 @@ def test_canonical_forms(spark):
     for r in canon.corresponding(signed, "tree_id", pairs).collect():
         name = lambda k, leaf: trees.species_of(parsed[k].name[sorted(parsed[k].leaves(0), key=parsed[k].tin.__getitem__)[leaf]])
         assert name(r.tree, r.leaf) == name(r.rep, r.rep_leaf)
+
+
+def test_named_donors_and_targets(spark):
+    text = "((((A,B),C),D),(E,F));"
+    s = parse_newick(text)
+    named = stored(sweep.species_nodes(spark.createDataFrame([(0, text)], SPECIES)))
+    wanted = lambda *texts: sweep.resolve(named, spark.createDataFrame([(0, x) for x in texts], "family long, text string"))
+    leaf = {s.name[u]: u for u in s.leaves(0)}
+    got = {r.text: r.node for r in wanted("A", "A, C", "E,F", "B,F", "<2>", "D").collect()}
+    assert got == {"A": leaf["A"], "A, C": s.parent[s.parent[leaf["A"]]], "E,F": s.parent[leaf["E"]], "B,F": 0, "<2>": 2, "D": leaf["D"]}
+    with pytest.raises(Exception, match="no such clade: Z"):
+        wanted("A,Z").collect()
+    donors, targets = wanted("A,B", "E"), wanted("D", "E", "E,F", "A,B,C")
+    h, t = ({r.node for r in x.collect()} for x in (donors, targets))
+    pairs = [p for p in brute_trees.candidates(s) if p[0] in h and p[1] in t]
+    texts = ["((a_A,(b_B,e_E)),(c_C,d_D));", "((x_E,y_F),(a_A,z_E));"]
+    genes, leaves, weights, _ = sweep.gene_tables(spark.createDataFrame([(0, g, 1) for g in texts], WEIGHTED), named)
+    rows = sweep.score_candidates(genes, leaves, weights, named.drop("species"), donors=donors, targets=targets).orderBy("mt_id").collect()
+    assert [(r.mt_id, r.h, r.t) for r in rows[1:]] == [(k, *p) for k, p in enumerate(pairs, 1)]
+    assert [r.score for r in rows] == [sum(brute_trees.score(parse_newick(g), s, p) for g in texts) for p in [None, *pairs]]

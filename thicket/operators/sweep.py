@@ -45,8 +45,27 @@ def ordered(species: DataFrame) -> DataFrame:
     return species.withColumn("place", F.row_number().over(along.orderBy("lo", F.desc("hi"))) - 1).withColumn("ord", F.row_number().over(order))
 
 
-def candidates(species: DataFrame, redundant: bool = False) -> DataFrame:
-    """(family, mt_id, h, t): no target strictly below its donor and, unless asked for, none beside it; leaves come first, then inner nodes from below."""
+def resolve(species: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(family, node, text) of clades (family, text) named by a node's number in angle brackets, a species, or several with commas between: the lowest node above them.
+
+    species needs a column species. A name that the tree lacks is an error. What several texts name comes once for each.
+    """
+    parts = wanted.select("family", "text", F.explode(F.split("text", r"\s*,\s*")).alias("part")).withColumn("part", F.trim("part"))
+    number = F.expr("try_cast(regexp_extract(part, '^<([0-9]+)>$', 1) AS int)")
+    named = species.select("family", F.col("species").alias("name"), "node", "lo", "hi", "depth")
+    same = (F.col("p.family") == F.col("n.family")) & ((F.col("n.name") == F.col("p.part")) | (F.col("n.node") == F.col("p.number")))
+    met = parts.withColumn("number", number).alias("p").join(small(named, species).alias("n"), same, "left")
+    lost = F.raise_error(F.concat(F.lit("no such clade: "), F.col("part"))).cast("int")
+    ends = met.select("p.family", "text", F.coalesce("lo", lost).alias("first"), F.coalesce("hi", lost).alias("last")).groupBy("family", "text").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    above = ends.join(small(named, species), "family").filter("lo <= first AND last <= hi")
+    return above.groupBy("family", "text").agg(F.max(F.struct("depth", "node"))["node"].alias("node")).select("family", "node", "text")
+
+
+def candidates(species: DataFrame, redundant: bool = False, donors: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(family, mt_id, h, t): no target strictly below its donor and, unless asked for, none beside it; leaves come first, then inner nodes from below.
+
+    donors and targets (family, node) restrict either side; numbers are of what is left.
+    """
     nodes = ordered(species)
     h = nodes.select("family", F.col("node").alias("h"), F.col("ord").alias("h_ord"), F.col("lo").alias("hlo"), F.col("hi").alias("hhi"), F.col("parent").alias("h_up"))
     t = nodes.select("family", F.col("node").alias("t"), F.col("ord").alias("t_ord"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"), F.col("parent").alias("t_up"))
@@ -54,6 +73,10 @@ def candidates(species: DataFrame, redundant: bool = False) -> DataFrame:
     legal = same | ~((F.col("hlo") <= F.col("tlo")) & (F.col("thi") <= F.col("hhi")))
     if not redundant:
         legal = legal & (same | ~F.coalesce(F.col("h_up") == F.col("t_up"), F.lit(False)))
+    if donors is not None:
+        h = h.join(donors.select("family", F.col("node").alias("h")), ["family", "h"], "left_semi")
+    if targets is not None:
+        t = t.join(targets.select("family", F.col("node").alias("t")), ["family", "t"], "left_semi")
     return h.join(t, "family").filter(legal).select("family", F.row_number().over(Window.partitionBy("family").orderBy("h_ord", "t_ord")).cast("long").alias("mt_id"), "h", "t")
 
 
@@ -163,25 +186,29 @@ def score_trees(trees: DataFrame, found: DataFrame, weights: DataFrame, species:
     return summed.join(node("h"), ["family", "h"], "left").join(node("t"), ["family", "t"], "left").select("family", F.col("h_node").alias("h"), F.col("t_node").alias("t"), "cost")
 
 
-def score_candidates(genes: DataFrame, leaves: DataFrame, weights: DataFrame, species: DataFrame, most_units: int = 15, w_dup: float = 1, w_loss: float = 1, rule: str = "engine", redundant: bool = False) -> DataFrame:
+def score_candidates(genes: DataFrame, leaves: DataFrame, weights: DataFrame, species: DataFrame, most_units: int = 15, w_dup: float = 1, w_loss: float = 1, rule: str = "engine", redundant: bool = False, donors: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(family, mt_id, h, t, score, n_trees, n_skipped) over gene trees weighted by (family, gt, weight); mt_id 0 is the species tree as it is.
 
     A tree with over most_units units for any donor clade is left out for all candidates and counted in n_skipped: all its units
     are free where donor and target are one, so that is the most that any candidate leaves free. If all trees of a family are
-    left out, its rows stay, without a score. Work beyond 2 ** MOST_WORK for one tree and donor is an error.
+    left out, its rows stay, without a score. donors and targets (family, node) restrict the candidates, and the units that count
+    against the limit. Work beyond 2 ** MOST_WORK for one tree and donor is an error.
     """
     if most_units > MOST_WORK:
         raise ValueError(f"choices of over {MOST_WORK} units are too many")
     species = stored(species)
     trees = stored(newick.listed(genes, leaves, KEY).join(weights.select(KEY), KEY, "left_semi"))
-    found = stored(units(trees, species, rule))
+    found = units(trees, species, rule)
+    if donors is not None:
+        found = found.join(donors.select("family", F.col("node").alias("h")), ["family", "h"], "left_semi")
+    found = stored(found)
     over = found.groupBy(*KEY, "h").agg(F.count("*").alias("k")).filter(F.col("k") > most_units).select(*KEY).distinct()
     kept = stored(trees.join(over, KEY, "left_anti"))
     sums = stored(score_trees(kept, found.join(kept.select(KEY), KEY, "left_semi"), weights, species, w_dup, w_loss))
     plain = sums.filter("t IS NULL").select("family", F.col("cost").alias("plain"))
     by_target = sums.filter("h IS NULL AND t IS NOT NULL").select("family", "t", F.col("cost").alias("by_target"))
     differs = sums.filter("h IS NOT NULL").select("family", "h", "t", F.col("cost").alias("differs"))
-    wanted = candidates(species, redundant)
+    wanted = candidates(species, redundant, donors, targets)
     swept = wanted.join(by_target, ["family", "t"], "left").join(differs, ["family", "h", "t"], "left")
     swept = swept.select("family", "mt_id", "h", "t", (F.col("by_target") + F.coalesce("differs", F.lit(0.0))).alias("score"))
     base = species.select("family").distinct().join(plain, "family", "left").select("family", F.lit(0).cast("long").alias("mt_id"), F.lit(None).cast("int").alias("h"), F.lit(None).cast("int").alias("t"), F.col("plain").alias("score"))

@@ -28,5 +28,20 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_scores(scores: DataFrame, path: str) -> None:
-    """Scores as tab-separated text, best first, three decimals."""
-    scores.orderBy("score", "mt_id").select("mt_id", "h", "t", F.format_string("%.3f", "score").alias("score")).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+    """Scores as tab-separated text, best first, three decimals, in as many files as Spark sorts them into; candidates without a score say so."""
+    text = F.when(F.col("score").isNull(), "NOT_SCORED").otherwise(F.format_string("%.3f", "score"))
+    scores.orderBy(F.asc_nulls_last("score"), "mt_id").select("mt_id", "h", "t", text.alias("score")).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def tree_lines(trees: DataFrame, rejected: DataFrame, over: DataFrame) -> DataFrame:
+    """(tree_id, line): each of trees (tree_id, newick) as it is, or why it was left out: rejected (tree_id, reason), or over (tree_id, n_units) the limit of units."""
+    both = trees.join(rejected.select("tree_id", "reason"), "tree_id", "left").join(over.select("tree_id", "n_units"), "tree_id", "left")
+    why = F.when(F.col("reason").isNotNull(), F.concat(F.lit("# left out: "), "reason")).when(F.col("n_units").isNotNull(), F.concat(F.lit("# over the limit: "), F.col("n_units").cast("string"), F.lit(" units")))
+    return both.select("tree_id", F.coalesce(why, F.col("newick")).alias("line"))
+
+
+def check_numbers(units: DataFrame, pinned: DataFrame) -> DataFrame:
+    """(family, gt, h, t, groups, fixed, combinations) of sweep.units and sweep.pins: a tree's units under each candidate, how many of them are tied, and the choices left."""
+    key = ["family", "gt", "h"]
+    load = pinned.groupBy(*key, "t").agg(F.count("*").alias("groups"), F.count("state").alias("fixed"))
+    return load.withColumn("combinations", F.pow(F.lit(2.0), F.col("groups") - F.col("fixed"))).join(units.select(*key).distinct(), key, "left_semi")

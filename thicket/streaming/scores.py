@@ -26,8 +26,3 @@ def follow(spark: SparkSession, trees_folder: str, species: DataFrame, sums_fold
 def totals(spark: SparkSession, sums_folder: str) -> DataFrame:
     """(family, mt_id, score, n_trees) over all batches so far."""
     return spark.read.parquet(sums_folder).groupBy("family", "mt_id").agg(F.sum("score").alias("score"), F.sum("n_trees").alias("n_trees"))
-
-
-def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Leaves that each species (event type) gained per window of event time, for a stream or a table (ts, event_type)."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n_leaves"))
