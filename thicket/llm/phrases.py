@@ -1,18 +1,18 @@
 """Phrases of two to four words that come up often and together, mined by Misra-Gries summaries and a second, exact pass.
 
 A text is cut at punctuation and line ends into pieces and those at blanks and tabs into words; a phrase lies within a piece.
-For each number of words, 1 to 4, texts are read twice. The first reading names each occurrence by a hash of its language and
-words and deals hashes to partitions; a task sends a partition what it has of its hashes with their counts, and how many
-occurrences that were. A partition then knows its mass before it sees a hash and keeps a summary of more than mass / least
-counters: whenever more are in use, all are lowered by so much that enough fall to zero. All that is ever taken from one counter
-is therefore less than `least`, so every phrase found `least` times keeps a counter; one whose counter and all that was ever
-taken do not reach `least` goes. Summaries merge by adding their counters and lowering them again. Hashes that meet only raise
-one another's counters.
-
-The survivors mark a bit table of fixed size, built by Spark as bitmaps. The second reading counts the phrases whose bit is set,
-by their words, and sums are exact; only those of at least `least` stay. Longer phrases are only looked for where both parts
-that lack an end word are frequent, by another bit table: no other can be frequent. Both tables only save work: as they fill up,
-more is counted for nothing and the same is found.
+Texts are read four times, each time to count what was named the time before and to name what is longer by a word. Naming an
+occurrence is a hash of its language and words, dealt to partitions; a task sends a partition what it has of its hashes with
+their counts, and how many occurrences that were. A partition then knows its mass before it sees a hash and keeps a summary of
+more than mass / least counters: whenever more are in use, all are lowered by so much that enough fall to zero. All that is ever
+taken from one counter is therefore less than `least`, so every phrase found `least` times keeps a counter; one whose counter
+and all that was ever taken do not reach `least` goes. Summaries merge by adding their counters and lowering them again. Hashes
+that meet only raise one another's counters.
+
+The survivors mark a bit table of fixed size, built by Spark as bitmaps. The next reading counts the phrases whose bit is set,
+by their words, and sums are exact; only those of at least `least` stay. Longer phrases are only named where both parts that
+lack an end word survived: no other can be frequent. Tables only save work: as they fill up, more is counted for nothing and the
+same is found.
 
 Defined results: a null text has no words, a null language reads `und`. Rows count each, whatever their ids. Ties in score go to
 the more frequent phrase, then to the one that sorts first by bytes. Columns other than text and lang are not read.
@@ -109,24 +109,15 @@ class Reader:
             self.hash = np.append(self.hash, np.fromiter(map(_hash, new), np.uint64, len(self.number) - len(self.hash)))
         return found
 
-    def hashes(self, lang: str, found: np.ndarray, n: int, known: np.ndarray | None, bits: int):
-        """(places, hashes) of the n-grams of numbered words that lie within a piece and whose two (n-1)-grams are in known, if given."""
-        single = self.hash[found]
-        if len(single) < n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        seed = np.uint64(_hash(lang.encode("utf-8", "surrogatepass")))
-        full = found != 0
-        names = _mixed(np.full(len(single), seed), single)
-        good = full
-        for k in range(2, n + 1):
-            before = names
-            names = _mixed(names[: len(single) - k + 1], single[k - 1 :])
-            good = good[: len(names)] & full[k - 1 :]
-            if k == n and known is not None:
-                held = _marked(known, before, bits)
-                good = good & held[:-1] & held[1:]
-        places = np.flatnonzero(good)
-        return places, names[places]
+    def chain(self, lang: str, found: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to `longest` words (hashes, within): of the n-gram that begins at each place, and whether it lies within a piece."""
+        single, within = self.hash[found], found != 0
+        names = [(_mixed(np.full(len(single), np.uint64(_hash(lang.encode("utf-8", "surrogatepass")))), single), within)]
+        for k in range(2, longest + 1):
+            before, good = names[-1]
+            n = max(0, len(single) - k + 1)
+            names.append((_mixed(before[:n], single[k - 1 :]), good[:n] & within[k - 1 :]))
+        return names
 
 
 def _opened(table: bytes | None) -> np.ndarray | None:
@@ -154,50 +145,98 @@ def lowered(names: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.nd
     return names, counts, by
 
 
-#: kind 0: a task's mass for a partition; kind 1: sorted hashes, as differences, and their counts.
-_SENT = "part int, kind int, mass long, names binary, counts binary"
+#: kind 0: a task's mass for a partition; kind 1: sorted hashes, as differences, and their counts; kind 2: a phrase's count.
+_READ = "n int, kind int, part int, mass long, names binary, counts binary, lang string, phrase string, f long"
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64()]
 
 
-def _send(n: int, parts: int, known: bytes | None, bits: int):
-    """What a task knows about the n-grams of its texts, by partition."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=[x.split()[0] for x in _READ.split(", ")])
 
-    def packed(names, counts):
+
+class Sums:
+    """A task's hashes of n-grams with their counts, until they are sent."""
+
+    def __init__(self, n: int, parts: int):
+        self.n, self.parts, self.raw, self.size = n, parts, [], 0
+        self.names, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, names: np.ndarray) -> bool:
+        """Whether so many are held that some should be sent."""
+        self.raw.append(names)
+        self.size += len(names)
+        if self.size > HELD:
+            self.settle()
+        return len(self.names) > HELD
+
+    def settle(self) -> None:
+        names, counts = np.unique(np.concatenate(self.raw), return_counts=True)
+        self.names, self.counts = _summed(np.concatenate([self.names, names]), np.concatenate([self.counts, counts])) if len(self.names) else (names, counts)
+        self.raw, self.size = [], 0
+
+    def sent(self) -> list[tuple]:
+        if self.raw:
+            self.settle()
+        names, counts = self.names, self.counts
+        self.names, self.counts = names[:0], counts[:0]
         # Partitions are ranges of hashes, so what is sorted by hash is so by partition.
-        part = (names * np.uint64(parts)) >> np.uint64(NAME_BITS)
-        ends = np.searchsorted(part, np.arange(parts + 1))
+        part = (names * np.uint64(self.parts)) >> np.uint64(NAME_BITS)
+        ends = np.searchsorted(part, np.arange(self.parts + 1))
         rows = []
-        for p in np.unique(part):
-            rows.append((int(p), 0, int(counts[ends[p] : ends[p + 1]].sum()), None, None))
+        for p in np.unique(part).tolist():
+            rows.append((self.n, 0, p, int(counts[ends[p] : ends[p + 1]].sum()), None, None, None, None, None))
             for a in range(ends[p], ends[p + 1], IN_A_ROW):
                 b = min(a + IN_A_ROW, ends[p + 1])
-                rows.append((int(p), 1, None, np.diff(names[a:b], prepend=np.uint64(0)).tobytes(), counts[a:b].astype(np.uint32).tobytes()))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["part", "kind", "mass", "names", "counts"])
+                rows.append((self.n, 1, p, None, np.diff(names[a:b], prepend=np.uint64(0)).tobytes(), counts[a:b].astype(np.uint32).tobytes(), None, None, None))
+        return rows
 
-    def run(batches):
-        reader, kept, raw, size, before = Reader(), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0, _opened(known)
 
-        def added():
-            names, counts = np.unique(np.concatenate(raw), return_counts=True)
-            return _summed(np.concatenate([kept[0], names]), np.concatenate([kept[1], counts])) if len(kept[0]) else (names, counts)
+def _read(named: dict[int, bytes | None], counted: dict[int, bytes], parts: int, bits: int):
+    """Names n-grams of the lengths in named, where a table of shorter ones allows, and counts those of the lengths in counted whose bit is set."""
+    longest = max([*named, *counted])
 
+    def run(batches):
+        reader, found = Reader(), {}
+        tables = {n: _opened(x) for n, x in {**{n - 1: x for n, x in named.items() if x}, **counted}.items()}
+        sums = {n: Sums(n, parts) for n in named}
         for lang, words in _blocks(batches):
-            # The upper bits name an n-gram; more are not needed to tell most apart.
-            names = reader.hashes(lang, reader.numbers(words), n, before, bits)[1] >> np.uint64(64 - NAME_BITS)
-            raw.append(names)
-            size += len(names)
-            if size > HELD:
-                kept, raw, size = added(), [], 0
-                if len(kept[0]) > HELD:
-                    yield packed(*kept)
-                    kept = kept[0][:0], kept[1][:0]
-        if raw or len(kept[0]):
-            raw.append(np.zeros(0, np.uint64))
-            yield packed(*added())
+            ids = reader.numbers(words)
+            chain = reader.chain(lang, ids, longest)
+            held = {n: _marked(x, chain[n - 1][0], bits) & chain[n - 1][1] for n, x in tables.items()}
+            for n in named:
+                names, good = chain[n - 1]
+                if named[n]:
+                    good = good & held[n - 1][: len(good)] & held[n - 1][1 : len(good) + 1]
+                # The upper bits name an n-gram; more are not needed to tell most apart.
+                if sums[n].add(names[good] >> np.uint64(64 - NAME_BITS)):
+                    yield _batch(sums[n].sent())
+            for n in counted:
+                of = found.setdefault((n, lang), {})
+                if n == 1:
+                    of[None] = of.get(None, 0) + int(chain[0][1].sum())
+                places = np.flatnonzero(held[n])
+                # Numbers stand for words and then for longer and longer n-grams, so that counting compares words, not hashes.
+                now = ids[places]
+                for k in range(1, n):
+                    now = np.unique((now << np.int64(32)) | ids[places + k], return_inverse=True)[1]
+                _, first, counts = np.unique(now, return_index=True, return_counts=True)
+                for at, c in zip(places[first].tolist(), counts.tolist()):
+                    phrase = b" ".join(words[at : at + n]).decode()
+                    of[phrase] = of.get(phrase, 0) + c
+            if sum(map(len, found.values())) > PHRASES_HELD:
+                yield _batch(_phrases(found))
+                found = {}
+        for n in named:
+            yield _batch(sums[n].sent())
+        yield _batch(_phrases(found))
 
     return run
 
 
+def _phrases(found: dict) -> list[tuple]:
+    return [(n, 2, None, None, None, None, lang, phrase, f) for (n, lang), held in found.items() for phrase, f in held.items()]
+
+
 def _merge(least: int):
     """Survivors of each partition's summary; rows come by partition, masses before hashes."""
 
@@ -248,70 +287,19 @@ def bit_table(names: DataFrame, bits: int) -> bytes:
     return zlib.compress(bytes(table), 1)  # tasks get it with their code, and it is mostly zeros
 
 
-def survivors(docs: DataFrame, n: int, least: int, known: bytes | None, mass: int, bits: int = TABLE_BITS) -> bytes:
-    """Bit table of the n-grams (text, lang) that the summaries keep: all found `least` times in a language are in it. mass is about how many n-grams there are."""
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), mass // (least * COUNTERS) + 1)
-    sent = docs.mapInArrow(_send(n, parts, known, bits), _SENT)
-    dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
+def survivors(read: DataFrame, n: int, least: int, parts: int, bits: int = TABLE_BITS) -> bytes:
+    """Bit table of the n-grams of a reading that the summaries keep: all found `least` times in a language are in it."""
+    dealt = read.filter((F.col("n") == n) & (F.col("kind") < 2)).select("part", "kind", "mass", "names", "counts").repartition(parts, "part").sortWithinPartitions("part", "kind")
     kept = stored(dealt.mapInArrow(_merge(least), "name long"))
     table = bit_table(kept, bits)
     forgotten(kept)
     return table
 
 
-def _count(n: int, survived: bytes, known: bytes | None, bits: int):
-    """(lang, phrase, f) of each task's n-grams whose bit is set, and for single words (lang, null, all words)."""
-
-    def batch(found):
-        rows = [(lang, phrase, f) for lang, held in found.items() for phrase, f in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
-
-    def run(batches):
-        reader, found, before, kept = Reader(), {}, _opened(known), _opened(survived)
-        for lang, words in _blocks(batches):
-            held = found.setdefault(lang, {})
-            ids = reader.numbers(words)
-            places, names = reader.hashes(lang, ids, n, before, bits)
-            if n == 1:
-                held[None] = held.get(None, 0) + len(places)
-            places = places[_marked(kept, names, bits)]
-            # Numbers stand for words and then for longer and longer n-grams, so that counting compares words, not hashes.
-            now = ids[places]
-            for k in range(1, n):
-                now = np.unique((now << np.int64(32)) | ids[places + k], return_inverse=True)[1]
-            _, first, counts = np.unique(now, return_index=True, return_counts=True)
-            for at, c in zip(places[first].tolist(), counts.tolist()):
-                phrase = b" ".join(words[at : at + n]).decode()
-                held[phrase] = held.get(phrase, 0) + c
-            if sum(map(len, found.values())) > PHRASES_HELD:
-                yield batch(found)
-                found = {}
-        if found:
-            yield batch(found)
-
-    return run
-
-
-def frequent(docs: DataFrame, n: int, least: int, known: bytes | None, mass: int, bits: int = TABLE_BITS) -> DataFrame:
+def frequent(read: DataFrame, n: int, least: int) -> DataFrame:
     """(lang, phrase, f) of all phrases of n words found at least `least` times; for n = 1 also a row with null phrase and all words of a language."""
-    counted = docs.mapInArrow(_count(n, survivors(docs, n, least, known, mass, bits), known, bits), "lang string, phrase string, f long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
-
-
-def _named(phrases: DataFrame) -> DataFrame:
-    """The hashes of phrases (lang, phrase), as the texts' n-grams have them."""
-
-    def run(batches):
-        reader = Reader()
-        for batch in batches:
-            names = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = phrase.encode().split(b" ")
-                names.append(int(reader.hashes(lang, reader.numbers(words), len(words), None, 0)[1][0] >> np.uint64(64 - NAME_BITS)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64())], names=["name"])
-
-    return phrases.select("lang", "phrase").mapInArrow(run, "name long")
+    counted = read.filter((F.col("n") == n) & (F.col("kind") == 2)).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return stored(counted.filter((F.col("f") >= least) | F.col("phrase").isNull()))
 
 
 def mine(docs: DataFrame, least: int = 30, best: int = 2000, bits: int = TABLE_BITS) -> DataFrame:
@@ -323,16 +311,22 @@ def mine(docs: DataFrame, least: int = 30, best: int = 2000, bits: int = TABLE_B
     workers_find_package(docs.sparkSession)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    tables, known, mass = [], None, 0
-    for n in range(1, LONGEST + 1):
-        found = stored(frequent(docs, n, least, known, mass, bits))
-        if n == 1:
-            totals = found.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
-            found = found.filter("phrase IS NOT NULL")
-            mass = totals.agg(F.sum("n")).first()[0] or 0
-        tables.append(found.withColumn("m", F.lit(n)))
-        if n < LONGEST:
-            known = bit_table(_named(found), bits)
+    spark = docs.sparkSession
+    # A word and a blank are two characters at least; partitions need not be more than the most that there may be to name.
+    mass = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 2
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), mass // (least * COUNTERS) + 1)
+    tables: dict[int, DataFrame] = {}
+    named: dict[int, bytes | None] = {1: None, 2: None}
+    counted: dict[int, bytes] = {}
+    while named or counted:
+        read = stored(docs.mapInArrow(_read(named, counted, parts, bits), _READ))
+        tables |= {n: frequent(read, n, least) for n in counted}
+        counted = {n: survivors(read, n, least, parts, bits) for n in named}
+        forgotten(read)
+        longest = max(counted, default=LONGEST)
+        named = {longest + 1: counted[longest]} if longest < LONGEST else {}
+    totals = tables[1].filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    tables = [x.filter("phrase IS NOT NULL").withColumn("m", F.lit(n)) for n, x in sorted(tables.items())]
     counts = tables[0]
     for x in tables[1:]:
         counts = counts.unionByName(x)
