@@ -143,3 +143,24 @@ def test_support_quotas(spark):
     # A missing support is 1 and is divided by 100 as the others are.
     assert got == {0: (0.75, 0.7, 0.724138), 1: (0.75, 0.5, 0.6), 2: (0.5, 1.0, 0.666667), 3: (1.0, (1 + 100 + 80) / 100 / 3, round(2 * 0.603333333 / 1.603333333, 6)), 4: (0.25, 1.0, 0.4), 5: (0.25, 0.0, 0.0)}
     assert grouping.support_quotas(parsed, 8).filter("tree_id = 2").first().o == 0.25
+
+
+def test_species_names(spark):
+    texts = ["((A,B)<x>,C)<y>;", "((A,B)x,A)<P*1>;", "((A|1,B)<x>,C)<x>;", "((A,B)0.9,C)80;", "(,B);"]
+    parsed = newick.parse(spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string"))
+    got = sorted((r.tree_id, r.name, r.reason) for r in newick.name_problems(parsed).collect())
+    assert got == [(1, "<P*1>", "illegal sign in an inner name"), (1, "A", "name twice"), (1, "x", "inner name without brackets"), (2, "<x>", "name twice"), (2, "A|1", "illegal sign in a leaf name")]
+    mended = {(r.tree_id, r.node_id): r.name for r in newick.repaired_names(parsed).collect()}
+    assert (mended[1, 0], mended[1, 1], mended[2, 0], mended[2, 1], mended[2, 2], mended[3, 1]) == ("<p.1>", "<x>", "<x>", None, "A.1", None)
+
+
+def test_knuckles(spark):
+    texts = ["(((a:1,b:2)x:3)y:4,c);", "((((a:1)0.5:2)90:3,b)z:1);", "(a,b);"]
+    parsed = newick.parse(spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string"))
+    rows = newick.without_knuckles(parsed).collect()
+    got = {k: sorted((r.lo, -r.hi, r["name"] or "", r.dist) for r in rows if r.tree_id == k) for k in range(3)}
+    assert got[0] == [(0, -2, "", None), (0, -1, "y", 7.0), (0, 0, "a", 1.0), (1, -1, "b", 2.0), (2, -2, "c", None)]
+    assert got[1] == [(0, -1, "z", 1.0), (0, 0, "a", 6.0), (1, -1, "b", None)] and len(got[2]) == 3
+    by = {(r.tree_id, r.node_id): r for r in rows}
+    assert all(r.parent_id is None or by[r.tree_id, r.parent_id].lo <= r.lo <= r.hi <= by[r.tree_id, r.parent_id].hi for r in rows)
+    assert [r.support for r in rows if r.tree_id == 1 and r["name"] == "a"] == [0.5]

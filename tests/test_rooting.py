@@ -10,6 +10,7 @@ from thicket.operators import rooting
 from thicket.sources import newick
 
 import brute_trees
+from test_events import by_span
 from test_sweep import grown
 
 
@@ -49,3 +50,25 @@ def test_all_rootings(spark):
         scores = {u: sum(v) for (k, u), v in want.items() if k == r.tree_id}
         assert (r.score, r.u, r.n_rootings, r.worst) == (min(scores.values()), min(u for u, x in scores.items() if x == min(scores.values())), len(scores), max(scores.values()))
     assert newick.unresolved(newick.parse(spark.createDataFrame([(0, "((a,b,c),d);"), (1, "((a,b),c);")], "tree_id long, newick string"))).count() == 1
+
+
+def form(t, u=0):
+    return t.name[u] if not t.children[u] else "(" + ",".join(sorted(form(t, c) for c in t.children[u])) + ")"
+
+
+def test_rerooted(spark):
+    rng = random.Random(9)
+    texts = [grown(rng, [f"g{i}" for i in range(rng.randrange(2, 10))]) for _ in range(40)]
+    parsed = [parse_newick(x) for x in texts]
+    at = [rng.randrange(1, len(t.parent)) for t in parsed]
+    genes = newick.parse(spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string"))
+    nodes = genes.select("tree_id", F.col("node_id").alias("u"), F.col("parent_id").alias("parent"), "lo", "hi")
+    leaves = genes.filter("is_leaf").select("tree_id", F.col("lo").alias("leaf"), F.expr("int(substring(name, 2))").alias("pos"))
+    chosen = spark.createDataFrame([(k, u) for k, u in enumerate(at)] + [(99, 0)], "tree_id long, at long")
+    rows = newick.listed(nodes, leaves, ["tree_id"]).join(chosen, "tree_id")
+    for r in rooting.rerooted(rows, ["tree_id"]).collect():
+        got = by_span([(n.lo, n.hi) for n in r.nodes], [f"g{p}" for p in r.pos])
+        assert form(parse_newick(got)) == form(parse_newick(rooted(parsed[r.tree_id], at[r.tree_id]))), (texts[r.tree_id], at[r.tree_id])
+        assert len(r.nodes) == len(parsed[r.tree_id].parent)
+    still = rooting.rerooted(rows.withColumn("at", F.lit(0).cast("long")), ["tree_id"]).collect()
+    assert all(by_span([(n.lo, n.hi) for n in r.nodes], [f"g{p}" for p in r.pos]) == texts[r.tree_id].replace(" ", "") for r in still)

@@ -80,3 +80,25 @@ def rootings(nodes: DataFrame, leaves: DataFrame, species: DataFrame) -> DataFra
 def best(found: DataFrame) -> DataFrame:
     """(tree_id, u, score, n_rootings, worst) of rootings(): each tree's cheapest, the first node of equal ones."""
     return found.groupBy("tree_id").agg(F.min(F.struct("score", "u")).alias("b"), F.count("*").alias("n_rootings"), F.max("score").alias("worst")).select("tree_id", "b.u", "b.score", "n_rootings", "worst")
+
+
+def rerooted(trees: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, pos, nodes) of binary trees (*key, pos, nodes, at) with their root on the edge above the node whose u is `at`; nodes have (lo, hi).
+
+    Leaves of that node come first, then those beside it, then those beside its parent and so on, so that all that lies below a
+    node is a run again. A tree whose `at` is its root, or null, or that has no such node, only keeps its nodes' spans.
+    """
+    here = F.get(F.filter("nodes", lambda x: x["u"] == F.col("at")), F.lit(0))
+    rows = trees.withColumn("x", here).withColumn("way", F.filter("nodes", lambda x: (x["lo"] <= F.col("x.lo")) & (F.col("x.hi") <= x["hi"])))
+    rows = rows.withColumn("way", F.coalesce("way", F.array().cast(trees.schema["nodes"].dataType)))
+    # Nodes of the way, the outermost first: the more of them hold a leaf, the nearer it comes to the front.
+    near = F.transform("pos", lambda p, i: F.struct((-F.size(F.filter("way", lambda w: (w["lo"] <= i) & (i <= w["hi"])))).alias("k"), i.alias("i"), p.alias("p")))
+    rows = rows.withColumn("order", F.array_sort(near)).withColumn("place", F.transform("order", lambda o: o["i"]))
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    moved = F.transform(F.filter("nodes", lambda n: ~((n["lo"] <= F.col("x.lo")) & (F.col("x.hi") <= n["hi"]) & (n["u"] != F.col("at")))), lambda n: span(F.array_position("place", n["lo"]) - 1, F.array_position("place", n["lo"]) - 1 + n["hi"] - n["lo"]))
+    n = F.size("pos")
+    # What is all but a node of the way; that of a child of the old root is the other child.
+    rest = F.transform(F.slice("way", F.lit(3), F.greatest(F.lit(0), F.size("way") - 2)), lambda w: span(w["hi"] - w["lo"] + 1, n - 1))
+    whole = F.transform("nodes", lambda x: span(x["lo"], x["hi"]))
+    made = F.when(F.size("way") < 2, whole).otherwise(F.concat(F.array(span(F.lit(0), n - 1)), moved, rest))
+    return rows.select(*key, F.transform("order", lambda o: o["p"]).alias("pos"), F.array_sort(made).alias("nodes"))

@@ -7,10 +7,10 @@ node is an interval and the lowest node above a set of leaves is that above its
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import trees
+from ..functions import names, trees
 from ..functions.storage import stored
 
 #: Pairs of species leaves up to this many are broadcast, some 20 bytes each; more are joined by a shuffle.
@@ -150,6 +150,37 @@ def unresolved(parsed: DataFrame) -> DataFrame:
     return kids.select("tree_id", reason.alias("reason")).groupBy("tree_id").agg(F.max("reason").alias("reason"))  # unrooted before unary before polytomy
 
 
+def name_problems(parsed: DataFrame) -> DataFrame:
+    """(tree_id, name, reason) of a species tree's names that it can't have, names that come twice among them."""
+    own = parsed.select("tree_id", "name", names.species_problem(F.col("name"), F.col("is_leaf")).alias("reason")).filter("reason IS NOT NULL")
+    twice = parsed.filter("coalesce(name, '') <> ''").groupBy("tree_id", "name").agg(F.count("*").alias("n")).filter("n > 1")
+    return own.distinct().unionByName(twice.select("tree_id", "name", F.lit("name twice").alias("reason")))
+
+
+def repaired_names(parsed: DataFrame) -> DataFrame:
+    """parsed species trees with their names put right; of equal inner names the first in preorder stays. Leaves that are equal then are left to name_problems()."""
+    named = parsed.withColumn("name", names.repaired_species(F.col("name"), F.col("is_leaf")))
+    first = F.row_number().over(Window.partitionBy("tree_id", "name").orderBy("tin"))
+    again = named.withColumn("name", F.when(F.col("is_leaf") | (first == 1), F.col("name")))
+    return again.withColumn("species", F.when(F.col("is_leaf"), F.element_at(F.split("name", "_"), -1)))
+
+
+def without_knuckles(parsed: DataFrame) -> DataFrame:
+    """(tree_id, node_id, parent_id, lo, hi, name, dist, support) of parsed trees without inner nodes of one child.
+
+    Such nodes stand over the same leaves one above the other; the topmost stays, or the leaf if there is one below. It has the
+    first name from above, the lowest support, and the lengths of all added up.
+    """
+    same = Window.partitionBy("tree_id", "lo", "hi").orderBy("tin")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = F.first(F.when(F.coalesce("name", F.lit("")) != "", F.col("name")), True).over(whole)
+    leaf = F.max(F.when(F.col("is_leaf"), F.col("node_id"))).over(whole)
+    each = parsed.select("tree_id", "node_id", "parent_id", "lo", "hi", "is_leaf", F.when(leaf.isNotNull(), F.max(F.when(F.col("is_leaf"), F.col("name"))).over(whole)).otherwise(named).alias("name"), F.sum("dist").over(whole).alias("dist"), F.min("support").over(whole).alias("support"), F.coalesce(leaf, F.first("node_id").over(whole)).alias("kept"), F.first("parent_id").over(whole).alias("up"))
+    ids = each.select("tree_id", F.col("node_id").alias("up"), F.col("kept").alias("above"))
+    stays = each.filter("node_id = kept").join(ids, ["tree_id", "up"], "left")
+    return stays.select("tree_id", "node_id", F.col("above").alias("parent_id"), "lo", "hi", "name", "dist", "support")
+
+
 def placed(genes: DataFrame, species: DataFrame) -> DataFrame:
     """(tree_id, leaf, pos) of parsed gene trees: each leaf's number and that of its species' leaf; a gene of a species that the tree lacks is an error."""
     tips = species.filter("is_leaf").select("species", F.col("lo").alias("pos"))
