@@ -39,7 +39,7 @@ TABLE_BITS, BITMAP = 27, 32_768
 #: Bits of a hash that are sent.
 NAME_BITS = 44
 #: Hashes, phrases and numbered words that a task keeps at most before it sends what it has or begins anew, and hashes in a row: batches of rows stay small.
-HELD, PHRASES_HELD, WORDS_HELD, IN_A_ROW = 1_000_000, 200_000, 200_000, 2048
+HELD, PHRASES_HELD, WORDS_HELD, IN_A_ROW = 1_000_000, 600_000, 200_000, 2048
 #: Counters of a partition's summary that its task should not exceed, as far as partitions can be added.
 COUNTERS = 1_000_000
 #: Groups of a language's phrases whose best are taken first.
@@ -224,17 +224,20 @@ def _read(named: dict[int, bytes | None], counted: dict[int, bytes], parts: int,
                     phrase = b" ".join(words[at : at + n]).decode()
                     of[phrase] = of.get(phrase, 0) + c
             if sum(map(len, found.values())) > PHRASES_HELD:
-                yield _batch(_phrases(found))
+                yield from _phrases(found)
                 found = {}
         for n in named:
             yield _batch(sums[n].sent())
-        yield _batch(_phrases(found))
+        yield from _phrases(found)
 
     return run
 
 
-def _phrases(found: dict) -> list[tuple]:
-    return [(n, 2, None, None, None, None, lang, phrase, f) for (n, lang), held in found.items() for phrase, f in held.items()]
+def _phrases(found: dict, most: int = 20_000):
+    """Batches of what was counted."""
+    rows = ((n, 2, None, None, None, None, lang, phrase, f) for (n, lang), held in found.items() for phrase, f in held.items())
+    while part := list(islice(rows, most)):
+        yield _batch(part)
 
 
 def _merge(least: int):
