@@ -150,6 +150,9 @@ def test_species_names(spark):
     parsed = newick.parse(spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string"))
     got = sorted((r.tree_id, r.name, r.reason) for r in newick.name_problems(parsed).collect())
     assert got == [(1, "<P*1>", "illegal sign in an inner name"), (1, "A", "name twice"), (1, "x", "inner name without brackets"), (2, "<x>", "name twice"), (2, "A|1", "illegal sign in a leaf name")]
+    genes = newick.parse(spark.createDataFrame([(0, "((a_A,a_A),(b|1_B,z_Z));"), (1, "(A,x_B);")], "tree_id long, newick string"))
+    known = spark.createDataFrame([("A",), ("B",)], "species string")
+    assert sorted(map(tuple, newick.gene_name_problems(genes, known).collect())) == [(0, "a_A", "name twice"), (0, "b|1_B", "illegal sign in a leaf name"), (0, "z_Z", "no such species")]
     mended = {(r.tree_id, r.node_id): r.name for r in newick.repaired_names(parsed).collect()}
     assert (mended[1, 0], mended[1, 1], mended[2, 0], mended[2, 1], mended[2, 2], mended[3, 1]) == ("<p.1>", "<x>", "<x>", None, "A.1", None)
 

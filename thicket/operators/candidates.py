@@ -18,3 +18,8 @@ def allowance(species: DataFrame, limits: DataFrame, copies: DataFrame) -> DataF
     barred = found.filter("allowed < 1").join(species.select(F.col("node_id").alias("h"), "tin"), "h").select(F.col("tin").alias("x"))
     above = species.join(barred, F.col("x").between(F.col("tin"), F.col("tout"))).select(F.col("node_id").alias("h")).distinct()
     return found.join(above.withColumn("barred", F.lit(True)), "h", "left").select("h", F.when(F.col("barred"), 0).otherwise(F.col("allowed")).alias("allowed"))
+
+
+def donors(allowed: DataFrame, family: int = 0) -> DataFrame:
+    """(family, node) of the clades of allowance() that may be copied at least once: what sweep.candidates takes as donors."""
+    return allowed.filter("allowed >= 1").select(F.lit(family).cast("long").alias("family"), F.col("h").alias("node"))

@@ -119,6 +119,13 @@ def copy_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("h", F.col("allowed").cast("long").alias("allowed"))
 
 
+def allowed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the whole species tree whose donor may be copied at all, numbered anew."""
+    nodes = species(spark, sf_dir).select(F.lit(0).cast("long").alias("family"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), "lo", "hi", "depth")
+    may = candidates.donors(copy_allowance(spark, sf_dir))
+    return sweep.candidates(nodes, donors=may).drop("family")
+
+
 def unit_counts(rule: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes, leaves = tables(spark, sf_dir)
@@ -133,7 +140,7 @@ def unit_counts(rule: str):
     return query
 
 
-QUERIES = {f.__name__: f for f in (balanced_scores, balanced_map, balanced_dup_loss, balanced_orthology, balanced_classes, balanced_clades, region_partition, tree_containment, best_rootings, support_quotas, effective_lineages, copy_allowance, *[unit_counts(r) for r in ("strict", "engine", "maximal")])}
+QUERIES = {f.__name__: f for f in (balanced_scores, balanced_map, balanced_dup_loss, balanced_orthology, balanced_classes, balanced_clades, region_partition, tree_containment, best_rootings, support_quotas, effective_lineages, copy_allowance, allowed_candidates, *[unit_counts(r) for r in ("strict", "engine", "maximal")])}
 
 _Q = "WITH " + corpus.LEAVES_SQL + "," + corpus.BALANCED_SQL
 _FITS = {
@@ -184,6 +191,10 @@ ORACLE_SQL = {
     "effective_lineages": _Q + """, cs AS (SELECT gt_id, lo, hi, any_value(f) AS f FROM bs WHERE kinds = 1 GROUP BY gt_id, lo, hi),
       mx AS (SELECT * FROM cs p WHERE NOT EXISTS (SELECT 1 FROM cs q WHERE q.gt_id = p.gt_id AND q.lo <= p.lo AND p.hi <= q.hi AND (q.lo <> p.lo OR q.hi <> p.hi)))
       SELECT gt_id, nation, count(*) AS n_groups, max(hi - lo + 1) AS largest FROM mx JOIN sq ON pos = f GROUP BY gt_id, nation""",
+    "allowed_candidates": _Q + """, lm AS (SELECT n_nationkey AS nation, count(s_suppkey) % 4 + 1 AS c FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey),
+      a1 AS (SELECT sd.node, sd.lo, sd.hi, min(c - 1) AS a FROM sd JOIN sq ON pos BETWEEN sd.lo AND sd.hi JOIN lm USING (nation) GROUP BY ALL),
+      od AS (SELECT node, lo, hi, row_number() OVER (ORDER BY lo <> hi, hi, lo DESC) AS ord, (SELECT arg_min(p.node, p.hi - p.lo) FROM sd p WHERE p.lo <= s.lo AND s.hi <= p.hi AND p.node <> s.node) AS up FROM sd s)
+      SELECT row_number() OVER (ORDER BY h.ord, t.ord) AS mt_id, h.node AS h, t.node AS t FROM od h JOIN a1 ON a1.node = h.node AND a >= 1 JOIN od t ON h.node = t.node OR NOT (h.lo <= t.lo AND t.hi <= h.hi) AND (h.up IS NULL OR t.up IS NULL OR h.up <> t.up)""",
     "copy_allowance": _Q + """, lm AS (SELECT n_nationkey AS nation, count(s_suppkey) % 4 + 1 AS c FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey),
       al AS (SELECT sd.node, sd.lo, sd.hi, min(c - 1) AS a FROM sd JOIN sq ON pos BETWEEN sd.lo AND sd.hi JOIN lm USING (nation) GROUP BY ALL)
       SELECT node AS h, CAST(CASE WHEN EXISTS (SELECT 1 FROM al b WHERE b.a < 1 AND a.lo <= b.lo AND b.hi <= a.hi) THEN 0 ELSE a.a END AS BIGINT) AS allowed FROM al a""",

@@ -157,6 +157,16 @@ def name_problems(parsed: DataFrame) -> DataFrame:
     return own.distinct().unionByName(twice.select("tree_id", "name", F.lit("name twice").alias("reason")))
 
 
+def gene_name_problems(parsed: DataFrame, species: DataFrame) -> DataFrame:
+    """(tree_id, name, reason) of gene trees' leaves that can't be read as genes of species (species): without a name, with structure signs, of no known species, or twice."""
+    leaves = parsed.filter("is_leaf").select("tree_id", "name", "species").join(species.select("species", F.lit(True).alias("known")).distinct(), "species", "left")
+    whole = leaves.join(species.select(F.col("species").alias("name"), F.lit(True).alias("whole")).distinct(), "name", "left")
+    times = F.count("*").over(Window.partitionBy("tree_id", "name"))
+    empty, held = F.coalesce("name", F.lit("")) == "", F.translate("name", names.ILLEGAL, "") != F.col("name")
+    reason = F.when(empty, "empty leaf name").when(held, "illegal sign in a leaf name").when(F.col("known").isNull() & F.col("whole").isNull(), "no such species").when(F.col("times") > 1, "name twice")
+    return whole.withColumn("times", times).select("tree_id", "name", reason.alias("reason")).filter("reason IS NOT NULL").distinct()
+
+
 def repaired_names(parsed: DataFrame) -> DataFrame:
     """parsed species trees with their names put right; of equal inner names the first in preorder stays. Leaves that are equal then are left to name_problems()."""
     named = parsed.withColumn("name", names.repaired_species(F.col("name"), F.col("is_leaf")))
