@@ -55,7 +55,7 @@ def test_mined_phrases_equal_counting_and_sql(spark):
     docs = spark.createDataFrame(rows, "text string, lang string").withColumns({"phrase": F.lit(1), "n": F.lit(2)}).repartition(5)
     got = sorted(tuple(r) for r in phrases.mine(docs).collect())
     assert got == brute(rows, 30, 2000) and len(got) > 20
-    few = sorted(tuple(r) for r in phrases.mine(docs, least=4, best=7, bits=15).collect())
+    few = sorted(tuple(r) for r in phrases.mine(docs, least=4, best=7, bits=15, counters=20).collect())
     assert few == brute(rows, 4, 7)
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (text VARCHAR, lang VARCHAR)")

@@ -40,7 +40,8 @@ TABLE_BITS, BITMAP = 27, 32_768
 NAME_BITS = 44
 #: Hashes, phrases and numbered words that a task keeps at most before it sends what it has or begins anew, and hashes in a row: batches of rows stay small.
 HELD, PHRASES_HELD, WORDS_HELD, IN_A_ROW = 1_000_000, 600_000, 200_000, 2048
-#: Counters of a partition's summary that its task should not exceed, as far as partitions can be added.
+#: Counters of a partition's summary: there are so many partitions that mass / least needs no more, and a summary has them all, for
+#: the more it has the less is taken from them.
 COUNTERS = 1_000_000
 #: Groups of a language's phrases whose best are taken first.
 SALTS = 64
@@ -240,7 +241,7 @@ def _phrases(found: dict, most: int = 20_000):
         yield _batch(part)
 
 
-def _merge(least: int):
+def _merge(least: int, counters: int):
     """Survivors of each partition's summary; rows come by partition, masses before hashes."""
 
     def run(batches):
@@ -249,7 +250,7 @@ def _merge(least: int):
         def settled():
             nonlocal names, counts, taken, buffer, held
             names, counts = _summed(np.concatenate([names, *[a for a, _ in buffer]]), np.concatenate([counts, *[b for _, b in buffer]]))
-            names, counts, by = lowered(names, counts, mass // least + 1)
+            names, counts, by = lowered(names, counts, max(mass // least + 1, counters))
             taken, buffer, held = taken + by, [], 0
 
         def survivors():
@@ -290,10 +291,10 @@ def bit_table(names: DataFrame, bits: int) -> bytes:
     return zlib.compress(bytes(table), 1)  # tasks get it with their code, and it is mostly zeros
 
 
-def survivors(read: DataFrame, n: int, least: int, parts: int, bits: int = TABLE_BITS) -> bytes:
+def survivors(read: DataFrame, n: int, least: int, parts: int, bits: int = TABLE_BITS, counters: int = COUNTERS) -> bytes:
     """Bit table of the n-grams of a reading that the summaries keep: all found `least` times in a language are in it."""
     dealt = read.filter((F.col("n") == n) & (F.col("kind") < 2)).select("part", "kind", "mass", "names", "counts").repartition(parts, "part").sortWithinPartitions("part", "kind")
-    kept = stored(dealt.mapInArrow(_merge(least), "name long"))
+    kept = stored(dealt.mapInArrow(_merge(least, counters), "name long"))
     table = bit_table(kept, bits)
     forgotten(kept)
     return table
@@ -305,7 +306,7 @@ def frequent(read: DataFrame, n: int, least: int) -> DataFrame:
     return stored(counted.filter((F.col("f") >= least) | F.col("phrase").isNull()))
 
 
-def mine(docs: DataFrame, least: int = 30, best: int = 2000, bits: int = TABLE_BITS) -> DataFrame:
+def mine(docs: DataFrame, least: int = 30, best: int = 2000, bits: int = TABLE_BITS, counters: int = COUNTERS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to four words, from docs (text, lang).
 
     A phrase's score is that of its weakest cut into a first part and a rest: floor(2,000,000 a / (l + r)) with a, l, r the counts
@@ -317,14 +318,14 @@ def mine(docs: DataFrame, least: int = 30, best: int = 2000, bits: int = TABLE_B
     spark = docs.sparkSession
     # A word and a blank are two characters at least; partitions need not be more than the most that there may be to name.
     mass = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 2
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), mass // (least * COUNTERS) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), mass // (least * counters) + 1)
     tables: dict[int, DataFrame] = {}
     named: dict[int, bytes | None] = {1: None, 2: None}
     counted: dict[int, bytes] = {}
     while named or counted:
         read = stored(docs.mapInArrow(_read(named, counted, parts, bits), _READ))
         tables |= {n: frequent(read, n, least) for n in counted}
-        counted = {n: survivors(read, n, least, parts, bits) for n in named}
+        counted = {n: survivors(read, n, least, parts, bits, counters) for n in named}
         forgotten(read)
         longest = max(counted, default=LONGEST)
         named = {longest + 1: counted[longest]} if longest < LONGEST else {}
