@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from thicket.llm import chat, topk
 
 
@@ -39,15 +41,38 @@ def test_top_k(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.5, -0.25, 0.0, 0.1, 0.3, 0.999]) for _ in range(6)], 0) for i in range(-120, 300)]
     rows += [(400 + i, rows[7][1], 0) for i in range(60)] + [(500, None, 0), (550, [float("nan")] * 6, 0), (600, [1.0, None, 1.0, 1.0, 1.0, 1.0], 0), (650, [math.inf] * 6, 0), (700, [], 0), (750, [0.5, 0.5], 0), (800, [0.1, 0.2], 0), (None, [0.1] * 6, 0)]
-    docs = spark.createDataFrame(rows + rows[:2], "vec_id long, embedding array<float>, score int").repartition(3)
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(docs, row_block=70, query_block=3).collect())
-    import numpy as np
+    rows += [rows[20], rows[25], (-100, [0.3] * 6, 0), (130, [0.999] * 6, 0), (130, [0.1] * 6, 0)]  # rows that share an id, queries among them
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
+    assert answers(topk.top_k(docs, row_block=70, query_block=3)) == brute_top(rows, np.float32)
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
 
-    ints = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+def answers(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+
+
+def brute_top(rows, number):
+    """What top_k gives, one query after the other; a score is the nearest long."""
+    ints = [(i, [math.floor(256 * float(number(x))) for x in v]) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    near = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     want = []
-    for q in ints:
+    for at, (q, a) in enumerate(ints):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q and len(ints[c]) == len(ints[q]))[:5]
-            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert got == sorted(want)
-    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for other, (c, b) in enumerate(ints) if other != at and len(a) == len(b))[:5]
+            want += [(q, k + 1, c, near(-s)) for k, (s, c) in enumerate(best)]
+    return sorted(want)
+
+
+def test_top_k_rows_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.1, 0.0]), (1, [0.9, 0.0]), (2, [0.5, 0.0])]
+    got = answers(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == [(0, 1, 1, 58880), (0, 2, 2, 32768), (0, 3, 1, 6400)]
+
+
+def test_top_k_large_components(spark):
+    rng = random.Random(5)
+    sizes = [0.5, 3.0, 4e4, 1e9, 1e12, 1e30, 1e300]
+    rows = [(i, [rng.uniform(-1, 1) * rng.choice(sizes[: 1 + i % len(sizes)]) for _ in range(3)]) for i in range(160)]
+    rows += [(200, [40000.0, 0.0, 0.0]), (250, [1.7e308, 0.0, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert answers(topk.top_k(docs, row_block=40, query_block=3)) == brute_top(rows[:-1], float)
