@@ -11,6 +11,8 @@ def test_blocks():
     page = '<title>t</title><script>var a="</p>";</script><p>A &amp; B<br>c <b>d</b><p class="x y">e<!-- no --><ul><li>f<li><a href="?a>b">g</a></ul>tail &am'
     assert [(t, [x[0] for x in p]) for t, p, _ in htmltext.leaf_blocks(page)] == [("t", ["title"]), ("A & B c d", ["p"]), ("e", ["p"]), ("f", ["ul", "li"]), ("g", ["ul", "li"]), ("tail &am", [])]
     assert htmltext.leaf_blocks(None) == [] == htmltext.leaf_blocks("<p>  <style>p{}") == htmltext.leaf_blocks("<p")
+    assert [t for t, *_ in htmltext.leaf_blocks("<p>a</p>< 5 apples are left")] == ["a", "< 5 apples are left"]
+    assert [t for t, *_ in htmltext.leaf_blocks("<p>a < b</p>if x < y</p>z <")] == ["a < b", "if x < y", "z <"]
 
 
 def test_gradients():
@@ -60,3 +62,23 @@ def test_extracts_known_pages(spark):
 def test_text_of_embedded_elements_stays():
     page = "<article><p>Let <math><mi>x</mi></math> be <object>an object</object> in <noscript>plain</noscript> <svg><text>a b</text></svg> <canvas>c</canvas>.<script>no</script><style>no</style><template>no</template></p></article>"
     assert [b[0] for b in htmltext.leaf_blocks(page)] == ["Let x be an object in plain a b c."]
+
+
+def plain_page(rng, n):
+    """A page of div elements alone: a menu of links, n paragraphs, a line of rights; and its paragraphs."""
+    line = lambda n: " ".join(rng.choice("the of and to in is that word story page day".split()) for _ in range(n)).capitalize() + "."
+    main = [line(rng.randrange(30, 60)) for _ in range(n)]
+    menu = "".join(f'<div><a href="/{i}">{line(2)[:-1]}</a></div>' for i in range(6))
+    return f"<html><body><div>{menu}</div><div>" + "".join(f"<div>{x}</div>" for x in main) + f"</div><div>&copy; {line(4)[:-1]}</div></body></html>", main
+
+
+def test_plain_pages_keep_their_article(spark):
+    rng = random.Random(9)
+    known = [made(rng, k)[0] for k in range(400)]  # as many as are learned from at most
+    weights = htmltext.fit(known)
+    pages = [plain_page(rng, n) for n in (3, 5, 5, 8, 12)]
+    docs = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(pages)], "page_id long, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in htmltext.extract(docs, weights=weights).collect()}
+    for i, (_, main) in enumerate(pages):
+        # The first paragraph after a menu may be taken for a notice; all others stay, the menu and the line of rights go.
+        assert main[1:] == [x for x in got[i] if x in main[1:]] and set(got[i]) <= set(main)

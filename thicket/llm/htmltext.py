@@ -7,9 +7,13 @@ order and says which blocks are main text, so each block is judged with the whol
 Pages carry no labels. The labeller learns from at most `sample_pages` pages, drawn by a hash of their markup, whose blocks get
 seed labels from the meaning of HTML's own elements and usual class words; each page is also used with further menus,
 notices, forms, comments and the like put in, and with its article's element renamed, so that the network has seen the usual
-wrappers whatever the sample holds. Every page is labelled whole; nothing but the training sample is bounded.
+wrappers whatever the sample holds. Some are used once more with all telling elements and class words taken away, their labels
+kept: there only length, links, punctuation, words, place and what stands around a block can tell main text from the rest; the first
+paragraph of such a page may be taken for a notice. On pages that use the usual elements and words the network hardly differs from the seed labels. Every page is labelled whole;
+nothing but the training sample is bounded.
 
-Defined results: null, empty or blank html has an empty text. Unclosed tags and comments end with the page. Character
+Defined results: null, empty or blank html has an empty text. Unclosed tags and comments end with the page. A < that opens no
+tag is text. White space is Python's, U+00A0 included. A block whose chance is exactly one half is no main text. Character
 references are decoded once. Comments, scripts, styles and the head are no blocks. Repeated rows are each extracted. Columns
 named like the added ones are replaced, all others stay.
 """
@@ -41,6 +45,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 UNREAD_TAGS = "script style template"
 SIDE_TAGS = frozenset("nav footer aside form button select option textarea label fieldset menu dialog head title iframe".split())
 MAIN_TAGS = frozenset("article main".split())
+PLAIN_TAGS = frozenset("html head title body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th pre blockquote".split())
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie consent copyright disqus footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
@@ -60,6 +65,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 class Settings:
     sample_pages: int = 400
     variants: int = 3
+    plain: int = 2
     epochs: int = 6
     batch: int = 32
     rate: float = 0.01
@@ -114,7 +120,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple, int]]:
         if tag not in VOID_TAGS and not m[4].endswith("/"):
             names = " ".join(filter(None, (x for g in NAMES.findall(m[4]) for x in g))) if "=" in m[4] else ""
             stack.append((tag, tuple(WORDS.findall(names.lower()))))
-    if at < len(page) and not page.startswith("<", at):
+    if at < len(page):
         parts.append(page[at:])
     flush()
     return out
@@ -151,6 +157,12 @@ def varied(blocks: list, rng: random.Random) -> list:
     return out
 
 
+def plainly(blocks: list, rng: random.Random) -> list:
+    """A page's blocks without class words and with plain elements alone; perhaps with nothing but div elements in its body."""
+    kept = PLAIN_TAGS if rng.random() < 0.5 else frozenset(("html", "head", "title", "body"))
+    return [(text, tuple((tag if tag in kept else "div", ()) for tag, _ in path), linked) for text, path, linked in blocks]
+
+
 def vectors(blocks: list) -> np.ndarray:
     """One row of inputs for each block."""
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + COUNTS), dtype=np.float32)
@@ -259,8 +271,9 @@ def fit(pages: list[str], s: Settings = Settings()) -> dict[str, np.ndarray]:
     rng, dice = np.random.default_rng(s.seed), random.Random(s.seed)
     shown = []
     for blocks in filter(None, map(leaf_blocks, pages)):
-        for one in [blocks, *(varied(blocks, dice) for _ in range(s.variants))]:
-            labels = np.array([seed_label(path) for _, path, _ in one], dtype=np.float32)
+        shapes = [(one, one) for one in [blocks, *(varied(blocks, dice) for _ in range(s.variants))]]
+        for known, one in shapes + [(blocks, plainly(blocks, dice)) for _ in range(s.plain)]:
+            labels = np.array([seed_label(path) for _, path, _ in known], dtype=np.float32)
             for at in range(0, len(one), 400):  # a long page is learned from in parts
                 shown.append((vectors(one)[at : at + 400], labels[at : at + 400]))
     model = Labeller(rng)

@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from .common import UID, Remembered, checkpointed, with_uid, workers_find_package
 
 SPACE = "▁"
-#: Stands for a literal U+2581 of a text while it is segmented; no vocabulary has it.
-LITERAL = "\uffff"
+#: Stands for a literal U+2581 of a text while it is segmented: a space, as the text's own spaces are marks by then.
+LITERAL = " "
+SWAPPED = str.maketrans(f"{SPACE} ", f"{LITERAL}{SPACE}")
 LOW = float("-inf")
 
 
@@ -147,7 +148,7 @@ class Vocabulary:
 
 def marked(text: str) -> str:
     """text with space marks for spaces and before its start."""
-    return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
+    return SPACE + (text.translate(SWAPPED) if SPACE in text else text.replace(" ", SPACE)) if text else ""
 
 
 @lru_cache(maxsize=2)
