@@ -9,7 +9,7 @@ seed labels from the meaning of HTML's own elements and usual class words; each
 notices, forms, comments and the like put in, and with its article's element renamed, so that the network has seen the usual
 wrappers whatever the sample holds. Some are used once more with all telling elements and class words taken away, their labels
 kept: there only length, links, punctuation, words, place and what stands around a block can tell main text from the rest; the
-first paragraph of such a page may be taken for a notice. On pages that use the usual elements and words the network hardly
+first and last blocks of such an article may still be misjudged. On pages that use the usual elements and words the network hardly
 differs from the seed labels. Every page is labelled whole; nothing but the training sample is bounded.
 
 Defined results: null, empty or blank html has an empty text. Unclosed tags and comments end with the page. A < that opens no
