@@ -210,6 +210,9 @@ def test_reports(spark, tmp_path):
     trees = spark.createDataFrame([(1, "(a_A,b_B);"), (2, "(("), (3, "((a_A,b_A),c_B);")], "tree_id long, newick string")
     rejected, over = spark.createDataFrame([(2, "no tree")], "tree_id long, reason string"), spark.createDataFrame([(3, 17)], "tree_id long, n_units int")
     assert [r.line for r in files.tree_lines(trees, rejected, over).orderBy("tree_id").collect()] == ["(a_A,b_B);", "# left out: no tree", "# over the limit: 17 units"]
+    load = spark.createDataFrame([(1, 3), (1, 4), (3, 9), (3, 5), (3, 2)], "tree_id long, n_units long")
+    found = files.filtered(spark.createDataFrame([(1,), (2,), (3,), (4,)], "tree_id long"), trees.filter("tree_id IN (1, 3)"), load, 4).orderBy("tree_id").collect()
+    assert [tuple(r) for r in found] == [(1, "kept", 0, "(a_A,b_B);"), (2, "gone", 0, "# gone before"), (3, "over", 2, "# over the limit for 2 donors"), (4, "gone", 0, "# gone before")]
     text, texts = random_case(6, 8)
     rows, nodes = as_rows(spark, texts, text)
     found = stored(sweep.units(rows, nodes))

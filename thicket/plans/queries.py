@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import compare, grouping, maps, network, reconcile, select
-from ..sources import corpus, newick
+from ..sources import corpus, files, newick
 from . import balanced, networks, search
 
 Q = "WITH " + corpus.LEAVES_SQL
@@ -67,6 +67,13 @@ def cap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("gt_id", "n_donors", F.col("most_units").cast("long").alias("most_units"), "combinations", "kept")
 
 
+def filtered_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every order's tree: kept, over the limit of three units for some donors, or gone for want of lineitems."""
+    leaves = corpus.gene_leaves(spark, sf_dir)
+    inputs = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree_id"))
+    return files.filtered(inputs, newick.write(leaves), grouping.units(leaves).withColumnRenamed("gt_id", "tree_id"), 3)
+
+
 def best_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred trees of lowest score, and which undercut a reference of 6 by more than half of it."""
     ranked = select.passed(select.best(score_single(spark, sf_dir), 100), 6, 0.5, relative=True)
@@ -144,7 +151,7 @@ def user_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.array_join("s", ",").alias("signature"), F.size("s").cast("long").alias("n_leaves"), F.size(F.array_distinct("s")).cast("long").alias("n_species"), "n_trees")
 
 
-QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees)} | search.QUERIES | balanced.QUERIES | networks.QUERIES
+QUERIES = {f.__name__: f for f in (score_single, score_weights, total_weighted, gene_quotas, recon_map, dup_loss_counts, orthology, signature_classes, donor_units, cap_filter, filtered_trees, best_trees, score_histogram, score_density, ploidy_distance, leaf_jaccard, gene_names, newick_nodes, newick_scores, network_folds, user_trees)} | search.QUERIES | balanced.QUERIES | networks.QUERIES
 
 SCORES = N + ",\nsc AS (SELECT gt_id, count(*) AS n_leaves, CAST(sum(dup) AS BIGINT) AS n_dups, CAST(sum(loss) AS BIGINT) AS n_losses, CAST(sum(dup) + sum(loss) AS BIGINT) AS score FROM nc GROUP BY gt_id)\n"
 COPIES = Q + """,
@@ -172,6 +179,11 @@ ORACLE_SQL = {
       SELECT signature, min(gt_id) AS rep_gt_id, count(*) AS weight FROM sg GROUP BY signature""",
     "donor_units": Q + "," + grouping.UNITS_SQL + "SELECT gt_id, region, n_leaves, merged, n_units FROM un",
     "cap_filter": Q + "," + grouping.UNITS_SQL + "SELECT gt_id, count(*) AS n_donors, max(n_units) AS most_units, CAST(sum(2 ** n_units) AS BIGINT) AS combinations, max(n_units) <= 3 AS kept FROM un GROUP BY gt_id",
+    "filtered_trees": Q + "," + grouping.UNITS_SQL + """, nw AS (SELECT gt_id, repeat('(', CAST(count(*) - 1 AS INTEGER)) || string_agg(CASE WHEN place > 1 THEN ',' ELSE '' END || 'g' || gt_id || '.' || place || '_' || replace(species, '_', '-') || CASE WHEN place > 1 THEN ')' ELSE '' END, '' ORDER BY place) || ';' AS newick FROM gl GROUP BY gt_id),
+      ov AS (SELECT gt_id, count(*) FILTER (n_units > 3) AS n_over FROM un GROUP BY gt_id)
+      SELECT o_orderkey AS tree_id, coalesce(n_over, 0) AS n_over, CASE WHEN newick IS NULL THEN 'gone' WHEN n_over > 0 THEN 'over' ELSE 'kept' END AS outcome,
+             CASE WHEN newick IS NULL THEN '# gone before' WHEN n_over > 0 THEN '# over the limit for ' || n_over || ' donors' ELSE newick END AS line
+      FROM orders LEFT JOIN nw ON nw.gt_id = o_orderkey LEFT JOIN ov ON ov.gt_id = o_orderkey""",
     "best_trees": SCORES + "SELECT gt_id, score, row_number() OVER (ORDER BY score, gt_id) AS rank, 3 < 6 - score AS passed FROM sc ORDER BY score, gt_id LIMIT 100",
     "score_histogram": SCORES + ", e AS (SELECT min(score) AS low, max(score) AS high FROM sc) SELECT CAST(CASE WHEN high = low THEN 1 ELSE least(30, floor((score - low) / ((high - low) / 30)) + 1) END AS INTEGER) AS bin, count(*) AS n FROM sc, e GROUP BY 1",
     "score_density": SCORES + """, t AS (SELECT count(*) AS n, min(score) AS low, max(score) AS high, stddev_samp(score) * count(*) ** -0.2 AS h FROM sc),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 from ..operators import events, select, surgery, sweep
-from ..sources import corpus, newick
+from ..sources import corpus, files, newick
 
 #: Free units above which a tree is left out.
 MOST_UNITS = 15
@@ -74,6 +74,17 @@ def free_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.groupBy("family", "h", "t", "n_free").agg(F.count("*").alias("n_trees"), F.sum(F.pow(F.lit(2.0), "n_free")).alias("choices"))
 
 
+def check_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every different tree of a region under each candidate: its units, how many of them are tied, and the choices left."""
+    species = stored(region_species(spark, sf_dir))
+    genes, leaves, _ = region_trees(spark, sf_dir)
+    trees = stored(newick.listed(genes, leaves, sweep.KEY))
+    found = stored(sweep.units(trees, species))
+    named = trees.select(*sweep.KEY, F.array_join("pos", ",").alias("tree"))
+    load = files.check_numbers(found, sweep.pins(trees, species, found)).join(named, sweep.KEY)
+    return load.select("family", "tree", "h", "t", "groups", "fixed", "combinations")
+
+
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every region's tree over all orders, without building one."""
     species = stored(region_species(spark, sf_dir))
@@ -211,7 +222,7 @@ fs AS (SELECT su.family, coalesce(ca.mt_id, 0) AS mt_id, ca.h, ca.t, score, n_tr
 """
 )
 
-QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts, sweep_scores, pin_states, free_units, full_events, event_partition, score_valleys, candidate_selection)}
+QUERIES = {f.__name__: f for f in (candidate_scores, candidate_ranking, region_candidates, candidate_counts, sweep_scores, pin_states, free_units, check_numbers, full_events, event_partition, score_valleys, candidate_selection)}
 
 _Q = "WITH " + corpus.LEAVES_SQL + ","
 _VALLEYS = """,
@@ -241,6 +252,7 @@ ORACLE_SQL = {
     "candidate_selection": _Q + SCORED_SQL + _selection_sql(),
     "pin_states": _Q + SPACE_SQL + "," + PINS_SQL + "SELECT * FROM pi",
     "free_units": _Q + SPACE_SQL + "," + PINS_SQL + ", w AS (SELECT family, tree, h, t, count(*) FILTER (state IS NULL) AS n_free FROM pi GROUP BY ALL) SELECT family, h, t, n_free, count(*) AS n_trees, sum(2.0::DOUBLE ** n_free) AS choices FROM w GROUP BY family, h, t, n_free",
+    "check_numbers": _Q + SPACE_SQL + "," + PINS_SQL + "SELECT family, tree, h, t, count(*) AS groups, count(state) AS fixed, 2.0::DOUBLE ** (count(*) - count(state)) AS combinations FROM pi GROUP BY family, tree, h, t",
     "region_candidates": _Q + SPACE_SQL + " SELECT * FROM ca",
     "candidate_counts": _Q + SPACE_SQL + " SELECT family, h, count(*) AS n_all, count(*) FILTER (NOT beside) AS n FROM al GROUP BY family, h",
 }

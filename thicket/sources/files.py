@@ -40,6 +40,19 @@ def tree_lines(trees: DataFrame, rejected: DataFrame, over: DataFrame) -> DataFr
     return both.select("tree_id", F.coalesce(why, F.col("newick")).alias("line"))
 
 
+def filtered(inputs: DataFrame, trees: DataFrame, per_donor: DataFrame, limit: int) -> DataFrame:
+    """(tree_id, outcome, n_over, line) for each of inputs (tree_id), in place: kept with its tree, over the limit of units, or gone before.
+
+    trees has (tree_id, newick) of those that are left, per_donor (tree_id, n_units) a row for each donor of a tree; n_over counts
+    the donors under which it is over the limit.
+    """
+    over = per_donor.groupBy("tree_id").agg(F.count_if(F.col("n_units") > limit).alias("n_over"))
+    both = inputs.select("tree_id").join(trees.select("tree_id", "newick"), "tree_id", "left").join(over, "tree_id", "left").withColumn("n_over", F.coalesce("n_over", F.lit(0).cast("long")))
+    outcome = F.when(F.col("newick").isNull(), "gone").when(F.col("n_over") > 0, "over").otherwise("kept")
+    line = F.when(F.col("newick").isNull(), F.lit("# gone before")).when(F.col("n_over") > 0, F.concat(F.lit("# over the limit for "), F.col("n_over").cast("string"), F.lit(" donors"))).otherwise(F.col("newick"))
+    return both.select("tree_id", outcome.alias("outcome"), "n_over", line.alias("line"))
+
+
 def check_numbers(units: DataFrame, pinned: DataFrame) -> DataFrame:
     """(family, gt, h, t, groups, fixed, combinations) of sweep.units and sweep.pins: a tree's units under each candidate, how many of them are tied, and the choices left."""
     key = ["family", "gt", "h"]
