@@ -85,3 +85,26 @@ def test_empty_and_ids(spark):
     for r in packed.collect():
         part = ids[r.sequence_id][r.offset : r.offset + r.length]
         assert zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+
+
+def test_rounds_take_few_tasks(spark):
+    """Where every shuffle has 40 partitions, a round costs two such shuffles and small tables, not each table of a round several times."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    context = spark.sparkContext
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("rounds", "best fit")
+    try:
+        rng = random.Random(1)
+        items = spark.createDataFrame([(k, rng.randint(1, 50)) for k in range(2000)], "id long, size long")
+        assert packing.best_fit(items, 64).count() == 2000
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("rounds")]
+    stages = {k: tracker.getStageInfo(k) for j in jobs if j for k in j.stageIds}
+    tasks = sum(s.numCompletedTasks for s in stages.values() if s)
+    assert tasks < 3000

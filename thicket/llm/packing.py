@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UID, checkpointed, with_uid, workers_find_package
+from .common import UID, forgotten, stored, with_uid, workers_find_package
 
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 300_000
@@ -122,24 +122,25 @@ def _matched(events: DataFrame) -> DataFrame:
     other and other_size are of the gap for a piece and of the piece for a gap; rank counts unmatched pieces from the largest.
     """
     spark = events.sparkSession
-    local = checkpointed(_sorted_sums(events))
+    local = stored(_sorted_sums(events))
     # One row for each range, however many events there are.
-    ends = local.groupBy("range").agg(F.max_by("sum", "row").alias("total"), F.min(F.least("low", "sum")).alias("low")).orderBy("range").collect()
+    ends = local.groupBy("range").agg(F.max_by("sum", "row").alias("total"), F.min(F.least("low", "sum")).alias("low")).collect()
     carried, base, low = [], 0, 0
-    for r in ends:
+    for r in sorted(ends, key=lambda r: r["range"]):
         carried.append((r["range"], base, low))
         base, low = base + r["total"], min(low, base + r["low"])
     carry = F.broadcast(spark.createDataFrame(carried, "range int, base long, floor long"))
     level = local.join(carry, "range").select("id", "size", "sign", "range", "row", (F.col("sum") + F.col("base")).alias("sum"), F.least("floor", F.col("low") + F.col("base")).alias("floor"))
-    lost = (F.col("sign") == -1) & (F.col("sum") < F.col("floor"))
-    waiting = level.filter(lost).select("id", "size", "sign", F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("other_size"), (-F.col("sum")).alias("rank"))
+    is_piece = F.col("sign") == -1
+    lost = is_piece & (F.col("sum") < F.col("floor"))
     along = Window.partitionBy("level").orderBy("range", "row")
     near = lambda f, sign: [F.when(f("sign").over(along) == sign, f(c).over(along)) for c in ("id", "size")]
-    paired = level.filter(~lost).withColumn("level", F.col("sum") - F.col("floor") + F.when(F.col("sign") == -1, 1).otherwise(0))
+    # A piece without a gap is alone on a level below zero, so that one pass does for all events.
+    levels = level.withColumns({"level": F.when(lost, F.col("sum")).otherwise(F.col("sum") - F.col("floor") + F.when(is_piece, 1).otherwise(0)), "rank": F.when(lost, -F.col("sum"))})
     gap_before, piece_after = near(F.lag, 1), near(F.lead, -1)
-    is_piece = F.col("sign") == -1
-    paired = paired.select("id", "size", "sign", F.when(is_piece, gap_before[0]).otherwise(piece_after[0]).alias("other"), F.when(is_piece, gap_before[1]).otherwise(piece_after[1]).alias("other_size"), F.lit(None).cast("long").alias("rank"))
-    return checkpointed(paired.unionByName(waiting))
+    found = stored(levels.select("id", "size", "sign", F.when(is_piece, gap_before[0]).otherwise(piece_after[0]).alias("other"), F.when(is_piece, gap_before[1]).otherwise(piece_after[1]).alias("other_size"), "rank"))
+    forgotten(local)
+    return found
 
 
 def best_fit(items: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -147,29 +148,26 @@ def best_fit(items: DataFrame, capacity: int = 1024) -> DataFrame:
     if items.filter(~F.col("size").between(1, capacity)).limit(1).count():
         raise ValueError(f"an item is empty or longer than {capacity}")
     placed = [items.filter(F.col("size") == capacity).select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    pieces = items.filter(F.col("size") < capacity).select("id", "size")
-    gaps = None
+    events = items.filter(F.col("size") < capacity).select("id", "size", F.lit(-1).cast("long").alias("sign"))
     while True:
-        events = pieces.select("id", "size", F.lit(-1).cast("long").alias("sign"))
-        if gaps is not None:
-            events = events.unionByName(gaps.select("id", "size", F.lit(1).cast("long").alias("sign")))
         found = _matched(events)
         space = F.col("size") - F.coalesce("other_size", F.lit(0))
         is_gap, lost = F.col("sign") == 1, F.col("rank").isNotNull()
-        seen = found.agg(F.max(F.when(is_gap, space)).alias("widest"), F.count_if(lost).alias("lost")).first()
-        placed.append(found.filter((F.col("sign") == -1) & ~lost).select("id", F.col("other").alias("sequence_id"), (capacity - F.col("other_size")).alias("offset")))
-        if not seen["lost"]:
-            break
-        stuck = lost & (F.col("size") > (seen["widest"] or 0))
-        need = found.filter(stuck).agg(F.sum("size").alias("tokens"), F.count_if(F.col("size") > capacity // 2).alias("large")).first()
-        opened = max(-(-(need["tokens"] or 0) // capacity), need["large"])
-        new = found.filter(lost & (F.col("rank") <= opened))
-        placed.append(new.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-        pieces = found.filter(lost & (F.col("rank") > opened)).select("id", "size")
-        least = pieces.agg(F.min("size").alias("least")).first()["least"]
-        if least is None:
+        seen = found.agg(F.max(F.when(is_gap, space)).alias("widest"), F.count_if(lost).alias("lost"), F.min(F.when(lost, F.col("size"))).alias("least")).first()
+        opened = 0
+        if seen["lost"]:
+            stuck = lost & (F.col("size") > (seen["widest"] or 0))
+            need = found.filter(stuck).agg(F.sum("size").alias("tokens"), F.count_if(F.col("size") > capacity // 2).alias("large")).first()
+            opened = max(-(-(need["tokens"] or 0) // capacity), need["large"])
+        is_new = lost & (F.col("rank") <= opened)
+        sequence, offset = F.when(lost, F.col("id")).otherwise(F.col("other")), F.when(lost, 0).otherwise(capacity - F.col("other_size"))
+        placed.append(found.filter((F.col("sign") == -1) & (~lost | is_new)).select("id", sequence.alias("sequence_id"), offset.cast("long").alias("offset")))
+        if seen["lost"] <= opened:
             break
-        gaps = found.filter(is_gap).select("id", space.alias("size")).unionByName(new.select("id", (capacity - F.col("size")).alias("size"))).filter(F.col("size") >= least)
+        # Ranks go from the largest down, so the smallest piece still waits. A row is a gap or a piece in the next round, or neither.
+        left = F.when(is_gap, space).when(is_new, capacity - F.col("size")).when(lost, F.col("size"))
+        waits = lost & ~is_new
+        events = found.select("id", left.alias("size"), F.when(waits, -1).otherwise(1).cast("long").alias("sign")).filter(F.col("size") >= seen["least"])
     whole = placed[0]
     for part in placed[1:]:
         whole = whole.unionByName(part)
@@ -178,7 +176,7 @@ def best_fit(items: DataFrame, capacity: int = 1024) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of all docs with the sequence and the place where each lies."""
-    pieces = checkpointed(with_uid(cut_documents(docs, vocabulary, ranks, pattern, capacity, end_id)))
+    pieces = stored(with_uid(cut_documents(docs, vocabulary, ranks, pattern, capacity, end_id)))
     places = best_fit(pieces.select(F.col(UID).alias("id"), F.col("length").alias("size")), capacity).withColumnRenamed("id", UID)
     return pieces.join(places, UID).drop(UID)
 
