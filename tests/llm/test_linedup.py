@@ -89,3 +89,20 @@ def test_long_text_takes_time_in_proportion(spark):
     want = list(dict.fromkeys(lines))
     near = linedup.drop_repeated_lines(docs, edits=0)
     assert near.filter(F.length("text") > 0).collect()[0].text == "\n".join(want)
+
+
+def test_parities_never_part_near_lines(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        a = [rng.choice("abcdefgé𝄞 ") for _ in range(rng.randrange(1, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "x", "c", "𝄞"])
+        rows.append(("".join(a), "".join(b) or "a"))
+    odd = [linedup.parities(f"transform(split({c}, ''), x -> ascii(x))") for c in "ab"]
+    apart = lambda rows: spark.createDataFrame(rows, "a string, b string").selectExpr("a", "b", f"bit_count({odd[0]} ^ {odd[1]}) AS apart").collect()
+    assert all(r.apart <= 2 * edit(r.a, r.b) for r in apart(rows))
+    others = [(a, b) for (a, _), (_, b) in zip(rows, rows[1:])]
+    assert sum(r.apart > 4 for r in apart(others)) > 50  # most lines further apart are told without the automaton

@@ -2,8 +2,8 @@
 
 Two lines within t edits share one of t + 1 segments of the shorter, at nearly its place. Each different line is cut into
 t + 1 even segments; it offers each as a key of its length, the segment's number and its characters, and asks for the keys
-of equal or up to t shorter lines at the few places that t edits allow. Lines that meet on a key are compared by a banded
-bit-parallel edit automaton and only tell whether an earlier line is near: joins stop at the first, so no pairs of a group
+of equal or up to t shorter lines at the few places that t edits allow. Lines that meet on a key are compared by the
+parities of their characters' counts, of which an edit changes two at most, then by a banded bit-parallel edit automaton, and only tell whether an earlier line is near: joins stop at the first, so no pairs of a group
 come out.
 
 Defined results: a line with a word goes if an earlier line (by doc_id, null last, then place) is equal to it, whatever its
@@ -72,6 +72,11 @@ def within(a: str, b: str, edits: int) -> str:
     return f"(abs(size({a}) - size({b})) <= {edits} AND shiftright({last}, {wide * edits + edits} + size({b}) - size({a})) & 1 = 1)"
 
 
+def parities(letters: str) -> str:
+    """SQL: 64 bits, each whether an odd number of an array's characters falls there; an edit changes two bits at most."""
+    return f"aggregate({letters}, 0L, (s, x) -> s ^ shiftleft(1L, x & 63))"
+
+
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """Stored ids of lines (id, line, first) that are within `edits` edits of one with a smaller first; lines are all different."""
     entries = keys(lines, edits).repartition("key")
@@ -80,9 +85,9 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     shared = stored(entries.join(met, "key").distinct().select(F.expr("entry div 2").alias("id"), "key", F.expr("entry & 1 = 1").alias("own")))
     ids = stored(shared.select("id").distinct())
     texts = lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
-    texts = stored(texts.select("id", "first", F.expr("transform(split(line, ''), x -> ascii(x))").alias("letters")))
+    texts = stored(texts.select("id", "first", F.expr("transform(split(line, ''), x -> ascii(x))").alias("letters")).withColumn("odd", F.expr(parities("letters"))))
     full = shared.join(texts, "id")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (F.col("b.first") < F.col("a.first")) & F.expr(within("a.letters", "b.letters", edits))
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (F.col("b.first") < F.col("a.first")) & F.expr(f"bit_count(a.odd ^ b.odd) <= {2 * edits}") & F.expr(within("a.letters", "b.letters", edits))
     later_asks = full.alias("a").join(full.filter("own").alias("b"), near, "left_semi").select("id")
     later_owns = full.filter("own").alias("a").join(full.filter("NOT own").alias("b"), near, "left_semi").select("id")
     found = stored(later_asks.union(later_owns).distinct())
