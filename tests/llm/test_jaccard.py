@@ -1,11 +1,13 @@
 """The Jaccard join against all pairs."""
 
+import os
 import random
 import re
 
 import pytest
 
 from thicket.llm import jaccard
+from thicket.llm.common import shared_folder
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -82,3 +84,25 @@ def test_no_rows_and_one_of_each(spark):
     again = spark.createDataFrame([(7, "x y z", "clash"), (7, "other words", "clash"), (8, "x y z", None), (None, "p q", None), (None, "p q", None)], "doc_id long, text string, n_shingles string")
     left = jaccard.one_of_each(again)
     assert left.columns == again.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "p q"), (7, "other words"), (7, "x y z")]
+
+
+def test_large_sets_are_told_apart_by_the_wider_bitmap(spark, monkeypatch):
+    """Two sets of 3,000 tokens that share two fifths: prefixes meet and the small bitmap is full."""
+    compared, plain = [], jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = [(k, " ".join(words("same", 1200) + words(name, 1800))) for k, name in enumerate("ab")]
+    got = sorted(tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, 60).collect())
+    assert got == brute(rows, 1, 60) == [(0, 3000, 0), (1, 3000, 1)] and not compared
+    rows.append((2, " ".join(words("same", 1200) + words("b", 1700))))
+    got = sorted(tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, 60).collect())
+    assert got == brute(rows, 1, 60) and compared == [1]
+
+
+def test_scratch_tables_go(spark):
+    rows = [(i, x) for i, x in enumerate(texts(4))]
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert len({x for x in os.listdir(folder) if x.startswith("table-")} - before) == 1  # what the result reads
+    assert left.count() == len({c for _, n, c in brute(rows, 3, 90) if n}) + sum(not n for _, n, _ in brute(rows, 3, 90))

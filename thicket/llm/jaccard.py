@@ -6,7 +6,7 @@ by 2^BUCKET_BITS buckets of tokens, over all sets, so that what tasks hold stays
 equal sets form a class, of which one member stands for all. Classes meet on the tokens of their first prefix; a pair goes on
 only if its sizes fit and its prefixes under the second and the third order meet as well; then the sets are compared. Before
 prefixes are fetched, bitmaps of the parities of hashed tokens meet: they differ in no more bits than the sets in tokens, so
-pairs whose bitmaps differ in too many can't be similar.
+pairs whose bitmaps differ in too many can't be similar. Large sets fill a bitmap, so they have a wider one besides.
 
 In each of a few rounds the members of a token's group are only paired with one leader,
 and the links found join components; at the end the pairs left are those across components, taken as the members outside a
@@ -40,6 +40,8 @@ ROUNDS = 3
 UNBANDED = 64
 #: Bits of a set's bitmap, and of its fold; the first is a multiple of the second.
 BITMAP, SKETCH = 1024, 256
+#: Tokens above which a set also has a wider bitmap, and its bits.
+LARGE, WIDE = 2048, 8192
 #: Ids up to this many are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -119,16 +121,20 @@ def _ranks(sets: DataFrame) -> np.ndarray:
 
 
 def _described(sets: DataFrame, percent: int, held) -> DataFrame:
-    """(id, n, first, bits): each set's prefix under the first order, and its bitmap. held is the broadcast ranks."""
+    """(id, n, first, bits, wide): each set's prefix under the first order, and its bitmaps; wide is null for small sets. held is the broadcast ranks."""
+
+    def bitmap(x, bits):
+        return np.packbits(np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
     def describe(batches):
         for batch in batches:
             tokens = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             first = pa.array([prefixes(x, held.value, percent, (0,))[0].view(np.int64) for x in tokens], pa.list_(pa.int64()))
-            bits = pa.array([np.packbits(np.bincount((x % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).view(np.int64) for x in tokens], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, bits], names=["id", "n", "first", "bits"])
+            bits = pa.array([bitmap(x, BITMAP) for x in tokens], pa.list_(pa.int64()))
+            wide = pa.array([bitmap(x, WIDE) if len(x) > LARGE else None for x in tokens], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, bits, wide], names=["id", "n", "first", "bits", "wide"])
 
-    return sets.select("id", "n", "tokens").mapInArrow(describe, "id long, n long, first array<long>, bits array<long>")
+    return sets.select("id", "n", "tokens").mapInArrow(describe, "id long, n long, first array<long>, bits array<long>, wide array<long>")
 
 
 def _other_prefixes(sets: DataFrame, percent: int, held) -> DataFrame:
@@ -174,8 +180,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["x", "y"])
 
-    ends = _small(stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()))
-    some = stored(sets.join(ends, "id", "left_semi").select("id", "tokens"))
+    ends = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+    some = stored(sets.join(_small(ends), "id", "left_semi").select("id", "tokens"))
+    forgotten(ends)
     left = some.select(F.col("id").alias("x"), F.col("tokens").alias("a")).join(_small(pairs), "x")
     found = stored(left.join(some.select(F.col("id").alias("y"), F.col("tokens").alias("b")), "y").select("x", "y", "a", "b").mapInArrow(compare, "x long, y long"))
     forgotten(some)
@@ -192,8 +199,10 @@ def connected(edges: DataFrame) -> DataFrame:
         jump = labels.join(labels.select(F.col("id").alias("component"), F.col("component").alias("to")), "component").select("id", F.col("to").alias("component"))
         new = stored(labels.unionByName(near).unionByName(jump).groupBy("id").agg(F.min("component").alias("component")))
         settled = new.join(labels.withColumnRenamed("component", "old"), "id").filter("component != old").isEmpty()
+        forgotten(labels)
         labels = new
         if settled:
+            forgotten(both)
             return labels
 
 
@@ -218,7 +227,7 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     entries = details.select("id", "n", F.explode("first").alias("token")).repartition("token")
     shared = entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
     postings = stored(entries.join(shared, "token"))
-    edges, labels = None, None
+    edges, labels, links = None, None, []
 
     def labelled(p):
         if labels is None:
@@ -227,8 +236,9 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
     def both_ends(pairs, made_of):
         """Stored pairs (x, y) with columns that made_of gives for ids of both ends."""
-        ends = _small(stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()))
-        some = stored(made_of(ends))
+        ends = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+        some = stored(made_of(_small(ends)))
+        forgotten(ends)
         side = lambda end: some.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in some.columns if c != "id"])
         return pairs.join(side("x"), "x").join(side("y"), "y"), some
 
@@ -239,8 +249,9 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     def verified(pairs):
         """Those of stored pairs (x, y) that pass the bitmaps' and the other orders' filters."""
         apart = _apart("bits_x[{}]", "bits_y[{}]", BITMAP)
-        both, maps = both_ends(pairs, lambda ends: details.select("id", "n", "bits").join(ends, "id", "left_semi"))
-        near = stored(both.filter(in_reach(apart, "n_x", "n_y")).select("x", "y"))
+        wider = F.expr("aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)")  # null if one set is small
+        both, maps = both_ends(pairs, lambda ends: details.select("id", "n", "bits", "wide").join(ends, "id", "left_semi"))
+        near = stored(both.filter(in_reach(apart, "n_x", "n_y") & F.coalesce(in_reach(wider, "n_x", "n_y"), F.lit(True))).select("x", "y"))
         meet = F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
         both, others = both_ends(near, lambda ends: _other_prefixes(sets.join(ends, "id", "left_semi"), percent, ranks))
         found = stored(both.filter(meet).select("x", "y"))
@@ -255,12 +266,16 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
         passed = verified(met)
         forgotten(met)
         if passed.isEmpty():
+            forgotten(passed)
             return False
         new = _linked(passed, sets, percent)
         forgotten(passed)
+        links.append(new)
         if new.isEmpty():
             return False
         edges = new if edges is None else edges.unionByName(new)
+        if labels is not None:
+            forgotten(labels)
         labels = connected(edges)
         return True
 
@@ -291,7 +306,7 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     class_of = filled.select("a", "b", "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select("a", "b", "doc_id", F.col("n").alias("n_shingles"), "id")
     alone = members.filter("n = 0").select("a", "b", "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
     row = stored(labelled(class_of).drop("id").unionByName(alone))
-    for table in (now, details, postings, made):
+    for table in (now, details, postings, made, first_of, others, *links, *([] if labels is None else [labels])):
         forgotten(table)
     smallest = row.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = row.filter("component IS NOT NULL").join(smallest, "component").select("a", "b", "doc_id", "n_shingles", "component", "component_id")
@@ -305,10 +320,13 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     name = [F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("second"), doc_id, text).alias("b")]
-    found = stored(components(docs.select(*name, doc_id.alias("doc_id"), text.alias("text")), n, percent).filter("component IS NOT NULL").select("a", "b", "doc_id", "component"))
+    every = components(docs.select(*name, doc_id.alias("doc_id"), text.alias("text")), n, percent)
+    found = stored(every.filter("component IS NOT NULL").select("a", "b", "doc_id", "component"))
+    forgotten(every)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
     stays = found.groupBy("component").agg(F.min(first).alias("first")).select("first.a", "first.b")
     goes = stored(found.select("a", "b").distinct().join(stays, ["a", "b"], "left_anti").withColumn("more", F.lit(False)).unionByName(found.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").join(stays, ["a", "b"], "left_semi").select("a", "b", F.lit(True).alias("more"))))
+    forgotten(found)
     inner = docs.withColumns({"_a": name[0], "_b": name[1]})
     same = (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))
     left = inner.join(_small(goes), same, "left_anti")
