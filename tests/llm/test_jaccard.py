@@ -76,6 +76,21 @@ def test_frequent_tokens_change_nothing(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def test_small_groups_are_paired_at_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    entries = [(1, 10, 7), (2, 10, 7), (3, 10, 7), (4, 20, 8), (5, 10, 8), (6, 5, 9)] + [(i, 10, 5) for i in range(20, 25)]
+    rows = jaccard._paired(spark.createDataFrame(entries, "id long, n long, token long"), 90).collect()
+    assert {(r.id, i) for r in rows if r.token is None for i in r.others} == {(1, 2), (1, 3), (2, 3)}
+    assert sorted((r.token, r.id, r.n, r.others) for r in rows if r.token is not None) == [(5, i, 10, [20] if i > 20 else []) for i in range(20, 25)]
+
+
+def test_ranks_are_gathered_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GATHERED", 64)
+    rows = [(bytes(jaccard.shingles(b"a b c d e f g h i j", 3).tobytes()),)] * 40
+    rank = jaccard._ranks(spark.createDataFrame(rows, "tokens binary").coalesce(1))
+    assert sorted(rank[rank > 0].tolist()) == [40] * 8
+
+
 def test_no_rows_and_one_of_each(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.link(none).collect() == []

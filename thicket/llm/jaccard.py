@@ -8,8 +8,8 @@ only if its sizes fit and its prefixes under the second and the third order meet
 prefixes are fetched, bitmaps of the parities of hashed tokens meet: they differ in no more bits than the sets in tokens, so
 pairs whose bitmaps differ in too many can't be similar. Large sets fill a bitmap, so they have a wider one besides.
 
-In each of a few rounds the members of a token's group are only paired with one leader,
-and the links found join components; at the end the pairs left are those across components, taken as the members outside a
+Most groups have a few members: all their pairs come from one sort by token, and the token is done with. Members of a larger group
+are only paired with one leader there and in each of a few more rounds, and the links found join components; at the end the pairs left are those across components, taken as the members outside a
 group's largest component against its others. Links inside a component would change nothing.
 
 Pairs across components of a token with many members are further split by bands of set sizes, since sets too far apart in size can't be similar.
@@ -26,16 +26,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forgotten, stored, workers_find_package
+from .common import forgotten, small_batches, stored, workers_find_package
 
 #: Odd multipliers that mix word hashes, and that make one token order from another.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Buckets of tokens that are counted, and the occurrences from which a bucket of an average one's multiple is ranked by its count.
 BUCKET_BITS, OFTEN, MULTIPLE = 21, 32, 4
-ROUNDS = 3
+ROUNDS = 2
+#: Members of a token up to which all its pairs are made at once: at most (SMALL - 1) / 2 pairs for each member.
+SMALL = 8
+#: Bytes of tokens that a task gathers before it adds them to its counts of buckets.
+GATHERED = 1 << 22
 #: Members of a token up to which its last pairs aren't split by bands, which would copy each member three times.
 UNBANDED = 64
 #: Bits of a set's bitmap, and of its fold; the first is a multiple of the second.
@@ -102,7 +106,7 @@ def _ranks(sets: DataFrame) -> np.ndarray:
             for tokens in batch.column(0).to_pylist():
                 held.append(tokens)
                 size += len(tokens)
-                if size > 1 << 25:
+                if size > GATHERED:
                     seen += counts(held)
                     held, size = [], 0
         yield told(seen + counts(held))
@@ -148,6 +152,19 @@ def _other_prefixes(sets: DataFrame, percent: int, held) -> DataFrame:
     return sets.select("id", "tokens").mapInArrow(describe, "id long, second array<int>, third array<int>")
 
 
+def _paired(entries: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, others) of entries (id, n, token) that share their token: ids to compare each with; token is null once that settles its group."""
+    order = Window.partitionBy("token").orderBy("id")
+    group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct("id", "n")
+    entries = entries.select("*", F.count("*").over(group).alias("size"), F.first(row).over(group).alias("lead"), F.array(*[F.lead(row, k).over(order) for k in range(1, SMALL)]).alias("next"))
+    large = F.col("size") > SMALL
+    near = lambda o: o.isNotNull() & (o["id"] != F.col("id")) & (100 * F.least("n", o["n"]) >= percent * F.greatest("n", o["n"]))
+    others = F.filter(F.when(large, F.array("lead")).otherwise(F.col("next")), near)
+    kept = entries.filter("size > 1").select(F.when(large, F.col("token")).alias("token"), "id", "n", others["id"].alias("others"))
+    return kept.filter("token IS NOT NULL OR size(others) > 0")
+
+
 def _apart(x: str, y: str, bits: int) -> Column:
     """In how many places bitmaps differ; columns or array items are named by a pattern of the word's number."""
     return F.expr(" + ".join(f"bit_count({x.format(i)} ^ {y.format(i)})" for i in range(bits // 64)))
@@ -215,6 +232,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b, doc_id, n_shingles, component, component_id) for rows of texts (a, b, doc_id, text); component is null for an empty set."""
     workers_find_package(texts.sparkSession)
+    small_batches(texts.sparkSession)
     made = stored(_sets(texts, n).withColumn("id", F.monotonically_increasing_id()))
     members = made.select("a", "b", "id", "doc_id", "n", "s1", "s2")
     filled = members.filter("n > 0")
@@ -224,9 +242,8 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     sets = made.filter("n > 0").join(_small(others), "id", "left_anti").select("id", "n", "tokens")
     ranks = made.sparkSession.sparkContext.broadcast(_ranks(sets))  # two bytes a bucket
     details = stored(_described(sets, percent, ranks))
-    entries = details.select("id", "n", F.explode("first").alias("token")).repartition("token")
-    shared = entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
-    postings = stored(entries.join(shared, "token"))
+    paired = stored(_paired(details.select("id", "n", F.explode("first").alias("token")), percent))
+    postings = paired.filter("token IS NOT NULL").select("token", "id", "n")
     edges, labels, links = None, None, []
 
     def labelled(p):
@@ -249,13 +266,16 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     def verified(pairs):
         """Those of stored pairs (x, y) that pass the bitmaps' and the other orders' filters."""
         apart = _apart("bits_x[{}]", "bits_y[{}]", BITMAP)
-        wider = F.expr("aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)")  # null if one set is small
-        both, maps = both_ends(pairs, lambda ends: details.select("id", "n", "bits", "wide").join(ends, "id", "left_semi"))
-        near = stored(both.filter(in_reach(apart, "n_x", "n_y") & F.coalesce(in_reach(wider, "n_x", "n_y"), F.lit(True))).select("x", "y"))
+        both, maps = both_ends(pairs, lambda ends: details.select("id", "n", "bits").join(ends, "id", "left_semi"))
+        near = stored(both.filter(in_reach(apart, "n_x", "n_y")).select("x", "y", (F.least("n_x", "n_y") > LARGE).alias("large")))
+        # Wider bitmaps are only fetched for the pairs of large sets that these have left.
+        wider = F.expr("aggregate(zip_with(wide_x, wide_y, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)")
+        both, wides = both_ends(near.filter("large").select("x", "y"), lambda ends: details.select("id", "n", "wide").join(ends, "id", "left_semi"))
+        left = stored(both.filter(in_reach(wider, "n_x", "n_y")).select("x", "y").unionByName(near.filter("NOT large").select("x", "y")))
         meet = F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y")
-        both, others = both_ends(near, lambda ends: _other_prefixes(sets.join(ends, "id", "left_semi"), percent, ranks))
+        both, others = both_ends(left, lambda ends: _other_prefixes(sets.join(ends, "id", "left_semi"), percent, ranks))
         found = stored(both.filter(meet).select("x", "y"))
-        for table in (maps, others, near):
+        for table in (maps, near, wides, left, others):
             forgotten(table)
         return found
 
@@ -279,7 +299,11 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
         labels = connected(edges)
         return True
 
-    for k in range(ROUNDS):
+    other = paired.select("id", F.explode("others").alias("other"))
+    found = settle(other.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct())
+    for k in range(1, ROUNDS):
+        if not found:
+            break
         now = labelled(postings).repartition("token")
         groups = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(k))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token", "lead")
         # Tokens whose members are all of one component have no more to tell.
@@ -288,20 +312,26 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
         postings = alive.select("token", "id", "n")
         near = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
         star = alive.filter((F.col("component") != F.col("lead.component")) & near).select(F.least("id", "lead.id").alias("x"), F.greatest("id", "lead.id").alias("y")).distinct()
-        if not settle(star):
-            break
+        found = settle(star)
     now = stored(labelled(postings).join(_sketches(details), "id"))
     marks = [f"s{i}" for i in range(SKETCH // 64)]
     sizes = now.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), (F.sum("size") > UNBANDED).alias("banded")).filter("parts > 1").select("token", "largest", "banded")
     # Sets may differ in size by one band at most; bands are a trifle wide for rounding.
     band = F.floor(F.log("n") / (F.log(F.lit(100.0 / percent)) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
-    left = now.join(largest, "token").filter("component != largest").select("token", F.when(F.col("banded"), band).otherwise(0).alias("band"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *[F.col(c).alias(f"{c}x") for c in marks])
-    right = now.join(largest, "token").select("token", F.explode(F.when(F.col("banded"), F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest", *[F.col(c).alias(f"{c}y") for c in marks])
+    met = now.join(largest, "token")
+    away = met.filter("component != largest")
+    one = [F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *[F.col(c).alias(f"{c}x") for c in marks]]
+    other = [F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "largest", *[F.col(c).alias(f"{c}y") for c in marks]]
     # A pair of two small components would come up from both sides.
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
     fit = (F.col("cx") != F.col("cy")) & once & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & in_reach(_apart("s{}x", "s{}y", SKETCH), "nx", "ny")
-    across = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.band") == F.col("r.band")) & fit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    same = lambda c: F.col(f"l.{c}") == F.col(f"r.{c}")
+    # Both sides lie by token already, so only what goes by bands is dealt again.
+    few = away.filter("NOT banded").select("token", *one).alias("l").join(met.filter("NOT banded").select("token", *other).alias("r"), same("token") & fit)
+    bands = F.explode(F.array(band - 1, band, band + 1)).alias("band")
+    many = away.filter("banded").select("token", band.alias("band"), *one).alias("l").join(met.filter("banded").select("token", bands, *other).alias("r"), same("token") & same("band") & fit)
+    across = few.select("x", "y").union(many.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settle(across)
     class_of = filled.select("a", "b", "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select("a", "b", "doc_id", F.col("n").alias("n_shingles"), "id")
     alone = members.filter("n = 0").select("a", "b", "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
