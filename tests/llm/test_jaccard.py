@@ -4,7 +4,9 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from thicket.llm import jaccard
 from thicket.llm.common import shared_folder
@@ -80,8 +82,22 @@ def test_small_groups_are_paired_at_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 3)
     entries = [(1, 10, 7), (2, 10, 7), (3, 10, 7), (4, 20, 8), (5, 10, 8), (6, 5, 9)] + [(i, 10, 5) for i in range(20, 25)]
     rows = jaccard._paired(spark.createDataFrame(entries, "id long, n long, token long"), 90).collect()
-    assert {(r.id, i) for r in rows if r.token is None for i in r.others} == {(1, 2), (1, 3), (2, 3)}
-    assert sorted((r.token, r.id, r.n, r.others) for r in rows if r.token is not None) == [(5, i, 10, [20] if i > 20 else []) for i in range(20, 25)]
+    assert {(r.id, i) for r in rows if r.token is None for i, _ in r.others} == {(1, 2), (1, 3), (2, 3)}
+    assert sorted((r.token, r.id, r.n, [i for i, _ in r.others]) for r in rows if r.token is not None) == [(5, i, 10, [20] if i > 20 else []) for i in range(20, 25)]
+
+
+def test_least_shared_tokens_of_prefixes(spark):
+    rng, rank = random.Random(9), np.zeros(1 << jaccard.BUCKET_BITS, np.uint16)
+    for percent in (60, 80, 90):
+        for _ in range(60):
+            x = [rng.randrange(1 << 64) for _ in range(rng.randrange(1, 200))]
+            y = [t for t in x if rng.random() < 0.97] + [rng.randrange(1 << 64) for _ in range(rng.randrange(6))]
+            common = len(set(x) & set(y))
+            if not y or 100 * common < percent * (len(x) + len(y) - common):
+                continue
+            p, q = (jaccard.prefixes(np.unique(np.array(s, np.uint64)), rank, percent, (0,))[0] for s in (x, y))
+            sizes = spark.range(1).select(F.lit(min(len(x), len(y))).alias("nx"), F.lit(max(len(x), len(y))).alias("ny"))
+            assert len(np.intersect1d(p, q)) >= sizes.select(jaccard.least_shared(percent)).first()[0]
 
 
 def test_ranks_are_gathered_in_small_parts(spark, monkeypatch):

@@ -84,6 +84,15 @@ def prefixes(tokens: np.ndarray, rank: np.ndarray, percent: int, orders=(0, 1, 2
     return [tokens[np.argpartition(high | mixed(tokens, k) >> np.uint64(16), p - 1)[:p]] for k in orders]
 
 
+def least_shared(percent: int) -> Column:
+    """How many tokens the first prefixes of similar sets have in common at least; columns nx and ny are their sizes, ny the larger.
+
+    Similar sets have percent / (100 + percent) of both sizes in common. Of these tokens in order the k-th lies in a set's prefix
+    if k and all tokens that the set has alone are no more than the prefix's length, which is least so in the larger set.
+    """
+    return F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent} + 1 - ({percent} * ny + 99) div 100")
+
+
 def _sets(texts: DataFrame, n: int) -> DataFrame:
     """For each row of texts (a, b, doc_id, text) its set: sorted tokens as binary, their number, and a signature of the set."""
 
@@ -161,7 +170,7 @@ def _paired(entries: DataFrame, percent: int) -> DataFrame:
     large = F.col("size") > SMALL
     near = lambda o: o.isNotNull() & (o["id"] != F.col("id")) & (100 * F.least("n", o["n"]) >= percent * F.greatest("n", o["n"]))
     others = F.filter(F.when(large, F.array("lead")).otherwise(F.col("next")), near)
-    kept = entries.filter("size > 1").select(F.when(large, F.col("token")).alias("token"), "id", "n", others["id"].alias("others"))
+    kept = entries.filter("size > 1").select(F.when(large, F.col("token")).alias("token"), "id", "n", others.alias("others"))
     return kept.filter("token IS NOT NULL OR size(others) > 0")
 
 
@@ -242,7 +251,8 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     sets = made.filter("n > 0").join(_small(others), "id", "left_anti").select("id", "n", "tokens")
     ranks = made.sparkSession.sparkContext.broadcast(_ranks(sets))  # two bytes a bucket
     details = stored(_described(sets, percent, ranks))
-    paired = stored(_paired(details.select("id", "n", F.explode("first").alias("token")), percent))
+    # Dealt before the window, which would send its own columns too.
+    paired = stored(_paired(details.select("id", "n", F.explode("first").alias("token")).repartition("token"), percent))
     postings = paired.filter("token IS NOT NULL").select("token", "id", "n")
     edges, labels, links = None, None, []
 
@@ -299,8 +309,19 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
         labels = connected(edges)
         return True
 
-    other = paired.select("id", F.explode("others").alias("other"))
-    found = settle(other.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct())
+    sizes = lambda m, n: (F.least(m, n).alias("nx"), F.greatest(m, n).alias("ny"))
+    other = paired.select("id", "n", "token", F.explode("others").alias("other"))
+    pair = [F.least("id", "other.id").alias("x"), F.greatest("id", "other.id").alias("y")]
+    small = other.filter("token IS NULL").select(*pair, *sizes("n", "other.n")).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("met"))
+    small = stored(small)
+    # A pair may share all tokens that one of both has in larger groups.
+    large = stored(postings.groupBy("id").agg(F.count("*").alias("large")))
+    both = small
+    for end in ("x", "y"):
+        both = both.join(large.select(F.col("id").alias(end), F.col("large").alias(f"large_{end}")), end, "left")
+    likely = both.filter(F.col("met") + F.least(F.coalesce("large_x", F.lit(0)), F.coalesce("large_y", F.lit(0))) >= least_shared(percent))
+    found = settle(likely.select("x", "y").union(other.filter("token IS NOT NULL").select(*pair)).distinct())
+    forgotten(large)
     for k in range(1, ROUNDS):
         if not found:
             break
@@ -315,10 +336,11 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
         found = settle(star)
     now = stored(labelled(postings).join(_sketches(details), "id"))
     marks = [f"s{i}" for i in range(SKETCH // 64)]
-    sizes = now.groupBy("token", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), (F.sum("size") > UNBANDED).alias("banded")).filter("parts > 1").select("token", "largest", "banded")
+    parts = now.groupBy("token", "component").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), (F.sum("size") > UNBANDED).alias("banded")).filter("parts > 1").select("token", "largest", "banded")
     # Sets may differ in size by one band at most; bands are a trifle wide for rounding.
-    band = F.floor(F.log("n") / (F.log(F.lit(100.0 / percent)) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    # Never null, or else a filter would keep Spark from reading one exchange for both joins.
+    band = F.coalesce(F.floor(F.log("n") / (F.log(F.lit(100.0 / percent)) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int"), F.lit(0))
     met = now.join(largest, "token")
     away = met.filter("component != largest")
     one = [F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *[F.col(c).alias(f"{c}x") for c in marks]]
@@ -331,12 +353,14 @@ def components(texts: DataFrame, n: int, percent: int) -> DataFrame:
     few = away.filter("NOT banded").select("token", *one).alias("l").join(met.filter("NOT banded").select("token", *other).alias("r"), same("token") & fit)
     bands = F.explode(F.array(band - 1, band, band + 1)).alias("band")
     many = away.filter("banded").select("token", band.alias("band"), *one).alias("l").join(met.filter("banded").select("token", bands, *other).alias("r"), same("token") & same("band") & fit)
-    across = few.select("x", "y").union(many.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    settle(across)
+    across = few.select("x", "y", "nx", "ny").union(many.select("x", "y", "nx", "ny"))
+    # Here a pair comes up once for each token of larger groups that it shares.
+    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *sizes("nx", "ny")).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("more"))
+    settle(across.join(small.select("x", "y", "met"), ["x", "y"], "left").filter(F.col("more") + F.coalesce("met", F.lit(0)) >= least_shared(percent)).select("x", "y"))
     class_of = filled.select("a", "b", "doc_id", "n", "s1", "s2").join(first_of, ["s1", "s2"]).select("a", "b", "doc_id", F.col("n").alias("n_shingles"), "id")
     alone = members.filter("n = 0").select("a", "b", "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
     row = stored(labelled(class_of).drop("id").unionByName(alone))
-    for table in (now, details, postings, made, first_of, others, *links, *([] if labels is None else [labels])):
+    for table in (now, details, postings, small, made, first_of, others, *links, *([] if labels is None else [labels])):
         forgotten(table)
     smallest = row.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = row.filter("component IS NOT NULL").join(smallest, "component").select("a", "b", "doc_id", "n_shingles", "component", "component_id")
