@@ -4,10 +4,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 from functools import lru_cache
 from math import log, log10
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from thicket.llm import suffix_model
 
@@ -140,3 +142,48 @@ def test_no_rows_and_no_training(spark):
     assert suffix_model.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = suffix_model.score_documents(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert (one.n_tokens, one.n_known, one.train_tokens, one.base_score, one.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_frequent_grams_are_looked_up_inside_tasks(spark):
+    """The most frequent words and n-grams go by number, not only by share, and where they are looked up changes no score."""
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(made(300))], "doc_id long, text string")
+    few = suffix_model.Settings(least_context=20, least_successor=2, head_share=0.05, head_words=0, head_grams=0)
+    some, all_of_them = replace(few, head_words=20, head_grams=60), replace(few, head_words=10**6, head_grams=10**6)
+    counts = suffix_model.stored(suffix_model.count_words(docs))
+    tree, found, left = suffix_model.grow(docs, counts, few), [], []
+    for s in (few, some, all_of_them):
+        docs_held = docs.withColumn("held_out", suffix_model.F.lit(False))
+        found.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in suffix_model.scored(docs_held, counts, tree, s).collect()})
+        least = [suffix_model.head_least(counts, s.head_words, 0.05 * tree.total), suffix_model.head_least(tree.weights, s.head_grams, 0.05 * tree.total)]
+        partly = suffix_model._partly_scored(docs_held, counts, tree, s, *least)
+        left.append(partly.selectExpr("sum(size(rare))", "sum(size(grams))").first())
+    assert left[0][0] > left[1][0] > left[2][0] == 0 and left[0][1] > left[1][1] > left[2][1] == 0
+    for other in found[1:]:
+        for i, want in found[0].items():
+            assert other[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_counting_rows_follow_tasks_not_contexts(spark, monkeypatch):
+    """A task sends one row for each range of contexts, however many contexts there are."""
+    monkeypatch.setattr(suffix_model, "BUCKET_BITS", 2)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(made(300))], "doc_id long, text string").coalesce(1)
+    words = suffix_model.hashed([w for w, _ in Counter(t for x in made(300) for t in tokens(x)[:-1]).most_common(40) for w in [w.encode()]]).view("int64").tolist()
+    contexts = spark.createDataFrame([(w, 1000) for w in words], "ctx long, n_ctx long")
+    below = spark.createDataFrame([(w,) for w in words], "key long")
+    rows = []
+    plain = DataFrame.repartition
+
+    def spied(df, *args):
+        if args == ("bucket",):
+            rows.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(DataFrame, "repartition", spied)
+    got = {(r.ctx, r.word): r.n for r in suffix_model._successors(docs, 1, contexts, below, 3, 1000).collect()}
+    want = Counter()
+    for x in made(300):
+        line = suffix_model.hashed(suffix_model.tokens_of(x.encode())).view("int64").tolist()
+        want.update((a, b) for a, b in zip(line, line[1:]) if a in words and b in words)
+    assert rows == [4]
+    kept = {k: n for k, n in got.items() if k in want}
+    assert kept == {k: n for k, n in want.items() if n >= 3}

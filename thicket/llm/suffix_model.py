@@ -15,7 +15,8 @@ The least counts are the same for every corpus, so the tree grows with the input
 text's score is a sum over its word n-grams: log10 left(s) for an n-gram that is a state, and for one that is a named successor
 its log10 P less what its shorter n-grams give already. So scoring is one join of n-grams with their weights. Words and
 weights that make up `head_share` of all training tokens or more, at most 1 / head_share for each length, are looked up inside
-tasks; hence no other key of the join has more of the training n-grams than that. Filters of a fixed size
+tasks; hence no other key of the join has more of the training n-grams than that. So are the next most frequent, up to
+`head_words` and `head_grams` in all, which are most of what texts hold; only what is left is shuffled. Filters of a fixed size
 keep n-grams without a weight, or without a hope of one, out of the shuffles; when they fill up, more is shuffled and the result stays.
 
 N-grams are named by 64 bits, so a few in 10^12 could share a weight; n_tokens, n_known and the base use the words themselves.
@@ -27,6 +28,7 @@ probability is one. Other columns are dropped.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import UID, fold, forgotten, stored, with_uid, workers_find_package
+from .common import UID, cleaned, fold, forgotten, small_batches, stored, with_uid, workers_find_package
 from .jaccard import mixed
 
 #: Stands for the end of a text among words; no word holds a space.
@@ -49,6 +51,8 @@ BUFFER, GRAM_BUFFER = 1 << 18, 4_000_000
 FILTER_BITS = 27
 #: Texts that are taken together in a task.
 SLICE = 200
+#: Contexts are counted by 2^BUCKET_BITS ranges of their keys at least; a task sends one row for each.
+BUCKET_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -59,6 +63,8 @@ class Settings:
     divergence: float = 4.0
     strength: float = 50.0
     head_share: float = 1e-6
+    head_words: int = 300_000
+    head_grams: int = 2_000_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -102,7 +108,8 @@ def _longer(context: pd.Series, word: pd.Series) -> pd.Series:
 def key_filter(keys: DataFrame) -> np.ndarray:
     """A bitmap of the leading bits of a key column; what comes to the driver has at most 2^(FILTER_BITS - 6) rows."""
     at = keys.select(F.shiftrightunsigned(F.col("key"), 64 - FILTER_BITS).alias("at"))
-    found = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
+    with cleaned(keys.sparkSession):
+        found = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, dtype="<i8")
     bits[found["place"].to_numpy()] = found["bits"].to_numpy()
     return bits.view(np.uint8)
@@ -133,12 +140,14 @@ def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-def _successors(train: DataFrame, length: int, contexts: DataFrame, below: DataFrame, least: int) -> DataFrame:
+def _successors(train: DataFrame, length: int, contexts: DataFrame, below: DataFrame, least: int, total: int) -> DataFrame:
     """(ctx, word, n): how often words follow contexts of `length` words, if at least so often, for a superset of given contexts.
 
     An n-gram can't come up more often than the one without its first word, so those not in the level below are left out.
-    Tasks send a context's successors together; those of a context seen more than GRAM_BUFFER times in several parts.
+    Tasks send what they have of a range of contexts (a bucket) together, so rows follow tasks and not contexts; the successors of a
+    context seen more than GRAM_BUFFER times are spread over buckets. There are more buckets in larger corpora, so that one stays small.
     """
+    shift = np.uint64(64 - max(BUCKET_BITS, (total // GRAM_BUFFER).bit_length()))
     heavy = contexts.filter(F.col("n_ctx") > GRAM_BUFFER).select("ctx", "n_ctx").toArrow()  # at most total / GRAM_BUFFER rows
     keys = heavy["ctx"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -167,48 +176,55 @@ def _successors(train: DataFrame, length: int, contexts: DataFrame, below: DataF
 
     def together(found, heavy, parts):
         context, word = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        part = np.zeros(len(word), dtype=np.uint64)
+        bucket = context >> shift
         if len(heavy):
             at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
-            part = np.where(heavy[at] == context, word % parts[at], part)
-        context, part, word, n = _added_up(context, part, word, np.ones(len(word), dtype=np.int32))
-        starts = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])]))
-        bounds = np.append(starts, len(word)).astype(np.int32)
-        packed = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds * np.int32(x.itemsize)), pa.py_buffer(x)])
-        return pa.RecordBatch.from_arrays([pa.array(_signed(context[starts])), pa.array(_signed(part[starts])), packed(word), packed(n)], names=["ctx", "part", "words", "times"])
+            bucket = np.where(heavy[at] == context, mixed(context + word % parts[at]) >> shift, bucket)
+        bucket, context, word, n = _added_up(bucket, context, word, np.ones(len(word), dtype=np.int32), bool(len(heavy)))
+        turns = bucket[1:] != bucket[:-1]
+        starts = np.flatnonzero(np.concatenate([[True], turns | (context[1:] != context[:-1])]))
+        pairs = np.append(np.flatnonzero(np.concatenate([[True], turns])), len(word))
+        sizes, ends = np.diff(np.append(starts, len(word))).astype(np.int32), np.searchsorted(starts, pairs)
+        packed = lambda x, ends: pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+        columns = [pa.array(_signed(bucket[pairs[:-1]])), packed(context[starts], ends), packed(sizes, ends), packed(word, pairs), packed(n, pairs)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "contexts", "sizes", "words", "times"])
 
     def merged(batches):
-        rest = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        spread = len(held.value[1]) > 0
+        rest = (*(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, np.int32))
         for batch in batches:
-            words = batch.column(2).to_pylist()
+            contexts, sizes, words, times = (batch.column(i).to_pylist() for i in range(1, 5))
             lengths = np.array(list(map(len, words))) // 8
-            now = [np.repeat(batch.column(i).to_numpy().view(np.uint64), lengths) for i in (0, 1)]
-            now += [np.frombuffer(b"".join(words), np.uint64), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32)]
-            rows = _added_up(*[np.concatenate(x) for x in zip(rest, now)])
-            if not len(rows[0]):
+            of = lambda x, kind: np.frombuffer(b"".join(x), kind)
+            now = (np.repeat(batch.column(0).to_numpy().view(np.uint64), lengths), np.repeat(of(contexts, np.uint64), of(sizes, np.int32)), of(words, np.uint64), of(times, np.int32))
+            if not len(now[0]):
                 continue
-            # The last part in this batch may go on in the next one.
-            last = (rows[0] == now[0][-1]) & (rows[1] == now[1][-1])
+            rows = _added_up(*[np.concatenate(x) for x in zip(rest, now)], spread)
+            # The last bucket in this batch may go on in the next one.
+            last = rows[0] == now[0][-1]
             rest = tuple(x[last] for x in rows)
             yield often(*[x[~last] for x in rows])
         yield often(*rest)
 
-    def often(context, part, word, n):
+    def often(_, context, word, n):
         keep = n >= least
         return pa.RecordBatch.from_arrays([pa.array(_signed(context[keep])), pa.array(_signed(word[keep])), pa.array(n[keep].astype(np.int64))], names=["ctx", "word", "n"])
 
-    sent = train.select("text").mapInArrow(count, "ctx long, part long, words binary, times binary")
-    return sent.repartition("ctx", "part").sortWithinPartitions("ctx", "part").mapInArrow(merged, "ctx long, word long, n long")
+    sent = train.select("text").mapInArrow(count, "bucket long, contexts binary, sizes binary, words binary, times binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "ctx long, word long, n long")
 
 
-def _added_up(context: np.ndarray, part: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple:
-    """Sorted and distinct (context, part, word), with n summed; a sum stays under 2^31, for a part has few more than GRAM_BUFFER."""
+def _added_up(bucket: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray, spread: bool) -> tuple:
+    """Sorted and distinct (bucket, context, word), with n summed; a sum stays under 2^31, for a bucket has few more than GRAM_BUFFER of a context.
+
+    Buckets are ranges of contexts unless some contexts are spread over several.
+    """
     if not len(word):
-        return context, part, word, n
-    order = np.lexsort((word, part, context) if part.any() else (word, context))
-    context, part, word, n = context[order], part[order], word[order], n[order]
+        return bucket, context, word, n
+    order = np.lexsort((word, context, bucket) if spread else (word, context))
+    bucket, context, word, n = bucket[order], context[order], word[order], n[order]
     starts = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-    return context[starts], part[starts], word[starts], np.add.reduceat(n, starts, dtype=np.int32)
+    return bucket[starts], context[starts], word[starts], np.add.reduceat(n, starts, dtype=np.int32)
 
 
 def _met(rows: DataFrame, table: DataFrame, on: str, often: str, hot: float) -> DataFrame:
@@ -246,7 +262,7 @@ def grow(train: DataFrame, counts: DataFrame, s: Settings = Settings()) -> Tree:
         contexts = stored(below.filter((F.col("n") >= s.least_context) & (F.col("word") != end)).select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx"), F.col("skey").alias("sctx")))
         if contexts.isEmpty():
             break
-        counted = stored(_successors(train, length, contexts, below, s.least_successor))
+        counted = stored(_successors(train, length, contexts, below, s.least_successor, tree.total))
         met = stored(_met(counted, contexts, "ctx", "n_ctx", hot).select("ctx", "n_ctx", "word", "n", _longer("ctx", "word").alias("key"), _longer("sctx", "word").alias("skey")))
         shorter = below.select(F.col("key").alias("skey"), F.col("chain").alias("above"), F.col("n").alias("often"))
         rows = stored(_met(met, shorter, "skey", "often", hot).drop("often"))
@@ -282,17 +298,29 @@ def _states(rows: DataFrame, s: Settings) -> DataFrame:
     return sums.select("ctx", "n_ctx", "named", F.when(diverges & (left > 0), F.log10(left)).alias("left"))
 
 
-def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings) -> DataFrame:
+def head_least(table: DataFrame, most: int, least: float) -> int:
+    """The least n of the rows of table that tasks look up: all of `least` or more, and the next ones while they are `most` in all."""
+    least, held = math.ceil(least), 0
+    with cleaned(table.sparkSession):
+        sizes = dict(table.groupBy(F.least("n", F.lit(least)).alias("n")).count().collect())  # at most `least` rows
+    for n in sorted(sizes, reverse=True):
+        held += sizes[n]
+        if held > most and n < least:
+            break
+        least = n
+    return least
+
+
+def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings, least_word: int, least_gram: int) -> DataFrame:
     """docs with the sums over frequent words and n-grams, the other words with how often each occurs, and the other n-grams' keys."""
-    least = s.head_share * tree.total
-    head = counts.filter(F.col("n") >= least).toArrow() if tree.total else None  # at most 1 / head_share rows
+    head = counts.filter(F.col("n") >= least_word).toArrow() if tree.total else None  # at most 1 / head_share or head_words rows
     words = [bytes(w) for w in head["word"].to_pylist()] if head else []
     base = np.append(np.log10((head["n"].to_numpy() + 1) / (tree.total + tree.distinct + 1)) if head else [], 0.0)
     if tree.weights is not None:
-        heavy = tree.weights.filter(F.col("n") >= least).select("key", "weight").toArrow()  # at most (depth + 1) / head_share rows
+        heavy = tree.weights.filter(F.col("n") >= least_gram).select("key", "weight").toArrow()  # at most (depth + 1) / head_share or head_grams rows
         keys = heavy["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        grams = (key_filter(tree.weights), keys[order], heavy["weight"].to_numpy()[order])
+        grams = (key_filter(tree.weights), key_filter(tree.states.select(F.col("ctx").alias("key"))), keys[order], heavy["weight"].to_numpy()[order])
     else:
         grams = None
     held = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, np.append(hashed(words), np.uint64(0)), base, grams))
@@ -336,11 +364,14 @@ def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings)
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    def weighed(words, place, bits, keys, weights):
+    def weighed(words, place, bits, states, keys, weights):
         """By place the weights of n-grams that end there and are among the keys; place and key of the others, in order of places."""
-        gain, ends, left = np.zeros(len(words)), [], []
+        gain, ends, left, before = np.zeros(len(words)), [], [], None
         for n, gram in enumerate(gram_keys(words, depth + 1)):
             at = np.flatnonzero((place >= n) & may_hold(bits, gram))
+            # What has a weight is a state or follows one.
+            at = at[may_hold(states, gram[at]) | (may_hold(states, before[at - 1]) if n else False)]
+            before = gram
             own = gram[at]
             hit = np.zeros(len(at), dtype=bool)
             if len(keys):
@@ -361,6 +392,7 @@ def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings)
 def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Counts and log10 probabilities of all docs under the base and the suffix tree of those not held out."""
     workers_find_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     held = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
     docs = docs.select("doc_id", "text").withColumn("held_out", held)
     train = docs.filter(F.col("doc_id").isNotNull() & ~F.col("held_out"))
@@ -370,12 +402,14 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def scored(docs: DataFrame, counts: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
     """The rows of score_documents for docs (doc_id, text, held_out) under a tree and its word counts."""
-    partly = stored(with_uid(_partly_scored(docs, counts, tree, settings)))
+    share = settings.head_share * tree.total
+    least_word = head_least(counts, settings.head_words, share)
+    least_gram = head_least(tree.weights, settings.head_grams, share) if tree.weights is not None else 0
+    partly = stored(with_uid(_partly_scored(docs, counts, tree, settings, least_word, least_gram)))
     rare = partly.select(UID, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(UID, F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     # Words and n-grams that no task knows: of the training texts' tokens, each has less than head_share.
-    light = F.col("n") < settings.head_share * tree.total
     unseen = np.log10(tree.total + tree.distinct + 1).item()
-    sums = rare.join(counts.filter(light), "word", "left").groupBy(UID).agg(
+    sums = rare.join(counts.filter(F.col("n") < least_word), "word", "left").groupBy(UID).agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).cast("long").alias("n_rare"),
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - unseen)).alias("rare_base"),
     )
@@ -383,7 +417,7 @@ def scored(docs: DataFrame, counts: DataFrame, tree: Tree, settings: Settings) -
     row = partly.drop("rare", "times", "grams").join(sums, UID, "left")
     gain = F.col("head_gain")
     if tree.weights is not None:
-        grams = partly.select(UID, F.explode("grams").alias("key")).join(tree.weights.filter(light), "key")
+        grams = partly.select(UID, F.explode("grams").alias("key")).join(tree.weights.filter(F.col("n") < least_gram), "key")
         row = row.join(stored(grams.groupBy(UID).agg(F.sum("weight").alias("more"))), UID, "left")
         gain = gain + F.coalesce("more", F.lit(0.0))
     base = F.col("head_base") + F.coalesce("rare_base", F.lit(0.0))
