@@ -8,6 +8,7 @@ from dataclasses import replace
 from functools import lru_cache
 from math import log, log10
 
+import numpy as np
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -187,3 +188,13 @@ def test_counting_rows_follow_tasks_not_contexts(spark, monkeypatch):
     assert rows == [4]
     kept = {k: n for k, n in got.items() if k in want}
     assert kept == {k: n for k, n in want.items() if n >= 3}
+
+
+def test_looked_up_keys():
+    """The index leads to every key, the smallest and largest too, and to none that isn't there."""
+    rng = np.random.default_rng(5)
+    top = np.uint64(2**64 - 1)
+    for keys in (np.array([0], np.uint64), np.array([top], np.uint64), np.append(np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64)), top), np.arange(40, dtype=np.uint64) + np.uint64(2**63)):
+        wanted = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), np.array([0, top], np.uint64)])
+        at, hit = suffix_model.looked_up(keys, suffix_model.key_index(keys), wanted)
+        assert hit.tolist() == np.isin(wanted, keys).tolist() and (keys[at[hit]] == wanted[hit]).all()

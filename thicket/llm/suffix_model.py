@@ -53,6 +53,8 @@ FILTER_BITS = 27
 SLICE = 200
 #: Contexts are counted by 2^BUCKET_BITS ranges of their keys at least; a task sends one row for each.
 BUCKET_BITS = 10
+#: Sorted keys are looked up from the first one with the same leading bits, so many.
+INDEX_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,22 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def key_index(keys: np.ndarray) -> np.ndarray:
+    """For each of the leading bits that a key may have, the place of the first of sorted keys that has them or greater ones."""
+    return np.searchsorted(keys, np.arange(1 << INDEX_BITS, dtype=np.uint64) << np.uint64(64 - INDEX_BITS))
+
+
+def looked_up(keys: np.ndarray, index: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place among sorted keys for each one that is wanted, and whether that is its own; keys are hashes, so few steps lead there."""
+    at, left = index[(wanted >> np.uint64(64 - INDEX_BITS)).astype(np.int64)], np.arange(len(wanted))
+    last = len(keys) - 1
+    while len(left):
+        left = left[(at[left] < last) & (keys[np.minimum(at[left], last)] < wanted[left])]
+        at[left] += 1
+    at = np.minimum(at, last)
+    return at, keys[at] == wanted
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """(word binary, n) over all training texts; each task adds up its own before the shuffle."""
 
@@ -329,7 +347,7 @@ def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings,
 
     def score(batches):
         number, hashes, base, grams = held.value
-        size = len(number)
+        size, index = len(number), key_index(grams[2]) if grams else None
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch.slice(at, SLICE)
@@ -348,7 +366,7 @@ def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings,
                 if grams is not None:
                     words = hashes[seq]
                     words[seq == size] = hashed(unknown)
-                    gain, ends, left = weighed(words, places(lengths), *grams)
+                    gain, ends, left = weighed(words, places(lengths), index, *grams)
                     offsets[1:] = np.cumsum(np.bincount(np.searchsorted(starts, ends, side="right") - 1, minlength=len(lengths)))
                 total = lambda x: np.add.reduceat(x, starts)
                 columns = [
@@ -364,7 +382,7 @@ def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    def weighed(words, place, bits, states, keys, weights):
+    def weighed(words, place, index, bits, states, keys, weights):
         """By place the weights of n-grams that end there and are among the keys; place and key of the others, in order of places."""
         gain, ends, left, before = np.zeros(len(words)), [], [], None
         for n, gram in enumerate(gram_keys(words, depth + 1)):
@@ -375,8 +393,7 @@ def _partly_scored(docs: DataFrame, counts: DataFrame, tree: Tree, s: Settings,
             own = gram[at]
             hit = np.zeros(len(at), dtype=bool)
             if len(keys):
-                found = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = keys[found] == own
+                found, hit = looked_up(keys, index, own)
                 gain[at[hit]] += weights[found[hit]]
             ends.append(at[~hit])
             left.append(own[~hit])
