@@ -1,11 +1,13 @@
 """The sweep over cost vectors, units by every rule, and pins, against candidates built one by one."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thicket.functions import trees
+from thicket.functions import costs, trees
 from thicket.functions.storage import stored
 from thicket.functions.trees import parse_newick
 from thicket.operators import canon, sweep
@@ -162,3 +164,25 @@ def test_named_donors_and_targets(spark):
     rows = sweep.score_candidates(genes, leaves, weights, named.drop("species"), donors=donors, targets=targets).orderBy("mt_id").collect()
     assert [(r.mt_id, r.h, r.t) for r in rows[1:]] == [(k, *p) for k, p in enumerate(pairs, 1)]
     assert [r.score for r in rows] == [sum(brute_trees.score(parse_newick(g), s, p) for g in texts) for p in [None, *pairs]]
+
+
+def test_choices_are_costed_in_bounded_memory():
+    """Trees of up to 15 units under a donor of 25 leaves: parts of any size give the same sums, and none takes much memory."""
+    rng = random.Random(5)
+    s = costs.Species([0] * 25 + list(range(1, 25)), [24 - i for i in range(25)] + list(range(1, 25)), list(range(25)) + [24 - i for i in range(24)])
+    sizes = [15, 3, 9, 15, 1, 12, 6]
+    pos = [[rng.randrange(25) for _ in range(n)] for n in sizes]
+    nodes = [[(0, n - 1 - i) for i in range(n)] + [(i, i) for i in range(1, n)] for n in sizes]
+    t = costs.Trees(s, pos, nodes)
+    unit = np.array([(i, 0, j, j) for i, n in enumerate(sizes) for j in range(n)], np.int64)
+    weight = np.arange(1.0, 1 + len(sizes))
+    tracemalloc.start()
+    got = costs.sweep(s, t, weight, *unit.T, 1, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    for most in (1, 997, 3000):
+        few = np.isin(unit[:, 0], [1, 4, 6]) if most == 1 else np.ones(len(unit), bool)
+        want = costs.sweep(s, t, weight, *unit[few].T, 1, 1, most=10_000_000)
+        assert all(np.allclose(a, b) for a, b in zip(costs.sweep(s, t, weight, *unit[few].T, 1, 1, most=most), want))
+    assert np.allclose(got[2], costs.sweep(s, t, weight, *unit.T, 1, 1, most=10_000_000)[2])

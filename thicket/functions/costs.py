@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 C, B, X = 0, 1, 2
+#: Species nodes and gene nodes of all cases that are costed at once; each takes some 150 bytes.
+MOST = 400_000
 
 
 class Species:
@@ -159,18 +161,23 @@ def vectors(s: Species, trees: Trees, tree, donor_depth, taken_case, taken_lo, t
     return costs, dup_cost * dups + w_loss * const
 
 
-def sweep(s: Species, trees: Trees, weight, u_tree, u_donor, u_lo, u_hi, w_dup: float, w_loss: float, most: int = 4_000_000):
+def sweep(s: Species, trees: Trees, weight, u_tree, u_donor, u_lo, u_hi, w_dup: float, w_loss: float, most: int = MOST):
     """(plain, by target, by donor and target): weighted sums of least costs over trees.
 
     Units (u_tree, u_donor, u_lo, u_hi) are ordered by tree, then donor. Of a donor that a tree has no unit for, the tree costs
-    what it does with all leaves on the original; the last table has what other donors differ by.
+    what it does with all leaves on the original; the last table has what other donors differ by. As many cases are costed at
+    once as have `most` species nodes and gene nodes together, or one.
     """
     n = len(s.lo)
     each = np.arange(len(trees.n_leaves))
     none = np.zeros(0, np.int64)
+    width = n + trees.n_nodes  # of a case
+    ends = np.cumsum(width)
     plain, by_target, differs = 0.0, np.zeros(n), np.zeros((n, n))
-    for at in range(0, len(each), max(1, most // n)):
-        part = each[at : at + max(1, most // n)]
+    at = 0
+    while at < len(each):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - width[at] + most, side="right")))
+        part, at = each[at:upto], upto
         costs, alone = vectors(s, trees, part, np.zeros(len(part), np.int64), none, none, none, w_dup, w_loss)
         by_target += weight[part] @ costs
         plain += float(weight[part] @ alone)
@@ -178,11 +185,12 @@ def sweep(s: Species, trees: Trees, weight, u_tree, u_donor, u_lo, u_hi, w_dup:
         return plain, by_target, differs
     first = np.flatnonzero(np.concatenate([[True], (u_tree[1:] != u_tree[:-1]) | (u_donor[1:] != u_donor[:-1])]))
     k = np.diff(np.append(first, len(u_tree)))
+    ends = np.cumsum(width[u_tree[first]] << k)
     at = 0
     while at < len(first):
         # As many groups as fit; the choices of one that is larger come in parts.
-        room = max(1, most // n)
-        upto = at + max(1, int(np.searchsorted(np.cumsum(1 << k[at:]), room, side="right")))
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        room = max(1, most // int(width[u_tree[first[at]]])) if upto == at + 1 else most
         least = None
         for begin in range(0, 1 << int(k[at]) if upto == at + 1 else 1, room):
             g, choice = ranges(np.minimum(1 << k[at:upto], begin + room) - begin)
@@ -202,12 +210,12 @@ def sweep(s: Species, trees: Trees, weight, u_tree, u_donor, u_lo, u_hi, w_dup:
     return plain, by_target, differs
 
 
-def best_choice(s: Species, tree: Trees, at: int, donor: int, target: int, lo, hi, w_dup: float, w_loss: float, most: int = 4_000_000) -> tuple[float, list[int]]:
+def best_choice(s: Species, tree: Trees, at: int, donor: int, target: int, lo, hi, w_dup: float, w_loss: float, most: int = MOST) -> tuple[float, list[int]]:
     """(cost, copy of each unit) of tree number `at` for one donor and target, units being its runs (lo, hi): of the cheapest choices the first in order of units."""
     k, lo, hi = len(lo), np.asarray(lo, np.int64), np.asarray(hi, np.int64)
-    best = None
-    for begin in range(0, 1 << k, max(1, most // len(s.lo))):
-        order = np.arange(begin, min(1 << k, begin + max(1, most // len(s.lo))))
+    best, room = None, max(1, most // int(len(s.lo) + tree.n_nodes[at]))
+    for begin in range(0, 1 << k, room):
+        order = np.arange(begin, min(1 << k, begin + room))
         # The first unit is the highest digit, so that the first cheapest choice is the one wanted.
         taken = (order[:, None] >> np.arange(k)[::-1]) & 1 == 1
         case, unit = np.nonzero(taken)

@@ -28,6 +28,8 @@ KEY = ["family", "gt"]
 BROADCAST_NODES = 1_000_000
 #: Power of two above which the choices of one tree and donor are an error.
 MOST_WORK = 24
+#: Gene trees that a task holds as Python objects at once.
+TREES = 1000
 #: Which clades of donor leaves move as one: any whose leaves are all of different species; any whose children's species differ
 #: at its root; any at all; none but single leaves, which gives the least cost over every leaf's own choice.
 RULES = ("strict", "engine", "maximal", "exact")
@@ -152,13 +154,16 @@ def _swept(w_dup: float, w_loss: float):
             total.clear()
             return pa.RecordBatch.from_arrays([pa.array(family, pa.int64()), pa.array(h, pa.int32()), pa.array(t, pa.int32()), pa.array(cost, pa.float64())], names=["family", "h", "t", "cost"])
 
-        for batch in batches:
+        known = (None, None)  # the last family's species tree
+        for part in (batch.slice(at, TREES) for batch in batches for at in range(0, batch.num_rows, TREES)):
             held: dict[int, list] = {}
-            for row in batch.to_pylist():
-                held.setdefault(row["family"], []).append(row)
+            for i, row in enumerate(part.drop_columns("species").to_pylist()):
+                held.setdefault(row["family"], []).append(row | {"i": i})
             for family, trees in held.items():
-                nodes = trees[0]["species"]
-                s = costs.Species([x["lo"] for x in nodes], [x["hi"] for x in nodes], [x["depth"] for x in nodes])
+                if known[0] != family:
+                    nodes = part.column("species")[trees[0]["i"]].as_py()  # of one row, for it is the same in all
+                    known = family, costs.Species([x["lo"] for x in nodes], [x["hi"] for x in nodes], [x["depth"] for x in nodes])
+                s = known[1]
                 listed = costs.Trees(s, [x["pos"] for x in trees], [[(n["lo"], n["hi"]) for n in x["nodes"]] for x in trees])
                 unit = np.array([(i, u["h"], u["lo"], u["hi"]) for i, x in enumerate(trees) for u in x["units"] or []], np.int64).reshape(-1, 4)
                 got = costs.sweep(s, listed, np.array([x["weight"] for x in trees], float), *unit.T, w_dup, w_loss)
