@@ -8,10 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from thicket.functions import folds
 from thicket.functions.storage import stored
 from thicket.functions.trees import parse_newick
 from thicket.operators import canon, network
-from thicket.sources import newick
+from thicket.plans.queries import QUERIES
+from thicket.sources import corpus, newick
 
 from test_sweep import grown
 
@@ -99,3 +101,59 @@ def test_sets_below_reticulations(spark):
         got.setdefault(r.net_id, []).append("".join(r.leaves))
     assert {k: sorted(v) for k, v in got.items()} == {0: ["AB"], 1: ["abc"], 2: ["ab", "b"], 5: ["xy"]}
     assert nodes.select(F.count_if(F.col("name").isNotNull())).first()[0] == 3 + 5 + 2 + 3 + 1 + 4
+
+
+def test_trees_in_rows_are_folded_as_tables_are(spark):
+    rng = random.Random(9)
+    texts = RELATED + [grown(rng, [rng.choice("ABCD") for _ in range(rng.randrange(1, 12))]) for _ in range(60)]
+    trees, nodes, edges = folded(spark, texts)
+    want = {r.net_id: tuple(r)[1:] for r in network.measures(nodes, edges).collect()}
+    assert {r.tree_id: tuple(r)[1:] for r in network.tree_measures(trees).collect()} == want
+    want = {}
+    for r in network.below_reticulations(nodes, edges).collect():
+        want.setdefault(r.net_id, []).append(r.leaves)
+    assert {r.tree_id: r.sets for r in network.tree_sets(trees).collect() if r.sets} == {k: sorted(v) for k, v in want.items()}
+    parsed = newick.parse(spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string"))
+    want = network.reticulations(parsed).groupBy("tree_id").agg(F.count("*"), F.sum("n_copies"), F.sum("n_leaves"))
+    assert {tuple(r) for r in network.tree_copies(trees).collect() if r.n_reticulations} == {tuple(r) for r in want.collect()}
+    assert {r.tree_id for r in network.round_trips(trees).collect() if r.same} == set(range(len(texts)))
+    read = network.read(network.write(nodes, edges))
+    want = {r.tree_id: sorted(r.names) for r in network.unfold(*(stored(x) for x in read)).collect()}
+    for r in trees.collect():
+        names, spans = folds.unfolded(*folds.parsed(folds.text(*folds.network(folds.Forms(), r.names, [(x.lo, x.hi) for x in r.nodes]))))
+        assert sorted(names) == want[r.tree_id] and len(spans) == len(r.nodes)
+
+
+def test_a_changed_network_does_not_come_back(monkeypatch):
+    spans = folds.balanced(4)
+    assert folds.comes_back(folds.Forms(), list("abab"), spans)
+    parsed = folds.parsed
+    monkeypatch.setattr(folds, "parsed", lambda text: parsed(text.replace("b", "c")))
+    assert not folds.comes_back(folds.Forms(), list("abab"), spans)
+
+
+def test_shapes(spark):
+    sizes = spark.createDataFrame([(n,) for n in range(1, 40)], "gt_id long")
+    leaves = sizes.select("gt_id", F.explode(F.expr("sequence(1, int(gt_id))")).alias("place"))
+    want = {}
+    for r in corpus.balanced_nodes(leaves).collect():
+        want.setdefault(r.tree_id, set()).add((r.lo, r.hi))
+    assert {n: set(folds.balanced(n)) for n in range(1, 40)} == want and all(len(folds.balanced(n)) == 2 * n - 1 for n in range(1, 40))
+    assert folds.balanced(3) == ((0, 2), (0, 1), (0, 0), (1, 1), (2, 2)) and folds.comb(3) == ((0, 2), (0, 1), (0, 0), (1, 1), (2, 2)) and folds.comb(1) == ((0, 0),)
+
+
+@pytest.mark.parametrize("name, most", [("network_folds", 1)])
+def test_lineitems_are_shuffled_once(spark, name, most):
+    """A row an order is made by one shuffle, nothing of a tree's nodes is shuffled; one more adds up what is found."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # That of the 25 nations' and five regions' rows goes beside.
+    assert sum("Exchange hashpartitioning" in x and "n_regionkey" not in x for x in plan.splitlines()) == most
+
+
+def test_orders_leaves_in_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in corpus.placed_leaves(spark, sf).orderBy("gt_id", "leaf").collect():
+        want.setdefault(r.gt_id, []).append((r.nation, r.pos))
+    got = {c: {r.tree_id: r.leaves for r in corpus.order_leaves(spark, sf, c).collect()} for c in ("nation", "pos")}
+    assert {k: list(zip(v, got["pos"][k])) for k, v in got["nation"].items()} == want

@@ -2,7 +2,8 @@
 
 Two subtrees of a tree with equal digests (operators/canon.py) are copies of one lineage. Folding merges all of them, so a
 network has one node for each digest; one that is reached from more than one place is a reticulation. The root is never merged,
-for nothing else is as large. Networks are tables: nodes (net_id, node, name), names for leaves alone, and edges (net_id, src,
+for nothing else is as large. Of many small trees, a row each, the functions of trees fold each where it lies, without a shuffle.
+Networks of any size are tables: nodes (net_id, node, name), names for leaves alone, and edges (net_id, src,
 dst, n), n being how often src has dst as a child.
 """
 
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.storage import stored
 from ..sources import newick
 from . import canon
@@ -42,6 +44,48 @@ def fold(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("net_id", F.col("digest").alias("node"), "name"), edges
 
 
+def _each_tree(trees: DataFrame, shape, judge, made: str) -> DataFrame:
+    """A row (tree_id, made) of each of trees (tree_id, names, nodes), or (tree_id, names) of the shape that shape(n leaves) has the spans of."""
+    types = [x.split(" ", 1)[0] for x in made.split(", ")]
+
+    def run(batches):
+        forms = folds.Forms()
+        for batch in batches:
+            names = batch.column("names").to_pylist()
+            spans = ([(x["lo"], x["hi"]) for x in t] for t in batch.column("nodes").to_pylist()) if shape is None else (shape(len(x)) for x in names)
+            got = [judge(forms, x, s) for x, s in zip(names, spans)]
+            columns = zip(*got) if got else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), *[pa.array(c, kinds[x.split(" ", 1)[1]]) for x, c in zip(made.split(", "), columns)]], names=["tree_id", *types])
+
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+    return trees.select(F.col("tree_id").cast("long"), "names", *(["nodes"] if shape is None else [])).mapInArrow(run, f"tree_id long, {made}")
+
+
+def tree_measures(trees: DataFrame, shape=None) -> DataFrame:
+    """measures() of trees' networks, as (tree_id, n_nodes, n_edges, n_reticulations, n_in)."""
+    return _each_tree(trees, shape, folds.measures, "n_nodes long, n_edges long, n_reticulations long, n_in long")
+
+
+def tree_sets(trees: DataFrame, shape=None) -> DataFrame:
+    """(tree_id, sets): below_reticulations() of each tree's network, all sets in a row."""
+    return _each_tree(trees, shape, lambda *x: (folds.below_reticulations(*x),), "sets array<array<string>>")
+
+
+def tree_copies(trees: DataFrame, shape=None) -> DataFrame:
+    """(tree_id, n_reticulations, n_copies, n_leaves): reticulations() of each tree, added up."""
+
+    def judge(*x):
+        found = folds.copies(*x)
+        return len(found), sum(n for _, n, _ in found), sum(m for _, _, m in found)
+
+    return _each_tree(trees, shape, judge, "n_reticulations long, n_copies long, n_leaves long")
+
+
+def round_trips(trees: DataFrame, shape=None) -> DataFrame:
+    """(tree_id, n_leaves, same): whether trees folded, written in extended Newick, read and unfolded are what they were."""
+    return _each_tree(trees, shape, lambda forms, names, spans: (len(names), folds.comes_back(forms, names, spans)), "n_leaves long, same boolean")
+
+
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(net_id, node) that no edge leads to."""
     return nodes.select("net_id", "node").join(edges.select("net_id", F.col("dst").alias("node")).distinct(), ["net_id", "node"], "left_anti")
@@ -91,27 +135,11 @@ def write(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def text(row) -> str:
         kids: dict[str, list] = {}
-        reached: dict[str, int] = {}
         for e in row["edges"] or []:
             kids.setdefault(e["src"], []).extend([e["dst"]] * e["n"])
-            reached[e["dst"]] = reached.get(e["dst"], 0) + e["n"]
+        reached = {x for below in kids.values() for x in below}
         name = {x["node"]: x["name"] for x in row["nodes"]}
-        tags: dict[str, str] = {}
-        out, todo = [], [next(x for x in name if x not in reached)]
-        while todo:
-            at = todo.pop()
-            if at not in name:  # a sign
-                out.append(at)
-            elif at in tags:
-                out.append(tags[at])
-            else:
-                tag = tags.setdefault(at, f"#H{len(tags) + 1}") if reached.get(at, 0) > 1 else ""
-                below = kids.get(at, [])
-                if below:
-                    todo += [tag, ")"] + [x for c in reversed(below) for x in (c, ",")][:-1] + ["("]
-                else:
-                    out.append(f"({name[at]}){tag}" if tag else name[at])
-        return "".join(out) + ";"
+        return folds.text(next(x for x in name if x not in reached), kids, name)
 
     def run(batches):
         for batch in batches:
@@ -195,7 +223,11 @@ def matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     alone is its share of false ones, in a alone of missing ones; each unmatched one counts 1, in b to fp, in a to fn; all are
     divided by the larger number. Networks without reticulations are at 0 of one another and at 1 of all others.
     """
-    held = sets.groupBy("net_id").agg(F.sort_array(F.collect_list("leaves")).alias("sets"))
+    return matched_rows(sets.groupBy("net_id").agg(F.sort_array(F.collect_list("leaves")).alias("sets")), pairs)
+
+
+def matched_rows(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """matched() of sets that are there as a row for each network (net_id, sets), sorted; networks without sets may be left out."""
     none = F.array().cast("array<array<string>>")
     side = lambda x: held.select(F.col("net_id").alias(x), F.col("sets").alias(f"{x}_sets"))
     both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("a_sets", none).alias("x"), F.coalesce("b_sets", none).alias("y"))

@@ -45,6 +45,22 @@ def gene_leaves(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return genes.withColumn("place", F.row_number().over(order)).select("gt_id", "place", "nation", "species", "region", "rank", "size", "regions", "leaf_depth", *more)
 
 
+#: Suppliers up to this many are broadcast, some 20 bytes each; more are joined by a shuffle.
+BROADCAST_SUPPLIERS = 1_000_000
+
+
+def order_leaves(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """(tree_id, leaves): a row an order, a column of placed_leaves of its leaves in order. Lineitems are shuffled once, and that is all."""
+    order = Window.orderBy("region", "rank")  # one row a nation
+    places = species_leaves(spark, sf_dir).withColumn("pos", F.row_number().over(order) - 1).select("nation", F.col(column).alias("x"))
+    supplier = table(spark, sf_dir, "supplier")
+    homes = supplier.join(F.broadcast(places), supplier.s_nationkey == places.nation).select(F.col("s_suppkey").alias("l_suppkey"), "x")
+    homes = F.broadcast(homes) if supplier.count() <= BROADCAST_SUPPLIERS else homes
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").join(homes, "l_suppkey")
+    rows = lines.groupBy(F.col("l_orderkey").alias("tree_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "x"))).alias("x"))
+    return rows.select("tree_id", F.col("x.x").alias("leaves"))
+
+
 def placed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gene_leaves with leaf, a leaf's number in its tree from 0, and pos, its species leaf's in the species tree, both from left to right."""
     order = Window.orderBy("region", "rank")  # one row a nation
