@@ -6,8 +6,12 @@ and what is left of a tree when leaves go is a filter on how many leaves each no
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions import folds
 
 
 def _preorder(key: list[str]):
@@ -121,22 +125,26 @@ def clades(trees: DataFrame, key: list[str]) -> DataFrame:
     return each.select(*key, F.array_sort(F.slice("names", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("clade")).distinct()
 
 
-def contained(trees: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
+def contained(trees: DataFrame, target: DataFrame, key: list[str], shape=None) -> DataFrame:
     """(*key, n_taxa, distance, contained): whether trees (*key, names, nodes) are the target tree (names, nodes), cut down to their names.
 
     distance is the number of clades that only one of them has. A tree with a name twice, or one that the target lacks, is not contained
-    and has no distance.
+    and has no distance. Trees without nodes are of the shape that shape(n leaves) has the spans of. Each is told in its row.
     """
-    whole = target.select(F.col("names").alias("all"), F.col("nodes").alias("whole"))
-    both = trees.crossJoin(F.broadcast(whole))  # one row
-    fits = (F.size(F.array_distinct("names")) == F.size("names")) & (F.size(F.array_except("names", "all")) == 0)
-    both = both.withColumn("fits", fits)
-    fit = both.filter("fits")
-    cut = pruned(fit.select(*key, F.transform("all", lambda x: F.array_contains("names", x)).alias("keep"), F.col("whole").alias("nodes")), key)
-    spans = cut.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("nodes"))
-    names = fit.select(*key, F.filter("all", lambda x: F.array_contains("names", x)).alias("names"))
-    own, other = clades(fit.select(*key, "names", "nodes"), key), clades(names.join(spans, key), key)
-    only = own.exceptAll(other).unionByName(other.exceptAll(own)).groupBy(*key).agg(F.count("*").alias("n"))
-    judged = both.select(*key, F.size("names").cast("long").alias("n_taxa"), "fits").join(only, key, "left")
-    distance = F.when(F.col("fits"), F.coalesce("n", F.lit(0)))
-    return judged.select(*key, "n_taxa", distance.alias("distance"), F.coalesce(distance == 0, F.lit(False)).alias("contained"))
+    ends = [F.expr(f"transform(nodes, x -> int(x.{c})) AS _{c}") for c in ("lo", "hi")]
+    whole = target.select(F.col("names").alias("_all"), *ends)
+    both = trees.select(*key, "names", *([F.transform("nodes", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("nodes")] if shape is None else [])).crossJoin(F.broadcast(whole))  # one row
+    schema = StructType([trees.schema[c] for c in key]).add("n_taxa", "long").add("distance", "long").add("contained", "boolean")
+
+    def run(batches):
+        bit = inner = None
+        for batch in batches:
+            if bit is None and batch.num_rows:
+                bit, inner = folds.clade_bits(batch.column("_all")[0].as_py(), zip(*(batch.column(c)[0].as_py() for c in ("_lo", "_hi"))))  # the same in all rows
+            names = batch.column("names").to_pylist()
+            spans = ([(x["lo"], x["hi"]) for x in t] for t in batch.column("nodes").to_pylist()) if shape is None else (shape(len(x)) for x in names)
+            found = [folds.clade_distance(x, s, bit, inner) for x, s in zip(names, spans)]
+            made = [pa.array([len(x) for x in names], pa.int64()), pa.array(found, pa.int64()), pa.array([d == 0 for d in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], *made], names=[*key, "n_taxa", "distance", "contained"])
+
+    return both.mapInArrow(run, schema)
