@@ -4,9 +4,11 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -90,3 +92,36 @@ def test_treap_holds_its_points(points):
                 yield from walk(to, level + 1, 2 * row + q // 2, 2 * col + q % 2)
 
     assert dict(walk(0, 0, 0, 0)) == points
+
+
+def test_many_items_go_down_in_parts(spark, monkeypatch):
+    """Twelve times the items take hardly more memory, and parts of any size give the same hits."""
+    table, *_ = treap.build(spark.createDataFrame(corpus(), "doc_id long, text string").coalesce(1))
+    batches = table.toArrow().to_batches()
+    rng = random.Random(3)
+    items = [[(f"w{j}".encode(), rng.randrange(1, 3000)) for j in rng.sample(range(40), 20)] for _ in range(60)]
+
+    def found(items):
+        tracemalloc.start()
+        rows = sorted(r for b in treap._search(items, 50)(iter(batches)) for r in zip(*(b.column(c).to_pylist() for c in ("item", "score"))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, peak
+
+    monkeypatch.setattr(treap, "TOGETHER", 1200)
+    few, small = found(items)
+    many, large = found(items * 12)
+    assert [(i + 60 * k, s) for k in range(12) for i, s in few] == many and len(few) > 2000
+    assert large < 2.5 * small
+    for together in (1, 70):
+        monkeypatch.setattr(treap, "TOGETHER", together)
+        assert found(items)[0] == few
+
+
+def test_blocks_are_stored_in_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(treap, "BLOCK_DOCS", 4)
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(20_000))) for i in range(48)], "doc_id long, text string").coalesce(1)
+    table, *_ = treap.build(docs)
+    groups = [f.row_group(i) for x in table.inputFiles() for f in [pq.ParquetFile(x.removeprefix("file:")).metadata] for i in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 12 and max(g.num_rows for g in groups) < 6

@@ -70,15 +70,20 @@ def cleaned(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder; smaller than a checkpoint where rows hold texts.
+#: Parquet looks at its sizes after each row, not after a hundred: pages of 1 MB and row groups of 4, so that neither writing nor
+#: reading holds many large rows at once.
+LARGE_ROWS = {"parquet.block.size": 4 << 20} | {f"parquet.{x}.size.row.check.{end}": 1 for x in ("page", "block") for end in ("min", "max")}
+
+
+def stored(df: DataFrame, options: dict | None = None) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, written with options; smaller than a checkpoint where rows hold texts.
 
     Its shuffle files go with the write, for nothing reads them afterwards.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     with cleaned(spark):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -134,9 +139,9 @@ def code_points(texts: pa.Array, most: int = 1 << 20, overlap: int = 0):
         row = last
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Gives Python workers batches of 8 MB at most, for rows that hold much."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Gives Python workers batches of 8 MB at most, or of another size, for rows that hold much."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def workers_find_package(spark: SparkSession) -> None:

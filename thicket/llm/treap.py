@@ -8,8 +8,8 @@ short of its parent's. A block is a row of the index, so the index is as many ro
 A search goes down the rows of an item's terms together. A state is a range of documents with one cell for each term that has
 points there; the sum of weight times largest impact bounds what any of the documents may score. In each block every item opens
 its best states first, a few at a time, and stops once none may reach its least score so far, which it takes along from block to
-block of a task. A range of one document has its exact score. Items come in batches of bounded size against the whole index;
-what tasks find is merged by ranks, first within groups of tasks.
+block of a task. A range of one document has its exact score. Items come in batches of bounded size against the whole index, and
+go down a block in parts of bounded size; what tasks find is merged by ranks, first within groups of tasks.
 
 Defined results: a null or blank text has no terms and is no hit of any item. Rows count each, whatever their ids; equal scores
 go by doc_id, null last. An item without terms, or whose terms no document holds, has no rows. Repeated items are ranked each.
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, workers_find_package
+from .common import LARGE_ROWS, small_batches, stored, workers_find_package
 
-BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_DOCS, BLOCK_BYTES = 256, 2 << 20
 #: Bytes of item texts that are searched at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Terms of the items that go down a block together; their states take memory in proportion, whatever the number of items.
+TOGETHER = 4096
 #: States that an item opens at once, and groups of tasks whose hits are merged first.
 OPENED, SALTS = 8, 64
 #: Entries of a search's states before the dead ones are dropped.
@@ -47,12 +49,9 @@ def terms_of(text: str) -> list[bytes]:
 def postings(docs: DataFrame) -> DataFrame:
     """A row for each block of docs (doc_id, text): its terms by falling number of documents, and for each the documents and how often it occurs."""
 
-    def block(ids, words):
+    def block(ids, number, words):
         lengths = np.array([len(w) for w in words], np.int64)
-        number = defaultdict()
-        number.default_factory = number.__len__  # a new term gets the next number
-        found = np.fromiter((number[x] for w in words for x in w), np.int64, int(lengths.sum()))
-        both, tf = np.unique(found * len(words) + np.repeat(np.arange(len(words)), lengths), return_counts=True)
+        both, tf = np.unique(np.concatenate(words) * len(words) + np.repeat(np.arange(len(words)), lengths), return_counts=True)
         df = np.bincount(both // len(words), minlength=len(number))
         order = np.argsort(-df, kind="stable")
         row = np.empty(len(order), np.int64)
@@ -63,18 +62,24 @@ def postings(docs: DataFrame) -> DataFrame:
         kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64()] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, kinds)], names=[x.split()[0] for x in _POSTINGS.split(", ")])
 
+    def empty():
+        number = defaultdict()
+        number.default_factory = number.__len__  # a new term gets the next number
+        return [], number, [], 0
+
     def run(batches):
-        ids, words, size = [], [], 0
+        ids, number, words, size = empty()
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
                 ids.append(doc_id.as_py())
-                words.append(terms_of(text.as_py() or ""))
-                size += len(text.as_py() or "")
+                words.append(np.array([number[x] for x in terms_of(text)], np.int64))
+                size += len(text)
                 if len(ids) == BLOCK_DOCS or size >= BLOCK_BYTES:
-                    yield block(ids, words)
-                    ids, words, size = [], [], 0
+                    yield block(ids, number, words)
+                    ids, number, words, size = empty()
         if ids:
-            yield block(ids, words)
+            yield block(ids, number, words)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _POSTINGS)
 
@@ -128,8 +133,8 @@ def opened(levels: int, sizes: np.ndarray, quarters: np.ndarray, drops: np.ndarr
 def build(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """(index, documents with a term, all terms) of docs (doc_id, text)."""
     workers_find_package(docs.sparkSession)
-    small_batches(docs.sparkSession)
-    listed = stored(postings(docs))
+    small_batches(docs.sparkSession, "2m")  # a block or two
+    listed = stored(postings(docs), LARGE_ROWS)
     n_docs, n_terms = (x or 0 for x in listed.agg(F.sum("n_docs"), F.sum("n_terms")).first())
 
     def run(batches):
@@ -145,7 +150,7 @@ def build(docs: DataFrame) -> tuple[DataFrame, int, int]:
                 kinds = [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, kinds)], names=[x.split()[0] for x in _GRID.split(", ")])
 
-    return stored(listed.mapInArrow(run, _GRID)), n_docs, n_terms
+    return stored(listed.mapInArrow(run, _GRID), LARGE_ROWS), n_docs, n_terms
 
 
 class Hits:
@@ -239,21 +244,26 @@ def _frequencies(terms: set[bytes]):
 def _search(items: list[list[tuple[bytes, int]]], k: int):
     """Hits (item, doc_id, score) of a task's blocks for items, given as lists of (term, weight)."""
     wanted = {t for item in items for t, _ in item}
+    parts, ends = [], np.cumsum([len(item) for item in items])
+    while (at := parts[-1].stop if parts else 0) < len(items):
+        parts.append(slice(at, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))))
 
     def run(batches):
-        hits = Hits(len(items), k)
+        hits = [Hits(len(items[part]), k) for part in parts]
         for batch in batches:
             for row in batch.to_pylist():
                 place = {t: i for i, t in enumerate(row["terms"].split()) if t in wanted}
                 block = {"levels": row["levels"]}
                 block["child"], block["best"] = opened(row["levels"], np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["quarters"], np.uint8), np.frombuffer(row["drops"], np.uint32))
-                held = [[(place[t], w) for t, w in item if t in place] for item in items]
-                if any(held):
-                    null = np.array([x is None for x in row["doc_ids"]])
-                    ids = np.array([x or 0 for x in row["doc_ids"]], np.int64)
-                    descend(block, [np.array([r for r, _ in x], np.int64) for x in held], [np.array([w for _, w in x], np.int64) for x in held], hits, ids, null)
-        docs = pa.array(hits.doc, mask=hits.null) if len(hits.doc) else pa.array([], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(hits.item), docs, pa.array(hits.score)], names=["item", "doc_id", "score"])
+                null = np.array([x is None for x in row["doc_ids"]])
+                ids = np.array([x or 0 for x in row["doc_ids"]], np.int64)
+                for part, best in zip(parts, hits):
+                    held = [[(place[t], w) for t, w in item if t in place] for item in items[part]]
+                    if any(held):
+                        descend(block, [np.array([r for r, _ in x], np.int64) for x in held], [np.array([w for _, w in x], np.int64) for x in held], best, ids, null)
+        for part, best in zip(parts, hits):
+            docs = pa.array(best.doc, mask=best.null) if len(best.doc) else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(best.item + part.start), docs, pa.array(best.score)], names=["item", "doc_id", "score"])
 
     return run
 
